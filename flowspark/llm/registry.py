@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import licenses, quality, urls
 
 QUERIES = {
+    "op3_license_scan": licenses.op3_license_scan,
+    "op7_url_filters": urls.op7_url_filters,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
 ORACLES = {
+    "op7_url_filters": urls.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
 }
