@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, urls
+from . import licenses, mixing, quality, urls, warc
 
 QUERIES = {
+    "op1_source_mixing": mixing.op1_source_mixing,
     "op3_license_scan": licenses.op3_license_scan,
     "op7_url_filters": urls.op7_url_filters,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_warc": warc.op9_warc,
 }
 
 ORACLES = {
+    "op1_source_mixing": mixing.OP1_SQL,
     "op7_url_filters": urls.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
