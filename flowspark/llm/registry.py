@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality, urls, warc
+from . import licenses, lines, mixing, quality, spans, urls, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op3_license_scan": licenses.op3_license_scan,
     "op7_url_filters": urls.op7_url_filters,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_warc": warc.op9_warc,
+    "op10_substring_dedup": spans.op10_substring_dedup,
 }
 
 ORACLES = {
     "op1_source_mixing": mixing.OP1_SQL,
+    "op2_line_dedup": lines.OP2_SQL,
     "op7_url_filters": urls.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
