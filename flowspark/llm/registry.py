@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, lines, mixing, quality, spans, urls, warc
+from . import licenses, lines, mixing, quality, spans, topk, urls, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_license_scan": licenses.op3_license_scan,
+    "op5_exact_topk": topk.op5_exact_topk,
     "op7_url_filters": urls.op7_url_filters,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_warc": warc.op9_warc,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLES = {
     "op1_source_mixing": mixing.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,
+    "op5_exact_topk": topk.OP5_SQL,
     "op7_url_filters": urls.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
