@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, lines, mixing, quality, spans, topk, urls, warc
+from . import licenses, lines, mixing, packing, quality, spans, topk, urls, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_license_scan": licenses.op3_license_scan,
     "op5_exact_topk": topk.op5_exact_topk,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_url_filters": urls.op7_url_filters,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_warc": warc.op9_warc,
