@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, lines, mixing, packing, quality, spans, topk, urls, warc
+from . import jaccard, licenses, lines, mixing, packing, quality, spans, topk, urls, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_url_filters": urls.op7_url_filters,
@@ -19,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_source_mixing": mixing.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,
+    "op4_ngram_jaccard": jaccard.OP4_SQL,
     "op5_exact_topk": topk.OP5_SQL,
     "op7_url_filters": urls.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
