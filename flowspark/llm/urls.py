@@ -5,7 +5,7 @@ over, here all the keys that the corpus's own URLs can look up. Level 0 encodes
 keys; level 1 the universe's false positives at level 0; level 2 the listed keys that level 1
 takes for false positives; and so on until a level has none. A lookup walks the levels until
 one does not hold the key: no join, and only the levels' bits travel. Their size follows from
-the list (a proven bound): a level of more than MAX_BITS is refused, and `membership` then
+the list (a proven bound): a level of more than bloom.MAX_BITS is refused, and `membership` then
 takes a semi-join instead.
 
 Null urls and urls without `://` have empty host and path, fit no rule and are blocked, as
@@ -20,14 +20,15 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from ._common import read_table, remove, written, new_path
 
-#: 16 MB of bits a level at most.
-MAX_BITS = 1 << 27
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Words of a host (split at dots and hyphens) that the method's own list blocks.
 LISTED_WORDS = ("casino", "escort", "pills", "porn", "spam", "viagra", "warez", "xxx")
@@ -36,7 +37,7 @@ LISTED_WORDS = ("casino", "escort", "pills", "porn", "spam", "viagra", "warez",
 class Cascade:
     """Levels of (bits, number of hashes, packed bits)."""
 
-    def __init__(self, levels: list[tuple[int, int, np.ndarray]]):
+    def __init__(self, levels: list[bloom.Level]):
         self.levels = levels
 
     @property
@@ -48,52 +49,21 @@ class Cascade:
         out = np.full(len(h1), len(self.levels) % 2 == 1)
         alive = np.arange(len(h1))
         for i, level in enumerate(self.levels):
-            held = _holds(level, h1[alive], h2[alive])
+            held = bloom.holds(level, h1[alive], h2[alive])
             out[alive[~held]] = i % 2 == 1
             alive = alive[held]
         return out
 
 
-def _positions(h1: np.ndarray, h2: np.ndarray, i: int, m: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (h1.view(np.uint64) + np.uint64(i) * (h2.view(np.uint64) | np.uint64(1))) % np.uint64(m)
-
-
-def _holds(level: tuple[int, int, np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    m, k, bits = level
-    held = np.ones(len(h1), bool)
-    for i in range(k):
-        at = _positions(h1, h2, i, m)
-        held &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return held
-
-
 def hashes(key: Column, level_seed: int = 0) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit(level_seed + 1), key)
 
 
-def _level(keys: DataFrame, n: int, p: float) -> tuple[int, int, np.ndarray]:
-    """Bits of all keys, each executor sending a bitmap per task whose size is the level's."""
-    m = max(64, math.ceil(n * math.log2(1 / p) * 1.45))
-    if m > MAX_BITS:
-        raise OverflowError(f"a level of {m} bits; the bound is {MAX_BITS}")
-    k = max(1, round(math.log2(1 / p)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(-(-m // 8), np.uint8)
-        for b in batches:
-            h1, h2 = (np.asarray(b.column(i)) for i in (0, 1))
-            for i in range(k):
-                at = _positions(h1, h2, i, m)
-                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits[at].astype(np.int64), pa.int64())], ["at", "v"])
-
-    bits = np.zeros(-(-m // 8), np.uint8)
-    rows = keys.select("h1", "h2").mapInArrow(run, "at long, v long").groupBy("at").agg(F.bit_or("v").alias("v"))
-    for r in rows.toLocalIterator():  # at most m / 8 rows: the level's bound
-        bits[r["at"]] = r["v"]
-    return m, k, bits
+def _level(keys: DataFrame, n: int, p: float) -> bloom.Level:
+    m = bloom.n_bits(n, p)
+    if m > bloom.MAX_BITS:
+        raise OverflowError(f"a level of {m} bits; the bound is {bloom.MAX_BITS}")
+    return bloom.build(keys, m, max(1, round(math.log2(1 / p))))
 
 
 def build(universe: DataFrame, listed: DataFrame, max_levels: int = 40) -> Cascade:
@@ -123,14 +93,14 @@ def build(universe: DataFrame, listed: DataFrame, max_levels: int = 40) -> Casca
     return Cascade(levels)
 
 
-def _filtered(keys: DataFrame, level: tuple[int, int, np.ndarray]) -> DataFrame:
+def _filtered(keys: DataFrame, level: bloom.Level) -> DataFrame:
     """The rows whose key the level holds."""
     sent = keys.sparkSession.sparkContext.broadcast(level)
     at1, at2 = keys.columns.index("h1"), keys.columns.index("h2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_holds(sent.value, np.asarray(b.column(at1)), np.asarray(b.column(at2)))))
+            yield b.filter(pa.array(bloom.holds(sent.value, np.asarray(b.column(at1)), np.asarray(b.column(at2)))))
 
     return keys.mapInArrow(run, keys.schema)
 
@@ -201,7 +171,7 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, words: Iterable[str]
             wrow, (bad,) = _hits(col, "words", (at["words"],))
             blocked = np.zeros(n, bool)
             blocked[wrow[bad]] = True
-            blocked |= np.asarray(pa.compute.equal(col["host"], ""))
+            blocked |= np.asarray(pc.equal(col["host"], ""))
             by_rule = first >= 0
             blocked[by_rule] = hits[1][first[by_rule]]
             verdict = pa.array(np.where(blocked, "block", "allow"), pa.string())
@@ -228,9 +198,7 @@ def membership(keys: DataFrame, listed: DataFrame) -> DataFrame:
     h1, h2 = hashes(F.col("key"))
 
     @F.pandas_udf("boolean")
-    def held(a, b):
-        import pandas as pd
-
+    def held(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(cascade.value.contains(a.to_numpy(np.int64), b.to_numpy(np.int64)))
 
     return keys.withColumn("listed", held(h1, h2))
