@@ -156,10 +156,9 @@ def normal_cdf(z: Column | str) -> Column:
 
 def normal_cdf_exact(z: Column | str) -> Column:
     """Phi by math.erf, Arrow batch by Arrow batch."""
-    erf = np.frompyfunc(math.erf, 1, 1)
-
     @F.pandas_udf("double")
     def phi(x: pd.Series) -> pd.Series:
-        return pd.Series(0.5 * (1.0 + erf(x.to_numpy(float) / math.sqrt(2.0)).astype(float)))
+        erf = np.array([math.erf(v) for v in x.to_numpy(float) / math.sqrt(2.0)], float)
+        return pd.Series(0.5 * (1.0 + erf))
 
     return phi(col(z))
