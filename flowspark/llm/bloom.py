@@ -57,11 +57,18 @@ def build(keys: DataFrame, m: int, k: int) -> Level:
     return m, k, bits
 
 
-def of_longs(rows: DataFrame, name: str, p: float = 1 / 64) -> Level:
-    """A filter of the column's values, of at most MAX_BITS whatever their number."""
+def of_pairs(rows: DataFrame, h1: str, h2: str, p: float = 1 / 64) -> Level:
+    """A filter of two hash columns, of at most MAX_BITS whatever the number of rows: beyond, it
+    holds more than it should, never less."""
     n = rows.count()
     m = min(MAX_BITS, n_bits(n, p))
-    return build(rows.select(F.col(name).alias("h1"), F.lit(0).cast("long").alias("h2")), m, max(1, min(round(math.log2(1 / p)), round(0.69 * m / max(1, n)))))
+    k = max(1, min(round(math.log2(1 / p)), round(0.69 * m / max(1, n))))
+    return build(rows.select(F.col(h1).alias("h1"), F.col(h2).alias("h2")), m, k)
+
+
+def of_longs(rows: DataFrame, name: str, p: float = 1 / 64) -> Level:
+    """The same of one column of hashes."""
+    return of_pairs(rows.withColumn("__0", F.lit(0).cast("long")), name, "__0", p)
 
 
 def holds_longs(level: Level, values: np.ndarray) -> np.ndarray:

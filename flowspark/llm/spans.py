@@ -6,12 +6,16 @@ endless sentence are seen too. From every unit starts one span, the shortest run
 MIN_UNITS units and MIN_WORDS words; it depends only on what follows the start, so a shared
 passage has the same spans wherever it stands. Spans are hashed (128 bits over lower-cased words,
 white space aside), joined over all documents, and every unit covered by a span that is not the
-first of its kind (by doc_id, then text, then place) is removed with the white space after it.
+first of its kind (by doc_id, then place) is removed with the white space after it.
 
-Null and empty texts have no units and stay as they are. Rows of equal id and equal text are one
-document: they keep or lose units together. Rows that share an id but not the text are told apart.
-A null id comes before all others. Empty tables give empty results. `dedup` leaves other columns
-as they are; helper columns start with `sp_`.
+The global part needs, for each span, only the smallest and the largest doc_id that hold it. Spans
+repeated inside one document are settled there. A second pass sends only spans that a Bloom filter
+of the repeated ones holds to the join, so that unique text is shuffled once, as three numbers.
+
+Null and empty texts have no units and stay as they are. Rows that share an id are one document:
+what only they share stays in all of them; each row's own repeats go. A null id comes before all
+others. Empty tables give empty results. `dedup` leaves other columns as they are; helper columns
+start with `sp_`.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import ASCII_LOWER, map_rows, read_table
+from . import bloom
+from ._common import ASCII_LOWER, map_rows, read_table, written
 
 MIN_UNITS = 2
 MIN_WORDS = 20
@@ -79,42 +85,64 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """sp_doc, sp_text (id and hash of a document) and sp_spans, its covered (start, size) runs."""
+NO_ID = -(2**63)
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"sp_key": [], "sp_doc": [], "sp_text": [], "sp_at": [], "sp_n": []}
+
+def _halves(key: bytes) -> tuple[int, int]:
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """sp_doc, sp_text (id and hash of a row) and sp_spans, its covered runs as start << 16 | size."""
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("sp_doc"), F.xxhash64("text").alias("sp_text"), "text")
+
+    def keys(cols: dict[str, list]) -> dict[str, list]:
+        k1, k2, ids = [], [], []
+        for i, text in zip(cols["sp_doc"], cols["text"], strict=True):
+            found = {key for _, _, key in spans(units(_raw(text)))}
+            for key in found:
+                a, b = _halves(key)
+                k1.append(a)
+                k2.append(b)
+            ids += [i] * len(found)
+        return {"sp_k1": k1, "sp_k2": k2, "sp_doc": ids}
+
+    found = map_rows(slim.select("sp_doc", "text"), keys, "sp_k1 long, sp_k2 long, sp_doc long")
+    first = found.groupBy("sp_k1", "sp_k2").agg(F.min("sp_doc").alias("sp_first"), F.max("sp_doc").alias("sp_last"))
+    first = written(first.where("sp_first <> sp_last").drop("sp_last"), "spans-first")
+    level = docs.sparkSession.sparkContext.broadcast(bloom.of_pairs(first, "sp_k1", "sp_k2"))
+
+    def repeated(cols: dict[str, list]) -> dict[str, list]:
+        rows: list[tuple] = []
         for i, h, text in zip(cols["sp_doc"], cols["sp_text"], cols["text"], strict=True):
+            seen: set[bytes] = set()
             for at, n, key in spans(units(_raw(text))):
-                out["sp_key"].append(key)
-                out["sp_doc"].append(i)
-                out["sp_text"].append(h)
-                out["sp_at"].append(at)
-                out["sp_n"].append(n)
-        return out
+                rows.append((*_halves(key), i, h, at << 16 | min(n, 0xFFFF), key in seen))
+                seen.add(key)
+        if rows:
+            k1, k2 = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
+            held = bloom.holds(level.value, k1, k2)
+            rows = [r for r, h in zip(rows, held, strict=True) if h or r[5]]
+        return dict(zip(("sp_k1", "sp_k2", "sp_doc", "sp_text", "sp_at", "sp_again"), map(list, zip(*rows, strict=True)) if rows else [[]] * 6, strict=True))
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("sp_doc"), F.xxhash64("text").alias("sp_text"), "text")
-    found = map_rows(slim, run, "sp_key binary, sp_doc long, sp_text long, sp_at int, sp_n int")
-    # min() over a struct takes a null id for the smallest; counts see other places only.
-    place = F.struct("sp_doc", "sp_text", "sp_at")
-    first = found.groupBy("sp_key").agg(F.min(place).alias("sp_first"), F.max(place).alias("sp_last")).where("sp_first <> sp_last").drop("sp_last")
-    later = found.join(first, "sp_key").where(~place.eqNullSafe(F.col("sp_first")))
-    return later.groupBy("sp_doc", "sp_text").agg(F.collect_set(F.struct("sp_at", "sp_n")).alias("sp_spans"))
+    met = map_rows(slim, repeated, "sp_k1 long, sp_k2 long, sp_doc long, sp_text long, sp_at long, sp_again boolean")
+    met = met.join(first, ["sp_k1", "sp_k2"], "left").where("sp_again or sp_first < sp_doc")
+    return met.groupBy("sp_doc", "sp_text").agg(F.collect_set("sp_at").alias("sp_spans"))
 
 
-def cut(text: str | None, gone: list[dict] | None) -> tuple[int, int, str | None]:
+def cut(text: str | None, gone: list[int] | None) -> tuple[int, int, str | None]:
     """Units in all, units removed, and the text that stays."""
     pieces = units(_raw(text))
     if not gone:
         return len(pieces), 0, text
-    covered = {i for g in gone for i in range(g["sp_at"], g["sp_at"] + g["sp_n"])}
+    covered = {i for g in gone for i in range(g >> 16, (g >> 16) + (g & 0xFFFF))}
     return len(pieces), len(covered), b"".join(u for i, u in enumerate(pieces) if i not in covered).decode("utf-8", "surrogatepass")
 
 
 def _joined(docs: DataFrame) -> DataFrame:
     gone = removals(docs).withColumnsRenamed({"sp_doc": "sp_doc_2", "sp_text": "sp_text_2"})
-    rows = docs.withColumns({"sp_doc": F.col("doc_id").cast("long"), "sp_text": F.xxhash64("text")})
-    on = F.col("sp_doc").eqNullSafe(F.col("sp_doc_2")) & (F.col("sp_text") == F.col("sp_text_2"))
+    rows = docs.withColumns({"sp_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "sp_text": F.xxhash64("text")})
+    on = (F.col("sp_doc") == F.col("sp_doc_2")) & (F.col("sp_text") == F.col("sp_text_2"))
     return rows.join(gone, on, "left").drop("sp_doc", "sp_text", "sp_doc_2", "sp_text_2")
 
 
