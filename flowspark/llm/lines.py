@@ -105,8 +105,8 @@ def drops(docs: DataFrame, batches: int = BATCHES, min_docs: int = MIN_DOCS, lea
     spark = docs.sparkSession
     keys = line_keys(docs, least)
     # Bounds between batches come from a sketch of the ids; batches are contiguous and descend.
-    ids = docs.select(F.col("doc_id").cast("double").alias("i")).where("i is not null")
-    bounds = sorted(set(ids.approxQuantile("i", [k / batches for k in range(1, batches)], 0.01)), reverse=True)
+    cuts = F.percentile_approx(F.col("doc_id").cast("double"), [k / batches for k in range(1, batches + 1)], 1000)
+    bounds = sorted(set((docs.agg(cuts).first()[0] or [])[: batches - 1]), reverse=True)
     batch = F.lit(0)
     for b in bounds:
         batch = batch + (F.col("ld_doc").cast("double") < b).cast("int")

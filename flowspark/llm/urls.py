@@ -49,21 +49,34 @@ class Cascade:
         out = np.full(len(h1), len(self.levels) % 2 == 1)
         alive = np.arange(len(h1))
         for i, level in enumerate(self.levels):
-            held = bloom.holds(level, h1[alive], h2[alive])
+            held = bloom.holds(level, turned(h1[alive], i), turned(h2[alive], i))
             out[alive[~held]] = i % 2 == 1
             alive = alive[held]
         return out
 
 
+def turned(h: np.ndarray, level: int) -> np.ndarray:
+    """A hash's bits turned by the level, so that levels of one size don't repeat each other's errors."""
+    by, u = np.uint64(11 * level % 64), h.view(np.uint64)
+    return h if not by else ((u >> by) | (u << (np.uint64(64) - by))).view(np.int64)
+
+
+def _turned(keys: DataFrame, level: int) -> DataFrame:
+    """The same of the columns h1 and h2."""
+    by = 11 * level % 64
+    turn = lambda c: F.shiftrightunsigned(c, by).bitwiseOR(F.shiftleft(c, 64 - by)) if by else F.col(c)
+    return keys.withColumns({c: turn(c) for c in ("h1", "h2")})
+
+
 def hashes(key: Column, level_seed: int = 0) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit(level_seed + 1), key)
 
 
-def _level(keys: DataFrame, n: int, p: float) -> bloom.Level:
+def _level(keys: DataFrame, n: int, p: float, i: int) -> bloom.Level:
     m = bloom.n_bits(n, p)
     if m > bloom.MAX_BITS:
         raise OverflowError(f"a level of {m} bits; the bound is {bloom.MAX_BITS}")
-    return bloom.build(keys, m, max(1, round(math.log2(1 / p))))
+    return bloom.build(_turned(keys, i), m, max(1, round(math.log2(1 / p))))
 
 
 def build(universe: DataFrame, listed: DataFrame, max_levels: int = 40) -> Cascade:
@@ -75,17 +88,17 @@ def build(universe: DataFrame, listed: DataFrame, max_levels: int = 40) -> Casca
     n = yes.count()
     if not n:
         return Cascade([])
-    levels = [_level(yes, n, 1 / 64)]
+    levels = [_level(yes, n, 1 / 64, 0)]
     # The universe's false positives: only what level 0 holds is ever compared with the list.
     seen = universe.where("key is not null").select("key", h1.alias("h1"), h2.alias("h2"))
-    held = _filtered(seen, levels[0]).distinct()
+    held = _filtered(seen, levels[0], 0).distinct()
     paths.append(new_path(spark, "cascade-false"))
     no = written(held.join(yes.select("key"), "key", "left_anti").select("key", "h1", "h2"), "", paths[1])
     members, others = yes, no
     while (n := others.count()) and len(levels) < max_levels:
-        levels.append(_level(others, n, 1 / 4))
+        levels.append(_level(others, n, 1 / 4, len(levels)))
         paths.append(new_path(spark, "cascade-level"))
-        left = written(_filtered(members, levels[-1]), "", paths[-1])
+        left = written(_filtered(members, levels[-1], len(levels) - 1), "", paths[-1])
         members, others = others, left
     if n:
         raise RuntimeError("keys of equal hashes on both sides")
@@ -93,14 +106,14 @@ def build(universe: DataFrame, listed: DataFrame, max_levels: int = 40) -> Casca
     return Cascade(levels)
 
 
-def _filtered(keys: DataFrame, level: bloom.Level) -> DataFrame:
+def _filtered(keys: DataFrame, level: bloom.Level, i: int) -> DataFrame:
     """The rows whose key the level holds."""
     sent = keys.sparkSession.sparkContext.broadcast(level)
     at1, at2 = keys.columns.index("h1"), keys.columns.index("h2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(bloom.holds(sent.value, np.asarray(b.column(at1)), np.asarray(b.column(at2)))))
+            yield b.filter(pa.array(bloom.holds(sent.value, turned(np.asarray(b.column(at1)), i), turned(np.asarray(b.column(at2)), i))))
 
     return keys.mapInArrow(run, keys.schema)
 
