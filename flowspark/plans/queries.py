@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import book, chain, convert, flow, quality, regress, volume
+from ..operators import audit, book, chain, convert, flow, quality, regress, volume
 from ..sources import tape, wire
 from ..streaming import processors
 from . import views as V
@@ -244,6 +244,14 @@ def restamp(spark: SparkSession, d: str) -> DataFrame:
     return chain.restamp(V.trades(spark, d), KEYS, "trade_id").select("symbol", "trade_id", "ts_event_ns", "ts_recv_ns")
 
 
+@query()
+def probe_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The tape against its own later snapshots as probes, 3 ids before each."""
+    s = V.snapshots(spark, d)
+    probes = s.select("symbol", F.col("row_id").alias("probe"), (F.col("last_update_id") - 3).alias("rest_id"), "bids", "asks")
+    return audit.audit_probes(s, V.deltas(spark, d), probes, KEYS, 20).drop("details")
+
+
 AUDIT_SQL = f"""{DELTAS_SQL}, {SNAPSHOTS_SQL}, jn AS (SELECT *, lag(final_update_id) OVER (PARTITION BY symbol ORDER BY final_update_id) AS lu FROM d),
     jj AS (SELECT jn.*, EXISTS (SELECT 1 FROM s WHERE s.symbol = jn.symbol AND (s.last_update_id BETWEEN jn.first_update_id AND jn.final_update_id OR s.last_update_id = jn.prev_final_update_id)) AS ok FROM jn WHERE lu IS NULL OR lu <> prev_final_update_id),
     au AS (SELECT symbol, count(*) FILTER (WHERE ok) AS epochs, count(*) FILTER (WHERE NOT ok) AS breaks FROM jj GROUP BY symbol)"""
