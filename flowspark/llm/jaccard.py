@@ -18,6 +18,12 @@ links are contracted to components, and only signatures whose nodes are still in
 components go on: a round with pivots of many links, then the remaining pairs across components.
 All links between different components are thereby found, without listing pairs inside a group.
 
+Before a set travels, a pair has to pass its sketches: the domain in some 0.4 n cells, one byte of
+an additive hash each. Every cell that differs holds a member in which the sets differ, so more
+unequal cells than the threshold allows rule a pair out; equal bytes by chance only let it pass.
+Sets that share no more than a passage fail here. In the last round the sketches of one signature
+are compared in blocks of bounded size, and only pairs that pass are ever rows.
+
 Null and empty texts have empty sets and are linked with nothing; fewer than n words are one
 n-gram. Every row is a document of its own, even if rows share an id; equal rows are equal sets.
 A component's id is its smallest doc_id, null only if it has no other. Empty tables give empty
@@ -33,6 +39,7 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +50,8 @@ from ._common import ASCII_LOWER, new_path, read_table, remove, written
 
 WORDS = 5
 NUM, DEN = 80, 100
-#: Members of the pivot round: signatures with two nodes are complete after it.
+#: Rows of one signature that are compared with as many others at a time.
+BLOCK = 2048
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -147,6 +155,26 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def sketch(s: np.ndarray, bands: Bands) -> bytes:
+    """One byte for each of 2 ** p cells: the sum, mod 256, of a hash of its members. Neighbouring
+    cells add up to the cells of a sketch half as long."""
+    p = max(4, (5 * len(s) * (bands.den - bands.num) // (bands.den + bands.num)).bit_length())
+    v = mix(s ^ np.uint64(0x2545F4914F6CDD1D))
+    cell = (v >> np.uint64(64 - p)).astype(np.int64)
+    return (np.bincount(cell, weights=(v & np.uint64(255)).astype(np.float64), minlength=1 << p).astype(np.int64) & 255).astype(np.uint8).tobytes()
+
+
+def folded(x: bytes, size: int) -> np.ndarray:
+    """The sketch as `size` cells."""
+    a = np.frombuffer(x, np.uint8)
+    return a if len(a) == size else a.reshape(size, -1).sum(axis=1, dtype=np.uint64).astype(np.uint8)
+
+
+def most_unequal(total: np.ndarray | int, num: int, den: int):
+    """Members in which similar sets of `total` members together may differ."""
+    return total * (den - num) // (den + num)
+
+
 def node_of(s: np.ndarray) -> int:
     """A signed 64-bit hash of the whole set."""
     x = xxhash.xxh3_64_intdigest(s.tobytes())
@@ -154,28 +182,30 @@ def node_of(s: np.ndarray) -> int:
 
 
 def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, nj_n (set size), nj_node (null for empty sets) and nj_sigs, empty where the task
-    has emitted the node before."""
+    """doc_id, nj_n (set size), nj_node (null for empty sets), nj_sigs and nj_sketch, the last two
+    empty where the task has emitted the node before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                size, node, sigs = [], [], []
+                size, node, sigs, cells = [], [], [], []
                 for text in b.column(1):
                     s = shingles(text.as_py(), n)
                     size.append(len(s))
                     node.append(node_of(s) if len(s) else None)
                     if not len(s) or node[-1] in seen:
                         sigs.append(np.zeros(0, np.int64))
+                        cells.append(None)
                     else:
                         seen.add(node[-1])
                         sigs.append(signatures(s, bands).view(np.int64))
+                        cells.append(sketch(s, bands) if len(sigs[-1]) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), _lists(sigs)], ["doc_id", "nj_n", "nj_node", "nj_sigs"])
+                    [b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), _lists(sigs), pa.array(cells, pa.binary())], ["doc_id", "nj_n", "nj_node", "nj_sigs", "nj_sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, nj_n long, nj_node long, nj_sigs array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, nj_n long, nj_node long, nj_sigs array<long>, nj_sketch binary")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -278,6 +308,81 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return joined.where(F.col("i") * den >= (F.col("t") - F.col("i")) * num).select("nj_a", "nj_b")
 
 
+def passing(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (nj_a, nj_b) whose sketches allow the similarity."""
+    side = lambda x: nodes.select(F.col("nj_node").alias(f"nj_{x}"), F.col("nj_n").alias(f"nj_n{x}"), F.col("nj_sketch").alias(f"nj_s{x}"))
+
+    @F.pandas_udf("boolean")
+    def allowed(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
+        out = [
+            int((folded(x, m := min(len(x), len(y))) != folded(y, m)).sum()) <= most_unequal(int(t), num, den)
+            for x, y, t in zip(a, b, total, strict=True)
+        ]
+        return pd.Series(out, dtype=bool)
+
+    joined = pairs.join(side("b"), "nj_b").join(side("a"), "nj_a")
+    return joined.where(allowed("nj_sa", "nj_sb", F.col("nj_na") + F.col("nj_nb"))).select("nj_a", "nj_b")
+
+
+def crossing(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (nj_a < nj_b) of one bucket, but of different components, that sizes and sketches
+    allow. A bucket's rows are cut into blocks, and a task compares one pair of blocks."""
+    counts = open_.groupBy("nj_bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nj_blocks"))
+    rows = open_.select("nj_bucket", "nj_node", "nj_comp").join(counts, "nj_bucket").join(nodes, "nj_node")
+    own = F.pmod(F.xxhash64("nj_node"), F.col("nj_blocks")).cast("int")
+    rows = rows.withColumn("nj_own", own).withColumn("nj_with", F.explode(F.sequence(F.lit(0), F.col("nj_blocks") - 1)))
+    ids = [F.col("nj_bucket"), F.least("nj_own", "nj_with").alias("nj_x"), F.greatest("nj_own", "nj_with").alias("nj_y")]
+    rows = rows.select(*ids, "nj_own", "nj_node", "nj_comp", "nj_n", "nj_sketch")
+
+    def compared(x: int, y: int, own, node, comp, n, raw) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs between the blocks x and y, row by row of x."""
+        m = min(map(len, raw))
+        cells = np.stack([folded(r, m) for r in raw])
+        right = np.flatnonzero(own == y)
+        right = right[np.argsort(n[right], kind="stable")]
+        sizes, most = n[right], [-(-n * num // den), n * den // num + 1]
+        for i in np.flatnonzero(own == x):
+            lo, hi = np.searchsorted(sizes, [most[0][i], most[1][i]])
+            j = right[lo:hi]
+            j = j[(comp[j] != comp[i]) & ((node[j] > node[i]) if x == y else True)]
+            if len(j):
+                j = j[(cells[j] != cells[i]).sum(axis=1) <= most_unequal(n[j] + n[i], num, den)]
+                yield np.minimum(node[j], node[i]), np.maximum(node[j], node[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["nj_bucket", "nj_x", "nj_y", "nj_own", "nj_node", "nj_comp", "nj_n"]
+        kept: list[pa.RecordBatch] = []  # rows of the group that goes on in the next batch
+
+        def groups(t: pa.Table, end: int) -> pa.RecordBatch:
+            c = {k: t[k].to_numpy() for k in names}
+            edge = np.flatnonzero((c["nj_bucket"][1:end] != c["nj_bucket"][: end - 1]) | (c["nj_x"][1:end] != c["nj_x"][: end - 1]) | (c["nj_y"][1:end] != c["nj_y"][: end - 1])) + 1
+            raw = t["nj_sketch"].to_pylist()
+            got = []
+            for a, b in zip([0, *edge], [*edge, end], strict=True):
+                if b - a > 1:
+                    got += compared(int(c["nj_x"][a]), int(c["nj_y"][a]), *(c[k][a:b] for k in names[3:]), raw[a:b])
+            sides = [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1)]
+            pairs = np.unique(np.stack(sides, 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["nj_a", "nj_b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*kept, b]).combine_chunks()
+            last = [t[k][-1].as_py() for k in names[:3]]
+            same = np.logical_and.reduce([t[k].to_numpy() == v for k, v in zip(names[:3], last, strict=True)])
+            end = int(np.argmax(same))  # rows are sorted, so the last group starts here
+            if end:
+                yield groups(t.slice(0, end), end)
+            kept = t.slice(end).to_batches()
+        if kept:
+            t = pa.Table.from_batches(kept).combine_chunks()
+            yield groups(t, t.num_rows)
+
+    order = ["nj_bucket", "nj_x", "nj_y"]
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "nj_a long, nj_b long").distinct()
+
+
 def contracted(links: DataFrame) -> DataFrame:
     """nj_node, nj_comp of every linked node: its component's smallest node. Every round hooks
     each node to its smallest neighbour and halves the components' nodes at least; tables are
@@ -318,25 +423,22 @@ def components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN)
     all_sigs = written(signed(docs, n, num, den), "", path)
     base = written(all_sigs.select("doc_id", "nj_n", "nj_node"), "nj-base")
     found = written(buckets(all_sigs.select("nj_node", "nj_sigs")), "nj-buckets")
+    once = all_sigs.where("nj_sketch is not null").select("nj_node", "nj_n", "nj_sketch").dropDuplicates(["nj_node"])
+    nodes = written(once.join(found.select("nj_node").distinct(), "nj_node", "left_semi"), "nj-nodes")
     remove(spark, path)
-    del all_sigs
-    freed(spark)
-    sizes = base.where("nj_node is not null").groupBy("nj_node").agg(F.first("nj_n").alias("nj_n"))
-    nodes = written(found.select("nj_node").distinct().join(sizes, "nj_node"), "nj-nodes")
-    sets = written(needed_sets(docs, nodes.select("nj_node"), n), "nj-sets")
+    del all_sigs, once
     freed(spark)
 
     fits = F.least("nj_na", "nj_nb") * den >= F.greatest("nj_na", "nj_nb") * num
-    sized = found.join(nodes, "nj_node")
+    sized = found.join(nodes.select("nj_node", "nj_n"), "nj_node")
     # Round 1: every node of a bucket with the bucket's smallest node.
-    pivot = sized.groupBy("nj_bucket").agg(F.min(F.struct("nj_node", "nj_n")).alias("p"), F.count("*").alias("nj_m"))
+    pivot = sized.groupBy("nj_bucket").agg(F.min(F.struct("nj_node", "nj_n")).alias("p"))
     pairs = sized.join(pivot, "nj_bucket").select(F.col("p.nj_node").alias("nj_a"), F.col("nj_node").alias("nj_b"), F.col("p.nj_n").alias("nj_na"), F.col("nj_n").alias("nj_nb"))
     tried = written(pairs.where("nj_a <> nj_b").where(fits).select("nj_a", "nj_b").distinct(), "nj-pairs")
-    links = written(verified(tried, sets, num, den), "nj-links")
+    links = _verified(docs, passing(tried, nodes, num, den), n, num, den)
     comp = contracted(links)
     for last in (False, True):
-        open_ = _open(found, comp, nodes)
-        open_ = written(open_, "nj-open")
+        open_ = written(_open(found, comp, nodes), "nj-open")
         if open_.isEmpty():
             break
         if not last:
@@ -346,22 +448,31 @@ def components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN)
             pivot = ranked.groupBy("nj_bucket").agg(F.max(F.struct("nj_d", "nj_node", "nj_n", "nj_comp")).alias("p"))
             pairs = open_.join(pivot, "nj_bucket").where("nj_comp <> p.nj_comp").select(
                 F.least("nj_node", "p.nj_node").alias("nj_a"), F.greatest("nj_node", "p.nj_node").alias("nj_b"), F.col("nj_n").alias("nj_na"), F.col("p.nj_n").alias("nj_nb"))
+            fresh = written(pairs.where(fits).select("nj_a", "nj_b").distinct().join(tried, ["nj_a", "nj_b"], "left_anti"), "nj-pairs")
+            tried = tried.union(fresh)
+            fresh = passing(fresh, nodes, num, den)
         else:
-            # Round 3: what is left across components, the smaller set first.
-            x = open_.select("nj_bucket", F.col("nj_node").alias("nj_a"), F.col("nj_n").alias("nj_na"), F.col("nj_comp").alias("nj_ca"))
-            y = open_.select("nj_bucket", F.col("nj_node").alias("nj_b"), F.col("nj_n").alias("nj_nb"), F.col("nj_comp").alias("nj_cb"))
-            pairs = x.join(y, "nj_bucket").where("nj_a < nj_b and nj_ca <> nj_cb")
-        fresh = pairs.where(fits).select("nj_a", "nj_b").distinct().join(tried, ["nj_a", "nj_b"], "left_anti")
-        fresh = written(fresh, "nj-pairs")
-        more = written(verified(fresh, sets, num, den), "nj-links")
-        tried, links = tried.union(fresh), links.union(more)
+            # Round 3: what is left across components.
+            fresh = crossing(open_, nodes, num, den).join(tried, ["nj_a", "nj_b"], "left_anti")
+        links = links.union(_verified(docs, fresh, n, num, den))
         comp = contracted(links)
+        freed(spark)
     return base.join(comp, "nj_node", "left").select("doc_id", "nj_n", "nj_node", "nj_comp")
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The similar ones of pairs that passed their sketches, by their whole sets."""
+    pairs = written(pairs, "nj-passed")
+    nodes = written(pairs.select(F.col("nj_a").alias("nj_node")).union(pairs.select("nj_b")).distinct(), "nj-needed")
+    if nodes.isEmpty():
+        return pairs
+    sets = written(needed_sets(docs, nodes, n), "nj-sets")
+    return written(verified(pairs, sets, num, den), "nj-links")
+
+
 def _open(found: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows of the buckets whose nodes are in more than one component."""
-    rows = found.join(nodes, "nj_node").join(comp, "nj_node", "left").withColumn("nj_comp", F.coalesce("nj_comp", "nj_node"))
+    rows = found.join(nodes.select("nj_node", "nj_n"), "nj_node").join(comp, "nj_node", "left").withColumn("nj_comp", F.coalesce("nj_comp", "nj_node"))
     many = rows.groupBy("nj_bucket").agg(F.min("nj_comp").alias("lo"), F.max("nj_comp").alias("hi"), F.count("*").alias("nj_m")).where("lo <> hi and nj_m > 2").select("nj_bucket")
     return rows.join(many, "nj_bucket", "left_semi")
 
