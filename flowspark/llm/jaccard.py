@@ -18,7 +18,7 @@ links are contracted to components, and only signatures whose nodes are still in
 components go on: a round with pivots of many links, then the remaining pairs across components.
 All links between different components are thereby found, without listing pairs inside a group.
 
-Before a set travels, a pair has to pass its sketches: the domain in some 0.4 n cells, one byte of
+Before a set travels, a pair has to pass its sketches: the domain in some 1.2 n cells, one byte of
 an additive hash each. Every cell that differs holds a member in which the sets differ, so more
 unequal cells than the threshold allows rule a pair out; equal bytes by chance only let it pass.
 Sets that share no more than a passage fail here. In the last round the sketches of one signature
@@ -158,7 +158,7 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 def sketch(s: np.ndarray, bands: Bands) -> bytes:
     """One byte for each of 2 ** p cells: the sum, mod 256, of a hash of its members. Neighbouring
     cells add up to the cells of a sketch half as long."""
-    p = max(4, (5 * len(s) * (bands.den - bands.num) // (bands.den + bands.num)).bit_length())
+    p = max(4, (10 * len(s) * (bands.den - bands.num) // (bands.den + bands.num)).bit_length())
     v = mix(s ^ np.uint64(0x2545F4914F6CDD1D))
     cell = (v >> np.uint64(64 - p)).astype(np.int64)
     return (np.bincount(cell, weights=(v & np.uint64(255)).astype(np.float64), minlength=1 << p).astype(np.int64) & 255).astype(np.uint8).tobytes()
@@ -334,8 +334,8 @@ def crossing(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     ids = [F.col("nj_bucket"), F.least("nj_own", "nj_with").alias("nj_x"), F.greatest("nj_own", "nj_with").alias("nj_y")]
     rows = rows.select(*ids, "nj_own", "nj_node", "nj_comp", "nj_n", "nj_sketch")
 
-    def compared(x: int, y: int, own, node, comp, n, raw) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs between the blocks x and y, row by row of x."""
+    def compared(x: int, y: int, own, node, comp, n, raw) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row of block x with the rows of block y that it may be similar to."""
         m = min(map(len, raw))
         cells = np.stack([folded(r, m) for r in raw])
         right = np.flatnonzero(own == y)
@@ -347,7 +347,8 @@ def crossing(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
             j = j[(comp[j] != comp[i]) & ((node[j] > node[i]) if x == y else True)]
             if len(j):
                 j = j[(cells[j] != cells[i]).sum(axis=1) <= most_unequal(n[j] + n[i], num, den)]
-                yield np.minimum(node[j], node[i]), np.maximum(node[j], node[i])
+            if len(j):
+                yield int(node[i]), node[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["nj_bucket", "nj_x", "nj_y", "nj_own", "nj_node", "nj_comp", "nj_n"]
@@ -361,9 +362,11 @@ def crossing(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
             for a, b in zip([0, *edge], [*edge, end], strict=True):
                 if b - a > 1:
                     got += compared(int(c["nj_x"][a]), int(c["nj_y"][a]), *(c[k][a:b] for k in names[3:]), raw[a:b])
-            sides = [np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1)]
-            pairs = np.unique(np.stack(sides, 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["nj_a", "nj_b"])
+            merged: dict[int, list[np.ndarray]] = {}
+            for a, more in got:
+                merged.setdefault(a, []).append(more)
+            lists = [np.unique(np.concatenate(x)) for x in merged.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(merged), pa.int64()), _lists(lists)], ["nj_a", "nj_more"])
 
         for b in batches:
             if not b.num_rows:
@@ -380,7 +383,12 @@ def crossing(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
             yield groups(t, t.num_rows)
 
     order = ["nj_bucket", "nj_x", "nj_y"]
-    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "nj_a long, nj_b long").distinct()
+    met = rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "nj_a long, nj_more array<long>")
+    # The same two nodes meet in many buckets: a node's partners are united before they are rows.
+    # A row has at most BLOCK partners of one bucket; a node's partners stay as many as pass.
+    each = met.groupBy("nj_a").agg(F.array_distinct(F.flatten(F.collect_list("nj_more"))).alias("nj_more"))
+    pairs = each.select("nj_a", F.explode("nj_more").alias("nj_b"))
+    return pairs.select(F.least("nj_a", "nj_b").alias("nj_a"), F.greatest("nj_a", "nj_b").alias("nj_b")).distinct()
 
 
 def contracted(links: DataFrame) -> DataFrame:
