@@ -164,10 +164,27 @@ def sketch(s: np.ndarray, bands: Bands) -> bytes:
     return (np.bincount(cell, weights=(v & np.uint64(255)).astype(np.float64), minlength=1 << p).astype(np.int64) & 255).astype(np.uint8).tobytes()
 
 
-def folded(x: bytes, size: int) -> np.ndarray:
-    """The sketch as `size` cells."""
-    a = np.frombuffer(x, np.uint8)
-    return a if len(a) == size else a.reshape(size, -1).sum(axis=1, dtype=np.uint64).astype(np.uint8)
+def packed(x: bytes, bits: int) -> bytes:
+    """The lowest `bits` (2 or 4) of every cell, which add up like the whole cells."""
+    a = (np.frombuffer(x, np.uint8) & ((1 << bits) - 1)).reshape(-1, 8 // bits)
+    return (a << np.arange(0, 8, bits, dtype=np.uint8)).sum(axis=1, dtype=np.uint64).astype(np.uint8).tobytes()
+
+
+def unpacked(x: bytes, bits: int, size: int) -> np.ndarray:
+    """`size` cells of a packed sketch."""
+    low = (1 << bits) - 1
+    a = (np.frombuffer(x, np.uint8)[:, None] >> np.arange(0, 8, bits, dtype=np.uint8)) & low
+    return a.ravel() if a.size == size else a.reshape(size, -1).sum(axis=1, dtype=np.uint64).astype(np.uint8) & low
+
+
+def _packed_nodes(nodes: DataFrame, bits: int) -> DataFrame:
+    """nodes with sketches of `bits` a cell: fewer bits let more pairs pass by chance, never fewer."""
+
+    @F.pandas_udf("binary")
+    def shorter(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: packed(v, bits))
+
+    return nodes.withColumn("nj_sketch", shorter("nj_sketch"))
 
 
 def most_unequal(total: np.ndarray | int, num: int, den: int):
@@ -310,12 +327,13 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def passing(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (nj_a, nj_b) whose sketches allow the similarity."""
+    nodes = _packed_nodes(nodes, 2)
     side = lambda x: nodes.select(F.col("nj_node").alias(f"nj_{x}"), F.col("nj_n").alias(f"nj_n{x}"), F.col("nj_sketch").alias(f"nj_s{x}"))
 
     @F.pandas_udf("boolean")
     def allowed(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
         out = [
-            int((folded(x, m := min(len(x), len(y))) != folded(y, m)).sum()) <= most_unequal(int(t), num, den)
+            int((unpacked(x, 2, m := 4 * min(len(x), len(y))) != unpacked(y, 2, m)).sum()) <= most_unequal(int(t), num, den)
             for x, y, t in zip(a, b, total, strict=True)
         ]
         return pd.Series(out, dtype=bool)
@@ -328,7 +346,7 @@ def crossing(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     """Pairs (nj_a < nj_b) of one bucket, but of different components, that sizes and sketches
     allow. A bucket's rows are cut into blocks, and a task compares one pair of blocks."""
     counts = open_.groupBy("nj_bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nj_blocks"))
-    rows = open_.select("nj_bucket", "nj_node", "nj_comp").join(counts, "nj_bucket").join(nodes, "nj_node")
+    rows = open_.select("nj_bucket", "nj_node", "nj_comp").join(counts, "nj_bucket").join(_packed_nodes(nodes, 4), "nj_node")
     own = F.pmod(F.xxhash64("nj_node"), F.col("nj_blocks")).cast("int")
     rows = rows.withColumn("nj_own", own).withColumn("nj_with", F.explode(F.sequence(F.lit(0), F.col("nj_blocks") - 1)))
     ids = [F.col("nj_bucket"), F.least("nj_own", "nj_with").alias("nj_x"), F.greatest("nj_own", "nj_with").alias("nj_y")]
@@ -336,8 +354,8 @@ def crossing(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
 
     def compared(x: int, y: int, own, node, comp, n, raw) -> Iterator[tuple[int, np.ndarray]]:
         """Each row of block x with the rows of block y that it may be similar to."""
-        m = min(map(len, raw))
-        cells = np.stack([folded(r, m) for r in raw])
+        m = 2 * min(map(len, raw))
+        cells = np.stack([unpacked(r, 4, m) for r in raw])
         right = np.flatnonzero(own == y)
         right = right[np.argsort(n[right], kind="stable")]
         sizes, most = n[right], [-(-n * num // den), n * den // num + 1]
