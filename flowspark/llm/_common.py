@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Upper-case ASCII to lower case in UTF-8 bytes; all other bytes stay.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -77,7 +76,3 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
 
     return df.mapInArrow(run, schema)
 
-
-def with_id(df: DataFrame, name: str) -> DataFrame:
-    """The column `name`, or a null long where the table lacks it."""
-    return df if name in df.columns else df.withColumn(name, F.lit(None).cast("long"))

@@ -110,7 +110,7 @@ def measured(texts: Column | str, df: DataFrame, keep: list[str]) -> DataFrame:
     return map_rows(df.select(*keep, F.col(texts).alias("__text") if isinstance(texts, str) else texts.alias("__text")), run, schema)
 
 
-def fail_bits(of: str = "") -> Column:
+def fail_bits() -> Column:
     """The ledger's bit set, from measurement columns."""
     bits = F.lit(0).cast("long")
     for i, (_, condition) in enumerate(RULES):
