@@ -1,16 +1,21 @@
-"""Substring dedup by sliding sentence spans.
-
-A text is cut into units: sentences, ending at `.`, `!` or `?` before white space or at a line
-end, those of more than LONG words cut further every LONG words so that passages inside one
-endless sentence are seen too. From every unit starts one span, the shortest run of at least
-MIN_UNITS units and MIN_WORDS words; it depends only on what follows the start, so a shared
-passage has the same spans wherever it stands. Spans are hashed (128 bits over lower-cased words,
-white space aside), joined over all documents, and every unit covered by a span that is not the
-first of its kind (by doc_id, then place) is removed with the white space after it.
-
-The global part needs, for each span, only the smallest and the largest doc_id that hold it. Spans
-repeated inside one document are settled there. A second pass sends only spans that a Bloom filter
-of the repeated ones holds to the join, so that unique text is shuffled once, as three numbers.
+"""Substring dedup by sliding spans of words, removed in sentences.
+
+A passage is repeated where a run of at least MIN_WORDS words stands in another place, too,
+wherever it starts there: every word of a text starts a span of MIN_WORDS words, and a word is
+covered if a span that holds it is not the first of its kind (by doc_id, then place). Words are
+lower-cased, white space aside. A text is cut into units: sentences, ending at `.`, `!` or `?`
+before white space or at a line end, those of more than LONG words cut further every LONG words.
+Units of covered words only are removed with the white space after them; the unit at either end of
+a passage stays if it holds other words. A unit has LONG words at most, so that a repeat of
+MIN_WORDS + LONG - 1 words or more always loses all but LONG - 1 words at each end, and a span is
+never inside one unit. Every span of whole units (`spans`) is thereby covered.
+
+A span's anchor is the least hash of its runs of RUN words. Equal spans have equal anchors, and
+neighbours mostly share theirs: only anchors meet over all documents first. Spans whose anchor a
+Bloom filter of the repeated ones holds travel once, those of one anchor as one row to the anchor,
+where they are compared in the order of doc_id. Spans of anchors in more than HOT places travel one
+by one to a task by their own hash, so that memory stays bounded. Repeats inside one document are
+found where it is written. Spans are told apart by two 64-bit hashes of their words' hashes.
 
 Null and empty texts have no units and stay as they are. Rows that share an id are one document:
 what only they share stays in all of them; each row's own repeats go. A null id comes before all
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +38,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import bloom
 from ._common import ASCII_LOWER, map_rows, read_table, written
+from .jaccard import _CODE, _SPACE, _powers, mix
 
 MIN_UNITS = 2
 MIN_WORDS = 20
 LONG = 12
+#: Words of the runs of which a span's least one is its anchor.
+RUN = 8
+#: Places of an anchor beyond which its spans are compared one by one.
+HOT = 10_000
+#: Spans of one row, and bytes of the texts that are hashed together, at most (or one text).
+ROW, CHUNK = 1024, 1 << 19
 
 #: Ends of sentences, with the white space that belongs to them.
 _END = re.compile(rb"(?:(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*)")
@@ -66,7 +79,8 @@ def units(raw: bytes) -> list[bytes]:
 
 
 def spans(pieces: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """(first unit, number of units, hash) of each unit's span."""
+    """(first unit, number of units, hash) of the shortest run of whole units from each unit that
+    has at least MIN_UNITS units and MIN_WORDS words."""
     words = [u.translate(ASCII_LOWER).split() for u in pieces]
     sizes = list(map(len, words))
     keys = [b" ".join(w) for w in words]
@@ -88,55 +102,168 @@ def _raw(text: str | None) -> bytes:
 NO_ID = -(2**63)
 
 
-def _halves(key: bytes) -> tuple[int, int]:
-    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Numbers of first texts and raw texts of some CHUNK bytes together."""
+    first, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        raw = _raw(t)
+        if held and size + len(raw) > CHUNK:
+            yield first, held
+            first, held, size = i, [], 0
+        held.append(raw)
+        size += len(raw) + 1
+    if held:
+        yield first, held
+
+
+def _step(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
+    """Hashes of runs, each run of a followed by that of b that starts `by` words later."""
+    m = min(len(a), len(b) - by)
+    return mix(a[:m] * np.uint64(0x9E3779B97F4A7C15) + b[by : by + m])
+
+
+def windows(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Every span of MIN_WORDS words: number of its text, place of its first word there, anchor and
+    two hashes; then the number of words of every text."""
+    raw = np.frombuffer(b"\n".join(raws).translate(ASCII_LOWER), np.uint8)
+    space = np.concatenate([[True], _SPACE[raw], [True]])
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    offset = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    before = np.searchsorted(starts, offset)  # words before each text
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3, np.diff(before)
+    if len(starts) < MIN_WORDS:
+        return none
+    power, inverse = _powers(1 << max(20, len(raw).bit_length()))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_CODE[raw] * power[: len(raw)], dtype=np.uint64)])
+    h1 = mix((sums[ends] - sums[starts]) * inverse[starts])
+    h2 = _step(h1, h1, 1)
+    h4 = _step(h2, h2, 2)
+    h8 = _step(h4, h4, 4)
+    whole = _step(_step(h8, h8, 8), h4, 16)
+    least = h8  # over 2, 4, 8 and at last MIN_WORDS - RUN + 1 runs
+    for by in (1, 2, 4, MIN_WORDS - RUN + 1 - 8):
+        least = np.minimum(least[: len(least) - by], least[by:])
+    other = mix(whole + h1[: len(whole)] * np.uint64(3)) ^ mix(h8[: len(whole)] ^ h1[MIN_WORDS - 1 :])
+    text = np.repeat(np.arange(len(raws)), np.diff(before))
+    i = np.flatnonzero(text[: len(whole)] == text[MIN_WORDS - 1 :])
+    return text[i], i - before[text[i]], least[i], whole[i], other[i], np.diff(before)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of rows that are equal in these columns starts."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """sp_doc, sp_text (id and hash of a row) and sp_spans, its covered runs as start << 16 | size."""
+    """sp_doc, sp_text (id and hash of a row) and sp_spans, runs of spans that stand in a document
+    before it, as place of the first << 16 | number."""
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("sp_doc"), F.xxhash64("text").alias("sp_text"), "text")
 
-    def keys(cols: dict[str, list]) -> dict[str, list]:
-        k1, k2, ids = [], [], []
-        for i, text in zip(cols["sp_doc"], cols["text"], strict=True):
-            found = {key for _, _, key in spans(units(_raw(text)))}
-            for key in found:
-                a, b = _halves(key)
-                k1.append(a)
-                k2.append(b)
-            ids += [i] * len(found)
-        return {"sp_k1": k1, "sp_k2": k2, "sp_doc": ids}
-
-    found = map_rows(slim.select("sp_doc", "text"), keys, "sp_k1 long, sp_k2 long, sp_doc long")
-    first = found.groupBy("sp_k1", "sp_k2").agg(F.min("sp_doc").alias("sp_first"), F.max("sp_doc").alias("sp_last"))
-    first = written(first.where("sp_first <> sp_last").drop("sp_last"), "spans-first")
-    level = docs.sparkSession.sparkContext.broadcast(bloom.of_pairs(first, "sp_k1", "sp_k2"))
-
-    def repeated(cols: dict[str, list]) -> dict[str, list]:
-        rows: list[tuple] = []
-        for i, h, text in zip(cols["sp_doc"], cols["sp_text"], cols["text"], strict=True):
-            seen: set[bytes] = set()
-            for at, n, key in spans(units(_raw(text))):
-                rows.append((*_halves(key), i, h, at << 16 | min(n, 0xFFFF), key in seen))
-                seen.add(key)
-        if rows:
-            k1, k2 = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
-            held = bloom.holds(level.value, k1, k2)
-            rows = [r for r, h in zip(rows, held, strict=True) if h or r[5]]
-        return dict(zip(("sp_k1", "sp_k2", "sp_doc", "sp_text", "sp_at", "sp_again"), map(list, zip(*rows, strict=True)) if rows else [[]] * 6, strict=True))
-
-    met = map_rows(slim, repeated, "sp_k1 long, sp_k2 long, sp_doc long, sp_text long, sp_at long, sp_again boolean")
-    met = met.join(first, ["sp_k1", "sp_k2"], "left").where("sp_again or sp_first < sp_doc")
-    return met.groupBy("sp_doc", "sp_text").agg(F.collect_set("sp_at").alias("sp_spans"))
-
-
-def cut(text: str | None, gone: list[int] | None) -> tuple[int, int, str | None]:
-    """Units in all, units removed, and the text that stays."""
-    pieces = units(_raw(text))
-    if not gone:
-        return len(pieces), 0, text
-    covered = {i for g in gone for i in range(g >> 16, (g >> 16) + (g & 0xFFFF))}
-    return len(pieces), len(covered), b"".join(u for i, u in enumerate(pieces) if i not in covered).decode("utf-8", "surrogatepass")
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                ids = np.asarray(b.column(0))
+                for first, raws in _chunks(b.column(1).to_pylist()):
+                    text, _, anchor, _, _, _ = windows(raws)
+                    if len(text):
+                        i = _changes(text, anchor)
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor[i].view(np.int64)), pa.array(ids[first + text[i]])], ["sp_g", "sp_doc"])
+
+    found = slim.select("sp_doc", "text").mapInArrow(anchors, "sp_g long, sp_doc long")
+    found = found.groupBy("sp_g").agg(F.min("sp_doc").alias("lo"), F.max("sp_doc").alias("hi"), F.count("*").alias("n"))
+    found = written(found.where("lo <> hi").select("sp_g", "n"), "spans-anchors")
+    context = docs.sparkSession.sparkContext
+    level = context.broadcast(bloom.of_longs(found, "sp_g"))
+    hot = context.broadcast(bloom.of_longs(found.where(F.col("n") > HOT), "sp_g"))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                b = whole.slice(start, 512)
+                ids, hashes = np.asarray(b.column(0)), np.asarray(b.column(1))
+                for first, raws in _chunks(b.column(2).to_pylist()):
+                    text, at, anchor, w, other, _ = windows(raws)
+                    if not len(text):
+                        continue
+                    # Neighbours share anchors: the filters are asked once a run.
+                    run = _changes(text, anchor)
+                    size = np.diff(np.append(run, len(text)))
+                    key = anchor[run].view(np.int64)
+                    held = np.repeat(bloom.holds_longs(level.value, key), size)
+                    alone = np.repeat(bloom.holds_longs(hot.value, key), size)[held]
+                    text, at, anchor, w, other = (x[held] for x in (text, at, anchor, w, other))
+                    if not len(text):
+                        continue
+                    g = np.where(alone, other, anchor)
+                    i = _changes(text, g, at - np.arange(len(at)), at // ROW)
+                    ends = pa.py_buffer((np.append(i, len(text)) * 8).astype(np.int32))
+                    spans_ = pa.Array.from_buffers(pa.binary(), len(i), [None, ends, pa.py_buffer(w.tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(g[i].view(np.int64)), pa.array(ids[first + text[i]]), pa.array(hashes[first + text[i]]), pa.array(at[i]), spans_], ["sp_g", "sp_doc", "sp_text", "sp_at", "sp_w"])
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, seen = None, {}
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for g, i, h, at, raw in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if g != group:
+                    group, seen = g, {}
+                n = len(raw) // 8
+                gone = [seen.setdefault(raw[k : k + 8], i) < i for k in range(0, len(raw), 8)]
+                if all(gone):
+                    out.append((i, h, at << 16 | n))
+                elif any(gone):
+                    for no, run in groupby(range(n), gone.__getitem__):
+                        if no:
+                            run = list(run)
+                            out.append((i, h, at + run[0] << 16 | len(run)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], [], []))], ["sp_doc", "sp_text", "sp_run"])
+
+    rows = slim.mapInArrow(repeated, "sp_g long, sp_doc long, sp_text long, sp_at long, sp_w binary")
+    rows = rows.repartition("sp_g").sortWithinPartitions("sp_g", "sp_doc")
+    met = rows.mapInArrow(later, "sp_doc long, sp_text long, sp_run long")
+    return met.groupBy("sp_doc", "sp_text").agg(F.collect_set("sp_run").alias("sp_spans"))
+
+
+def cut(raw: bytes, covered: np.ndarray) -> tuple[int, int, bytes]:
+    """Units in all, units removed, and the text that stays; `covered` is given for every word."""
+    pieces = units(raw)
+    if not covered.any():
+        return len(pieces), 0, raw
+    ends = np.cumsum([len(u.split()) for u in pieces])
+    total = np.concatenate([[0], np.cumsum(covered)])
+    starts = np.append(0, ends[:-1])
+    gone = total[ends] - total[starts] == ends - starts
+    for i in np.flatnonzero(ends == starts)[::-1]:  # white space before the first word
+        gone[i] = i + 1 < len(pieces) and gone[i + 1]
+    return len(pieces), int(gone.sum()), b"".join(u for u, g in zip(pieces, gone, strict=True) if not g)
+
+
+def cuts(texts: list[str | None], gone: list[list[int] | None]) -> Iterator[tuple[int, int, str | None]]:
+    """`cut` of texts without the runs of spans given for each, and without their own repeats."""
+    for first, raws in _chunks(texts):
+        text, at, _, w, other, n_words = windows(raws)
+        start = np.cumsum(n_words) - n_words
+        order = np.lexsort((at, other, w, text))
+        t, a, b = text[order], w[order], other[order]
+        again = order[1:][(t[1:] == t[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
+        change = np.zeros(int(n_words.sum()) + 1, np.int64)
+        from_, number = [start[text[again]] + at[again]], [np.ones(len(again), np.int64)]
+        for i in range(len(raws)):
+            if g := gone[first + i]:
+                runs = np.array(g, np.int64)
+                from_.append(start[i] + (runs >> 16))
+                number.append(runs & 0xFFFF)
+        from_, number = np.concatenate(from_), np.concatenate(number)
+        np.add.at(change, from_, 1)
+        np.add.at(change, from_ + number + MIN_WORDS - 1, -1)
+        covered = np.cumsum(change)[:-1] > 0
+        for i, raw in enumerate(raws):
+            n, k, rest = cut(raw, covered[start[i] : start[i] + n_words[i]])
+            yield n, k, rest.decode("utf-8", "surrogatepass") if k else texts[first + i]
 
 
 def _joined(docs: DataFrame) -> DataFrame:
@@ -156,7 +283,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                new = [cut(t, g)[2] for t, g in zip(b.column(at).to_pylist(), b.column(gone_at).to_pylist(), strict=True)]
+                new = [c[2] for c in cuts(b.column(at).to_pylist(), b.column(gone_at).to_pylist())]
                 cols = [pa.array(new, schema.field("text").type) if i == at else b.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
@@ -167,7 +294,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        got = [cut(t, g) for t, g in zip(cols["text"], cols["sp_spans"], strict=True)]
+        got = list(cuts(cols["text"], cols["sp_spans"]))
         return {"doc_id": cols["doc_id"], "n_sentences": [g[0] for g in got], "n_removed": [g[1] for g in got], "text": [g[2] for g in got]}
 
     return map_rows(_joined(docs), run, "doc_id long, n_sentences long, n_removed long, text string")

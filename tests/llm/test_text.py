@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
+
 from flowspark.llm import licenses, lines, quality, spans
 
 from .cases import PASSAGE, documents, empty, ordered, plain, wild
@@ -118,6 +120,46 @@ def test_span_dedup(spark):
     assert spans.dedup(empty(spark)).count() == 0
 
 
+def brute_words(rows):
+    """Units of which every word is in a run of 20 words that stands earlier, too, word by word."""
+    split = [(i, spans.units(spans._raw(t)), [w.lower() for w in spans._raw(t).split()]) for i, t in rows]
+    runs = [[tuple(w[k : k + 20]) for k in range(len(w) - 19)] for _, _, w in split]
+    first = {}
+    for (i, _, _), r in zip(split, runs, strict=True):
+        for x in r:
+            first[x] = min(first.get(x, i), i)
+    out = []
+    for (i, u, _), r in zip(split, runs, strict=True):
+        seen, gone, kept, at = set(), set(), [], 0
+        for k, x in enumerate(r):
+            if first[x] < i or x in seen:
+                gone |= set(range(k, k + 20))
+            seen.add(x)
+        for piece in u:
+            n = len(piece.split())
+            if not n or not set(range(at, at + n)) <= gone:
+                kept.append(piece)
+            at += n
+        out.append((i, b"".join(kept).decode()))
+    return out
+
+
+def pasted():
+    """A passage of 60 words in 40 documents, after 0 to 39 words of the same sentence."""
+    passage = " ".join(f"p{i}" + ("." if i % 17 == 16 else "") for i in range(60))
+    return [(i, " ".join([*(f"a{i}x{k}" for k in range(i)), passage, *(f"b{i}x{k}" for k in range(40 - i))])) for i in range(40)] + [(50, "ü " * 30 + "end. " + passage[:200]), (51, "")]
+
+
+@pytest.mark.parametrize("hot", [spans.HOT, 3])
+def test_passages_in_the_middle_of_sentences(spark, monkeypatch, hot):
+    monkeypatch.setattr(spans, "HOT", hot)
+    rows = pasted()
+    got = plain(spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert ordered(got) == ordered(brute_words(rows))
+    left = {i: sum(w.strip(".") in {f"p{k}" for k in range(60)} for w in t.split()) for i, t in got}
+    assert left[0] == 60 and max(left[i] for i in range(1, 40)) <= 22
+
+
 def test_units_are_the_text():
     for t in ["", "\n\n", "a. b? c!\n d", "x " * 100, "  lead. " + "y " * 40 + ".", "no end", "e.g. 3.5 é。\r\n"]:
         u = spans.units(t.encode())
