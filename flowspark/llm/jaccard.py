@@ -512,16 +512,21 @@ def with_component_ids(rows: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """One row of docs for each component, of its smallest doc_id; all rows with empty sets."""
-    rows = with_component_ids(components(docs, n, num, den)).select("doc_id", "component_id", F.col("nj_key").alias("nj_key"))
-    kept = written(rows.where(F.col("nj_key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("nj_id"), "nj_key").distinct(), "nj-kept")
+    """One row of docs for each component, of its smallest doc_id (null after all others); all rows
+    with empty sets. Rows are told apart by a 64-bit hash of id and text, as an id may be shared by
+    rows of several components."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    rows = components(docs.select(key.alias("doc_id"), "text"), n, num, den)
+    rows = rows.select(F.col("doc_id").alias("nj_row"), F.coalesce("nj_comp", "nj_node").alias("nj_key")).where("nj_key is not null").distinct()
+    ids = docs.select(F.col("doc_id").cast("long").alias("nj_id"), key.alias("nj_row"))
+    least = F.min(F.struct(F.col("nj_id").isNull().alias("nj_none"), "nj_id", "nj_row"))
+    kept = written(ids.join(rows, "nj_row").groupBy("nj_key").agg(least.alias("p")).select(F.col("p.nj_row").alias("nj_kept")), "nj-kept")
     empty = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) == 0
-    full = docs.where(~empty).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("nj_id")), "left_semi")
-    # Rows that share an id are rare; of those that also share a component one stays.
-    shared = kept.groupBy("nj_id").count().where("count > 1")
+    full = docs.where(~empty).join(kept, key == F.col("nj_kept"), "left_semi")
+    # Rows equal in id and text may still differ in other columns.
     first = F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    one = full.groupBy(F.col("doc_id").alias("nj_one")).agg(first.alias("nj_row")).select("nj_row.*")
-    return one.unionByName(docs.where(empty)) if shared.isEmpty() else full.unionByName(docs.where(empty))
+    one = full.groupBy(key.alias("nj_one")).agg(first.alias("nj_row")).select("nj_row.*")
+    return one.unionByName(docs.where(empty))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,17 @@ def test_odd_documents(spark):
     assert jaccard.representatives(empty(spark)).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    """Ids that stand in several components, repeated rows and null ids."""
+    rng = random.Random(5)
+    a, b, c, d, e, f, g, h = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(120)) for x in "zbcdefgh")
+    once = [(5, a), (3, b), (8, c), (8, d), (9, e), (None, f), (None, g), (6, h), (20, "")]
+    more = [(7, noisy(rng, a, 2)), (5, noisy(rng, b, 2)), (9, e), (11, c), (None, f), (None, h), (8, noisy(rng, b, 1)), (20, "")]
+    for rows in (once[:2] + more[:2], once + more):
+        got = plain(jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string")))
+        assert ordered(got) == ordered(x for x in (*once, (20, "")) if x in rows and (x[1] or len(rows) > 4))
+
+
 def test_signatures_miss_nothing():
     """Random pairs at the threshold share a signature, whatever their sizes."""
     rng = np.random.default_rng(4)
