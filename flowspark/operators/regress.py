@@ -18,11 +18,14 @@ def hac_lags(n) -> object:
     return F.greatest(F.lit(1), F.floor(F.lit(4.0) * F.pow(n / 100.0, F.lit(2.0 / 9.0)))).cast("int")
 
 
-def ols(rows: DataFrame, keys: tuple[str, ...], x: str = "x", y: str = "y", order: str = "t", max_lags: int = 24) -> DataFrame:
+def ols(rows: DataFrame, keys: tuple[str, ...], x: str = "x", y: str = "y", order: str = "t", max_lags: int | None = None) -> DataFrame:
     """keys, n, alpha, beta, r2, se_beta, t_beta. Null coefficients below 8 rows; r2 is null where
-    y does not vary. Lags up to max_lags are summed in one pass; the key's n picks how many count
-    (24 lags suffice for n < 317,000; raise it for longer series)."""
+    y does not vary. Lags up to max_lags are summed in one pass; the key's n picks how many count.
+    By default max_lags is what the longest key needs, found first (one number on the driver)."""
     rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if max_lags is None:
+        longest = rows.groupBy(*keys).count().agg(F.max("count").alias("n"))
+        max_lags = longest.select(F.coalesce(hac_lags(F.col("n")), F.lit(1))).first()[0]
     fit = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.regr_slope(y, x).alias("beta"), F.regr_intercept(y, x).alias("alpha"),
         F.when(F.var_pop(y) > 0, F.regr_r2(y, x)).alias("r2"), F.avg(x).alias("__mx"), F.regr_sxx(y, x).alias("__sxx"))
