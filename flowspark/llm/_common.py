@@ -32,15 +32,67 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete an action's shuffle files when the action is over.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Actions inside leave no shuffle files behind; the session's setting is put back after."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage so that lost executors
-    cost a read, not a recomputation."""
+    cost a read, not a recomputation. What was shuffled on the way is deleted."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_freed(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables by name; `put` deletes the table that had the name before, `drop` those that
+    nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, name)
+        rows = written(df, name, path)
+        self.drop(name)
+        self.at[name] = path
+        return rows
+
+    def move(self, name: str, new: str) -> None:
+        """Gives a table another name."""
+        self.at[new] = self.at.pop(name)
+
+    def drop(self, *names: str) -> None:
+        remove(self.spark, *(self.at.pop(n) for n in names if n in self.at))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by `_` until df has no column called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes written tables that nothing reads any more, on whatever file system they are."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -46,9 +46,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from ._common import ASCII_LOWER, new_path, read_table, remove, written
+from ._common import ASCII_LOWER, Tables, read_table, written
 
 WORDS = 5
+WORD = r"[^\x20\x09-\x0D]+"
 NUM, DEN = 80, 100
 #: Rows of one signature that are compared with as many others at a time.
 BLOCK = 2048
@@ -199,30 +200,47 @@ def node_of(s: np.ndarray) -> int:
 
 
 def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, nj_n (set size), nj_node (null for empty sets), nj_sigs and nj_sketch, the last two
-    empty where the task has emitted the node before."""
+    """nj_node, nj_sigs of every row with a set; a task emits a node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                size, node, sigs, cells = [], [], [], []
-                for text in b.column(1):
+                node, sigs = [], []
+                for text in whole.slice(at, 256).column(0):
                     s = shingles(text.as_py(), n)
-                    size.append(len(s))
-                    node.append(node_of(s) if len(s) else None)
-                    if not len(s) or node[-1] in seen:
-                        sigs.append(np.zeros(0, np.int64))
-                        cells.append(None)
-                    else:
-                        seen.add(node[-1])
+                    if len(s) and (x := node_of(s)) not in seen:
+                        seen.add(x)
+                        node.append(x)
                         sigs.append(signatures(s, bands).view(np.int64))
-                        cells.append(sketch(s, bands) if len(sigs[-1]) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), _lists(sigs), pa.array(cells, pa.binary())], ["doc_id", "nj_n", "nj_node", "nj_sigs", "nj_sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), _lists(sigs)], ["nj_node", "nj_sigs"])
+
+    return docs.select("text").mapInArrow(run, "nj_node long, nj_sigs array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, nj_n long, nj_node long, nj_sigs array<long>, nj_sketch binary")
+
+def sized(docs: DataFrame, met: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, nj_n (set size), nj_node (null for empty sets) of every row, and nj_sketch for the
+    nodes of `met` (a Bloom filter may add a few) where the task has not emitted it before."""
+    level = docs.sparkSession.sparkContext.broadcast(bloom.of_longs(met, "nj_node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(num, den), set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                sets = [shingles(text.as_py(), n) for text in b.column(1)]
+                node = [node_of(s) if len(s) else None for s in sets]
+                held = bloom.holds_longs(level.value, np.array([x or 0 for x in node], np.int64))
+                cells = []
+                for s, x, h in zip(sets, node, held, strict=True):
+                    fresh = h and x is not None and x not in seen
+                    cells.append(sketch(s, bands) if fresh else None)
+                    if fresh:
+                        seen.add(x)
+                size = pa.array(list(map(len, sets)), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(node, pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "nj_n", "nj_node", "nj_sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, nj_n long, nj_node long, nj_sketch binary")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -342,13 +360,25 @@ def passing(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
     return joined.where(allowed("nj_sa", "nj_sb", F.col("nj_na") + F.col("nj_nb"))).select("nj_a", "nj_b")
 
 
+#: Parts in which the buckets' rows travel one after the other, so that the sketches on the way
+#: are a part of all.
+PASSES = 4
+
+
 def crossing(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (nj_a < nj_b) of one bucket, but of different components, that sizes and sketches
-    allow. A bucket's rows are cut into blocks, and a task compares one pair of blocks."""
-    counts = open_.groupBy("nj_bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nj_blocks"))
-    rows = open_.select("nj_bucket", "nj_node", "nj_comp").join(counts, "nj_bucket").join(_packed_nodes(nodes, 4), "nj_node")
-    own = F.pmod(F.xxhash64("nj_node"), F.col("nj_blocks")).cast("int")
-    rows = rows.withColumn("nj_own", own).withColumn("nj_with", F.explode(F.sequence(F.lit(0), F.col("nj_blocks") - 1)))
+    allow. A bucket's rows are cut into blocks, and a task compares one pair of blocks. Rows of a
+    bucket's largest component have blocks of their own, which meet the others' blocks only."""
+    of = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    main = open_.groupBy("nj_bucket", "nj_comp").agg(F.count("*").alias("m")).groupBy("nj_bucket").agg(F.max(F.struct("m", "nj_comp")).alias("p"), F.sum("m").alias("n"))
+    main = main.select("nj_bucket", F.col("p.nj_comp").alias("nj_main"), F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("p.m")) / BLOCK).cast("int")).alias("nj_others"), of("p.m").alias("nj_mains"))
+    rows = open_.select("nj_bucket", "nj_node", "nj_comp").join(main, "nj_bucket").join(_packed_nodes(nodes, 4), "nj_node")
+    # A small bucket is one block; in others the largest component's blocks come after the rest.
+    small = (F.col("nj_others") == 1) & (F.col("nj_mains") == 1)
+    place = F.xxhash64("nj_node")
+    own = F.when(small, F.lit(0)).when(F.col("nj_comp") == F.col("nj_main"), F.col("nj_others") + F.pmod(place, F.col("nj_mains"))).otherwise(F.pmod(place, F.col("nj_others"))).cast("int")
+    last = F.when(small, F.lit(0)).when(F.col("nj_own") < F.col("nj_others"), F.col("nj_others") + F.col("nj_mains") - 1).otherwise(F.col("nj_others") - 1)
+    rows = rows.withColumn("nj_own", own).withColumn("nj_with", F.explode(F.sequence(F.lit(0), last)))
     ids = [F.col("nj_bucket"), F.least("nj_own", "nj_with").alias("nj_x"), F.greatest("nj_own", "nj_with").alias("nj_y")]
     rows = rows.select(*ids, "nj_own", "nj_node", "nj_comp", "nj_n", "nj_sketch")
 
@@ -409,91 +439,86 @@ def crossing(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     return pairs.select(F.least("nj_a", "nj_b").alias("nj_a"), F.greatest("nj_a", "nj_b").alias("nj_b")).distinct()
 
 
-def contracted(links: DataFrame) -> DataFrame:
+def contracted(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     """nj_node, nj_comp of every linked node: its component's smallest node. Every round hooks
     each node to its smallest neighbour and halves the components' nodes at least; tables are
-    written between rounds."""
-    spark = links.sparkSession
-    edges = written(links.where("nj_a <> nj_b").select("nj_a", "nj_b").distinct(), "nj-edges")
+    written between rounds and replace those of the round before."""
+    tables = tables or Tables(links.sparkSession)
+    edges = tables.put("nj-edges", links.where("nj_a <> nj_b").select("nj_a", "nj_b").distinct())
     ends = edges.select(F.col("nj_a").alias("nj_node")).union(edges.select("nj_b")).distinct()
-    comp = written(ends.withColumn("nj_comp", F.col("nj_node")), "nj-comp")
+    comp = tables.put("nj-comp", ends.withColumn("nj_comp", F.col("nj_node")))
     while not edges.isEmpty():
         near = edges.union(edges.select("nj_b", "nj_a")).groupBy("nj_a").agg(F.min("nj_b").alias("nj_p"))
-        up = near.select(F.col("nj_a").alias("nj_c"), F.least("nj_a", "nj_p").alias("nj_p"))
-        up = written(up, "nj-up")
+        up = tables.put("nj-near", near.select(F.col("nj_a").alias("nj_c"), F.least("nj_a", "nj_p").alias("nj_p")))
         for _ in range(2):  # parents of parents: chains get four times shorter
             over = up.select(F.col("nj_c").alias("nj_p"), F.col("nj_p").alias("nj_q"))
             up = up.join(over, "nj_p", "left").select("nj_c", F.coalesce("nj_q", "nj_p").alias("nj_p"))
-        up = written(up, "nj-up")
-        comp = written(comp.join(up.withColumnRenamed("nj_c", "nj_comp"), "nj_comp", "left").select("nj_node", F.coalesce("nj_p", "nj_comp").alias("nj_comp")), "nj-comp")
+        up = tables.put("nj-up", up)
+        comp = tables.put("nj-comp", comp.join(up.withColumnRenamed("nj_c", "nj_comp"), "nj_comp", "left").select("nj_node", F.coalesce("nj_p", "nj_comp").alias("nj_comp")))
         a = up.select(F.col("nj_c").alias("nj_a"), F.col("nj_p").alias("nj_x"))
         b = up.select(F.col("nj_c").alias("nj_b"), F.col("nj_p").alias("nj_y"))
         edges = edges.join(a, "nj_a").join(b, "nj_b").where("nj_x <> nj_y").select(F.col("nj_x").alias("nj_a"), F.col("nj_y").alias("nj_b")).distinct()
-        edges = written(edges, "nj-edges")
+        edges = tables.put("nj-edges", edges)
+    tables.drop("nj-near", "nj-up", "nj-edges")
     return comp
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, nj_n, nj_node and nj_comp (the node's component, null where it has no links) of
     every row of docs."""
-    spark = docs.sparkSession
-    path = new_path(spark, "nj-signed")
-    all_sigs = written(signed(docs, n, num, den), "", path)
-    base = written(all_sigs.select("doc_id", "nj_n", "nj_node"), "nj-base")
-    found = written(buckets(all_sigs.select("nj_node", "nj_sigs")), "nj-buckets")
-    once = all_sigs.where("nj_sketch is not null").select("nj_node", "nj_n", "nj_sketch").dropDuplicates(["nj_node"])
-    nodes = written(once.join(found.select("nj_node").distinct(), "nj_node", "left_semi"), "nj-nodes")
-    remove(spark, path)
-    del all_sigs, once
-    freed(spark)
+    tables = Tables(docs.sparkSession)
+    found = tables.put("nj-buckets", buckets(signed(docs, n, num, den)))
+    met = found.select("nj_node").distinct()
+    base = tables.put("nj-base", sized(docs, met, n, num, den))
+    once = base.where("nj_sketch is not null").select("nj_node", "nj_n", "nj_sketch").dropDuplicates(["nj_node"])
+    nodes = tables.put("nj-nodes", once.join(met, "nj_node", "left_semi"))
 
     fits = F.least("nj_na", "nj_nb") * den >= F.greatest("nj_na", "nj_nb") * num
-    sized = found.join(nodes.select("nj_node", "nj_n"), "nj_node")
+    with_size = found.join(nodes.select("nj_node", "nj_n"), "nj_node")
     # Round 1: every node of a bucket with the bucket's smallest node.
-    pivot = sized.groupBy("nj_bucket").agg(F.min(F.struct("nj_node", "nj_n")).alias("p"))
-    pairs = sized.join(pivot, "nj_bucket").select(F.col("p.nj_node").alias("nj_a"), F.col("nj_node").alias("nj_b"), F.col("p.nj_n").alias("nj_na"), F.col("nj_n").alias("nj_nb"))
-    tried = written(pairs.where("nj_a <> nj_b").where(fits).select("nj_a", "nj_b").distinct(), "nj-pairs")
-    links = _verified(docs, passing(tried, nodes, num, den), n, num, den)
-    comp = contracted(links)
-    for last in (False, True):
-        open_ = written(_open(found, comp, nodes), "nj-open")
+    pivot = with_size.groupBy("nj_bucket").agg(F.min(F.struct("nj_node", "nj_n")).alias("p"))
+    pairs = with_size.join(pivot, "nj_bucket").select(F.col("p.nj_node").alias("nj_a"), F.col("nj_node").alias("nj_b"), F.col("p.nj_n").alias("nj_na"), F.col("nj_n").alias("nj_nb"))
+    tried = tables.put("nj-pairs-1", pairs.where("nj_a <> nj_b").where(fits).select("nj_a", "nj_b").distinct())
+    links = _verified(tables, docs, [passing(tried, nodes, num, den)], n, num, den, "nj-links-1")
+    comp = contracted(links, tables)
+    for turn in (2, 3):
+        open_ = tables.put("nj-open", _open(found, comp, nodes))
         if open_.isEmpty():
             break
-        if not last:
+        if turn == 2:
             # Round 2: the node with the most links so far is the pivot.
             degree = links.select(F.col("nj_a").alias("nj_node")).union(links.select("nj_b")).groupBy("nj_node").agg(F.count("*").alias("nj_d"))
             ranked = open_.join(degree, "nj_node", "left").withColumn("nj_d", F.coalesce("nj_d", F.lit(0)))
             pivot = ranked.groupBy("nj_bucket").agg(F.max(F.struct("nj_d", "nj_node", "nj_n", "nj_comp")).alias("p"))
             pairs = open_.join(pivot, "nj_bucket").where("nj_comp <> p.nj_comp").select(
                 F.least("nj_node", "p.nj_node").alias("nj_a"), F.greatest("nj_node", "p.nj_node").alias("nj_b"), F.col("nj_n").alias("nj_na"), F.col("p.nj_n").alias("nj_nb"))
-            fresh = written(pairs.where(fits).select("nj_a", "nj_b").distinct().join(tried, ["nj_a", "nj_b"], "left_anti"), "nj-pairs")
+            fresh = tables.put("nj-pairs-2", pairs.where(fits).select("nj_a", "nj_b").distinct().join(tried, ["nj_a", "nj_b"], "left_anti"))
             tried = tried.union(fresh)
-            fresh = passing(fresh, nodes, num, den)
+            fresh = [passing(fresh, nodes, num, den)]
         else:
-            # Round 3: what is left across components.
-            fresh = crossing(open_, nodes, num, den).join(tried, ["nj_a", "nj_b"], "left_anti")
-        links = links.union(_verified(docs, fresh, n, num, den))
-        comp = contracted(links)
-        freed(spark)
+            # Round 3: what is left across components, a part of the buckets at a time.
+            part = F.pmod(F.xxhash64("nj_bucket"), F.lit(PASSES))
+            fresh = [crossing(open_.where(part == k), nodes, num, den).join(tried, ["nj_a", "nj_b"], "left_anti") for k in range(PASSES)]
+        links = links.union(_verified(tables, docs, fresh, n, num, den, f"nj-links-{turn}"))
+        comp = contracted(links, tables)
+    tables.drop("nj-buckets", "nj-nodes", "nj-open", "nj-pairs-1", "nj-pairs-2", "nj-links-1", "nj-links-2", "nj-links-3")
     return base.join(comp, "nj_node", "left").select("doc_id", "nj_n", "nj_node", "nj_comp")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _verified(tables: Tables, docs: DataFrame, parts: list[DataFrame], n: int, num: int, den: int, name: str) -> DataFrame:
     """The similar ones of pairs that passed their sketches, by their whole sets."""
-    pairs = written(pairs, "nj-passed")
-    nodes = written(pairs.select(F.col("nj_a").alias("nj_node")).union(pairs.select("nj_b")).distinct(), "nj-needed")
+    pairs = None
+    for k, part in enumerate(parts):
+        part = tables.put(f"nj-passed-{k}", part)
+        pairs = part if pairs is None else pairs.union(part)
+    pairs = pairs.distinct() if len(parts) > 1 else pairs
+    nodes = tables.put("nj-needed", pairs.select(F.col("nj_a").alias("nj_node")).union(pairs.select("nj_b")).distinct())
     if nodes.isEmpty():
-        return pairs
-    sets = written(needed_sets(docs, nodes, n), "nj-sets")
-    return written(verified(pairs, sets, num, den), "nj-links")
+        links = tables.put(name, pairs)
+    else:
+        links = tables.put(name, verified(pairs, tables.put("nj-sets", needed_sets(docs, nodes, n)), num, den))
+    tables.drop("nj-needed", "nj-sets", *(f"nj-passed-{k}" for k in range(len(parts))))
+    return links
 
 
 def _open(found: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -514,19 +539,20 @@ def with_component_ids(rows: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row of docs for each component, of its smallest doc_id (null after all others); all rows
     with empty sets. Rows are told apart by a 64-bit hash of id and text, as an id may be shared by
-    rows of several components."""
+    rows of several components; of rows equal in both, one stays, that of the smallest hash of its
+    other columns."""
     key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    plain = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    rest = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in plain)))) if plain else F.lit(0).cast("long")
     rows = components(docs.select(key.alias("doc_id"), "text"), n, num, den)
     rows = rows.select(F.col("doc_id").alias("nj_row"), F.coalesce("nj_comp", "nj_node").alias("nj_key")).where("nj_key is not null").distinct()
-    ids = docs.select(F.col("doc_id").cast("long").alias("nj_id"), key.alias("nj_row"))
-    least = F.min(F.struct(F.col("nj_id").isNull().alias("nj_none"), "nj_id", "nj_row"))
-    kept = written(ids.join(rows, "nj_row").groupBy("nj_key").agg(least.alias("p")).select(F.col("p.nj_row").alias("nj_kept")), "nj-kept")
-    empty = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) == 0
-    full = docs.where(~empty).join(kept, key == F.col("nj_kept"), "left_semi")
-    # Rows equal in id and text may still differ in other columns.
-    first = F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    one = full.groupBy(key.alias("nj_one")).agg(first.alias("nj_row")).select("nj_row.*")
-    return one.unionByName(docs.where(empty))
+    ids = docs.select(F.col("doc_id").cast("long").alias("nj_id"), key.alias("nj_row"), rest.alias("nj_rest"))
+    least = F.min(F.struct(F.col("nj_id").isNull().alias("nj_none"), "nj_id", "nj_row", "nj_rest"))
+    kept = written(ids.join(rows, "nj_row").groupBy("nj_key").agg(least.alias("p")).select(F.col("p.nj_row").alias("nj_row"), F.col("p.nj_rest").alias("nj_rest")), "nj-kept")
+    # The user's columns travel in one struct, so that their names meet none of these.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("nj_whole"), key.alias("nj_row"), rest.alias("nj_rest"), (F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) == 0).alias("nj_empty"))
+    one = whole.where("not nj_empty").join(kept, ["nj_row", "nj_rest"], "left_semi").dropDuplicates(["nj_row", "nj_rest"])
+    return one.select("nj_whole.*").unionByName(whole.where("nj_empty").select("nj_whole.*"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
