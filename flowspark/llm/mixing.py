@@ -1,21 +1,26 @@
 """Mixing sources to target weights as a time-varying curriculum.
 
-Each source has a weight over training time; its share is its weight over the weights of all.
-Integrating the shares gives each source's cumulative demand for words. Targets are the demands
-at the end, held to MAX_EPOCHS times a source's size, the excess reshared by weight (a water
-level over the sources). Within a source, documents stand in the order of a hash of their id,
-again for every epoch; the place of a document in that supply, put through the inverse of the
-source's cumulative demand, is its training position, and documents are range-sorted by it.
+Each source has a weight over training time, given by knots. Integrating it gives the source's
+cumulative demand for words. Targets are the demands at the end, held to MAX_EPOCHS times a
+source's size, the excess reshared by weight (a water level over the sources). Without a schedule
+of its own a source gets one by its place in the order of names: WEIGHTS are the integrals, SHAPES
+how they rise or fall over time. Within a source, documents stand in the order of a hash of their
+id, the same in every epoch; the place of a document in that supply, put through the inverse of
+the source's cumulative demand, is its training position, and documents are range-sorted by it.
 
 Only whole documents are taken. Where the last epoch ends inside a document, that document's
 share goes instead to the remaining document whose size is nearest to the gap, so that sources
 miss their targets by less than documents are apart in size.
 
+Decisions are made on ids, sizes and hashes alone. Sums within a source are made in 4096 buckets of
+the hash, and what is known of a source reaches its rows by (source, bucket), so that no task gets
+a whole source; `arrange` then moves each text twice, to its decision and into training order.
+
 Nulls: a null source is a source of its own, last in order; a null text has size 0; a null id is
 an id like any other. Documents of size 0 take nothing, but come along in every full epoch.
 Rows that are repeated or share an id are mixed each on its own; equal hashes are ordered by id,
-size and text. Empty tables give empty results. Columns added to the documents start with `mix_`;
-an input column of such a name is replaced in `plan`, and `arrange` returns the input's columns.
+size and text. Empty tables give empty results. `plan` returns doc_id, source and columns named
+`mix_`; `arrange` returns the input's columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,28 +29,40 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import new_path, read_table, remove, written
+from ._common import Tables, read_table
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Weights of the sources by their order, repeating, and how each changes from the start to the
+#: end of training: the integrals of WEIGHTS times SHAPES are WEIGHTS.
 WEIGHTS = (5, 2, 1)
+SHAPES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
+POINTS = 257
 MAX_EPOCHS = 3
 SEED = "mix-1"
 
 Schedule = dict[str, list[tuple[float, float]]]
 
 
-def integrate(schedule: Schedule, points: int = 257) -> dict[str, tuple[float, list[float]]]:
+def cumulative(weights: np.ndarray) -> tuple[float, list[float]]:
+    """The integral over time of a weight given on an even grid, and the normalised demand up to
+    each point of the grid."""
+    cum = np.concatenate([[0.0], np.cumsum((weights[1:] + weights[:-1]) / 2)]) / (len(weights) - 1)
+    return float(cum[-1]), (cum / cum[-1]).tolist() if cum[-1] > 0 else [0.0, 1.0]
+
+
+def integrate(schedule: Schedule) -> dict[str, tuple[float, list[float]]]:
     """Per source of a schedule {source: [(time in 0..1, weight), ...]}: the integral of its share
-    and the normalised cumulative demand on an even grid."""
-    t = np.linspace(0.0, 1.0, points)
+    of all weights and its cumulative demand."""
+    t = np.linspace(0.0, 1.0, POINTS)
     weights = {s: np.interp(t, *zip(*sorted(knots), strict=True)) for s, knots in schedule.items()}
     total = np.sum(list(weights.values()), axis=0)
-    out = {}
-    for s, w in weights.items():
-        share = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
-        cum = np.concatenate([[0.0], np.cumsum((share[1:] + share[:-1]) / 2)]) / (points - 1)
-        out[s] = (float(cum[-1]), (cum / cum[-1]).tolist() if cum[-1] > 0 else [0.0, 1.0])
-    return out
+    return {s: cumulative(np.divide(w, total, out=np.zeros_like(w), where=total > 0)) for s, w in weights.items()}
+
+
+def standing() -> list[tuple[float, list[float]]]:
+    """Integral and cumulative demand of the first, second, ... source where no schedule is given."""
+    t = np.linspace(0.0, 1.0, POINTS)
+    return [cumulative(w * np.interp(t, (0.0, 1.0), shape)) for w, shape in zip(WEIGHTS, SHAPES, strict=True)]
 
 
 def source_key(source: Column | str = "source") -> Column:
@@ -59,11 +76,8 @@ def targets(sizes: DataFrame, schedule: Schedule | None = None) -> DataFrame:
     over all rows see the sources only, never the documents."""
     by_name = Window.orderBy("mix_source")
     if schedule is None:
-        k = (F.row_number().over(by_name) - 1) % len(WEIGHTS)
-        rows = sizes.withColumns({
-            "mix_weight": F.element_at(F.array(*(F.lit(w) for w in WEIGHTS)), k + 1).cast("double"),
-            "mix_curve": F.array(F.lit(0.0), F.lit(1.0)),
-        })
+        made = sizes.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(standing())], "mix_k int, mix_weight double, mix_curve array<double>")
+        rows = sizes.withColumn("mix_k", (F.row_number().over(by_name) - 1) % len(WEIGHTS)).join(made, "mix_k").drop("mix_k")
     else:
         made = [(f"0{s}", w, curve) for s, (w, curve) in integrate(schedule).items()]
         known = sizes.sparkSession.createDataFrame(made, "mix_source string, mix_weight double, mix_curve array<double>")
@@ -91,59 +105,66 @@ def targets(sizes: DataFrame, schedule: Schedule | None = None) -> DataFrame:
                        F.coalesce(target, cap.cast("double")).alias("mix_target"))
 
 
-def plan(docs: DataFrame, schedule: Schedule | None = None, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns of docs (all by default) with mix_size, mix_source_size, mix_target,
-    mix_copies (how often the mix takes the document) and mix_position (of its first copy)."""
-    keep = [c for c in (docs.columns if keep is None else keep) if not c.startswith("mix_")]
-    slim = docs.select(
-        *(F.col(f"`{c}`") for c in keep),
-        source_key("source").alias("mix_source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size"),
-        F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("mix_hash"),
-        F.xxhash64("text").alias("mix_text"),
-        F.col("doc_id").alias("mix_id"),
-    )
-    # A source may hold a third of all rows, so its running sum is made in 4096 buckets of the hash.
-    slim = slim.withColumn("mix_bucket", F.substring("mix_hash", 1, 3))
-    path = new_path(docs.sparkSession, "mix-slim")
-    slim = written(slim, "", path)
-    per_bucket = slim.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("mix_sum"))
+BUCKET = ["mix_source", "mix_bucket"]
+#: A row's place in its source.
+PLACE = ["mix_source", "mix_hash", "mix_text"]
+
+
+def keyed() -> list[Column]:
+    """Source, hash of the id and hash of the text, none of them null."""
+    number = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    return [source_key("source").alias("mix_source"), number.alias("mix_hash"), F.xxhash64("text").alias("mix_text")]
+
+
+def ranked(docs: DataFrame, tables: Tables, schedule: Schedule | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, source, its key, mix_size, mix_end (words of its source up
+    to its end) and what is known of its source, of which `decided` makes the decision."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("mix_size")
+    slim = docs.select("doc_id", "source", *keyed(), size).withColumn("mix_bucket", F.substring("mix_hash", 1, 3))
+    slim = tables.put("mix-slim", slim)
+    per_bucket = slim.groupBy(*BUCKET).agg(F.sum("mix_size").alias("mix_sum"))
     earlier = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("mix_offset", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0))).drop("mix_sum")
-    sizes = per_bucket.groupBy("mix_source").agg(F.sum("mix_sum").alias("mix_source_size"))
-    goal = written(targets(sizes, schedule), "mix-targets")
-    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "mix_id", "mix_size", "mix_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = F.when(F.col("mix_source_size") > 0, F.floor(F.col("mix_target") / F.col("mix_source_size"))).otherwise(F.lit(MAX_EPOCHS)).cast("long")
-    ranked = (
-        slim.withColumn("mix_end", F.sum("mix_size").over(inside))
-        .join(offsets, ["mix_source", "mix_bucket"])
-        .withColumn("mix_end", F.col("mix_end") + F.col("mix_offset"))
-        .join(goal, "mix_source")
-        .withColumn("mix_full", full)
-        .withColumn("mix_rest", F.col("mix_target") - F.col("mix_full") * F.col("mix_source_size"))
-        .drop("mix_bucket", "mix_offset", "mix_hash", "mix_text", "mix_id")
-    )
-    ranked = written(ranked, "mix-ranked")
-    remove(docs.sparkSession, path)
+    goal = targets(per_bucket.groupBy("mix_source").agg(F.sum("mix_sum").alias("mix_source_size")), schedule)
+    goal = goal.withColumn("mix_full", full).withColumn("mix_rest", F.col("mix_target") - F.col("mix_full") * F.col("mix_source_size"))
+    goal = tables.put("mix-goal", goal)
+    # Sources have up to 4096 rows here; documents meet them by bucket only.
+    known = tables.put("mix-known", offsets.join(goal.select("mix_source", "mix_rest"), "mix_source"))
+    inside = Window.partitionBy(*BUCKET).orderBy("mix_hash", "doc_id", "mix_size", "mix_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = slim.withColumn("mix_end", F.sum("mix_size").over(inside)).join(known, BUCKET)
+    rows = tables.put("mix-ranked", rows.withColumn("mix_end", F.col("mix_end") + F.col("mix_offset")).drop("mix_offset"))
     fits = F.col("mix_end") <= F.col("mix_rest")
-    cut = ranked.groupBy("mix_source").agg(
-        (F.first("mix_rest") - F.coalesce(F.max(F.when(fits, F.col("mix_end"))), F.lit(0))).alias("mix_gap"))
+    cut = rows.groupBy("mix_source").agg((F.first("mix_rest") - F.coalesce(F.max(F.when(fits, F.col("mix_end"))), F.lit(0))).alias("mix_gap"))
+    cut = tables.put("mix-cut", known.select(*BUCKET).join(cut, "mix_source"))
     # Sizes are positive here, so mix_end tells a source's remaining documents apart.
-    over = ranked.where(~fits & (F.col("mix_size") > 0)).join(cut, "mix_source")
     off = F.abs(F.col("mix_size") - F.col("mix_gap"))
-    extra = over.where(off < F.col("mix_gap")).groupBy("mix_source").agg(F.min(F.struct(off.alias("off"), F.col("mix_end").alias("mix_end"))).alias("mix_extra"))
-    rows = ranked.join(cut, "mix_source").join(extra, "mix_source", "left")
-    is_extra = F.coalesce((F.col("mix_extra.mix_end") == F.col("mix_end")) & (F.col("mix_size") > 0), F.lit(False))
+    over = rows.where(~fits & (F.col("mix_size") > 0)).join(cut, BUCKET).where(off < F.col("mix_gap"))
+    extra = over.groupBy("mix_source").agg(F.min(F.struct(off.alias("off"), F.col("mix_end").alias("mix_end"))).alias("x")).select("mix_source", F.col("x.mix_end").alias("mix_extra"))
+    facts = tables.put("mix-facts", cut.join(goal, "mix_source").join(extra, "mix_source", "left"))
+    return rows.drop("mix_rest").join(facts, BUCKET)
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """Rows of `ranked` with mix_copies and mix_start."""
+    fits = F.col("mix_end") <= F.col("mix_rest")
+    is_extra = F.coalesce((F.col("mix_extra") == F.col("mix_end")) & (F.col("mix_size") > 0), F.lit(False))
     partial = (fits & (F.col("mix_rest") > 0)) | is_extra
     start = F.when((F.col("mix_full") == 0) & is_extra, F.col("mix_rest") - F.col("mix_gap")).otherwise(F.col("mix_end") - F.col("mix_size"))
-    rows = rows.withColumns({"mix_copies": F.col("mix_full") + partial.cast("long"), "mix_start": start.cast("double")})
-    return rows.withColumn("mix_position", F.when(F.col("mix_copies") > 0, position(F.col("mix_start")))).select(
-        *(F.col(f"`{c}`") for c in keep), "mix_source", "mix_size", "mix_source_size", "mix_target", "mix_total", "mix_curve", "mix_copies", "mix_start", "mix_full", "mix_rest", "mix_gap", "mix_position")
+    return rows.withColumns({"mix_copies": F.col("mix_full") + partial.cast("long"), "mix_start": start.cast("double")})
+
+
+def plan(docs: DataFrame, schedule: Schedule | None = None) -> DataFrame:
+    """doc_id and source of every row of docs with mix_size, mix_source_size, mix_target, mix_copies
+    (how often the mix takes the document) and mix_position (of its first copy)."""
+    rows = decided(ranked(docs, Tables(docs.sparkSession), schedule))
+    rows = rows.withColumn("mix_position", F.when(F.col("mix_copies") > 0, position(F.col("mix_start"))))
+    return rows.select("doc_id", "source", "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_position")
 
 
 def position(words: Column) -> Column:
-    """The training position, in words of the whole mix, at which a source's demand has reached
-    `words`: the inverse of its cumulative demand, linear between grid points."""
+    """The training position at which a source's demand has reached `words`, the time as a part of
+    all words: the inverse of its cumulative demand, linear between grid points."""
     curve, f = F.col("mix_curve"), F.least(F.lit(1.0), F.coalesce(F.try_divide(words, F.col("mix_target")), F.lit(0.0)))
     n = F.size(curve) - 1
     i = F.least(F.size(F.filter(curve, lambda x: x <= f)), n)  # 1-based left grid point
@@ -154,18 +175,27 @@ def position(words: Column) -> Column:
 
 def arrange(docs: DataFrame, schedule: Schedule | None = None) -> DataFrame:
     """The mix itself: docs' rows, repeated as often as taken, range-sorted by training position."""
-    rows = plan(docs, schedule)
+    tables = Tables(docs.sparkSession)
+    first = ranked(docs, tables, schedule).groupBy(*PLACE).agg(
+        F.min("mix_end").alias("mix_end"), *(F.first(c).alias(c) for c in ("mix_size", "mix_source_size", "mix_target", "mix_total", "mix_curve", "mix_full", "mix_rest", "mix_gap", "mix_extra")))
+    first = tables.put("mix-first", first)
+    tables.drop("mix-slim", "mix-ranked", "mix-known", "mix-cut", "mix-facts", "mix-goal")
+    # The user's columns travel in one struct. Rows of one key stand one after the other in their
+    # source, so the first one's end tells the others'.
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_whole"), *keyed())
+    same = Window.partitionBy(*PLACE).orderBy("mix_source")
+    rows = whole.join(first, PLACE).withColumn("mix_no", F.row_number().over(same) - 1)
+    rows = decided(rows.withColumn("mix_end", F.col("mix_end") + F.col("mix_no") * F.col("mix_size")))
     copy = rows.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)))
     at = F.when((F.col("mix_copy") == F.col("mix_full")) & (F.col("mix_full") > 0) & (F.col("mix_start") + F.col("mix_size") > F.col("mix_rest")),
                 F.col("mix_full") * F.col("mix_source_size") + F.col("mix_rest") - F.col("mix_gap")
                 ).otherwise(F.col("mix_copy") * F.col("mix_source_size") + F.col("mix_start"))
-    placed = copy.withColumn("mix_at", position(at.cast("double")))
-    return placed.orderBy("mix_at", "mix_source", "mix_copy", "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns))
+    placed = copy.select("mix_whole", "mix_source", "mix_copy", position(at.cast("double")).alias("mix_at"))
+    return placed.orderBy("mix_at", "mix_source", "mix_copy", "mix_whole.doc_id").select("mix_whole.*")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = plan(docs, keep=["doc_id"])
+    rows = plan(read_table(spark, sf_dir, "documents"))
     return rows.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
@@ -178,14 +208,15 @@ WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source E
              CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
              md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
 z AS (SELECT s, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY s),
-w AS (SELECT s, n, CASE (row_number() OVER (ORDER BY s) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w,
-        CAST(sum(n) OVER () AS BIGINT) AS total FROM z),
+u AS (SELECT s, n, (row_number() OVER (ORDER BY s) - 1) % 3 AS k, CAST(sum(n) OVER () AS BIGINT) AS total FROM z),
+w AS (SELECT s, n, total, CASE k WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w,
+        list_transform(range(0, 257), lambda i: CASE k WHEN 0 THEN 1.5::DOUBLE * i / 256 - 0.5::DOUBLE * i * i / 65536 WHEN 1 THEN 0.5::DOUBLE * i / 256 + 0.5::DOUBLE * i * i / 65536 ELSE 1::DOUBLE * i / 256 END) AS curve FROM u),
 o AS (SELECT *, CAST(coalesce(sum(3 * n) OVER (ORDER BY CAST(n AS DOUBLE) / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS capped,
         CAST(sum(w) OVER (ORDER BY CAST(n AS DOUBLE) / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS free FROM w),
 l AS (SELECT min(capped) AS capped, arg_min(free, capped) AS free FROM o WHERE w * (total - capped) < 3 * n * free),
-t AS (SELECT o.s, n, total, CASE WHEN l.capped IS NOT NULL AND o.capped >= l.capped
+t AS (SELECT o.s, n, total, curve, CASE WHEN l.capped IS NOT NULL AND o.capped >= l.capped
         THEN CAST(w * (total - l.capped) AS DOUBLE) / l.free ELSE CAST(3 * n AS DOUBLE) END AS target FROM o, l),
-c AS (SELECT d.*, n, total, target, CASE WHEN n > 0 THEN floor(target / n) ELSE 3 END AS f,
+c AS (SELECT d.*, n, total, target, curve, CASE WHEN n > 0 THEN floor(target / n) ELSE 3 END AS f,
         CAST(sum(size) OVER (PARTITION BY d.s ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM d JOIN t ON d.s = t.s),
 r AS (SELECT *, target - f * n AS rest FROM c),
 g AS (SELECT s, any_value(rest) - coalesce(max(CASE WHEN e <= rest THEN e END), 0) AS gap FROM r GROUP BY s),
@@ -193,8 +224,10 @@ x AS (SELECT r.s, arg_min(e, {'off': abs(size - gap), 'e': e}) AS xe FROM r JOIN
       WHERE e > rest AND size > 0 AND abs(size - gap) < gap GROUP BY r.s),
 y AS (SELECT r.*, gap, coalesce(xe = e AND size > 0, false) AS extra FROM r JOIN g ON r.s = g.s LEFT JOIN x ON r.s = x.s),
 k AS (SELECT *, CAST(f AS BIGINT) + CASE WHEN (e <= rest AND rest > 0) OR extra THEN 1 ELSE 0 END AS copies,
-        CAST(CASE WHEN f = 0 AND extra THEN rest - gap ELSE e - size END AS DOUBLE) AS start FROM y)
+        CAST(CASE WHEN f = 0 AND extra THEN rest - gap ELSE e - size END AS DOUBLE) AS start FROM y),
+q AS (SELECT *, least(1.0::DOUBLE, coalesce(start / nullif(target, 0), 0)) AS part FROM k),
+i AS (SELECT *, least(len(list_filter(curve, lambda x: x <= part)), 256) AS left_point FROM q)
 SELECT doc_id, size, n AS source_size, target, CAST(size * copies AS BIGINT) AS taken,
-  CASE WHEN copies > 0 THEN least(1.0::DOUBLE, coalesce(start / nullif(target, 0), 0)) * total END AS position
-FROM k
+  CASE WHEN copies > 0 THEN (1.0::DOUBLE * (left_point - 1) + (part - curve[left_point]) / (curve[left_point + 1] - curve[left_point])) / 256 * total END AS position
+FROM i
 """

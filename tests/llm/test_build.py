@@ -18,8 +18,8 @@ from .cases import documents, empty, ordered, plain, wild
 
 
 def test_mix(spark):
-    docs = wild(documents(spark), "mix_size", "size")
-    rows = mixing.plan(docs, keep=["doc_id", "source"]).collect()
+    docs = wild(documents(spark), "mix_size", "size", "mix_source", "mix_hash", "mix_text", "mix_whole", "mix_end", "mix_foo")
+    rows = mixing.plan(docs).collect()
     assert len(rows) == docs.count()
     by = defaultdict(list)
     for r in rows:
@@ -34,6 +34,7 @@ def test_mix(spark):
     assert mixed.columns == docs.columns
     want = Counter((r["doc_id"]) for r in rows for _ in range(r["mix_copies"]))
     assert Counter(i for i, _ in plain(mixed)) == want
+    assert {r["mix_size"] for r in mixed.collect()} == {"mix_size"}
     assert [r[0] for r in mixed.collect()] == [r[0] for r in mixing.arrange(docs).collect()]
     assert mixing.arrange(empty(spark)).count() == 0
 
@@ -41,12 +42,25 @@ def test_mix(spark):
 def test_curriculum(spark):
     """One source fades out as the other fades in; positions follow the integrated weights."""
     d = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
-    rows = mixing.plan(d, {"a": [(0.0, 1.0), (1.0, 0.0)], "b": [(0.0, 0.0), (1.0, 1.0)]}, keep=["source"]).where("mix_copies > 0").collect()
+    rows = mixing.plan(d, {"a": [(0.0, 1.0), (1.0, 0.0)], "b": [(0.0, 0.0), (1.0, 1.0)]}).where("mix_copies > 0").collect()
     at = {s: np.sort([r["mix_position"] / 4000 for r in rows if r["source"] == s]) for s in "ab"}
     assert len(at["a"]) == len(at["b"]) == 200
     assert np.median(at["a"]) == pytest.approx(1 - 0.5**0.5, abs=0.01) and np.median(at["b"]) == pytest.approx(0.5**0.5, abs=0.01)
 
 
+def test_standing_schedule(spark):
+    """The first source fades, the second grows, the third stays; 5 : 2 : 1 are their integrals."""
+    assert [w for w, _ in mixing.standing()] == list(mixing.WEIGHTS)
+    d = spark.createDataFrame([(i, "w " * 10, "abc"[i % 3]) for i in range(900)], "doc_id long, text string, source string")
+    rows = mixing.plan(d).where("mix_copies > 0").collect()
+    middle = {s: np.median([r["mix_position"] / 9000 for r in rows if r["source"] == s]) for s in "bc"}
+    # Half of b's demand has come at the time t with (t + t * t) / 2 = 1 / 2.
+    assert middle["b"] == pytest.approx((5**0.5 - 1) / 2, abs=0.02) and middle["c"] == pytest.approx(0.5, abs=0.02)
+    mixed = [r["source"] for r in mixing.arrange(d).collect()]
+    third = len(mixed) // 3
+    assert mixed[:third].count("a") > mixed[-third:].count("a") and mixed[:third].count("b") < mixed[-third:].count("b")
+
+
 def test_ids_are_the_librarys():
     rng = random.Random(1)
     bits = ["'s", "'re", "'ll", "''", " ", "  ", "\n", "\t", "a", "é", "1", "½", "中", "!", "<|endoftext|>", "\x1c", "don't", "I'VE", "'d", " '", "́", "😀", "_", "\U0010ffff", "　"]
