@@ -7,18 +7,21 @@ by bitwise aggregation what each rule of a policy decides alone.
 Null and empty texts measure 0 everywhere and fail `few_words`. Rows are independent of each
 other: repeated rows get the same verdict, row order does not matter, and an empty table gives
 an empty ledger. Only `doc_id` and `text` are read; other columns pass `filter_documents`
-whatever their names, as the measurements stay in one struct until they are asked for.
+whatever their names, as a whole row and its ledger are one struct each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import map_rows, read_table
+from ._common import map_rows, read_table, written
 
 #: Measurements, in the order of `measure`.
 MEASURES = (
@@ -157,24 +160,29 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
                       "n_docs", "n_kept", F.explode(made).alias("r")).select("policy", "version", "n_docs", "n_kept", "r.*")
 
 
-def filter_documents(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """The rows of docs that the policy keeps, all columns unchanged."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    import pyarrow as pa
-
-    schema = to_arrow_schema(docs.schema)
+def ledgered(docs: DataFrame) -> DataFrame:
+    """`row`, the whole row of docs, and `ledger`, its measurements and fail_bits."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     at = docs.columns.index("text")
-    rules = [(1 << i, compile(c, name, "eval")) for i, (name, c) in enumerate(RULES) if policy.mask >> i & 1]
+    kinds = pa.struct([(m, pa.int64()) for m in MEASURES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                row = whole.slice(start, 512).column(0)
+                got = [dict(zip(MEASURES, measure(t.as_py()), strict=True)) for t in row.field(at)]
+                yield pa.RecordBatch.from_arrays([row, pa.array(got, kinds)], ["row", "m"])
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for text in b.column(at):
-                m = dict(zip(MEASURES, measure(text.as_py()), strict=True))
-                keep.append(not any(eval(code, {}, m) for _, code in rules))
-            yield pa.RecordBatch.from_arrays(b.filter(pa.array(keep, pa.bool_())).columns, schema=schema)
+    schema = T.StructType([rows.schema["row"], T.StructField("m", T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))])
+    made = rows.mapInArrow(run, schema).select("row", "m.*")
+    return made.select("row", F.struct(*MEASURES, fail_bits().alias("fail_bits")).alias("ledger"))
 
-    return docs.mapInArrow(run, docs.schema)
+
+def filter_documents(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """The rows of docs that the policy keeps, all columns unchanged. The ledger is written beside
+    its rows in the shared folder and stays there for other policies (`row`, `ledger`)."""
+    book = written(ledgered(docs), "quality-ledger")
+    return book.where(verdict(policy, F.col("ledger.fail_bits"))).select("row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

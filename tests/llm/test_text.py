@@ -27,7 +27,7 @@ def test_measures():
 
 
 def test_ledger_and_policies(spark):
-    docs = wild(documents(spark), "fail_bits", "n_words")
+    docs = wild(documents(spark), "fail_bits", "n_words", "row", "ledger", "m")
     book = quality.ledger(docs).cache()
     assert book.count() == docs.count()
     kept = ordered(plain(quality.filter_documents(docs)))
