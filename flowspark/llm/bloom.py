@@ -34,27 +34,47 @@ def n_bits(n: int, p: float) -> int:
     return max(64, math.ceil(n * math.log2(1 / p) * 1.45))
 
 
+#: Bytes of one row on the way to the driver.
+BLOCK = 2048
+
+
 def build(keys: DataFrame, m: int, k: int) -> Level:
-    """Bits of all rows' (h1, h2): every task sends the bytes that it has set, at most m / 8."""
+    """Bits of all rows' (h1, h2): every task sends the blocks in which it has set bits, tasks by
+    block unite them, and at most m / 8 / BLOCK blocks reach the driver."""
+    size = -(-m // 8 // BLOCK) * BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(-(-m // 8), np.uint8)
+        bits = np.zeros(size, np.uint8)
         for b in batches:
             h1, h2 = (np.asarray(b.column(i)) for i in (0, 1))
             for i in range(k):
                 at = positions(h1, h2, i, m)
                 np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(bits[at].astype(np.int64), pa.int64())], ["at", "v"])
-
-    bits = np.zeros(-(-m // 8), np.uint8)
-    rows = keys.select("h1", "h2").mapInArrow(run, "at long, v long").groupBy("at").agg(F.bit_or("v").alias("v"))
-    # Whole 2 KB blocks reach the driver, at most m / 8 bytes in all.
-    blocks = rows.groupBy((F.col("at") / 2048).cast("long").alias("b")).agg(F.collect_list(F.struct("at", "v")).alias("x"))
-    for r in blocks.toLocalIterator():
-        for at, v in r["x"]:
-            bits[at] = v
-    return m, k, bits
+        blocks = bits.reshape(-1, BLOCK)
+        yield sent((int(i), blocks[i].tobytes()) for i in np.flatnonzero(blocks.any(axis=1)))
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits, out = None, np.zeros(BLOCK, np.uint8), []
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if i != at:
+                    if at is not None:
+                        out.append((at, bits.tobytes()))
+                    at, bits = i, np.zeros(BLOCK, np.uint8)
+                bits |= np.frombuffer(v, np.uint8)
+        if at is not None:
+            out.append((at, bits.tobytes()))
+        yield sent(out)
+
+    def sent(rows) -> pa.RecordBatch:
+        rows = list(rows)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["b", "v"])
+
+    bits = np.zeros(size, np.uint8)
+    rows = keys.select("h1", "h2").mapInArrow(run, "b long, v binary")
+    for r in rows.repartition("b").sortWithinPartitions("b").mapInArrow(united, "b long, v binary").collect():
+        bits[r["b"] * BLOCK : (r["b"] + 1) * BLOCK] = np.frombuffer(r["v"], np.uint8)
+    return m, k, bits[: -(-m // 8)]
 
 
 def of_pairs(rows: DataFrame, h1: str, h2: str, p: float = 1 / 64) -> Level:

@@ -2,11 +2,14 @@
 
 Templates are indexed by word: postings of (template, position). A first pass counts in how
 many documents of the corpus each word of that bounded vocabulary occurs (its IDF). The scan
-then takes, per file and template, the ANCHORS highest-IDF template words that the file holds,
-looks up all their places, and intersects the template's postings by relative position: places
-that agree on where the template would start vote for that start. A start with enough votes is
-verified: the template's mandatory key phrases must stand where the template puts them, give
-or take SLACK words, and the share of template words in place is the score.
+then takes, per file and template, the highest-IDF template words that the file holds, looks up
+all their places, and intersects the template's postings by relative position: places that agree
+on where the template would start, give or take SLACK words, vote for that start. So many words
+are looked up that those left cannot make up LEAST_SCORE of the template without SPARE votes: no
+place is missed, however common its words are. Starts of enough votes are verified: the template's
+mandatory key phrases must stand where the template puts them, give or take SLACK words, and the
+share of template words that stand in order, each within SLACK words of its place, is the score.
+Of starts next to each other the best one is reported, the first of equals.
 
 Null texts are empty; texts without words have no places, null first and last word, empty label
 lists and score 0. Rows are scanned one by one, so repeated rows give repeated results. Only
@@ -42,9 +45,10 @@ TEMPLATES = (
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related rights to this work", ("waived all copyright",)),
 )
-ANCHORS = 4
 SLACK = 3
 LEAST_SCORE = 0.6
+#: Votes that a start needs at least, where the template's held words allow so many.
+SPARE = 3
 
 #: Digits, letters (lower-cased) and all non-ASCII bytes stay; every other byte ends a word.
 _WORDS = bytes(
@@ -67,49 +71,100 @@ class Index:
             for q, w in enumerate(words):
                 self.postings[w].append((t, q))
         rank = lambda w: (-idf.get(w, math.inf), w)
-        self.by_rarity = [sorted(set(words), key=rank) for _, words, _ in self.templates]
+        self.by_rarity = [sorted(Counter(words).items(), key=lambda x: rank(x[0])) for _, words, _ in self.templates]
         self.phrase_at = [[(p, [q for q in range(len(words) - len(p) + 1) if words[q : q + len(p)] == p]) for p in phrases] for _, words, phrases in self.templates]
 
+    def looked_up(self, present: frozenset[bytes] | set[bytes]) -> tuple[dict[bytes, set[int]], dict[int, int]]:
+        """Words to look up, each with its templates, and the votes that a start of a template needs."""
+        wanted: dict[bytes, set[int]] = defaultdict(set)
+        votes = {}
+        for t, rare in enumerate(self.by_rarity):
+            need = least_words(len(self.templates[t][1]))
+            held = [(w, n) for w, n in rare if w in present]
+            left = sum(n for _, n in held)
+            if left < need:
+                continue
+            for w, n in held:
+                if need - left >= SPARE:
+                    break
+                wanted[w].add(t)
+                left -= n
+            votes[t] = max(1, need - left)
+        return wanted, votes
+
     def scan(self, words: list[bytes]) -> list[tuple[str, int, int, float]]:
         """(label, first word, number of words, score) of every verified template place."""
         present = self.vocabulary.intersection(words)
-        if not present:
-            return []
-        wanted: dict[bytes, set[int]] = defaultdict(set)
-        need = {}
-        for t, rare in enumerate(self.by_rarity):
-            held = [w for w in rare if w in present]
-            if 2 * len(held) >= len(rare):  # fewer can't reach LEAST_SCORE
-                anchors = held[:ANCHORS]
-                need[t] = max(1, len(anchors) // 2)
-                for w in anchors:
-                    wanted[w].add(t)
+        wanted, need = self.looked_up(present) if present else ({}, {})
         if not need:
             return []
-        votes: Counter[tuple[int, int]] = Counter()
+        votes: dict[int, Counter[int]] = defaultdict(Counter)
         for p, w in enumerate(words):
             if w in wanted:
                 for t, q in self.postings[w]:
                     if t in wanted[w]:
-                        votes[t, p - q] += 1
+                        votes[t][p - q] += 1
         found = []
-        for (t, start), n in votes.items():
-            if n < need[t]:
-                continue
+        for t, cast in votes.items():
+            near: Counter[int] = Counter()
+            for start, n in cast.items():
+                for d in range(-SLACK, SLACK + 1):
+                    near[start + d] += n
+            scored = [(s, x) for s in sorted(near) if near[s] >= need[t] and (x := self.score(words, t, s)) is not None]
             label, model, _ = self.templates[t]
-            lo = max(0, -start)
-            same = sum(words[start + q] == model[q] for q in range(lo, min(len(model), len(words) - start)))
-            score = same / len(model)
-            if score >= LEAST_SCORE and all(self._stands(words, start, p, qs) for p, qs in self.phrase_at[t]):
-                found.append((label, max(start, 0), len(model), score))
+            found += [(label, max(s, 0), len(model), x) for s, x in peaks(scored)]
         return found
 
+    def score(self, words: list[bytes], t: int, start: int) -> float | None:
+        """The score of a template's start, null where it is no place."""
+        _, model, _ = self.templates[t]
+        if not all(self._stands(words, start, p, qs) for p, qs in self.phrase_at[t]):
+            return None
+        same = in_order(words, model, start)
+        return same / len(model) if same >= least_words(len(model)) else None
+
     @staticmethod
     def _stands(words: list[bytes], start: int, phrase: list[bytes], places: list[int]) -> bool:
         n = len(phrase)
         return any(words[at : at + n] == phrase for q in places for at in range(max(0, start + q - SLACK), start + q + SLACK + 1))
 
 
+def least_words(n: int) -> int:
+    """Words in place that make up LEAST_SCORE of n."""
+    return math.ceil(n * LEAST_SCORE - 1e-9)
+
+
+def in_order(words: list[bytes], model: list[bytes], start: int) -> int:
+    """The most words of the model that stand in order, each within SLACK words of its place."""
+    width = 2 * SLACK + 1
+    best = [0] * (width + 1)  # best[d]: the most up to the model's last word, ending before start + q + d - SLACK
+    for q, w in enumerate(model):
+        # One word on, each place is one drift less.
+        best = [*best[1:], best[-1]]
+        row = best[:]
+        for d in range(width):
+            at = start + q + d - SLACK
+            if 0 <= at < len(words) and words[at] == w:
+                row[d + 1] = max(row[d + 1], best[d] + 1)
+        for d in range(1, width + 1):
+            row[d] = max(row[d], row[d - 1])
+        best = row
+    return best[-1]
+
+
+def peaks(scored: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """Of (start, score) in order, the best of each run of starts at most SLACK apart."""
+    out: list[tuple[int, float]] = []
+    last = None
+    for s, x in scored:
+        if last is not None and s - last <= SLACK:
+            out[-1] = max(out[-1], (s, x), key=lambda y: y[1])
+        else:
+            out.append((s, x))
+        last = s
+    return out
+
+
 def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """word, df over all documents, for the templates' vocabulary: at most its size in rows."""
     vocabulary = frozenset(w for _, text, _ in templates for w in text.encode().split())

@@ -2,8 +2,8 @@
 
 Every line of at least `least` code points (after stripping and ASCII lower-casing) becomes a
 128-bit key. Documents come in batches of descending id. A batch merge-anti-joins the runs
-(its keys that the runs already hold in `min_docs` documents are settled and add nothing) and
-adds the rest as a run of its own: (key, number of documents, largest id), sorted by key. When
+(only its keys that the runs already hold in `min_docs` documents are settled and add nothing: of
+others the number of documents is still needed) and adds the rest as a run of its own: (key, number of documents, largest id), sorted by key. When
 a level has FANOUT runs, they are compacted into one run of the next level. In the end the runs
 name, for each key of at least `min_docs` documents, the largest document that holds it, which
 alone keeps its lines.
@@ -11,7 +11,8 @@ alone keeps its lines.
 A null or empty text is one empty line. Rows that share a doc_id are one document: a key counts
 once, and all of the document's rows keep or lose it together; a null id is smaller than any
 other. Repeated lines within the keeping document all stay. Empty tables give empty results.
-Columns besides doc_id and text pass through `dedup` unchanged; helper columns start with `ld_`.
+Columns besides doc_id and text pass through `dedup` unchanged, whatever their names: the row of a
+document is one struct on the way.
 """
 
 from __future__ import annotations
@@ -132,34 +133,34 @@ def kept_lines(text: str | None, lost: list[bytes] | None, least: int) -> tuple[
 
 
 def _with_drops(docs: DataFrame, **options) -> DataFrame:
+    """ld_row, the whole row of docs, and ld_keys, the keys that it loses."""
     lost = drops(docs, **options)
-    rows = docs.withColumn("ld_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("ld_row")
+    rows = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ld_doc"))
     return rows.join(lost, "ld_doc", "left").drop("ld_doc")
 
 
 def dedup(docs: DataFrame, least: int = LEAST, **options) -> DataFrame:
     """docs with the lost lines taken out of `text` (a null text stays null); n_chars, where
     there is such a column, follows the text."""
-    joined = _with_drops(docs, least=least, **options)
     names = docs.columns
-    at, lost_at = joined.columns.index("text"), joined.columns.index("ld_keys")
-    n_at = names.index("n_chars") if "n_chars" in names and dict(docs.dtypes)["n_chars"] in ("bigint", "int") else None
+    counted = "n_chars" in names and dict(docs.dtypes)["n_chars"] in ("bigint", "int")
     schema = to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-                texts, lost = b.column(at).to_pylist(), b.column(lost_at).to_pylist()
+                cols = dict(zip(names, b.column(0).flatten(), strict=True))
+                texts, lost = cols["text"].to_pylist(), b.column(1).to_pylist()
                 new = [b"\n".join(kept_lines(t, g, least)[1]).decode("utf-8", "surrogatepass") if g else t for t, g in zip(texts, lost, strict=True)]
                 cols["text"] = pa.array(new, schema.field("text").type)
-                if n_at is not None:
+                if counted:
                     n = cols["n_chars"].to_pylist()
                     cols["n_chars"] = pa.array([len(t) if g else v for t, g, v in zip(new, lost, n, strict=True)], schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays([cols[n] for n in names], schema=schema)
 
-    return joined.mapInArrow(run, docs.schema)
+    return _with_drops(docs, least=least, **options).mapInArrow(run, docs.schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +175,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             out["kept_sha256"].append(hashlib.sha256(b"\n".join(kept)).hexdigest())
         return out
 
-    return map_rows(_with_drops(docs), run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_rows(_with_drops(docs).select("ld_row.*", "ld_keys"), run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 OP2_SQL = r"""

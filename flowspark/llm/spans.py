@@ -19,8 +19,8 @@ found where it is written. Spans are told apart by two 64-bit hashes of their wo
 
 Null and empty texts have no units and stay as they are. Rows that share an id are one document:
 what only they share stays in all of them; each row's own repeats go. A null id comes before all
-others. Empty tables give empty results. `dedup` leaves other columns as they are; helper columns
-start with `sp_`.
+others. Empty tables give empty results. `dedup` leaves other columns as they are, whatever their
+names: the row of a document is one struct on the way.
 """
 
 from __future__ import annotations
@@ -267,27 +267,27 @@ def cuts(texts: list[str | None], gone: list[list[int] | None]) -> Iterator[tupl
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    gone = removals(docs).withColumnsRenamed({"sp_doc": "sp_doc_2", "sp_text": "sp_text_2"})
-    rows = docs.withColumns({"sp_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "sp_text": F.xxhash64("text")})
-    on = (F.col("sp_doc") == F.col("sp_doc_2")) & (F.col("sp_text") == F.col("sp_text_2"))
-    return rows.join(gone, on, "left").drop("sp_doc", "sp_text", "sp_doc_2", "sp_text_2")
+    """sp_row, the whole row of docs, and sp_spans."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("sp_row")
+    rows = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("sp_doc"), F.xxhash64("text").alias("sp_text"))
+    return rows.join(removals(docs), ["sp_doc", "sp_text"], "left").drop("sp_doc", "sp_text")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated passages taken out of `text`."""
-    joined = _joined(docs)
     names, schema = docs.columns, to_arrow_schema(docs.schema)
-    at, gone_at = joined.columns.index("text"), joined.columns.index("sp_spans")
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                new = [c[2] for c in cuts(b.column(at).to_pylist(), b.column(gone_at).to_pylist())]
-                cols = [pa.array(new, schema.field("text").type) if i == at else b.column(i) for i in range(len(names))]
+                cols = b.column(0).flatten()
+                new = [c[2] for c in cuts(cols[at].to_pylist(), b.column(1).to_pylist())]
+                cols[at] = pa.array(new, schema.field("text").type)
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return joined.mapInArrow(run, docs.schema)
+    return _joined(docs).mapInArrow(run, docs.schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,4 +297,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = list(cuts(cols["text"], cols["sp_spans"]))
         return {"doc_id": cols["doc_id"], "n_sentences": [g[0] for g in got], "n_removed": [g[1] for g in got], "text": [g[2] for g in got]}
 
-    return map_rows(_joined(docs), run, "doc_id long, n_sentences long, n_removed long, text string")
+    return map_rows(_joined(docs).select("sp_row.*", "sp_spans"), run, "doc_id long, n_sentences long, n_removed long, text string")

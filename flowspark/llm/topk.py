@@ -4,10 +4,14 @@ Vectors are quantised to floor(256 x). Pivots from a bounded sample of SAMPLE ve
 space into cells; a cell with more than SHARD_ROWS rows is salted into several shards, so a
 shard is bounded even where a third of all rows are one vector. Every shard holds a ball tree.
 First each query searches one shard of its own cell; its k-th score there is a bound that it
-carries to all other shards. In a shard, nodes are ordered by the upper bound q.c + |q| r of
-the inner product; nodes below the query's k-th score are cut, the best leaf is searched first,
-and the k-th score rises as leaves are searched. Queries travel in blocks, to every shard: a
-stated query set against all rows. The sample only shapes the cells; results do not depend on it.
+carries on. A cell is a ball around its pivot, the root above its shards' trees: cells whose upper
+bound q.c + |q| r of the inner product is below the query's k-th score are cut before anything is
+sent, and the query goes to the shards of the others, in blocks. In a shard, nodes are cut and
+ordered by the same bound, the best leaf is searched first, and the k-th score rises as leaves are
+searched. The sample only shapes the cells; results do not depend on it.
+
+Scores are whole numbers: products are made in doubles where norms prove that these are exact,
+else in Python's integers; a score of more than 63 bits is an error.
 
 A vector that is null, empty of an id, or holds null, NaN or infinite components takes no part.
 Rows that share an id count as one vector, the smallest of them. Only vectors of equal length
@@ -67,7 +71,9 @@ class BallTree:
                     order[lo:hi] = part[np.argsort(along, kind="stable")]
                 cuts += [mid, hi]
             bounds.append(np.array(cuts))
-        self.ids, self.vecs, self.bounds = ids[order], vecs[order].astype(np.float64), bounds
+        self.ids, self.ints, self.bounds = ids[order], vecs[order], bounds
+        self.vecs = self.ints.astype(np.float64)
+        self.norm = float(np.sqrt((self.vecs**2).sum(1)).max(initial=0.0))
         self.centers, self.radii = [], []
         for b in bounds:
             sizes = np.maximum(1, np.diff(b))
@@ -80,14 +86,16 @@ class BallTree:
             self.centers.append(c)
             self.radii.append(r)
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (scores, ids) per query, -inf and -1 where there are fewer. `known` is a
-        score below which a row is of no use to the query (-inf for none)."""
-        n = len(q)
-        scores, ids = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+    def search(self, q_ids: np.ndarray, ints: np.ndarray, k: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (scores, ids) per query, NONE and -1 where there are fewer. `known` is a
+        score below which a row is of no use to the query (NONE for none)."""
+        n = len(ints)
+        scores, ids = np.full((n, k), NONE), np.full((n, k), -1, np.int64)
         if not len(self.ids) or not n:
             return scores, ids
+        q = ints.astype(np.float64)
         norm = np.sqrt((q**2).sum(1))
+        in_doubles = float(norm.max()) * self.norm < 2.0**52
         qi, node = np.arange(n), np.zeros(n, np.int64)
         bound = np.zeros(0)
         for level in range(len(self.bounds)):
@@ -97,7 +105,7 @@ class BallTree:
             full = q @ c.T if n * len(c) <= 4 * len(qi) else None
             dot = full[qi, node] if full is not None else np.einsum("ij,ij->i", q[qi], c[node])
             bound = dot + norm[qi] * self.radii[level][node]
-            bound += 1e-9 * np.abs(bound) + 1e-6
+            bound += 1e-9 * norm[qi] * self.norm + 1e-6
             live = (bound >= known[qi]) & (np.diff(self.bounds[level])[node] > 0)
             qi, node, bound = qi[live], node[live], bound[live]
         order = np.lexsort((-bound, qi))
@@ -113,9 +121,9 @@ class BallTree:
             for at in np.unique(node[now]):
                 who = qi[now[node[now] == at]]
                 lo, hi = leaf[at], leaf[at + 1]
-                got = q[who] @ self.vecs[lo:hi].T
+                got = (q[who] @ self.vecs[lo:hi].T).astype(np.int64) if in_doubles else long_products(ints[who], self.ints[lo:hi])
                 own = q_ids[who][:, None] == self.ids[lo:hi][None]
-                got[own] = -np.inf
+                got[own] = NONE
                 s = np.hstack([scores[who], got])
                 i = np.hstack([ids[who], np.where(own, -1, self.ids[lo:hi][None])])
                 scores[who], ids[who] = best(s, i, k)
@@ -123,14 +131,79 @@ class BallTree:
         return scores, ids
 
 
+#: The score of no row.
+NONE = int(np.iinfo(np.int64).min)
+
+
+def long_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products in integers of any length."""
+    got = q.astype(object) @ v.astype(object).T
+    if got.size and max(map(abs, got.ravel())) >= 2**63:
+        raise OverflowError("a score of more than 63 bits")
+    return got.astype(np.int64)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row the k highest scores, ties to the smaller id."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    order = np.lexsort((ids, ~scores), axis=1)[:, :k]
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(lists.flatten(), np.float64).reshape(-1, dim)
+    return np.asarray(lists.flatten(), np.int64).reshape(len(lists), dim)
+
+
+#: One cell: its pivot's number or -1, the distance of a vector from the pivot.
+_PLACE = "cell int, away double"
+
+
+def spread(v: np.ndarray, n: int) -> np.ndarray:
+    """Up to n rows of v, each the farthest from those before it, the first from the mean."""
+    away = ((v - v.mean(0)) ** 2).sum(1)
+    out = []
+    while len(out) < n and away.max() > 0:
+        out.append(v[np.argmax(away)])
+        gap = ((v - out[-1]) ** 2).sum(1)
+        away = gap if len(out) == 1 else np.minimum(away, gap)
+    return np.array(out or [v[0]])
+
+
+def placed(rows: DataFrame, pivots) -> DataFrame:
+    """rows with their dim, their cell (that of the nearest pivot) and their distance from its
+    pivot, the zero vector where a length has no pivots."""
+
+    @F.pandas_udf(_PLACE)
+    def place(vecs: pd.Series) -> pd.DataFrame:
+        out, away = np.zeros(len(vecs), np.int32), np.zeros(len(vecs))
+        dims = vecs.map(len).to_numpy()
+        for d in np.unique(dims):
+            at = np.flatnonzero(dims == d)
+            v = np.array(vecs.iloc[at].tolist(), np.float64).reshape(len(at), int(d))
+            p = pivots.value.get(int(d), np.zeros((1, int(d))))
+            out[at] = np.argmin((p**2).sum(1)[None] - 2 * v @ p.T, axis=1)
+            away[at] = np.sqrt(((v - p[out[at]]) ** 2).sum(1))
+        return pd.DataFrame({"cell": out, "away": away})
+
+    return rows.withColumn("place", place("vec")).select(*rows.columns, F.size("vec").alias("dim"), "place.*")
+
+
+def reached(home: DataFrame, pivots, radii) -> DataFrame:
+    """home's rows with `cells`, those whose ball may hold a vector of a score of `kth` or more."""
+
+    @F.pandas_udf("array<int>")
+    def cells(vecs: pd.Series, kth: pd.Series) -> pd.Series:
+        out = []
+        for v, known in zip(vecs, kth, strict=True):
+            d = len(v)
+            number, far = radii.value.get(d, (np.zeros(0, np.int32), np.zeros(0)))
+            p = pivots.value.get(d, np.zeros((1, d)))[number]
+            q = np.asarray(v, np.float64)
+            norm = float(np.sqrt((q**2).sum()))
+            scale = norm * (np.sqrt((p**2).sum(1)) + far)
+            out.append(number[p @ q + norm * far + 1e-9 * scale + 1e-6 >= known] if known is not None and known == known else number)
+        return pd.Series(out)
+
+    return home.withColumn("cells", cells("vec", F.col("kth").cast("double")))
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -143,40 +216,25 @@ def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     by_dim: dict[int, np.ndarray] = {}
     for d in {len(r["vec"]) for r in picked}:
-        v = np.array([r["vec"] for r in picked if len(r["vec"]) == d], np.float64).reshape(-1, d)
-        by_dim[d] = np.unique(v, axis=0)[:: max(1, len(np.unique(v, axis=0)) // CELLS)][:CELLS]
+        by_dim[d] = spread(np.array([r["vec"] for r in picked if len(r["vec"]) == d], np.float64), CELLS) if d else np.zeros((1, 0))
     pivots = spark.sparkContext.broadcast(by_dim)
-
-    @F.pandas_udf("int")
-    def cell(vecs: pd.Series) -> pd.Series:
-        out = np.zeros(len(vecs), np.int32)
-        dims = vecs.map(len).to_numpy()
-        for d in np.unique(dims):
-            p = pivots.value.get(int(d))
-            if p is not None and d:
-                v = np.array(vecs[dims == d].tolist(), np.float64)
-                out[dims == d] = np.argmin((p**2).sum(1)[None] - 2 * v @ p.T, axis=1)
-        return pd.Series(out)
-
-    placed = written(rows.withColumns({"dim": F.size("vec"), "cell": cell("vec")}), "topk-cells")
-    counts = placed.groupBy("dim", "cell").count().select("dim", "cell", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("salts"))
-    sizes = {(r["dim"], r["cell"]): r["salts"] for r in counts.collect()}  # CELLS rows for each length
-    shard_of = {}
-    for d, c in sorted(sizes):
-        shard_of[d, c] = sum(n for (a, b), n in sizes.items() if (a, b) < (d, c))
-    n_shards = sum(sizes.values())
-    if not n_shards:
+    in_cells = written(placed(rows, pivots), "topk-cells")
+    counts = in_cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("salts"), F.max("away").alias("far"))
+    found = sorted(counts.collect())  # at most CELLS rows for each length
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    where = spark.createDataFrame([(d, c, shard_of[d, c], n) for (d, c), n in sizes.items()], "dim int, cell int, first int, salts int")
-    shards = placed.join(where, ["dim", "cell"]).select(
+    first = np.cumsum([0, *(r["salts"] for r in found)]).tolist()
+    tree_at = {s: r["dim"] for r, a in zip(found, first, strict=False) for s in range(a, a + r["salts"])}
+    where = spark.createDataFrame([(r["dim"], r["cell"], a, r["salts"]) for r, a in zip(found, first, strict=False)], "dim int, cell int, first int, salts int")
+    radii = spark.sparkContext.broadcast({d: (np.array([r["cell"] for r in found if r["dim"] == d], np.int32), np.array([r["far"] for r in found if r["dim"] == d])) for d in {r["dim"] for r in found}})
+    shards = in_cells.join(where, ["dim", "cell"]).select(
         (F.col("first") + F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("shard"), "dim", "id", "vec")
-    home = asked.withColumns({"dim": F.size("vec"), "cell": cell("vec")}).join(where, ["dim", "cell"], "left").withColumn("home", F.col("first"))
-    home = written(home.select("id", "vec", "dim", "home", F.xxhash64("id").alias("h")), "topk-home")
+    home = placed(asked, pivots).join(where, ["dim", "cell"], "left")
+    home = written(home.select("id", "vec", "dim", F.col("first").alias("home"), F.xxhash64("id").alias("h")), "topk-home")
     # A task gets one shard and one block of queries, so that neither side outgrows it.
     n_blocks = max(1, -(-home.count() // QUERY_ROWS))
     block = F.pmod("h", F.lit(n_blocks)).cast("int").alias("block")
     shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    tree_at = {s: d for (d, c), first in shard_of.items() for s in range(first, first + sizes[d, c])}
 
     def local(known: bool):
         names = ["query_id", "id", "score"]
@@ -191,12 +249,12 @@ def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     if tree is None:
                         continue
                     q_ids = part.column("id").to_numpy()
-                    kth = part.column("kth").to_numpy(zero_copy_only=False).astype(np.float64) if known else np.full(len(q_ids), -np.inf)
+                    kth = part.column("kth").to_numpy(zero_copy_only=False) if known else np.full(len(q_ids), NONE)
                     s, i = tree.search(q_ids, _matrix(part.column("vec"), dim), k, kth)
                     row, col = np.nonzero(i >= 0) if (i >= 0).any() else (np.zeros(0, int), np.zeros(0, int))
-                    keep = (s[row, col] >= kth[row]) & (s[row, col] > -np.inf)
+                    keep = (s[row, col] >= kth[row]) & (s[row, col] > NONE)
                     row, col = row[keep], col[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(i[row, col]), pa.array(s[row, col].astype(np.int64))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(i[row, col]), pa.array(s[row, col])], names)
 
         def whole(key, left: pa.Table, right: pa.Table) -> pa.Table:
             made = list(run(key, left.to_batches(), right.to_batches()))
@@ -211,10 +269,11 @@ def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     first = written(first, "topk-first")
     # The k-th score of a query that has k rows already; of others, none.
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth")).withColumnRenamed("query_id", "id")
-    shard_dims = spark.createDataFrame(sorted(tree_at.items()), "shard int, dim int")
+    asking = reached(home.join(kth, "id", "left"), pivots, radii)
     sent = (
-        home.join(kth, "id", "left").join(shard_dims, "dim").where(~F.col("shard").eqNullSafe(F.col("home")))
-        .select("shard", block, "id", "vec", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("kth"))
+        asking.withColumn("cell", F.explode("cells")).join(where, ["dim", "cell"])
+        .withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1))).where(~F.col("shard").eqNullSafe(F.col("home")))
+        .select("shard", block, "id", "vec", F.coalesce("kth", F.lit(NONE)).alias("kth"))
     )
     rest = shards.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(local(True), out)
     return ranked(first.unionByName(rest), k)

@@ -4,14 +4,16 @@ A `Cascade` answers "is this key listed?" exactly for every key of the universe
 over, here all the keys that the corpus's own URLs can look up. Level 0 encodes the listed
 keys; level 1 the universe's false positives at level 0; level 2 the listed keys that level 1
 takes for false positives; and so on until a level has none. A lookup walks the levels until
-one does not hold the key: no join, and only the levels' bits travel. Their size follows from
-the list (a proven bound): a level of more than bloom.MAX_BITS is refused, and `membership` then
-takes a semi-join instead.
+one does not hold the key: no join, and only the levels' bits travel. Level 0 is the finer the
+larger the universe is against the list, so that its false positives are about as many as listed
+keys: all levels' size follows from the list. A long list is split by ranges of the key's hash
+into cascades of levels of bloom.MAX_BITS at most; together they have MAX_BYTES at most, or the
+list (of some forty million keys) is refused.
 
 Null urls and urls without `://` have empty host and path, fit no rule and are blocked, as
 nothing can be fetched from them. Rows are judged one by one: repeated rows get equal verdicts,
 empty tables give empty results, and only `page_id` and `url` are read. Of two rules of equal
-length that fit, the one with the longer host wins.
+length that fit, the one with the longer host wins. Null keys of a list are left out.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from . import bloom
 from ._common import read_table, remove, written, new_path
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+#: Bytes of all levels of one list at most, as they are broadcast.
+MAX_BYTES = 1 << 28
 #: Words of a host (split at dots and hyphens) that the method's own list blocks.
 LISTED_WORDS = ("casino", "escort", "pills", "porn", "spam", "viagra", "warez", "xxx")
 
@@ -72,29 +76,67 @@ def hashes(key: Column, level_seed: int = 0) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit(level_seed + 1), key)
 
 
+class Ranges:
+    """Cascades by ranges of the first hash."""
+
+    def __init__(self, parts: list[Cascade]):
+        self.parts = parts
+
+    @property
+    def n_bytes(self) -> int:
+        return sum(p.n_bytes for p in self.parts)
+
+    def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h1), bool)
+        at = (h1.view(np.uint64) >> np.uint64(48)) * np.uint64(len(self.parts)) >> np.uint64(16)
+        for i, part in enumerate(self.parts):
+            mine = np.flatnonzero(at == i)
+            if len(mine):
+                out[mine] = part.contains(h1[mine], h2[mine])
+        return out
+
+
 def _level(keys: DataFrame, n: int, p: float, i: int) -> bloom.Level:
-    m = bloom.n_bits(n, p)
-    if m > bloom.MAX_BITS:
-        raise OverflowError(f"a level of {m} bits; the bound is {bloom.MAX_BITS}")
-    return bloom.build(_turned(keys, i), m, max(1, round(math.log2(1 / p))))
+    return bloom.build(_turned(keys, i), bloom.n_bits(n, p), max(1, round(math.log2(1 / p))))
 
 
-def build(universe: DataFrame, listed: DataFrame, max_levels: int = 40) -> Cascade:
-    """A cascade for the string column `key` of `listed`, exact over `key` of `universe`."""
+def build(universe: DataFrame, listed: DataFrame, max_bits: int | None = None) -> Ranges:
+    """Cascades for the string column `key` of `listed`, exact over `key` of `universe`."""
     spark = universe.sparkSession
     h1, h2 = hashes(F.col("key"))
-    paths = [new_path(spark, "cascade-listed")]
-    yes = written(listed.where("key is not null").select("key").distinct().select("key", h1.alias("h1"), h2.alias("h2")), "", paths[0])
+    path = new_path(spark, "cascade-listed")
+    yes = written(listed.where("key is not null").select("key").distinct().select("key", h1.alias("h1"), h2.alias("h2")), "", path)
+    n = yes.count()
+    if not n:
+        return Ranges([Cascade([])])
+    keys = universe.where("key is not null").select("key", h1.alias("h1"), h2.alias("h2"))
+    # Level 0 lets about as many of the universe's keys pass as there are listed ones.
+    asked = keys.agg(F.approx_count_distinct("h1")).first()[0]
+    first = max(2.0**-40, min(1 / 64, n / max(1, asked)))
+    if (size := bloom.n_bits(n, first)) * 2 > MAX_BYTES * 8:
+        raise OverflowError(f"{n} listed keys take {size} bits or more; the bound is {MAX_BYTES} bytes")
+    n_parts = -(-size // (max_bits or bloom.MAX_BITS))
+    made = []
+    for r in range(n_parts):
+        mine = F.shiftright(F.shiftrightunsigned("h1", 48) * n_parts, 16) == r
+        made.append(_cascade(keys.where(mine) if n_parts > 1 else keys, yes.where(mine) if n_parts > 1 else yes, first))
+    out = Ranges(made)
+    if out.n_bytes > MAX_BYTES:
+        raise OverflowError(f"cascades of {out.n_bytes} bytes; the bound is {MAX_BYTES}")
+    remove(spark, path)
+    return out
+
+
+def _cascade(keys: DataFrame, yes: DataFrame, first: float, max_levels: int = 40) -> Cascade:
+    spark = keys.sparkSession
     n = yes.count()
     if not n:
         return Cascade([])
-    levels = [_level(yes, n, 1 / 64, 0)]
+    levels = [_level(yes, n, first, 0)]
     # The universe's false positives: only what level 0 holds is ever compared with the list.
-    seen = universe.where("key is not null").select("key", h1.alias("h1"), h2.alias("h2"))
-    held = _filtered(seen, levels[0], 0).distinct()
-    paths.append(new_path(spark, "cascade-false"))
-    no = written(held.join(yes.select("key"), "key", "left_anti").select("key", "h1", "h2"), "", paths[1])
-    members, others = yes, no
+    paths = [new_path(spark, "cascade-false")]
+    held = _filtered(keys, levels[0], 0).distinct()
+    members, others = yes, written(held.join(yes.select("key"), "key", "left_anti").select("key", "h1", "h2"), "", paths[0])
     while (n := others.count()) and len(levels) < max_levels:
         levels.append(_level(others, n, 1 / 4, len(levels)))
         paths.append(new_path(spark, "cascade-level"))
@@ -147,8 +189,15 @@ def candidate_keys(host: Column, path: Column, rules: Iterable[str]) -> Column:
     return F.transform(F.reverse(F.array_sort(F.array_compact(F.array(*made)))), lambda x: x["key"])
 
 
-def judge(pages: DataFrame, rules: dict[str, str] = RULES, words: Iterable[str] = LISTED_WORDS) -> DataFrame:
-    """page_id, host, path, rule and verdict of each page."""
+def suffixes(host: Column, most: int) -> Column:
+    """The host and its parent domains of at most `most` labels."""
+    n = F.least(F.size(F.split(host, r"\.")), F.lit(most))
+    return F.when((host != "") & (n > 0), F.transform(F.sequence(F.lit(1), n), lambda k: F.call_function("substring_index", host, F.lit("."), -k))).otherwise(F.array().cast("array<string>"))
+
+
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, words: Iterable[str] = LISTED_WORDS, hosts: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule and verdict of each page. Where no rule fits, a page is blocked
+    for a listed word of its host, or for its host or a parent domain in `hosts` (column `key`)."""
     spark = pages.sparkSession
     host, path = parsed(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -156,12 +205,19 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, words: Iterable[str]
     rows = rows.withColumn("words", F.array_remove(F.array_distinct(F.split("host", r"[.\-]")), ""))
     frame = lambda keys: spark.createDataFrame([(k,) for k in sorted(keys)], "key string")
     over_keys, over_words = rows.select(F.explode("keys").alias("key")), rows.select(F.explode("words").alias("key"))
-    cascades = spark.sparkContext.broadcast({
+    built = {
         "allow": build(over_keys, frame(k for k, v in rules.items() if v == "allow")),
         "block": build(over_keys, frame(k for k, v in rules.items() if v == "block")),
         "words": build(over_words, frame(words)),
-    })
-    for name in ("keys", "words"):
+    }
+    names = ["keys", "words"]
+    if hosts is not None:
+        most = hosts.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 0
+        rows = rows.withColumn("hosts", suffixes(F.col("host"), most))
+        built["hosts"] = build(rows.select(F.explode("hosts").alias("key")), hosts)
+        names.append("hosts")
+    cascades = spark.sparkContext.broadcast(built)
+    for name in names:
         rows = rows.withColumns({
             f"{name}_1": F.transform(name, lambda x: hashes(x)[0]),
             f"{name}_2": F.transform(name, lambda x: hashes(x)[1]),
@@ -181,9 +237,10 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, words: Iterable[str]
             first[row[idx]] = idx  # the earliest, hence longest, key wins
             flat = col["keys"].flatten()
             rule = flat.take(pa.array(np.maximum(first, 0), mask=first < 0)) if len(flat) else pa.nulls(n, pa.string())
-            wrow, (bad,) = _hits(col, "words", (at["words"],))
             blocked = np.zeros(n, bool)
-            blocked[wrow[bad]] = True
+            for name in names[1:]:
+                where, (bad,) = _hits(col, name, (at[name],))
+                blocked[where[bad]] = True
             blocked |= np.asarray(pc.equal(col["host"], ""))
             by_rule = first >= 0
             blocked[by_rule] = hits[1][first[by_rule]]
@@ -193,7 +250,7 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, words: Iterable[str]
     return rows.mapInArrow(run, schema)
 
 
-def _hits(col: dict[str, pa.Array], name: str, cascades: tuple[Cascade, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+def _hits(col: dict[str, pa.Array], name: str, cascades: tuple[Ranges, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
     lists = col[f"{name}_1"]
     sizes = np.diff(np.asarray(lists.offsets))
     row = np.repeat(np.arange(len(lists)), sizes)
@@ -202,12 +259,8 @@ def _hits(col: dict[str, pa.Array], name: str, cascades: tuple[Cascade, ...]) ->
 
 
 def membership(keys: DataFrame, listed: DataFrame) -> DataFrame:
-    """`keys` with a boolean column `listed`: by a cascade, or by a join where the list is too
-    long for one."""
-    try:
-        cascade = keys.sparkSession.sparkContext.broadcast(build(keys, listed))
-    except OverflowError:
-        return keys.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    """`keys` with a boolean column `listed`."""
+    cascade = keys.sparkSession.sparkContext.broadcast(build(keys, listed))
     h1, h2 = hashes(F.col("key"))
 
     @F.pandas_udf("boolean")

@@ -128,7 +128,9 @@ def test_cascade_is_exact(spark):
     rows = universe.select("key", h1.alias("a"), h2.alias("b")).toPandas()
     got = c.contains(rows["a"].to_numpy(), rows["b"].to_numpy())
     assert got.tolist() == rows["key"].str.contains("7").tolist()
-    assert len(c.levels) >= 2
+    assert len(c.parts) == 1 and len(c.parts[0].levels) >= 2
+    many = urls.build(universe, listed, max_bits=1000)
+    assert len(many.parts) > 3 and np.array_equal(many.contains(rows["a"].to_numpy(), rows["b"].to_numpy()), got)
     assert {(r["key"], r["listed"]) for r in urls.membership(universe, listed).collect()} == {(k, "7" in k) for k in rows["key"]}
 
 
@@ -144,6 +146,17 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_a_list_of_hosts(spark):
+    """A hundred thousand listed hosts: they and their subdomains are blocked, nobody else."""
+    hosts = spark.range(100_000).select(F.concat(F.lit("h"), "id", F.lit(".example"), F.col("id") % 7).alias("key")).unionByName(spark.createDataFrame([(None,), ("co.uk",)], "key string"))
+    at = F.col("id")
+    url = F.when(at % 3 == 0, F.concat(F.lit("http://h"), at * 40, F.lit(".example"), (at * 40) % 7, F.lit("/x"))).when(at % 3 == 1, F.concat(F.lit("http://www.a.h"), at * 40, F.lit(".example"), (at * 40) % 7)).otherwise(F.concat(F.lit("http://h"), at * 40, F.lit(".example"), (at * 40 + 1) % 7))
+    pages = spark.range(4000).select(at.alias("page_id"), url.alias("url")).unionByName(spark.createDataFrame([(9001, "http://x.co.uk/"), (9002, "http://uk/"), (9003, None)], "page_id long, url string"))
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, hosts=hosts).collect()}
+    assert got.pop(9001) == "block" and got.pop(9002) == "allow" and got.pop(9003) == "block"
+    assert got == {i: "block" if i % 3 < 2 and i * 40 < 100_000 else "allow" for i in range(4000)}
+
+
 def test_archives(spark, tmp_path):
     pages = [(5, "http://a/é x\n", "same"), (3, "http://b", "same"), (3, "http://b", "same"), (9, None, "same"), (1, "u", None), (2, "u", ""), (None, "n", "alone"), (None, "n", "same"), (4, "w", "WARC/1.1\r\n\r\n\r\nWARC/1.1\r\nX: y\r\n\r\n"), (6, "r", "line\r\nline\n\n"), (7, "l", "é" * 200_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1))

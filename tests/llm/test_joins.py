@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowspark.llm import jaccard, topk
 
@@ -71,10 +72,12 @@ def test_components(spark, n, num, den):
 
 
 def test_odd_documents(spark):
-    docs = wild(documents(spark), "nj_node", "component")
+    docs = wild(documents(spark), "nj_node", "nj_id", "nj_row", "nj_key", "nj_kept", "nj_whole", "nj_rest", "nj_empty", "component")
     got = jaccard.with_component_ids(jaccard.components(docs)).select("doc_id", "nj_n", "component_id")
     assert ordered(tuple(r) for r in got.collect()) == ordered(brute_components(plain(docs), 5, 80, 100))
-    kept = plain(jaccard.representatives(documents(spark)))
+    kept = jaccard.representatives(docs)
+    assert kept.columns == docs.columns
+    kept = plain(kept)
     assert sorted(str(i) for i, _ in kept if i not in (4, 5, None)) == sorted(map(str, [1, 6, 7, 8, 9, 11, 12, 13, 14, 15, 16]))
     assert jaccard.representatives(empty(spark)).count() == 0
 
@@ -131,18 +134,18 @@ def test_contraction(spark):
 def test_search(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = [rng.normal(size=6).tolist() for _ in range(300)] + [[0.5] * 6] * 120
-    rows = [(i, x) for i, x in enumerate(v)] + [(1000, None), (1001, [1.0, None] + [0.0] * 4), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (None, [1.0] * 6), (1050, [1.0, 2.0]), (1004, [0.3, 0.1]), (5, v[5])]
+    rows = [(i, x) for i, x in enumerate(v)] + [(1000, None), (1001, [1.0, None] + [0.0] * 4), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (None, [1.0] * 6), (1050, [1.0, 2.0]), (1004, [0.3, 0.1]), (5, v[5]), (1100, []), (1101, []), (1200, [3e5, 1e6, 0.1]), (1201, [2e5, 1e5, 0.3]), (1202, [1e3, -1e5, 0.7])]
     monkeypatch.setattr(topk, "LEAF", 8)
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "QUERY_ROWS", 5)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = wild(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id", "vec", "cell", "dim", "kth", "shard", "h")
     q = topk.quantised(df)
     got = ordered(tuple(r) for r in topk.search(q, q.where("id % 50 = 0"), 5).collect())
     whole = {i: np.floor(256 * np.array(x)).astype(int) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(np.array(x, float)).all()}
     want = []
     for i in whole:
         if i % 50 == 0:
-            s = sorted((-int(whole[i] @ whole[j]), j) for j in whole if j != i and len(whole[j]) == len(whole[i]))[:5]
+            s = sorted((-sum(a * b for a, b in zip(whole[i].tolist(), whole[j].tolist(), strict=True)), j) for j in whole if j != i and len(whole[j]) == len(whole[i]))[:5]
             want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
     assert got == ordered(want)
     none = topk.quantised(df.limit(0))
@@ -151,9 +154,28 @@ def test_search(spark, monkeypatch):
 
 def test_tree_bounds_hold():
     rng = np.random.default_rng(8)
-    v = rng.integers(-200, 200, (500, 5)).astype(float)
+    v = rng.integers(-200, 200, (500, 5))
     tree = topk.BallTree(np.arange(500), v)
-    q = rng.integers(-200, 200, (20, 5)).astype(float)
-    s, i = tree.search(np.arange(1000, 1020), q, 3, np.full(20, -np.inf))
+    q = rng.integers(-200, 200, (20, 5))
+    s, i = tree.search(np.arange(1000, 1020), q, 3, np.full(20, topk.NONE))
     want = np.sort(q @ v.T, axis=1)[:, ::-1][:, :3]
     assert np.array_equal(s, want) and (i >= 0).all()
+
+
+def test_far_cells_are_not_asked(spark, monkeypatch):
+    """On clustered vectors most (query, cell) pairs are cut before they travel."""
+    rng = np.random.default_rng(1)
+    centers = np.eye(24) * 4
+    rows = [(i, (centers[i % 24] + rng.normal(size=24) * 0.05).tolist()) for i in range(2400)]
+    q = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    sent = []
+    whole = topk.reached
+
+    def counted(*args):
+        sent.append(whole(*args))
+        return sent[0]
+
+    monkeypatch.setattr(topk, "reached", counted)
+    got = topk.search(q, q.where("id % 50 = 0"), 5).count()
+    n = sent[0].agg(F.sum(F.size("cells")), F.count("*")).first()
+    assert got == 240 and n[0] < 0.1 * n[1] * topk.CELLS

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 
 from flowspark.llm import licenses, lines, quality, spans
 
+from ..conftest import SF
 from .cases import PASSAGE, documents, empty, ordered, plain, wild
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -54,6 +56,93 @@ def test_licences(spark):
     assert licenses.scan(empty(spark), index).count() == 0
 
 
+def brute_places(words, idf_free_templates):
+    """Every start of every template tried; the most words in order by plain recursion."""
+    from functools import cache
+
+    out = []
+    for label, text, phrases in idf_free_templates:
+        model = text.encode().split()
+        good = []
+        for start in range(-len(model) - 3, len(words) + 4):
+
+            @cache
+            def most(q, after, start=start):
+                if q == len(model):
+                    return 0
+                at = [p for p in range(max(after, start + q - 3, 0), min(len(words), start + q + 4)) if words[p] == model[q]]
+                return max([most(q + 1, after), *(1 + most(q + 1, p + 1) for p in at)])
+
+            stands = True
+            for phrase in phrases:
+                w = phrase.encode().split()
+                places = [q for q in range(len(model)) if model[q : q + len(w)] == w]
+                stands &= any(words[p : p + len(w)] == w for q in places for p in range(max(0, start + q - 3), start + q + 4))
+            if stands and 10 * most(0, 0) >= 6 * len(model):
+                good.append((start, most(0, 0) / len(model)))
+        while good:
+            run = [good.pop(0)]
+            while good and good[0][0] - run[-1][0] <= 3:
+                run.append(good.pop(0))
+            score = max(x for _, x in run)
+            out.append((label, max(0, next(s for s, x in run if x == score)), len(model), score))
+    return sorted(out)
+
+
+def test_licences_against_every_start():
+    """Notices cut, broken by other words, with changed words and next to each other."""
+    rng = random.Random(6)
+    common = sorted({w for _, t, _ in licenses.TEMPLATES for w in t.encode().split()})
+    index = licenses.Index({w: rng.random() for w in common[: len(common) // 2]})
+    some = 0
+    for _ in range(250):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            _, t, _ = rng.choice(licenses.TEMPLATES)
+            notice = t.encode().split()
+            for _ in range(rng.randrange(0, 4)):
+                k = rng.randrange(len(notice))
+                kind = rng.randrange(4)
+                if kind == 0:
+                    notice[k] = rng.choice(common)
+                elif kind == 1:
+                    notice.insert(k, b"dnl")
+                elif kind == 2 and len(notice) > 3:
+                    del notice[k]
+                else:
+                    notice = notice[:k] or notice
+            words += [rng.choice([b"x", rng.choice(common)]) for _ in range(rng.randrange(0, 9))] + notice
+        got, want = sorted(index.scan(words)), brute_places(words, licenses.TEMPLATES)
+        assert got == want
+        some += len(want)
+    assert some > 100
+
+
+def test_licence_query(spark):
+    """The registered query, row by row, against a scan of every start."""
+    got = {r["doc_id"]: tuple(r) for r in licenses.op3_license_scan(spark, SF).collect()}
+    docs = plain(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert len(got) == len(docs)
+    for i, t in docs:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        base = {p: [k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()] for p, _ in licenses.BASE}
+        starts = sorted(k for x in base.values() for k in x)
+        labels = {label for p, label in licenses.BASE if base[p]}
+        places = brute_places([x.encode() for x in w], licenses.TEMPLATES)
+        score = max([0.5 if labels else 0.0, *(x[3] for x in places)])
+        assert got[i] == (i, len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[0] for x in places})), score)
+
+
+def test_common_words_hide_no_place():
+    """The rarest words stand elsewhere in the file; the notice has other words in their places."""
+    model = licenses.TEMPLATES[4][1].split()
+    index = licenses.Index({})
+    rare = [w.decode() for w, _ in index.by_rarity[4] if w.decode() not in "permission is hereby granted free of charge"][:4]
+    words = [*rare, *["x"] * 60, *("other" if w in rare else w for w in model)]
+    assert "mit" in {p[0] for p in index.scan(licenses.words_of(" ".join(words)))}
+
+
 def brute_lines(rows, least=20, least_docs=3):
     low = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(WHITE))
     holders = {}
@@ -70,7 +159,7 @@ def brute_lines(rows, least=20, least_docs=3):
 
 
 def test_line_dedup(spark):
-    docs = wild(documents(spark), "ld_key", "line")
+    docs = wild(documents(spark), "ld_key", "ld_doc", "ld_keys", "ld_row", "line")
     want = brute_lines(plain(docs))
     got = lines.dedup(docs)
     assert got.columns == docs.columns
@@ -112,8 +201,9 @@ def brute_spans(rows):
 
 
 def test_span_dedup(spark):
-    docs = documents(spark)
+    docs = wild(documents(spark), "sp_doc", "sp_spans", "sp_row", "sp_text", "sp_text_2", "sp_g")
     got = spans.dedup(docs)
+    assert got.columns == docs.columns
     assert ordered(plain(got)) == ordered(brute_spans(plain(docs)))
     by = dict(plain(got))
     assert PASSAGE in by[11] and PASSAGE[:40] not in by[12]
