@@ -58,6 +58,25 @@ def previous(df: DataFrame, order: Order, columns: list[str], name: str = "prev"
     return rows.withColumn(name, F.coalesce(name, "__before")).drop("__chunk", "__row", "__before")
 
 
+def running_max(df: DataFrame, order: Order, **values: Column) -> DataFrame:
+    """df with a column per name: the largest value up to and including the row; nulls are passed over."""
+    return _extreme(df, order, F.max, (Window.unboundedPreceding, Window.currentRow), (Window.unboundedPreceding, -1), F.greatest, values)
+
+
+def following_min(df: DataFrame, order: Order, **values: Column) -> DataFrame:
+    """df with a column per name: the least value from the row on."""
+    return _extreme(df, order, F.min, (Window.currentRow, Window.unboundedFollowing), (1, Window.unboundedFollowing), F.least, values)
+
+
+def _extreme(df: DataFrame, order: Order, agg, inside: tuple[int, int], beyond: tuple[int, int], both, values: dict[str, Column]) -> DataFrame:
+    rows = df.withColumn("__chunk", order.chunk)
+    ids = [*order.keys, "__chunk"]
+    per = rows.groupBy(*ids).agg(*(agg(e).alias(f"__{n}") for n, e in values.items()))
+    per = per.select(*ids, *(agg(f"__{n}").over(order.over_chunks.rowsBetween(*beyond)).alias(f"__{n}") for n in values))
+    rows = rows.withColumns({n: agg(e).over(order.inside.rowsBetween(*inside)) for n, e in values.items()}).join(per, ids)
+    return rows.withColumns({n: both(n, f"__{n}") for n in values}).drop("__chunk", *(f"__{n}" for n in values))
+
+
 def row_index(df: DataFrame, order: Order, name: str = "n") -> DataFrame:
     """df with a 0-based row number per key."""
     return running_sum(df, order, **{name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)

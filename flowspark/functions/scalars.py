@@ -154,6 +154,14 @@ def normal_cdf(z: Column | str) -> Column:
     return F.when(col(z) >= 0, F.lit(1.0) - tail).otherwise(tail)
 
 
+def normal_cdf_of(z: np.ndarray) -> np.ndarray:
+    """The same of an array."""
+    x = np.abs(z) / 2.0**0.5
+    t = 1.0 / (1.0 + 0.3275911 * x)
+    tail = 0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x)
+    return np.where(z >= 0, 1.0 - tail, tail)
+
+
 def normal_cdf_exact(z: Column | str) -> Column:
     """Phi by math.erf, Arrow batch by Arrow batch."""
     @F.pandas_udf("double")

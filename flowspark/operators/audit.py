@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import following_min, running_max
 from .book import changes, live_levels
+from .chain import by_id
 from .quality import compare_top
 
 
@@ -13,15 +15,14 @@ def aligned(snapshots: DataFrame, deltas: DataFrame, probes: DataFrame, keys: tu
     """probes (keys, probe, rest_id) with snap_id, the last stored snapshot id not above rest_id,
     and stop_id, the first stored final id not below it. Two ordered passes over ids only."""
     ids = [F.lit(None).cast("long").alias(c) for c in ("probe", "s", "d")]
+    rank = lambda n: F.lit(n).alias("rank")  # noqa: E731  at one id: snapshots, probes, deltas
     rows = (
-        snapshots.select(*keys, F.col("last_update_id").alias("id"), ids[0], F.col("last_update_id").alias("s"), ids[2])
-        .unionByName(deltas.select(*keys, F.col("final_update_id").alias("id"), ids[0], ids[1], F.col("final_update_id").alias("d")))
-        .unionByName(probes.select(*keys, F.col("rest_id").alias("id"), F.col("probe").cast("long"), ids[1], ids[2]))
+        snapshots.select(*keys, F.col("last_update_id").alias("id"), ids[0], F.col("last_update_id").alias("s"), ids[2], rank(0))
+        .unionByName(deltas.select(*keys, F.col("final_update_id").alias("id"), ids[0], ids[1], F.col("final_update_id").alias("d"), rank(2)))
+        .unionByName(probes.select(*keys, F.col("rest_id").alias("id"), F.col("probe").cast("long"), ids[1], ids[2], rank(1)))
     )
-    w = Window.partitionBy(*keys).orderBy("id")  # peers included on both sides
-    back = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.withColumns({"snap_id": F.max("s").over(back), "stop_id": F.min("d").over(ahead)})
+    order = by_id(keys, "id", "rank")
+    rows = following_min(running_max(rows, order, snap_id=F.col("s")), order, stop_id=F.col("d"))
     return rows.where("probe is not null").select(*keys, "probe", F.col("id").alias("rest_id"), "snap_id", "stop_id")
 
 
@@ -32,9 +33,7 @@ def probe_books(snapshots: DataFrame, deltas: DataFrame, probes: DataFrame, keys
     at = aligned(snapshots, deltas, probes, keys)
     marks = snapshots.select(*keys, F.col("last_update_id").alias("id"), F.lit(1).alias("late"), F.col("last_update_id").alias("s"))
     rows = marks.unionByName(deltas.withColumns({"id": F.col("final_update_id"), "late": F.lit(0), "s": F.lit(None).cast("long")}), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("id", "late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    segment = F.max("s").over(w)
-    owned = rows.withColumn("segment", segment).where("late = 0").drop("id", "late", "s")
+    owned = running_max(rows, by_id(keys, "id", "late"), segment=F.col("s")).where("late = 0").drop("id", "late", "s")
     wanted = at.where("snap_id is not null and stop_id is not null and snap_id <> rest_id")
     own = owned.join(wanted.withColumnRenamed("snap_id", "segment"), [*keys, "segment"]).where("final_update_id <= stop_id").withColumn("snap_id", F.col("segment"))
     last = owned.join(wanted.withColumnRenamed("stop_id", "final_update_id"), [*keys, "final_update_id"]).where("segment <> snap_id").withColumn("stop_id", F.col("final_update_id"))

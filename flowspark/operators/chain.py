@@ -2,17 +2,28 @@
 
 Headers are rows of (keys, uid, first_id, prev_id, is_snapshot, ts_event_ns, ts_recv_ns, row_id);
 a snapshot's uid is its last update id, a delta's its final one.
+
+Ids are cut into chunks of CHUNK, so that a hot symbol is many tasks; what crosses their borders is
+one row a chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain as chained
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions.ordered import Order, following_min, previous, row_index, running_max, running_sum
+from ..functions.scalars import floor_div
+from ..sources.tape import written
+from .book import best_at, changes, padded, top_levels_at, valid_top
 
-from .book import best_at, changes, valid_top
+CHUNK = 1 << 20
 
 
 def headers(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -26,56 +37,64 @@ def headers(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...]) -> D
 KEPT, PERIODIC, OFF_CHAIN = "kept", "periodic", "off_chain"
 
 
-def _walk(rows: Iterator[dict]) -> Iterator[tuple[dict, str]]:
-    """One key's headers in order (deltas before snapshots of the same id) with their fate.
+def _fates(runs: Iterable[dict]) -> Iterator[tuple[dict, str, int]]:
+    """One key's runs in order, each with its fate and by how many places it moves. A run's deltas
+    follow each other, so its first one's fate is that of all.
 
-    A snapshot of the chain's current id is a periodic copy. A delta continues the chain if it
-    names the current id as previous, or brackets the id of a snapshot just kept. One that does
-    neither waits for a snapshot of its own id, which then goes first; else it is off the chain,
-    as is all that follows until the next snapshot.
+    A snapshot of the id that the chain has reached is a periodic copy; any other one starts the
+    chain anew. A delta goes on from the id that it names as previous, or, first after a snapshot,
+    from one that it brackets. Else it may be the change that a snapshot of its own id right after
+    it has taken in: then that snapshot goes first. What is left is off the chain.
     """
-    at, fresh, waiting = None, False, None
-
-    def joins(d: dict) -> bool:
-        return at is not None and (d["prev_id"] == at or (fresh and d["first_id"] <= at <= d["uid"]))
-
-    queue = iter(rows)
-    nxt = next(queue, None)
-    while nxt is not None or waiting is not None:
-        if waiting is not None:
-            row, waiting = waiting, None
-        else:
-            row, nxt = nxt, next(queue, None)
-        if row["is_snapshot"]:
-            if row["uid"] == at:
-                yield row, PERIODIC
-            else:
-                at, fresh = row["uid"], True
-                yield row, KEPT
-        elif joins(row):
-            at, fresh = row["uid"], False
-            yield row, KEPT
-        elif nxt is not None and nxt["is_snapshot"] and nxt["uid"] == row["uid"]:
-            waiting, row, nxt = row, nxt, next(queue, None)
-            # The snapshot first, then the delta again, which can now continue from it.
-            if row["uid"] == at:
-                yield row, PERIODIC
-            else:
-                at, fresh = row["uid"], True
-                yield row, KEPT
+    reached, just_started, asking, moved = None, False, None, 0
+
+    def goes_on(d: dict) -> bool:
+        return reached is not None and (d["prev_id"] == reached or (just_started and d["first_id"] <= reached <= d["uid"]))
+
+    for run in chained(runs, [None]):
+        if asking is not None:
+            if run is not None and run["is_snapshot"] and run["uid"] == asking["uid"]:
+                yield run, PERIODIC if run["uid"] == reached else KEPT, -1
+                just_started |= run["uid"] != reached
+                reached, moved = run["uid"], moved + 1
+                if goes_on(asking):
+                    yield asking, KEPT, moved
+                    reached, just_started, asking = asking["last_uid"], False, None
+                continue
+            yield asking, OFF_CHAIN, moved
+            asking = None
+        if run is None:
+            return
+        if run["is_snapshot"]:
+            yield run, PERIODIC if run["uid"] == reached else KEPT, 0
+            just_started |= run["uid"] != reached
+            reached = run["uid"]
+        elif goes_on(run):
+            yield run, KEPT, 0
+            reached, just_started = run["last_uid"], False
         else:
-            yield row, OFF_CHAIN
+            asking, moved = run, 0
 
 
 def select(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Headers with fate and seq (replay position per key, of all rows). Each key's headers stream
-    sorted through one task that keeps two of them in memory."""
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", fate string, seq long"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    """Headers with fate and seq (replay position per key, of all rows).
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    Deltas that name the one right before them as previous share its fate: they are one run, found
+    inside chunks of ids. Only runs (snapshots, breaks of the chain, chunks) are walked in order.
+    """
+    ids = [*keys, "__chunk"]
+    order = Window.partitionBy(*ids).orderBy("uid", "is_snapshot", "row_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Deltas that share their id with others are runs of their own, and so is the one after them.
+    rows = rows.withColumn("__chunk", floor_div("uid", CHUNK)).withColumn("__alone", (F.count("*").over(Window.partitionBy(*ids, "uid")) == 1) & ~F.col("is_snapshot"))
+    before = F.lag(F.struct("uid", "__alone")).over(order)
+    same = F.col("__alone") & before["__alone"] & (F.col("prev_id") == before["uid"]) & (F.col("first_id") > F.col("prev_id"))
+    rows = rows.withColumns({"__head": ~F.coalesce(same, F.lit(False)), "__n": F.row_number().over(order)})
+    rows = rows.withColumn("__run", F.sum(F.col("__head").cast("int")).over(upto))
+    runs = rows.groupBy(*ids, "__run").agg(F.min_by(F.struct("uid", "first_id", "prev_id", "is_snapshot"), "__n").alias("h"), F.max("uid").alias("last_uid"), F.count("*").alias("__rows"))
+    kinds = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([*(kinds[k] for k in keys), T.StructField("__chunk", T.LongType()), T.StructField("__run", T.LongType()), T.StructField("fate", T.StringType()), T.StructField("__moved", T.LongType()), T.StructField("__rows", T.LongType())])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (r for b in batches for r in b.to_pylist())
@@ -90,63 +109,95 @@ def select(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
                     row, ahead = ahead, next(stream, None)
                     yield row
 
-            for n, (row, fate) in enumerate(_walk(own())):
-                out.append(row | {"fate": fate, "seq": n})
+            for row, fate, moved in _fates(own()):
+                out.append({k: row[k] for k in (*ids, "__run", "__rows")} | {"fate": fate, "__moved": moved})
                 if len(out) >= 10_000:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
                     out = []
         yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "uid", "is_snapshot", "row_id")
-    return placed.mapInArrow(run, schema)
+    walked = runs.select(*ids, "__run", "__rows", "last_uid", "h.*").repartition(*keys).sortWithinPartitions(*ids, "__run").mapInArrow(run, schema)
+    per_chunk = rows.groupBy(*ids).agg(F.count("*").alias("__size"))
+    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_chunk.select(*ids, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__offset"))
+    got = rows.join(walked.drop("__rows"), [*ids, "__run"]).join(offsets, ids)
+    return got.withColumn("seq", F.col("__offset") + F.col("__n") - 1 + F.col("__moved")).drop("__chunk", "__alone", "__head", "__n", "__run", "__moved", "__offset")
+
+
+def by_seq(keys: tuple[str, ...], order: str = "seq") -> Order:
+    return Order(keys, (order,), floor_div(order, CHUNK))
 
 
 def restamp(rows: DataFrame, keys: tuple[str, ...], order: str = "seq") -> DataFrame:
     """Kept headers with both clocks pulled back so that they strictly increase along the order."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.withColumn("__n", n)
-    return rows.withColumns({c: F.min(F.col(c) - F.col("__n")).over(ahead) + F.col("__n") for c in ("ts_event_ns", "ts_recv_ns")}).drop("__n")
+    at = by_seq(keys, order)
+    rows = row_index(rows, at, "__n")
+    clocks = ("ts_event_ns", "ts_recv_ns")
+    rows = following_min(rows, at, **{f"__least_{c}": F.col(c) - F.col("__n") for c in clocks})
+    return rows.withColumns({c: F.col(f"__least_{c}") + F.col("__n") for c in clocks}).drop("__n", *(f"__least_{c}" for c in clocks))
 
 
 def grouped(kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Kept headers with group, the ordinal of the snapshot that they build on."""
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return kept.withColumn("group", F.sum(F.col("is_snapshot").cast("int")).over(w).cast("long"))
+    return running_sum(kept, by_seq(keys), group=F.col("is_snapshot").cast("long"))
 
 
-def replay(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(kept headers, level changes): what a replay applies. Levels are joined to the kept
-    headers only, so skipped snapshots are never shuffled."""
-    kept = grouped(restamp(select(headers(snapshots, deltas, keys), keys).where(F.col("fate") == KEPT), keys), keys)
+def kept_headers(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The headers that a replay applies, with seq, group and strictly increasing clocks."""
+    return grouped(restamp(select(headers(snapshots, deltas, keys), keys).where(F.col("fate") == KEPT), keys), keys)
+
+
+def level_changes(snapshots: DataFrame, deltas: DataFrame, kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The level changes of kept headers. Levels are joined to these only, so skipped snapshots are
+    never shuffled."""
     ids = [*keys, "row_id"]
     s = snapshots.select(*ids, "bids", "asks").join(kept.where("is_snapshot").select(*ids, "seq", "group"), ids)
     d = deltas.select(*ids, "bids", "asks").join(kept.where("not is_snapshot").select(*ids, "seq", "group"), ids)
-    return kept, changes(s.unionByName(d), keys, "group", "seq")
+    return changes(s.unionByName(d), keys, "group", "seq")
+
+
+def replay(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(kept headers, level changes): what a replay applies, both written once to the shared folder
+    as several joins read them."""
+    kept = written(kept_headers(snapshots, deltas, keys), "replay-headers")
+    return kept, written(level_changes(snapshots, deltas, kept, keys), "replay-moves")
+
+
+def _counted(kept: DataFrame, tops: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """tops (keys, group, seq, ..), the valid ones, with epoch, new_epoch and ts_event_ns."""
+    first = tops.groupBy(*keys).agg(F.min("seq").alias("__first"))
+    counted = running_sum(kept.join(first, list(keys)), by_seq(keys), epoch=(F.col("is_snapshot") & (F.col("seq") > F.col("__first"))).cast("long"))
+    return counted.select(*keys, "seq", "epoch", F.col("is_snapshot").alias("new_epoch"), "ts_event_ns").join(tops.drop("group"), [*keys, "seq"])
 
 
 def states(kept: DataFrame, moves: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """keys, seq, epoch, new_epoch, ts_event_ns and the top of the book after every kept event
     with a valid top. The epoch counts the snapshots applied since the first valid state."""
-    tops = best_at(moves, kept, keys).where(valid_top())
-    first = tops.groupBy(*keys).agg(F.min("seq").alias("__first"))
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = kept.join(first, list(keys)).withColumn("epoch", F.sum((F.col("is_snapshot") & (F.col("seq") > F.col("__first"))).cast("int")).over(w).cast("long"))
-    rows = counted.select(*keys, "seq", "epoch", F.col("is_snapshot").alias("new_epoch"), "ts_event_ns")
-    return rows.join(tops.drop("group"), [*keys, "seq"])
+    return _counted(kept, best_at(moves, kept, keys).where(valid_top()), keys)
+
+
+def level_states(kept: DataFrame, moves: DataFrame, keys: tuple[str, ...], levels: int) -> DataFrame:
+    """The same with arrays bid_px, bid_qty, ask_px and ask_qty of `levels` levels, null where
+    there is none."""
+    names = {"bid_px": ("bids", "price"), "bid_qty": ("bids", "qty"), "ask_px": ("asks", "price"), "ask_qty": ("asks", "qty")}
+    tops = top_levels_at(moves, kept, keys, levels).where((F.size("bids") > 0) & (F.size("asks") > 0))
+    return _counted(kept, tops.select(*keys, "group", "seq", *(padded(side, field, levels).alias(n) for n, (side, field) in names.items())), keys)
+
+
+def by_id(keys: tuple[str, ...], *by: str) -> Order:
+    return Order(keys, by, floor_div(by[0], CHUNK))
 
 
 def jumps(deltas: DataFrame, snapshots: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Deltas, in id order, that do not continue the one before, with `explained`: whether a
     snapshot's id lies in [first, final] or is the previous id. Snapshot ids meet the jumps only,
     by the last id not above the delta's, found in one sorted pass over both."""
-    w = Window.partitionBy(*keys).orderBy("final_update_id", "first_update_id")
-    d = deltas.select(*keys, "first_update_id", "final_update_id", "prev_final_update_id").withColumn("__last", F.lag("final_update_id").over(w))
-    d = d.where(F.col("__last").isNull() | (F.col("prev_final_update_id") != F.col("__last"))).drop("__last")
+    d = deltas.select(*keys, "first_update_id", "final_update_id", "prev_final_update_id")
+    d = previous(d, by_id(keys, "final_update_id", "first_update_id"), ["final_update_id"], "__last")
+    d = d.where(F.col("__last").isNull() | (F.col("prev_final_update_id") != F.col("__last.final_update_id"))).drop("__last")
     ids = snapshots.select(*keys, F.col("last_update_id").alias("final_update_id")).distinct()
-    both = d.withColumn("__snap", F.lit(False)).unionByName(ids.withColumn("__snap", F.lit(True)), allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy(F.col("final_update_id"), F.col("__snap").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("__id", F.max(F.when(F.col("__snap"), F.col("final_update_id"))).over(upto)).where("not __snap").drop("__snap")
+    both = d.withColumn("__late", F.lit(1)).unionByName(ids.withColumn("__late", F.lit(0)), allowMissingColumns=True)
+    both = running_max(both, by_id(keys, "final_update_id", "__late"), __id=F.when(F.col("__late") == 0, F.col("final_update_id"))).where("__late = 1").drop("__late")
     exact = ids.select(*keys, F.col("final_update_id").alias("prev_final_update_id"), F.lit(True).alias("__same"))
     met = both.join(exact, [*keys, "prev_final_update_id"], "left")
     return met.withColumn("explained", F.coalesce(F.col("__id") >= F.col("first_update_id"), F.lit(False)) | F.coalesce("__same", F.lit(False))).drop("__id", "__same")

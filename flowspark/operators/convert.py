@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import (
     DEPTH_CLEAR_EVENT, DEPTH_EVENT, DEPTH_SNAPSHOT_EVENT, FLAG_LAST, FLAG_SNAPSHOT, TRADE_EVENT, event_kind, event_word, local_ts, order_id, ticks,
@@ -148,22 +153,41 @@ def positions(fills: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     fee) in order. Adding averages the price; reducing realises profit; turning round opens the
     rest at the fill's price; fees are taken off what is realised.
 
-    The fold is sequential by nature: an array of fixed-width structs per key, a key being one
-    strategy's position in one instrument.
+    The fold is sequential by nature. A key (one strategy's position in one instrument) streams
+    sorted through one task, which keeps three numbers of it.
     """
-    fill = F.struct("ts", "fill_id", (F.col("sign") * F.col("qty")).cast("double").alias("q"), F.col("price").cast("double").alias("p"), F.coalesce(F.col("fee").cast("double"), F.lit(0.0)).alias("fee"))
-    zero = F.struct(F.lit(0.0).alias("qty"), F.lit(0.0).alias("avg_px"), F.lit(0.0).alias("realized"))
+    kinds = {f.name: f for f in fills.schema.fields}
+    schema = T.StructType([*(kinds[k] for k in keys), *(T.StructField(c, T.DoubleType()) for c in ("qty", "avg_px", "realized"))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, (0.0, 0.0, 0.0)
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([] if at is None else [dict(zip(schema.names, (*at, *held), strict=True))], schema=arrow)
+
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(len(keys) + 3)]
+            for key, q, price, fee in zip(zip(*cols[: len(keys)], strict=True), *cols[len(keys) :], strict=True):
+                if key != at:
+                    yield closed()
+                    at, held = key, (0.0, 0.0, 0.0)
+                held = filled(*held, q, price, fee)
+        yield closed()
 
-    def step(a: Column, f: Column) -> Column:
-        q = a["qty"] + f["q"]
-        adds = (a["qty"] == 0) | (F.signum(a["qty"]) == F.signum(f["q"]))
-        closed = F.least(F.abs(a["qty"]), F.abs(f["q"]))
-        avg = F.when(adds, F.try_divide(F.abs(a["qty"]) * a["avg_px"] + F.abs(f["q"]) * f["p"], F.abs(q))).when(q == 0, 0.0).when(F.signum(q) == F.signum(a["qty"]), a["avg_px"]).otherwise(f["p"])
-        gain = F.when(adds, 0.0).otherwise(closed * (f["p"] - a["avg_px"]) * F.signum(a["qty"]))
-        return F.struct(q.alias("qty"), F.coalesce(avg, F.lit(0.0)).alias("avg_px"), (a["realized"] + gain - f["fee"]).alias("realized"))
+    slim = fills.select(*keys, "ts", "fill_id", (F.col("sign") * F.col("qty")).cast("double").alias("q"), F.col("price").cast("double").alias("p"), F.coalesce(F.col("fee").cast("double"), F.lit(0.0)).alias("fee"))
+    placed = slim.repartition(*keys).sortWithinPartitions(*keys, "ts", "fill_id").select(*keys, "q", "p", "fee")
+    return placed.mapInArrow(run, schema)
 
-    out = fills.groupBy(*keys).agg(F.aggregate(F.sort_array(F.collect_list(fill)), zero, step).alias("x"))
-    return out.select(*keys, "x.*")
+
+def filled(qty: float, avg: float, realized: float, q: float, price: float, fee: float) -> tuple[float, float, float]:
+    """A position after a fill of signed quantity q."""
+    left = qty + q
+    if qty == 0 or (qty > 0) == (q > 0):
+        return left, (abs(qty) * avg + abs(q) * price) / abs(left) if left else 0.0, realized - fee
+    gain = min(abs(qty), abs(q)) * (price - avg) * (1 if qty > 0 else -1)
+    kept = 0.0 if not left else avg if (left > 0) == (qty > 0) else price
+    return left, kept, realized + gain - fee
 
 
 def unrealized(mark: Column | str) -> Column:
@@ -172,17 +196,12 @@ def unrealized(mark: Column | str) -> Column:
 
 def replay_feed(snapshots: DataFrame, deltas: DataFrame, trades: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(initial rows, feed, counters) of a tape."""
-    from .chain import KEPT, grouped, headers, restamp, select
-    from .book import changes
-
-    selected = select(headers(snapshots, deltas, keys), keys)
-    kept = grouped(restamp(selected.where(F.col("fate") == KEPT), keys), keys)
-    ids = [*keys, "row_id"]
-    s = snapshots.select(*ids, "bids", "asks").join(kept.where("is_snapshot").select(*ids, "seq", "group"), ids)
-    d = deltas.select(*ids, "bids", "asks").join(kept.where("not is_snapshot").select(*ids, "seq", "group"), ids)
-    moves = changes(s.unionByName(d), keys, "group", "seq")
+    from ..sources.tape import written
+    from .chain import KEPT, grouped, headers, level_changes, restamp, select
+
+    selected = written(select(headers(snapshots, deltas, keys), keys), "feed-selected")
+    kept = written(grouped(restamp(selected.where(F.col("fate") == KEPT), keys), keys), "feed-kept")
+    moves = written(level_changes(snapshots, deltas, kept, keys), "feed-moves")
     initial, book_rows = level_rows(kept, moves, keys)
     feed = ordered_feed(trade_rows(trades, keys), book_rows, keys=keys)
     return initial, feed, feed_counters(snapshots, deltas, trades, selected, kept, moves, initial, feed, keys)
-
-

@@ -69,12 +69,19 @@ def weighted(e: Column | str, weights: list[float]) -> Column:
     return F.aggregate(F.zip_with(e, w, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
 
-def event_windows(rows: DataFrame, keys: tuple[str, ...], width: int, value: str = "e", partial: bool = False) -> DataFrame:
-    """keys, window, n_events, value: sums over consecutive groups of `width` rows per key."""
+def event_windows(rows: DataFrame, keys: tuple[str, ...], width: int, value: str = "e", partial: bool = False, levels: int | None = None, weights: list[float] | None = None) -> DataFrame:
+    """keys, window, n_events, value: sums over consecutive groups of `width` rows per key. For
+    `levels` the value is an array, and so are its sums; with weights these collapse to one number."""
     if width < 1:
         raise ValueError("width must be >= 1")
+    if weights is not None and len(weights) != levels:
+        raise ValueError("one weight a level")
     indexed = row_index(rows, state_order(keys), "__n").withColumn("window", floor_div("__n", width))
-    out = indexed.groupBy(*keys, "window").agg(F.count("*").alias("n_events"), F.sum(value).alias(value))
+    parts = [F.col(value)] if levels is None else [F.get(value, F.lit(m)) for m in range(levels)]
+    out = indexed.groupBy(*keys, "window").agg(F.count("*").alias("n_events"), *(F.sum(p).alias(f"__{m}") for m, p in enumerate(parts)))
+    sums = F.array(*(f"__{m}" for m in range(len(parts))))
+    total = F.col("__0") if levels is None else sums if weights is None else weighted(sums, weights)
+    out = out.select(*keys, "window", "n_events", total.alias(value))
     return out if partial else out.where(F.col("n_events") == width)
 
 
@@ -121,3 +128,12 @@ def time_bars(states: DataFrame, keys: tuple[str, ...], width: int, origin: int
 def rolling(rows: DataFrame, keys: tuple[str, ...], width_ns: int) -> DataFrame:
     """Events with `rolling`, the sum of e over the trailing width, both ends included."""
     return rolling_by_range(rows, keys, "ts_event_ns", width_ns, F.col("e"), "rolling")
+
+
+def rolling_at_states(states: DataFrame, keys: tuple[str, ...], width_ns: int) -> DataFrame:
+    """keys, seq, ts_event_ns, rolling of every state: the same sum of the events up to then, 0
+    before the first one."""
+    paired = _paired(states, keys)
+    e = F.when(F.col("prev").isNotNull() & (F.col("prev.epoch") == F.col("epoch")), _event(None)).otherwise(0.0)
+    rows = rolling_by_range(paired.withColumn("__e", F.coalesce(e, F.lit(0.0))), keys, "ts_event_ns", width_ns, F.col("__e"), "rolling")
+    return rows.select(*keys, "seq", "ts_event_ns", "rolling")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import Order, previous
 from ..functions.scalars import NS_PER_MS, NS_PER_S, bar_start, floor_div
 from .chain import audit
 
 GRID_TOLERANCE = 1e-6
 QTY_TOLERANCE = 1e-9
 DETAILS = 20
+CHUNK_NS = 3_600_000_000_000
 
 
 def crossed_snapshots() -> Column:
@@ -67,15 +69,27 @@ def capture_stats(tables: dict[str, DataFrame], keys: tuple[str, ...]) -> DataFr
     return out.withColumns({f"{k}_per_s": F.when(F.col("duration_s") > 0, F.col(f"n_{k}") / F.col("duration_s")).otherwise(0.0) for k in tables})
 
 
+def by_time(keys: tuple[str, ...], ts: str, id_col: str) -> Order:
+    return Order.of_time(keys, (ts, id_col), ts, CHUNK_NS)
+
+
 def gaps(rows: DataFrame, keys: tuple[str, ...], threshold_ns: int, id_col: str) -> DataFrame:
     """keys, clock, start_ns, end_ns, gap_ns of silences over the threshold, on both clocks, both
     in the order of event time."""
-    w = Window.partitionBy(*keys).orderBy("ts_event_ns", id_col)
-    rows = rows.select(*keys, *(F.struct(F.lit(n).alias("clock"), F.lag(c).over(w).alias("start_ns"), F.col(c).alias("end_ns")).alias(n) for n, c in (("event", "ts_event_ns"), ("recv", "ts_recv_ns"))))
-    rows = rows.select(*keys, F.explode(F.array("event", "recv")).alias("g")).select(*keys, "g.*")
+    clocks = (("event", "ts_event_ns"), ("recv", "ts_recv_ns"))
+    rows = previous(rows.select(*keys, id_col, "ts_event_ns", "ts_recv_ns"), by_time(keys, "ts_event_ns", id_col), ["ts_event_ns", "ts_recv_ns"])
+    each = F.array(*(F.struct(F.lit(n).alias("clock"), F.col(f"prev.{c}").alias("start_ns"), F.col(c).alias("end_ns")) for n, c in clocks))
+    rows = rows.select(*keys, F.explode(each).alias("g")).select(*keys, "g.*")
     return rows.withColumn("gap_ns", F.col("end_ns") - F.col("start_ns")).where(F.col("gap_ns") > threshold_ns)
 
 
+def gap_counts(rows: DataFrame, keys: tuple[str, ...], threshold_ns: int, id_col: str) -> DataFrame:
+    """keys, n_event_gaps, n_recv_gaps: silences over the threshold on each clock."""
+    found = gaps(rows, keys, threshold_ns, id_col).groupBy(*keys).agg(*(F.count_if(F.col("clock") == c).alias(f"n_{c}_gaps") for c in ("event", "recv")))
+    every = rows.select(*keys).distinct().join(found, list(keys), "left")
+    return every.select(*keys, *(F.coalesce(f"n_{c}_gaps", F.lit(0)).cast("long").alias(f"n_{c}_gaps") for c in ("event", "recv")))
+
+
 def updates_per_second(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*keys, floor_div("ts_event_ns", NS_PER_S).alias("second")).agg(F.count("*").alias("updates"))
 
@@ -85,8 +99,8 @@ def histogram_summary(hist: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def inter_arrival(rows: DataFrame, keys: tuple[str, ...], ts: str, id_col: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(ts, id_col)
-    return rows.withColumn("gap_ns", F.col(ts) - F.lag(ts).over(w)).where("gap_ns is not null")
+    rows = previous(rows, by_time(keys, ts, id_col), [ts], "__earlier")
+    return rows.withColumn("gap_ns", F.col(ts) - F.col(f"__earlier.{ts}")).drop("__earlier").where("gap_ns is not null")
 
 
 def distribution(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:

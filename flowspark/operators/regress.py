@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import Order, row_index
+from ..functions.scalars import floor_div
+from ..sources.tape import written
+
 
 def hac_lags(n) -> object:
     """Newey-West's lag number for a row-count column: 4 (n / 100)^(2/9), at least 1."""
@@ -22,7 +26,7 @@ def ols(rows: DataFrame, keys: tuple[str, ...], x: str = "x", y: str = "y", orde
     """keys, n, alpha, beta, r2, se_beta, t_beta. Null coefficients below 8 rows; r2 is null where
     y does not vary. Lags up to max_lags are summed in one pass; the key's n picks how many count.
     By default max_lags is what the longest key needs, found first (one number on the driver)."""
-    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = written(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, order, x, y), "ols-rows")  # read by every step
     if max_lags is None:
         longest = rows.groupBy(*keys).count().agg(F.max("count").alias("n"))
         max_lags = longest.select(F.coalesce(hac_lags(F.col("n")), F.lit(1))).first()[0]
@@ -31,19 +35,37 @@ def ols(rows: DataFrame, keys: tuple[str, ...], x: str = "x", y: str = "y", orde
         F.when(F.var_pop(y) > 0, F.regr_r2(y, x)).alias("r2"), F.avg(x).alias("__mx"), F.regr_sxx(y, x).alias("__sxx"))
     u = F.col(y) - F.col("alpha") - F.col("beta") * F.col(x)
     scored = rows.join(fit, list(keys)).withColumn("__g", u * (F.col(x) - F.col("__mx")))
-    w = Window.partitionBy(*keys).orderBy(order)
-    lagged = scored.select(*keys, "__g", *(F.lag("__g", k).over(w).alias(f"__g{k}") for k in range(1, max_lags + 1)))
+    lagged = _lagged(scored, keys, order, max_lags)
     sums = lagged.groupBy(*keys).agg(F.sum(F.col("__g") * F.col("__g")).alias("__s0"), *(F.coalesce(F.sum(F.col("__g") * F.col(f"__g{k}")), F.lit(0.0)).alias(f"__s{k}") for k in range(1, max_lags + 1)))
     out = fit.join(sums, list(keys)).withColumn("__l", hac_lags(F.col("n")))
     total = F.col("__s0")
     for k in range(1, max_lags + 1):
         total = total + F.when(F.col("__l") >= k, F.lit(2.0) * (F.lit(1.0) - F.lit(float(k)) / (F.col("__l") + 1)) * F.col(f"__s{k}")).otherwise(0.0)
-    enough = F.col("n") >= 8
+    enough = F.col("n") >= LEAST_ROWS
     se = F.sqrt(total) / F.col("__sxx")
     out = out.withColumn("se_beta", F.when(enough & (total >= 0) & (F.col("__sxx") > 0), se))
     return out.select(*keys, "n", *(F.when(enough, F.col(c)).alias(c) for c in ("alpha", "beta", "r2")), "se_beta", F.try_divide("beta", "se_beta").alias("t_beta"))
 
 
+LEAST_ROWS = 8
+CHUNK = 65_536
+
+
+def _lagged(rows: DataFrame, keys: tuple[str, ...], order: str, lags: int) -> DataFrame:
+    """keys, __g and its lags. Rows are numbered by their place among all distinct times, found by
+    ranges of time; a chunk of them gets the `lags` rows before it, so that no key is one task."""
+    span = rows.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"), F.count("*").alias("__rows"))
+    rows = rows.select(*keys, order, "__g").join(span, list(keys))
+    # Some CHUNK rows a range of time, if they are spread evenly.
+    per = F.greatest(F.lit(1).cast("long"), ((F.col("__hi") - F.col("__lo")) / F.greatest(F.lit(1.0), F.col("__rows") / CHUNK)).cast("long"))
+    rows = rows.withColumn("__part", floor_div(F.col(order) - F.col("__lo"), per)).select(*keys, order, "__g", "__part")
+    rows = row_index(rows, Order(keys, (order,), F.col("__part")), "__i")
+    chunk = max(CHUNK, lags)
+    rows = rows.withColumns({"__c": floor_div("__i", chunk), "__to": F.explode(F.sequence(floor_div("__i", chunk), floor_div(F.col("__i") + lags, chunk)))})
+    w = Window.partitionBy(*keys, "__to").orderBy("__i")
+    return rows.select(*keys, "__c", "__to", "__g", *(F.lag("__g", k).over(w).alias(f"__g{k}") for k in range(1, lags + 1))).where("__c = __to")
+
+
 def gram(rows: DataFrame, keys: tuple[str, ...], xs: list[str], y: str) -> DataFrame:
     """keys, n and the sums of products of (1, xs.., y): all that a fit needs, in one aggregation."""
     names = [*xs, y]
@@ -67,7 +89,7 @@ def ols_multi(rows: DataFrame, keys: tuple[str, ...], xs: list[str], y: str) ->
             s = lambda i: r[f"s_{i}"]
             p = lambda i, j: r[f"s_{min(i, j)}_{max(i, j)}"]
             n = r["n"]
-            if n <= k + 1:
+            if n < max(LEAST_ROWS, k + 2):
                 out.append(None)
                 continue
             a = np.array([[n, *(s(j) for j in range(k))], *([s(i), *(p(i, j) for j in range(k))] for i in range(k))], float)

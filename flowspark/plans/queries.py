@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, book, chain, convert, flow, quality, regress, volume
+from ..operators import book, chain, convert, flow, quality, regress, validate, volume
 from ..sources import tape, wire
 from ..streaming import processors
 from . import views as V
@@ -244,14 +244,6 @@ def restamp(spark: SparkSession, d: str) -> DataFrame:
     return chain.restamp(V.trades(spark, d), KEYS, "trade_id").select("symbol", "trade_id", "ts_event_ns", "ts_recv_ns")
 
 
-@query()
-def probe_audit(spark: SparkSession, d: str) -> DataFrame:
-    """The tape against its own later snapshots as probes, 3 ids before each."""
-    s = V.snapshots(spark, d)
-    probes = s.select("symbol", F.col("row_id").alias("probe"), (F.col("last_update_id") - 3).alias("rest_id"), "bids", "asks")
-    return audit.audit_probes(s, V.deltas(spark, d), probes, KEYS, 20).drop("details")
-
-
 AUDIT_SQL = f"""{DELTAS_SQL}, {SNAPSHOTS_SQL}, jn AS (SELECT *, lag(final_update_id) OVER (PARTITION BY symbol ORDER BY final_update_id) AS lu FROM d),
     jj AS (SELECT jn.*, EXISTS (SELECT 1 FROM s WHERE s.symbol = jn.symbol AND (s.last_update_id BETWEEN jn.first_update_id AND jn.final_update_id OR s.last_update_id = jn.prev_final_update_id)) AS ok FROM jn WHERE lu IS NULL OR lu <> prev_final_update_id),
     au AS (SELECT symbol, count(*) FILTER (WHERE ok) AS epochs, count(*) FILTER (WHERE NOT ok) AS breaks FROM jj GROUP BY symbol)"""
@@ -262,25 +254,6 @@ def chain_audit(spark: SparkSession, d: str) -> DataFrame:
     return chain.audit(V.deltas(spark, d), V.snapshots(spark, d), KEYS)
 
 
-@query()
-def chain_select(spark: SparkSession, d: str) -> DataFrame:
-    rows = chain.select(chain.headers(V.snapshots(spark, d), V.deltas(spark, d), KEYS), KEYS)
-    return rows.select("symbol", "uid", "is_snapshot", "fate", "seq")
-
-
-@query()
-def replay_states(spark: SparkSession, d: str) -> DataFrame:
-    kept, moves = chain.replay(V.snapshots(spark, d), V.deltas(spark, d), KEYS)
-    return chain.states(kept, moves, KEYS)
-
-
-@query()
-def replay_top_levels(spark: SparkSession, d: str) -> DataFrame:
-    kept, moves = chain.replay(V.snapshots(spark, d), V.deltas(spark, d), KEYS)
-    rows = book.top_levels_at(moves, kept, KEYS, 5)
-    return rows.select("symbol", "seq", *(book.padded(s, f, 5).alias(f"{s[:-1]}_{n}") for s in ("bids", "asks") for f, n in (("price", "px"), ("qty", "qty"))))
-
-
 @query(f"""WITH {TRADES_SQL}, g AS (SELECT symbol, lag(ts_event_ns) OVER w AS e0, ts_event_ns AS e1, lag(ts_recv_ns) OVER w AS r0, ts_recv_ns AS r1 FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts_event_ns, trade_id)),
     u AS (SELECT symbol, 'event' AS clock, e0 AS start_ns, e1 AS end_ns FROM g UNION ALL SELECT symbol, 'recv', r0, r1 FROM g) SELECT *, end_ns - start_ns AS gap_ns FROM u WHERE end_ns - start_ns > {2 * HOUR}""")
 def gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -381,22 +354,6 @@ def feed_trades(spark: SparkSession, d: str) -> DataFrame:
     return convert.trade_rows(V.trades(spark, d), KEYS).drop("line")
 
 
-def _book_trades(spark: SparkSession, d: str) -> DataFrame:
-    t = V.trades(spark, d)
-    return t.withColumn("symbol", F.concat(F.lit("B"), (F.col("trade_id") % 4).cast("string"))).withColumns({"ts_event_ns": F.col("trade_id") * 150_000_000, "ts_recv_ns": F.col("trade_id") * 150_000_000 + 3, "qty": F.col("qty") - 1})
-
-
-@query()
-def hft_feed_order(spark: SparkSession, d: str) -> DataFrame:
-    return convert.replay_feed(V.snapshots(spark, d), V.deltas(spark, d), _book_trades(spark, d), KEYS)[1].drop("line")
-
-
-@query("SELECT 'B' || CAST(x AS VARCHAR) AS symbol, CAST(0 AS BIGINT) AS gap FROM (SELECT unnest(range(0, 4)) AS x)")
-def conservation(spark: SparkSession, d: str) -> DataFrame:
-    """Nothing that goes into a feed is lost: the gap is 0 for every symbol."""
-    return convert.replay_feed(V.snapshots(spark, d), V.deltas(spark, d), _book_trades(spark, d), KEYS)[2].select("symbol", F.col("gap").cast("long"))
-
-
 @query(f"""WITH {L1_SQL}, q AS (SELECT symbol, seq, CAST(round_even((bid_px + ask_px) / 2, 0) AS BIGINT) + CASE WHEN bid_qty - ask_qty > 3 THEN 1 WHEN bid_qty - ask_qty < -3 THEN -1 ELSE 0 END AS c, bid_px, ask_px FROM l),
     r AS (SELECT symbol, seq, least(c - 1, CAST(ask_px AS BIGINT) - 1) AS bid_ticks, greatest(c + 1, CAST(bid_px AS BIGINT) + 1) AS ask_ticks FROM q) SELECT * FROM r WHERE bid_ticks < ask_ticks""")
 def maker_quotes(spark: SparkSession, d: str) -> DataFrame:
@@ -405,30 +362,18 @@ def maker_quotes(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("q", q).where("q is not null").select("symbol", "seq", "q.*")
 
 
-@query()
-def position_fold(spark: SparkSession, d: str) -> DataFrame:
-    fills = V.trades(spark, d).select("symbol", F.col("ts_event_ns").alias("ts"), F.col("trade_id").alias("fill_id"), F.col("aggressor_sign").alias("sign"), "qty", "price", F.lit(0.5).alias("fee"))
-    return convert.positions(fills, KEYS)
-
-
-@query(f"""WITH {P_SQL}, {BARS_SQL}, xy AS (SELECT symbol, bar_start_ns AS t, ofi AS x, delta_mid AS y FROM bars WHERE valid AND ofi IS NOT NULL AND delta_mid IS NOT NULL),
+@query(f"""WITH {P_SQL}, {BARS_SQL}, xy AS (SELECT symbol, bar_start_ns AS t, ofi AS x, delta_mid AS y FROM (SELECT *, lag(valid) OVER (PARTITION BY symbol ORDER BY bar_start_ns) AS before FROM bars) WHERE valid AND before AND ofi IS NOT NULL AND delta_mid IS NOT NULL),
     ff AS (SELECT symbol, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, avg(x) AS mx, regr_sxx(y, x) AS sxx FROM xy GROUP BY 1),
     gg AS (SELECT xy.symbol, t, (y - a - b * x) * (x - mx) AS g, row_number() OVER (PARTITION BY xy.symbol ORDER BY t) AS i FROM xy JOIN ff f ON xy.symbol = f.symbol),
     vv AS (SELECT p.symbol, sum(CASE WHEN k = 0 THEN p.g * q.g WHEN k <= greatest(1, floor(4 * (n / 100.0) ^ (2.0 / 9))) THEN 2 * (1 - k / (greatest(1, floor(4 * (n / 100.0) ^ (2.0 / 9))) + 1)) * p.g * q.g ELSE 0 END) AS s
       FROM gg p JOIN ff f ON p.symbol = f.symbol, (SELECT unnest(range(0, 25)) AS k), gg q WHERE q.symbol = p.symbol AND q.i = p.i - k GROUP BY 1)
     SELECT f.symbol, n, round(a, 6) AS alpha, round(b, 6) AS beta, round(r2, 6) AS r2, round(sqrt(s) / sxx, 6) AS se_beta, round(b / (sqrt(s) / sxx), 4) AS t_beta FROM ff f JOIN vv v ON f.symbol = v.symbol""")
 def ols_hac(spark: SparkSession, d: str) -> DataFrame:
-    bars = flow.time_bars(V.l1(spark, d), KEYS, HOUR).where("valid").select("symbol", F.col("bar_start_ns").alias("t"), F.col("ofi").alias("x"), F.col("delta_mid").alias("y"))
-    out = regress.ols(bars, KEYS)
+    rows = validate.paired(flow.time_bars(V.l1(spark, d), KEYS, HOUR), KEYS, ["ofi"]).where("spec = 'contemporaneous'")
+    out = regress.ols(rows, KEYS, x="ofi")
     return out.withColumns({c: F.round(c, 6) for c in ("alpha", "beta", "r2", "se_beta")} | {"t_beta": F.round("t_beta", 4)})
 
 
-@query()
-def ols_multi(spark: SparkSession, d: str) -> DataFrame:
-    bars = flow.time_bars(V.lm(spark, d), KEYS, HOUR, levels=V.LEVELS).where("valid")
-    return regress.ols_multi(bars, KEYS, ["ofi_1", "ofi_2", "ofi_3"], "delta_mid")
-
-
 @query(f"""WITH {DELTAS_SQL} SELECT d.symbol, k * 100000000 AS ts_event_ns, first_update_id, final_update_id, prev_final_update_id, (SELECT count(*) FROM c WHERE c.k = d.k) AS n_levels,
     coalesce((SELECT sum(price * qty) FROM c WHERE c.k = d.k), 0) AS notional FROM d WHERE NOT (k % 3 <> 0 AND k % 101 = 1)""")
 def parse_depth_json(spark: SparkSession, d: str) -> DataFrame:
@@ -442,10 +387,18 @@ def parse_trade_json(spark: SparkSession, d: str) -> DataFrame:
     return wire.prints(V.trade_frames(spark, d), "x").drop("exchange", "ts_recv_ns")
 
 
+SLICES = 5
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events table as a file stream."""
-    schema = V.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d.rstrip("/"))
+    """The events table as a file stream of SLICES micro-batches, in order of event_id."""
+    events = V.table(spark, d, "events")
+    path = tape.work_path(spark, "stream-events")
+    lo, hi = events.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.least(F.lit(SLICES - 1), ((F.col("event_id") - F.lit(lo)) * SLICES / F.lit(max(1, (hi or 0) - (lo or 0)))).cast("int"))
+    for k in range(SLICES):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _drained(spark: SparkSession, rows: DataFrame, processor) -> DataFrame:
@@ -470,4 +423,21 @@ def stream_mlofi(spark: SparkSession, d: str) -> DataFrame:
 
 @query(VPIN_SQL)
 def stream_vpin(spark: SparkSession, d: str) -> DataFrame:
-    return _drained(spark, V.trades_of(_stream(spark, d)), processors.Vpin(BUCKET, WINDOW)).withColumn("vpin", F.round("vpin", 9))
+    return _drained(spark, V.trades_of(_stream(spark, d)), processors.Vpin(BUCKET, WINDOW)).select("symbol", "bucket", F.round("vpin", 9).alias("vpin"))
+
+
+@query(f"""WITH {P_SQL}, r AS (SELECT p.symbol, p.seq, p.ts_event_ns, coalesce(CASE WHEN pe = epoch THEN {E_SQL} END, 0) AS e FROM p)
+    SELECT symbol, seq, ts_event_ns, sum(e) OVER (PARTITION BY symbol ORDER BY ts_event_ns, seq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - coalesce(sum(e) OVER (PARTITION BY symbol ORDER BY ts_event_ns RANGE BETWEEN UNBOUNDED PRECEDING AND {HOUR + 1} PRECEDING), 0) AS rolling FROM r""")
+def stream_ofi_rolling(spark: SparkSession, d: str) -> DataFrame:
+    return _drained(spark, V.l1_of(_stream(spark, d)), processors.RollingOfi(HOUR))
+
+
+@query(f"""WITH {BUCKETS_SQL}, f AS (SELECT symbol, arg_min(price, trade_id) AS p FROM t GROUP BY 1),
+    c AS (SELECT b.symbol, bucket, close - coalesce(lag(close) OVER (PARTITION BY b.symbol ORDER BY bucket), p) AS ch FROM b JOIN f ON b.symbol = f.symbol),
+    q AS (SELECT symbol, bucket, ch, abs(ch / 9000.0) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(ch / 9000.0) / sqrt(2)) AS u FROM c),
+    h AS (SELECT *, 0.5 * u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-x * x) AS tail FROM q),
+    w AS (SELECT symbol, bucket, sum(abs({BUCKET} - 2 * {BUCKET} * CASE WHEN ch >= 0 THEN 1 - tail ELSE tail END)) OVER (PARTITION BY symbol ORDER BY bucket ROWS {WINDOW - 1} PRECEDING) AS s FROM h)
+    SELECT symbol, bucket, round(least(1, greatest(0, s / ({WINDOW} * {BUCKET}))), 6) AS vpin FROM w WHERE bucket >= {WINDOW - 1}""")
+def stream_vpin_bvc(spark: SparkSession, d: str) -> DataFrame:
+    rows = _drained(spark, V.trades_of(_stream(spark, d)), processors.Vpin(BUCKET, WINDOW, "bvc", 9000.0))
+    return rows.select("symbol", "bucket", F.round("vpin", 6).alias("vpin"))

@@ -44,6 +44,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder, for plans that read it more than once."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _fs(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -65,25 +72,43 @@ def capture_dirs(spark: SparkSession, root: str) -> list[str]:
     return [d for d in below if any(exists(spark, f"{d}/{k}") for k in SCHEMAS)]
 
 
-def scan(spark: SparkSession, root: str, kind: str, exchange: str | None = None, symbol: str | None = None, date: str | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, kind: str, exchange: str | None = None, symbol: str | None = None, date: str | None = None, row_id: bool = False) -> DataFrame:
     """One kind of event over all runs, in its declared columns; predicates prune partitions. A
-    missing or empty tape gives an empty frame of the same schema."""
-    schema = SCHEMAS[kind]
-    parts = [f"{d}/{kind}" for d in capture_dirs(spark, root) if exists(spark, f"{d}/{kind}")]
-    if not parts:
-        return spark.createDataFrame([], schema)
-    stored = T.StructType([*schema.fields, T.StructField("date", T.StringType())])
-    out = None
-    for p in parts:  # one per run, each with its own partition root
-        part = spark.read.schema(stored).parquet(p)
-        for name, value in (("exchange", exchange), ("symbol", symbol), ("date", date)):
-            if value is not None:
-                part = part.where(F.col(name) == value)
-        part = part.select(*schema.names)
-        out = part if out is None else out.unionByName(part)
+    missing or empty tape gives an empty frame of the same schema. With `row_id`, a column of that
+    name tells rows apart, in the order of parts and of rows in them."""
+    wanted = [*SCHEMAS[kind].names, *["row_id"] * row_id]
+    where = {"exchange": exchange, "symbol": symbol, "date": date}
+    own = F.concat_ws(":", "_metadata.file_path", F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+    rows = [p.withColumn("row_id", own).select(*wanted) if row_id else p.select(*wanted) for p in _parts(spark, root, kind, where)]
+    if not rows:
+        return spark.createDataFrame([], T.StructType([*SCHEMAS[kind].fields, *[T.StructField("row_id", T.StringType())] * row_id]))
+    out = rows[0]
+    for part in rows[1:]:
+        out = out.unionByName(part)
     return out
 
 
+def _parts(spark: SparkSession, root: str, kind: str, where: dict[str, str | None]) -> list[DataFrame]:
+    """The stored rows of each run, each with its own partition root."""
+    stored = T.StructType([*SCHEMAS[kind].fields, T.StructField("date", T.StringType())])
+    out = []
+    for d in capture_dirs(spark, root):
+        if exists(spark, f"{d}/{kind}"):
+            part = spark.read.schema(stored).parquet(f"{d}/{kind}")
+            for name, value in where.items():
+                part = part if value is None else part.where(F.col(name) == value)
+            out.append(part)
+    return out
+
+
+def stored_bytes(spark: SparkSession, root: str, kind: str, **where: str | None) -> DataFrame:
+    """exchange, symbol, bytes of the parts that hold rows; only metadata is read."""
+    out = spark.createDataFrame([], "exchange string, symbol string, path string, size long")
+    for part in _parts(spark, root, kind, where):
+        out = out.union(part.select("exchange", "symbol", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")))
+    return out.distinct().groupBy("exchange", "symbol").agg(F.sum("size").alias("bytes"))
+
+
 def read(spark: SparkSession, root: str, kind: str, **where: str | None) -> DataFrame:
     """The scan, globally sorted by event time, ties by id."""
     return scan(spark, root, kind, **where).orderBy("ts_event_ns", TIEBREAK[kind])
@@ -93,17 +118,43 @@ def part_files(spark: SparkSession, root: str, kind: str, **where: str | None) -
     return sorted(scan(spark, root, kind, **where).inputFiles())
 
 
-def write(events: DataFrame, root: str, kind: str, compression: str = "zstd", max_rows: int = 5_000_000) -> None:
+class LowDisk(OSError):
+    """Less space is left than the sink was told to leave."""
+
+
+def check_space(spark: SparkSession, root: str, least_bytes: int) -> None:
+    fs, at = _fs(spark, root)
+    while not fs.exists(at) and at.getParent() is not None:
+        at = at.getParent()
+    left = fs.getStatus(at).getRemaining()
+    if left < least_bytes:
+        raise LowDisk(f"{left} bytes are left at {root}, fewer than {least_bytes}; nothing was written")
+
+
+def write(events: DataFrame, root: str, kind: str, compression: str = "zstd", max_rows: int = 5_000_000, exchange: str | None = None, symbol: str | None = None, least_free: int = 0) -> None:
     """Appends events to the tape, by exchange, symbol and UTC date. Spark's committer makes the
     parts appear at once or not at all. Rows are dealt out by (exchange, symbol, date, hour), so a
-    hot symbol's day is written by several tasks, and a part has at most max_rows rows."""
+    hot symbol's day is written by several tasks, and a part has at most max_rows rows. Events of
+    an exchange or symbol other than the given ones fail the write, as does a file system with
+    fewer than least_free bytes."""
+    if least_free:
+        check_space(events.sparkSession, root, least_free)
     schema = SCHEMAS[kind]
     rows = events.select(*(F.col(f.name).cast(f.dataType) for f in schema)).withColumn("date", utc_date("ts_event_ns"))
+    for name, value in (("exchange", exchange), ("symbol", symbol)):
+        if value is not None:
+            foreign = F.raise_error(F.concat(F.lit(f"the tape is of {name} {value}, not of "), F.coalesce(name, F.lit("null")))).cast("string")
+            rows = rows.withColumn(name, F.when(F.col(name).eqNullSafe(F.lit(value)), F.col(name)).otherwise(foreign))
     hour = F.expr("ts_event_ns div 3600000000000")
     rows = rows.repartition("exchange", "symbol", "date", hour).sortWithinPartitions("exchange", "symbol", "date", "ts_event_ns", TIEBREAK[kind])
     rows.write.mode("append").partitionBy("exchange", "symbol", "date").option("compression", compression).option("maxRecordsPerFile", max_rows).parquet(f"{root}/{kind}")
 
 
+def events_frame(spark: SparkSession, kind: str, rows: list[dict]) -> DataFrame:
+    """A frame of a kind's schema from dicts, e.g. of one fetched snapshot."""
+    return spark.createDataFrame(rows, SCHEMAS[kind])
+
+
 def write_stream(events: DataFrame, root: str, kind: str, checkpoint: str, every: str | None = None):
     """The streaming sink: each micro-batch is appended to the tape once."""
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: write(batch, root, kind))
@@ -129,24 +180,49 @@ def instrument(spark: SparkSession, root: str) -> DataFrame | None:
     rows = spark.read.schema(schema).option("multiLine", True).json(paths).distinct()
     if len(rows.take(2)) > 1:
         raise ValueError(f"runs under {root} state different instruments")
-    sizes = INSTRUMENT[4:]
-    return rows.select(*INSTRUMENT[:4], *(F.col(c).cast("decimal(38,18)").alias(c) for c in sizes), decimals("tick_size").alias("price_precision"), decimals("lot_size").alias("size_precision"))
+    return _typed(rows)
+
+
+#: The instrument of tapes that were recorded before instruments were stored.
+LEGACY = {
+    "exchange": "binance_futures", "symbol": "BTCUSDT", "base_asset": "BTC", "quote_asset": "USDT", "tick_size": "0.1", "lot_size": "0.001",
+    "min_price": "0.1", "max_price": "1000000.0", "min_qty": "0.001", "max_qty": "1000", "min_notional": "10",
+}
 
 
 def resolve_instrument(spark: SparkSession, root: str, symbol: str) -> DataFrame:
+    """The tape's instrument, or the legacy one where the tape states none and it is asked for."""
     found = instrument(spark, root)
     if found is None:
-        raise NoInstrument(f"no instrument.json under {root}")
-    if not found.where(F.col("symbol") == symbol).take(1):
+        if symbol.upper() != LEGACY["symbol"]:
+            raise NoInstrument(f"no instrument.json under {root}")
+        found = _typed(spark.createDataFrame([tuple(LEGACY[c] for c in INSTRUMENT)], ", ".join(f"{c} string" for c in INSTRUMENT)))
+    if not found.where(F.col("symbol") == symbol.upper()).take(1):
         raise ValueError(f"the instrument under {root} is not {symbol}")
     return found
 
 
+def _typed(rows: DataFrame) -> DataFrame:
+    sizes = INSTRUMENT[4:]
+    return rows.select(*INSTRUMENT[:4], *(F.col(c).cast("decimal(38,18)").alias(c) for c in sizes), decimals("tick_size").alias("price_precision"), decimals("lot_size").alias("size_precision"))
+
+
 def probes(spark: SparkSession, path: str) -> DataFrame:
     """A probe sidecar (JSON lines) with levels as structs."""
     level = lambda c: F.transform(c, lambda x: F.struct(F.get(x, F.lit(0)).alias("price"), F.get(x, F.lit(1)).alias("qty")))
     return spark.read.schema(PROBE).json(path).withColumns({"bids": level("bids"), "asks": level("asks")})
 
 
+def write_probes(probes: DataFrame, path: str) -> None:
+    """Appends reference books (as `probes` gives them) to a sidecar of JSON lines."""
+    pairs = lambda c: F.transform(c, lambda x: F.array(x["price"], x["qty"])).alias(c)
+    rows = probes.select("ts_local_ns", "last_update_id", "symbol", F.coalesce("n_levels", F.size("bids") + F.size("asks")).alias("n_levels"), pairs("bids"), pairs("asks"))
+    rows.write.mode("append").json(path)
+
+
+def write_clock_samples(samples: DataFrame, path: str) -> None:
+    samples.select("phase", "local_before_ns", "server_time_ns", "local_after_ns").write.mode("append").json(path)
+
+
 def clock_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("phase string, local_before_ns long, server_time_ns long, local_after_ns long").json(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from flowspark.plans.queries import ORACLES, QUERIES
+from flowspark.plans import ORACLES, QUERIES
 
 from .conftest import SF
 from .oracle import same
