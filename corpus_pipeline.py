@@ -1,4 +1,13 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences, in five stages.
+
+A null or empty text fails the quality rules and goes. A null doc_id is an id like any other (the
+smallest for line dedup, after all others for near duplicates); a null source is a source of its
+own. Rows that share an id are one document for line dedup and documents of their own elsewhere.
+Repeated rows are near duplicates of each other, so one stays. Texts are worked on whole, whatever
+their length. Ties are broken by id, then by hashes of the rows, so reruns agree. An empty table
+gives an empty result. Extra columns, whatever their names, pass all stages but the last, which
+returns token pieces.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +18,7 @@ from flowspark.llm._common import read_table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the standard policy keeps."""
+    """Documents that the standard policy keeps; the ledger of all stays in the shared folder."""
     return quality.filter_documents(docs, quality.STANDARD)
 
 
@@ -24,7 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out to the sources' targets, in training order."""
+    """Documents repeated or left out to the sources' targets under the standing schedule, in training
+    order."""
     return mixing.arrange(docs)
 
 

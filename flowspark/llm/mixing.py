@@ -65,6 +65,11 @@ def standing() -> list[tuple[float, list[float]]]:
     return [cumulative(w * np.interp(t, (0.0, 1.0), shape)) for w, shape in zip(WEIGHTS, SHAPES, strict=True)]
 
 
+def curves_of(schedule: Schedule | None) -> list[list[float]]:
+    """Cumulative demands by number; the last one is the flat one of sources without a schedule."""
+    return [c for _, c in (standing() if schedule is None else integrate(schedule).values())] + [[0.0, 1.0]]
+
+
 def source_key(source: Column | str = "source") -> Column:
     """Sorts like the source by code point, null last, and is never null."""
     c = F.col(source) if isinstance(source, str) else source
@@ -72,17 +77,17 @@ def source_key(source: Column | str = "source") -> Column:
 
 
 def targets(sizes: DataFrame, schedule: Schedule | None = None) -> DataFrame:
-    """mix_source, mix_source_size -> also mix_target, mix_curve. One row per source: the windows
+    """mix_source, mix_source_size -> also mix_target, mix_curve (its number). One row per source: the windows
     over all rows see the sources only, never the documents."""
     by_name = Window.orderBy("mix_source")
     if schedule is None:
-        made = sizes.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(standing())], "mix_k int, mix_weight double, mix_curve array<double>")
+        made = sizes.sparkSession.createDataFrame([(k, w, k) for k, (w, _) in enumerate(standing())], "mix_k int, mix_weight double, mix_curve int")
         rows = sizes.withColumn("mix_k", (F.row_number().over(by_name) - 1) % len(WEIGHTS)).join(made, "mix_k").drop("mix_k")
     else:
-        made = [(f"0{s}", w, curve) for s, (w, curve) in integrate(schedule).items()]
-        known = sizes.sparkSession.createDataFrame(made, "mix_source string, mix_weight double, mix_curve array<double>")
+        made = [(f"0{s}", w, k) for k, (s, (w, _)) in enumerate(integrate(schedule).items())]
+        known = sizes.sparkSession.createDataFrame(made, "mix_source string, mix_weight double, mix_curve int")
         rows = sizes.join(known, "mix_source", "left").withColumns({
-            "mix_weight": F.coalesce("mix_weight", F.lit(0.0)), "mix_curve": F.coalesce("mix_curve", F.array(F.lit(0.0), F.lit(1.0)))})
+            "mix_weight": F.coalesce("mix_weight", F.lit(0.0)), "mix_curve": F.coalesce("mix_curve", F.lit(len(made)))})
     cap = F.lit(MAX_EPOCHS) * F.col("mix_source_size")
     # Sources are capped in the order of cap over weight; the first that is not sets the level.
     order = Window.orderBy(F.try_divide(F.col("mix_source_size").cast("double"), "mix_weight").asc_nulls_last(), "mix_source")
@@ -158,14 +163,15 @@ def plan(docs: DataFrame, schedule: Schedule | None = None) -> DataFrame:
     """doc_id and source of every row of docs with mix_size, mix_source_size, mix_target, mix_copies
     (how often the mix takes the document) and mix_position (of its first copy)."""
     rows = decided(ranked(docs, Tables(docs.sparkSession), schedule))
-    rows = rows.withColumn("mix_position", F.when(F.col("mix_copies") > 0, position(F.col("mix_start"))))
+    rows = rows.withColumn("mix_position", F.when(F.col("mix_copies") > 0, position(F.col("mix_start"), curves_of(schedule))))
     return rows.select("doc_id", "source", "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_position")
 
 
-def position(words: Column) -> Column:
+def position(words: Column, curves: list[list[float]]) -> Column:
     """The training position at which a source's demand has reached `words`, the time as a part of
     all words: the inverse of its cumulative demand, linear between grid points."""
-    curve, f = F.col("mix_curve"), F.least(F.lit(1.0), F.coalesce(F.try_divide(words, F.col("mix_target")), F.lit(0.0)))
+    every = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in c) + ")" for c in curves) + ")")
+    curve, f = F.get(every, F.col("mix_curve")), F.least(F.lit(1.0), F.coalesce(F.try_divide(words, F.col("mix_target")), F.lit(0.0)))
     n = F.size(curve) - 1
     i = F.least(F.size(F.filter(curve, lambda x: x <= f)), n)  # 1-based left grid point
     lo, hi = F.get(curve, i - 1), F.get(curve, i)
@@ -190,7 +196,7 @@ def arrange(docs: DataFrame, schedule: Schedule | None = None) -> DataFrame:
     at = F.when((F.col("mix_copy") == F.col("mix_full")) & (F.col("mix_full") > 0) & (F.col("mix_start") + F.col("mix_size") > F.col("mix_rest")),
                 F.col("mix_full") * F.col("mix_source_size") + F.col("mix_rest") - F.col("mix_gap")
                 ).otherwise(F.col("mix_copy") * F.col("mix_source_size") + F.col("mix_start"))
-    placed = copy.select("mix_whole", "mix_source", "mix_copy", position(at.cast("double")).alias("mix_at"))
+    placed = copy.select("mix_whole", "mix_source", "mix_copy", position(at.cast("double"), curves_of(schedule)).alias("mix_at"))
     return placed.orderBy("mix_at", "mix_source", "mix_copy", "mix_whole.doc_id").select("mix_whole.*")
 
 

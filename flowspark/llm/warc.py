@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import new_path, read_table
@@ -55,20 +55,22 @@ def _with_digest(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, first: tuple[int, str | None] | None) -> bytes:
-    """One WARC record; `first` makes it a revisit of (page_id, url)."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, first: tuple[int, str | None] | None, copy: int = 0) -> bytes:
+    """One WARC record; `first` makes it a revisit of (page_id, url). Equal rows are told apart by
+    the number of the copy at the end of the record's id; revisits refer to the first copy. The
+    payload's length, which a revisit's block does not show, stands in X-Payload-Length."""
     name = base64.b32encode(digest).decode()
     known = "none" if page_id is None else str(page_id)
     block = HTTP if first else HTTP + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if first else 'response'}", f"WARC-Record-ID: <urn:x-page:{known}:{name}>",
+        "WARC/1.1", f"WARC-Type: {'revisit' if first else 'response'}", f"WARC-Record-ID: <urn:x-page:{known}:{name}:{copy}>",
         f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{name}", f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=_SAFE)}")
     if first:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:x-page:{first[0]}:{name}>"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:x-page:{first[0]}:{name}:0>"]
         if first[1] is not None:
             head.append(f"WARC-Refers-To-Target-URI: {quote(first[1], safe=_SAFE)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -83,12 +85,14 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> str:
     rows = _with_digest(pages).alias("p").join(
         found.alias("f"), F.col("p.page_id").eqNullSafe(F.col("f.page_id")) & (F.col("p.digest") == F.col("f.digest")), "left"
     ).select("p.page_id", "p.url", "p.payload", "p.digest", "first_id", "first_url")
+    # Rows are dealt out by id and digest already; only copies of one row stand together.
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256).to_pylist()
-                made = [record(r["page_id"], r["url"], r["payload"], r["digest"], None if r["first_id"] is None else (r["first_id"], r["first_url"]))[:-1] for r in part]
+                made = [record(r["page_id"], r["url"], r["payload"], r["digest"], None if r["first_id"] is None else (r["first_id"], r["first_url"]), r["copy"])[:-1] for r in part]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["record"])
 
     # The writer ends each record with the line feed that was cut off.

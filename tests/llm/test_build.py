@@ -166,6 +166,8 @@ def test_archives(spark, tmp_path):
     got = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows)
     assert got == Counter([(5, "revisit", 3, 4), (3, "response", None, 4), (3, "response", None, 4), (9, "revisit", 3, 4), (1, "response", None, 0), (2, "revisit", 1, 0), (None, "response", None, 5), (None, "revisit", 3, 4),
                            (4, "response", None, len(pages[8][2])), (6, "response", None, 12), (7, "response", None, 400_000)])
+    ids = [x for r in spark.read.text(path).where("value like 'WARC-Record-ID%'").collect() for x in r]
+    assert len(ids) == len(set(ids)) == len(pages)
     text = {r["page_id"]: r["payload"] for r in rows if r["record_type"] == "response" and r["page_id"] is not None}
     assert all(bytes(text[i]).decode() == (h or "") for i, _, h in pages if i in text)
     few = warc.read_archives(spark, warc.write_archives(df, str(tmp_path / "f"), least_bytes=5))
@@ -199,3 +201,24 @@ def test_pipeline(spark):
     e = pipe.sequence_packing(spark, d, SF).collect()
     packed(e)
     assert Counter(r["doc_id"] for r in e if r["piece"] == 0) == Counter(i for i, _ in plain(d))
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_takes_any_table(spark, rows):
+    """Nulls, empty and long texts, repeated rows and ids, extra columns of the operators' own names."""
+    import corpus_pipeline as pipe
+
+    names = ["row", "ledger", "ld_doc", "ld_keys", "ld_row", "nj_row", "nj_key", "nj_whole", "mix_size", "mix_whole", "mix_source", "length", "sequence_id", "pk_n"]
+    docs = wild(documents(spark) if rows == "odd" else empty(spark), *names)
+    docs = docs.unionByName(docs).withColumn("tags", F.create_map(F.lit("a"), F.lit(1)))
+    at = docs
+    for name, stage in pipe.STAGES[:-1]:
+        at = packing.written(stage(spark, at, SF), "t")
+        assert at.columns == docs.columns, name
+    out = pipe.STAGES[-1][1](spark, at, SF).collect()
+    packed(out)
+    kept = Counter(i for i, _ in plain(at))
+    assert Counter(r["doc_id"] for r in out if r["piece"] == 0) == kept
+    if rows == "odd":
+        assert 1 in kept and not {4, 5} & set(kept) and not {2, 3} & set(kept)  # empty; near and exact copies
+        assert all(n <= mixing.MAX_EPOCHS for n in kept.values())
