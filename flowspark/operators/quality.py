@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import Order, previous
-from ..functions.scalars import NS_PER_MS, NS_PER_S, bar_start, floor_div
+from ..functions.scalars import NS_PER_MS, NS_PER_S, floor_div
 from .chain import audit
 
 GRID_TOLERANCE = 1e-6
@@ -103,12 +103,38 @@ def inter_arrival(rows: DataFrame, keys: tuple[str, ...], ts: str, id_col: str)
     return rows.withColumn("gap_ns", F.col(ts) - F.col(f"__earlier.{ts}")).drop("__earlier").where("gap_ns is not null")
 
 
+PERCENTS = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p99_9": 0.999}
+#: Ranks of the sketch are off by a part of 1 / SKETCH of all rows at most.
+SKETCH = 10_000
+
+
 def distribution(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """n, least, p50, p90, p99, p99_9, most, mean: exact percentiles with linear interpolation.
-    Spark's percentile merges (value, count) pairs, so equal values are combined map-side."""
-    p = F.percentile(value, F.array(*(F.lit(x) for x in (0.5, 0.9, 0.99, 0.999))))
-    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), p.alias("p"), F.max(value).alias("most"), F.avg(value).alias("mean"))
-    return out.select(*keys, "n", "least", *(F.col("p")[i].alias(n) for i, n in enumerate(("p50", "p90", "p99", "p99_9"))), "most", "mean")
+
+    A sketch of bounded size brackets each percentile; only values between the brackets, some
+    6 / SKETCH of all, are then counted one by one, and the rows below them in one number."""
+    each = list(PERCENTS.values())
+    around = [min(1.0, max(0.0, p + d / SKETCH)) for p in each for d in (-3, 3)]
+    rows = rows.select(*keys, F.col(value).alias("__v")).where("__v is not null")
+    base = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("most"), F.avg("__v").alias("mean"), F.percentile_approx("__v", around, SKETCH).alias("__q"))
+    met = lambda a, b, how="inner": a.join(b, list(keys), how) if keys else a.join(b, F.lit(True), how)  # noqa: E731  one row without keys
+    # A key of few rows is counted whole: there, a neighbour in rank is farther than the brackets.
+    few = F.col("n") <= SKETCH
+    wide = met(rows, base.select(*keys, few.alias("__few"), F.col("least").alias("__least"), F.col("most").alias("__most"), "__q"))
+    at = lambda i: (F.when(F.col("__few"), F.col("__least")).otherwise(F.get("__q", i * 2)), F.when(F.col("__few"), F.col("__most")).otherwise(F.get("__q", i * 2 + 1)))
+    below = wide.groupBy(*keys).agg(F.array(*(F.count_if(F.col("__v") < at(F.lit(i))[0]) for i in range(len(each)))).alias("__below"))
+    between = F.filter(F.sequence(F.lit(0), F.lit(len(each) - 1)), lambda i: (F.col("__v") >= at(i)[0]) & (F.col("__v") <= at(i)[1]))
+    counts = wide.select(*keys, "__v", F.explode(between).alias("__i")).groupBy(*keys, "__i", "__v").agg(F.count("*").alias("__c"))
+    upto = Window.partitionBy(*keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = met(met(counts, below), base.select(*keys, "n")).withColumn("__rank", F.sum("__c").over(upto) + F.get("__below", F.col("__i")))
+    position = (F.col("n") - 1) * F.get(F.array(*map(F.lit, each)), F.col("__i"))
+    reached = lambda p: F.min(F.when(F.col("__rank") > p, F.col("__v").cast("double")))
+    found = ranked.withColumn("__p", position).groupBy(*keys, "__i", "__p").agg(reached(F.floor("__p")).alias("__a"), reached(F.ceil("__p")).alias("__b"))
+    part = F.col("__p") - F.floor("__p")
+    exact = found.withColumn("__x", F.col("__a") * (1 - part) + F.col("__b") * part)
+    exact = exact.groupBy(*keys).agg(*(F.max(F.when(F.col("__i") == i, F.col("__x"))).alias(name) for i, name in enumerate(PERCENTS)))
+    return met(base.drop("__q"), exact, "left").select(*keys, "n", "least", *PERCENTS, "most", "mean")
 
 
 def bucketed_percentiles(rows: DataFrame, keys: tuple[str, ...], latency_ns: str, percents: dict[str, float], limit_ms: int = 60_000) -> DataFrame:
@@ -140,16 +166,10 @@ def compare_top(local: DataFrame, rest: DataFrame, keys: tuple[str, ...], n: int
         F.slice(F.sort_array(F.collect_list(F.when(bad, detail))), 1, DETAILS).alias("details"))  # at most 2 n rows a key
 
 
-def probe_verdict(rate_limit: float = 0.10) -> Column:
-    """stale, breach or ok for a row of compare_top with a boolean `stale`."""
-    return F.when(F.col("stale"), "stale").when(F.col("mismatches") / F.greatest(F.lit(1), "compared") > rate_limit, "breach").otherwise("ok")
-
-
 def sequence_gaps(frames: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
-    """keys, n_frames, n_gaps: frames, in arrival order, that do not continue the one before."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = frames.withColumn("__u", F.lag("final_update_id").over(w))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n_frames"), F.count_if(F.col("prev_final_update_id") != F.col("__u")).alias("n_gaps"))
+    """keys, n_frames, n_gaps: frames, in arrival order (a time in ns), that do not continue the one before."""
+    rows = previous(frames, by_time(keys, order, "final_update_id"), ["final_update_id"])
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_frames"), F.count_if(F.col("prev_final_update_id") != F.col("prev.final_update_id")).alias("n_gaps"))
 
 
 def latencies(rows: DataFrame, clock: DataFrame) -> DataFrame:
@@ -157,7 +177,3 @@ def latencies(rows: DataFrame, clock: DataFrame) -> DataFrame:
     offset = clock.agg(F.rint(F.avg("offset_ns")).cast("long").alias("__offset"))
     raw = F.col("ts_recv_ns") - F.col("ts_event_ns")
     return rows.crossJoin(F.broadcast(offset)).withColumns({"raw_ns": raw, "adjusted_ns": raw - F.coalesce("__offset", F.lit(0))}).drop("__offset")
-
-
-def bars_of(rows: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
-    return rows.withColumn("bar_start_ns", bar_start("ts_event_ns", width))

@@ -56,6 +56,11 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, at = _fs(spark, path)
     return fs.exists(at)
@@ -114,8 +119,10 @@ def read(spark: SparkSession, root: str, kind: str, **where: str | None) -> Data
     return scan(spark, root, kind, **where).orderBy("ts_event_ns", TIEBREAK[kind])
 
 
-def part_files(spark: SparkSession, root: str, kind: str, **where: str | None) -> list[str]:
-    return sorted(scan(spark, root, kind, **where).inputFiles())
+def part_files(spark: SparkSession, root: str, kind: str, exchange: str | None = None, symbol: str | None = None, date: str | None = None) -> list[str]:
+    """The parts that hold rows of these partitions, sorted; only metadata is read."""
+    where = {"exchange": exchange, "symbol": symbol, "date": date}
+    return sorted({r[0] for p in _parts(spark, root, kind, where) for r in p.select("_metadata.file_path").distinct().collect()})
 
 
 class LowDisk(OSError):

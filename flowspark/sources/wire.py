@@ -24,16 +24,14 @@ def kind(raw: Column | str = "raw") -> Column:
     return F.get_json_object(unwrapped(raw), "$.e")
 
 
-def levels(pairs: Column) -> Column:
-    """[["price", "qty"], ...] as text -> array of struct(price, qty)."""
-    parsed = F.from_json(pairs, "array<array<string>>")
-    return F.transform(parsed, lambda x: F.struct(F.get(x, F.lit(0)).try_cast("double").alias("price"), F.get(x, F.lit(1)).try_cast("double").alias("qty")))
+def _levels(name: str) -> Column:
+    """A field [["price", "qty"], ...] as an array of struct(price, qty)."""
+    return F.transform(_field(name, "array<array<string>>"), lambda x: F.struct(F.get(x, F.lit(0)).try_cast("double").alias("price"), F.get(x, F.lit(1)).try_cast("double").alias("qty")))
 
 
 def _field(name: str, kind: str = "string") -> Column:
-    """A field of the frame. Fields differ by case alone (e and E, u and U), which a map keeps
-    apart and struct fields would not."""
-    return F.col("m").getItem(name).try_cast(kind)
+    """A field of the frame, which is parsed once. Paths tell e from E and u from U."""
+    return F.try_variant_get("m", f"$.{name}", kind)
 
 
 def _common(exchange: str, symbol: Column, ts: Column) -> list[Column]:
@@ -41,7 +39,9 @@ def _common(exchange: str, symbol: Column, ts: Column) -> list[Column]:
 
 
 def _parsed(frames: DataFrame) -> DataFrame:
-    return frames.withColumn("m", F.from_json(unwrapped(), "map<string, string>"))
+    rows = frames.withColumn("m", F.try_parse_json("raw"))
+    inside = F.when(F.try_variant_get("m", "$.stream", "string").isNotNull(), F.try_variant_get("m", "$.data", "variant")).otherwise(F.col("m"))
+    return rows.withColumn("m", inside)
 
 
 def _time(*names: str) -> Column:
@@ -52,7 +52,7 @@ def depth_updates(frames: DataFrame, exchange: str) -> DataFrame:
     """Deltas; their time is E, else T, else the time of receipt."""
     first, final = _field("U", "long"), _field("u", "long")
     rows = _parsed(frames).where((_field("e") == "depthUpdate") & first.isNotNull() & final.isNotNull())
-    return rows.select(*_common(exchange, _field("s"), _time("E", "T")), first.alias("first_update_id"), final.alias("final_update_id"), _field("pu", "long").alias("prev_final_update_id"), levels(_field("b")).alias("bids"), levels(_field("a")).alias("asks"))
+    return rows.select(*_common(exchange, _field("s"), _time("E", "T")), first.alias("first_update_id"), final.alias("final_update_id"), _field("pu", "long").alias("prev_final_update_id"), _levels("b").alias("bids"), _levels("a").alias("asks"))
 
 
 def prints(frames: DataFrame, exchange: str, event: str = "aggTrade") -> DataFrame:
@@ -67,7 +67,7 @@ def rest_snapshots(frames: DataFrame, exchange: str) -> DataFrame:
     """Snapshots from REST bodies; frames also have the symbol asked for."""
     uid = _field("lastUpdateId", "long")
     rows = _parsed(frames).where(uid.isNotNull())
-    return rows.select(*_common(exchange, F.col("symbol"), _time("E", "T")), uid.alias("last_update_id"), levels(_field("bids")).alias("bids"), levels(_field("asks")).alias("asks"))
+    return rows.select(*_common(exchange, F.col("symbol"), _time("E", "T")), uid.alias("last_update_id"), _levels("bids").alias("bids"), _levels("asks").alias("asks"))
 
 
 def instruments(bodies: DataFrame, exchange: str) -> DataFrame:

@@ -239,7 +239,7 @@ def decide(last: int, synced: bool, first: int, final: int, prev: int) -> str:
 class BookSync(StatefulProcessor):
     """Snapshots and depth updates of a symbol -> each one's decision and the top of the book.
 
-    Without a snapshot, updates are held, up to BUFFER; more are dropped, though decided BUFFER, and
+    Without a snapshot, updates are held, up to `buffer`; more are dropped, though decided BUFFER, and
     counted in n_dropped. A gap forgets the book and waits for the next snapshot; the update that
     shows it is not applied. A row with `disconnect` (a column that the input may lack) forgets the
     book and all held updates. Rows are taken in arrival order (`arrival`). Of the book in the state
@@ -248,6 +248,9 @@ class BookSync(StatefulProcessor):
 
     SCHEMA = "symbol string, arrival long, final_update_id long, decision string, bid_px double, bid_qty double, ask_px double, ask_qty double, n_dropped long"
 
+    def __init__(self, buffer: int = BUFFER):
+        self.buffer = buffer
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ids = handle.getValueState("ids", "last long, ready boolean, synced boolean, dropped long")
         self.bids = handle.getMapState("bids", "price double", "qty double")
@@ -276,7 +279,7 @@ class BookSync(StatefulProcessor):
         def update(arrival, first, final, prev, bids, asks) -> None:
             nonlocal last, synced, dropped
             if not ready:
-                if len(held) < BUFFER:
+                if len(held) < self.buffer:
                     held.append((arrival, first, final, prev, bids, asks))
                 else:
                     dropped += 1
