@@ -109,3 +109,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert "| x | A | 3 | 4 | 8 |" in capsys.readouterr().out
     assert main(["check", root], spark) == 1
     assert Settings.of({"Data_Dir": "/d", "OTHER": "1"}) == Settings("/d", "INFO")
+
+
+def test_watchdog(spark, tmp_path):
+    """A symbol whose depth goes silent is told once; trades keep nobody alive."""
+    import time
+
+    from flowspark.streaming import recorder as R
+
+    source = landed(tmp_path / "in", [[{"symbol": "a", "kind": "depth"}, {"symbol": "b", "kind": "trade"}]])
+    stream = R.watched(spark.readStream.schema("symbol string, kind string").json(source), 500)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", P.ROCKSDB)
+    try:
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+        got = []
+        for _ in range(120):
+            time.sleep(0.5)
+            if not query.isActive:
+                break
+            got = spark.read.schema(R.Watchdog.SCHEMA).parquet(str(tmp_path / "out")).collect() if (tmp_path / "out" / "_spark_metadata").exists() else []
+            if got:
+                break
+        query.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert [r["symbol"] for r in got] == ["a"] and got[0]["noticed_ms"] >= got[0]["last_arrival_ms"] + 500
