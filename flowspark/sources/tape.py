@@ -204,7 +204,7 @@ def resolve_instrument(spark: SparkSession, root: str, symbol: str) -> DataFrame
         if symbol.upper() != LEGACY["symbol"]:
             raise NoInstrument(f"no instrument.json under {root}")
         found = _typed(spark.createDataFrame([tuple(LEGACY[c] for c in INSTRUMENT)], ", ".join(f"{c} string" for c in INSTRUMENT)))
-    if not found.where(F.col("symbol") == symbol.upper()).take(1):
+    if not found.where(F.upper("symbol") == symbol.upper()).take(1):
         raise ValueError(f"the instrument under {root} is not {symbol}")
     return found
 
