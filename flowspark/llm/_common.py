@@ -128,3 +128,12 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
 
     return df.mapInArrow(run, schema)
 
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    digit = "(instr('0123456789ABCDEF', substr(hex(encode({0})), 2 * i + {1}, 1)) - 1)"
+    byte = f"{digit.format(text, 1)} * 16 + {digit.format(text, 2)}"
+    steps = f"flatten(list_transform(range(strlen({text})), lambda i: [({byte})::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    bit = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: {bit}), 4294967295::BIGINT)"
