@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, lines, merkle, mixing, packing, quality, spans, topk, urls, warc
+from . import jaccard, licenses, lines, merkle, mixing, packing, quality, resample, spans, topk, urls, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_warc": warc.op9_warc,
     "op10_substring_dedup": spans.op10_substring_dedup,
+    "op11_importance_resampling": resample.op11_importance_resampling,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
@@ -26,5 +27,6 @@ ORACLES = {
     "op7_url_filters": urls.OP7_SQL,
     "op8_quality_rules": quality.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_importance_resampling": resample.OP11_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
