@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, lines, merkle, mixing, packing, quality, resample, spans, topk, urls, warc
+from . import bpe, jaccard, licenses, lines, merkle, mixing, packing, quality, resample, spans, topk, urls, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_substring_dedup": spans.op10_substring_dedup,
     "op11_importance_resampling": resample.op11_importance_resampling,
+    "op12_byte_bpe": bpe.op12_byte_bpe,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
