@@ -58,12 +58,24 @@ def audit_probes(snapshots: DataFrame, deltas: DataFrame, probes: DataFrame, key
     ids = (*keys, "probe")
     rest = changes(probes, ids).drop("pos")
     met = compare_top(local, rest, ids, levels)
-    out = status.select(*ids, "rest_id", "stale", "aligned_u", "batches").join(met, list(ids), "left")
+    return _verdicts(status.select(*ids, "rest_id", "stale", "aligned_u", "batches").join(met, list(ids), "left"), warn)
+
+
+def _verdicts(out: DataFrame, warn: float) -> DataFrame:
     rate = F.when(F.col("compared") > 0, F.col("mismatches") / F.col("compared")).otherwise(1.0)
     out = out.withColumns({"delta_ids": F.col("aligned_u") - F.col("rest_id"), "mismatch_rate": F.when(~F.col("stale"), rate)})
     return out.withColumn("verdict", F.when(F.col("stale"), "stale").when(F.col("mismatch_rate") > warn, "breach").otherwise("ok"))
 
 
+def audit_aligned(rows: DataFrame, keys: tuple[str, ...], levels: int, warn: float = 0.10) -> DataFrame:
+    """The same verdicts for probes that a stream has aligned: rows (keys, probe, rest_id, aligned_u,
+    stale, batches, bids, asks, rest_bids, rest_asks). A stale probe has no book to compare."""
+    ids = (*keys, "probe")
+    rest = rows.where("not stale").select(*ids, F.col("rest_bids").alias("bids"), F.col("rest_asks").alias("asks"))
+    met = compare_top(changes(rows, ids).drop("pos"), changes(rest, ids).drop("pos"), ids, levels)
+    return _verdicts(rows.select(*ids, "rest_id", "stale", "aligned_u", "batches").join(met, list(ids), "left"), warn)
+
+
 #: Fixed limits of the live check.
 WARN_RATE, MOST_QTY, MOST_NOTIONAL, MOST_SLACK = 0.10, 0.5, 40_000.0, 1
 

@@ -70,6 +70,21 @@ def rest_snapshots(frames: DataFrame, exchange: str) -> DataFrame:
     return rows.select(*_common(exchange, F.col("symbol"), _time("E", "T")), uid.alias("last_update_id"), _levels("bids").alias("bids"), _levels("asks").alias("asks"))
 
 
+def book_events(frames: DataFrame, *carried: str) -> DataFrame:
+    """Depth updates and snapshot bodies in one pass, as processors of books take them: symbol,
+    is_snapshot, ids, levels, ts_event_ns, ts_recv_ns, and the columns of the frames named in
+    `carried`. A snapshot has its id in all three places, an update that names none before it -1. Frames of other kinds give no row."""
+    uid, body = _field("lastUpdateId", "long"), F.col("symbol").isNotNull()
+    first, final = _field("U", "long"), _field("u", "long")
+    snapshot = body & uid.isNotNull()
+    delta = (_field("e") == "depthUpdate") & first.isNotNull() & final.isNotNull()
+    either = lambda a, b: F.when(snapshot, a).otherwise(b)
+    rows = _parsed(frames).where(F.coalesce(snapshot, F.lit(False)) | F.coalesce(delta, F.lit(False)))
+    return rows.select(
+        *carried, F.upper(either(F.col("symbol"), _field("s"))).alias("symbol"), snapshot.alias("is_snapshot"), either(uid, first).alias("first_update_id"), either(uid, final).alias("final_update_id"),
+        F.coalesce(either(uid, _field("pu", "long")), F.lit(-1)).alias("prev_final_update_id"), either(_levels("bids"), _levels("b")).alias("bids"), either(_levels("asks"), _levels("a")).alias("asks"), _time("E", "T").alias("ts_event_ns"), "ts_recv_ns")
+
+
 def instruments(bodies: DataFrame, exchange: str) -> DataFrame:
     """One row per symbol of an exchange-info body, sizes as fixed-point strings."""
     s = bodies.select(F.explode(F.from_json("raw", INFO)["symbols"]).alias("s"))

@@ -336,15 +336,20 @@ def stateful(stream: DataFrame, processor: StatefulProcessor, key: str = "symbol
     return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode="Append", timeMode="None")
 
 
-def drained(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Runs a streaming frame over all that is there now, into Parquet at `out`, and reads it."""
+def drained(stream: DataFrame, out: str, checkpoint: str, at_once: bool = True) -> DataFrame:
+    """Runs a streaming frame over all that is there now, into Parquet at `out`, and reads it. Sources
+    that plan their own batches, and watermarks that move on after the last row, need `at_once` off."""
     spark: SparkSession = stream.sparkSession
     schema = stream.schema
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
-        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        query = (writer.trigger(availableNow=True) if at_once else writer).start()
+        try:
+            query.awaitTermination() if at_once else query.processAllAvailable()
+        finally:
+            query.stop()
     finally:
         if before is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

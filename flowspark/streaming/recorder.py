@@ -128,3 +128,34 @@ def stop_on_signal(query: StreamingQuery, signals: tuple[int, ...] = (signal.SIG
 def frames_of(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
     """Landed frames (JSON lines of raw, ts_recv_ns, symbol) as a bounded stream."""
     return spark.readStream.schema("raw string, ts_recv_ns long, symbol string").option("maxFilesPerTrigger", files).json(path)
+
+
+BACKLOG = "frame_backlog"
+
+
+def with_backlog(stream: DataFrame) -> DataFrame:
+    """A stream of frame logs with its backlog observed in every micro-batch, for BacklogLog."""
+    return stream.observe(BACKLOG, F.count(F.lit(1)).alias("n"), F.max("backlog").alias("backlog"), F.sum(F.octet_length("raw")).alias("bytes"))
+
+
+class BacklogLog(StreamingQueryListener):
+    """Follows how much waited in the logs: `high_water`, the most frames that were waiting when a
+    batch was planned; `most`, the largest batch; `behind`, what the latest one left waiting."""
+
+    high_water = most = behind = batches = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(BACKLOG)
+        if row is not None and row["n"]:
+            self.batches += 1
+            self.high_water, self.most, self.behind = max(self.high_water, row["backlog"]), max(self.most, row["n"]), row["backlog"] - row["n"]
+            LOG.info("%d frames (%d bytes) taken, %d left waiting, high-water mark %d", row["n"], row["bytes"] or 0, self.behind, self.high_water)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
