@@ -2,11 +2,12 @@
 
 Encoding folds merges over distinct words only. A first pass splits texts at the pre-tokeniser's
 pattern and writes them as codes into a dictionary of their part, which is at most PART_BYTES of
-texts of one task. The dictionaries' distinct words are then encoded once each by Spark's
-higher-order functions: a word is an array of byte ranges, each with the rank of what it and the
-next one would merge to, looked up in a literal map; `aggregate` merges the leftmost range of the
-least rank until none is left that has one. Words meet their ids by a join, and ids their part's
-codes: parts lie in buckets, so the codes are not shuffled. Decoding looks the pieces up in a
+texts of one task. The words of all dictionaries are then sorted, and the first of each is encoded
+by Spark's higher-order functions: a word is an array of byte ranges, each with the rank of what it
+and the next one would merge to, looked up in a literal map; `aggregate` merges the leftmost range
+of the least rank until none is left that has one. The ids go back to the dictionaries that have the
+word, and there to the codes: parts lie in buckets, so the codes are not shuffled. A word is encoded
+once for GROUP parts, so that no task gets all places of a word. Decoding looks the pieces up in a
 literal array and joins them.
 
 The rank map is as large as the vocabulary, never as the data; it is kept in SLOTS small maps, as a
@@ -31,15 +32,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import new_path, read_table, shuffles_freed, written
+from ._common import new_path, partitions, read_table, shuffles_freed
 
 #: Bytes of text that share a dictionary, and words in one of its rows.
 PART_BYTES = 48 << 20
 ROW_WORDS = 1 << 13
-BUCKETS = 512
+#: Parts for which a word is encoded once; bits of a word's code in its part, and of a part in its task.
+GROUP = 4096
+CODE_BITS, PART_BITS = 24, 12
+PACKED_WORDS = 1 << 18
 LONGEST = 2048
 SLOTS = 1 << 13
 #: A rank above all others, and what ranks are multiplied by to stand above a place in a word.
@@ -135,11 +139,46 @@ def merged_by_heap(word: str, ranks: dict[str, int]) -> list[int]:
     return [ranks[w[at : end[at]]] for at in range(len(w)) if alive[at]]
 
 
-def _by_heap(ranks: dict[str, int]):
+def squeezed(*numbers: np.ndarray) -> bytes:
+    """Arrays of numbers below 2 ** 32, their bytes of a kind together, compressed."""
+    return pa.compress(b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in numbers), "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, *sizes: int) -> list[np.ndarray]:
+    whole = np.frombuffer(pa.decompress(data, 4 * sum(sizes), "zstd", asbytes=True), np.uint8)
+    parts = np.split(whole, np.cumsum([4 * n for n in sizes])[:-1])
+    return [x.reshape(4, -1).T.copy().view("<u4").ravel() for x in parts]
+
+
+def _packed(ranks: dict[str, int]):
+    """Rows of (place, ids, word if it is a very long one) -> a row for each part: its codes, how many
+    ids each has, and the ids."""
+    def rows(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(waiting).combine_chunks()
+        place, ids = whole["place"].to_numpy(), whole["ids"].to_pylist() if whole["word"].null_count < len(whole) else whole["ids"].combine_chunks()
+        if isinstance(ids, list):
+            ids = pa.array([i if w is None else merged_by_heap(w, ranks) for i, w in zip(ids, whole["word"].to_pylist(), strict=True)], pa.list_(pa.int32()))
+        flat, n = np.asarray(ids.flatten()), np.diff(np.asarray(ids.offsets))
+        order = np.argsort(place, kind="stable")
+        first, place, n = (np.cumsum(n) - n)[order], place[order], n[order]
+        flat = flat[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        part, code = place >> CODE_BITS, place & ((1 << CODE_BITS) - 1)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        cut = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        spans = list(zip(cut, cut[1:], strict=False))
+        data = [squeezed(np.diff(code[a:b], prepend=0), n[a:b], flat[ends[a] : ends[b]]) for a, b in spans]
+        return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array([b - a for a, b in spans], pa.int32()), pa.array([ends[b] - ends[a] for a, b in spans], pa.int32()), pa.array(data, pa.binary())], ["of", "n_words", "n_ids", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
-            ids = [merged_by_heap(w, ranks) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= PACKED_WORDS:
+                yield rows(waiting)
+                waiting, size = [], 0
+        if size:
+            yield rows(waiting)
 
     return run
 
@@ -151,13 +190,13 @@ def _coded(pattern: str):
 
     find = regex.compile(pattern).findall
     names = ["part", "doc_id", "codes", "base", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.string())]
 
     def rows(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size, words = TaskContext.get().partitionId() << 24, 0, {}
+        part, size, words = TaskContext.get().partitionId() << PART_BITS, 0, {}
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             every = list(words)
@@ -178,6 +217,8 @@ def _coded(pattern: str):
                 if size >= PART_BYTES:
                     yield from dictionary()
                     part, size, words = part + 1, 0, {}
+                    if part % (1 << PART_BITS) == 0:
+                        raise ValueError(f"a task has over {1 << PART_BITS} parts: read the texts in smaller partitions")
         yield from dictionary()
 
     return run
@@ -185,10 +226,9 @@ def _coded(pattern: str):
 
 def _scattered(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
     """A part's codes and the ids of its words -> the ids of its texts, 256 texts at a time."""
-    ids = dictionary["ids"].combine_chunks()
-    flat = np.asarray(ids.flatten())
-    n = np.diff(np.asarray(ids.offsets))
-    code = np.asarray(dictionary["code"])
+    parts = [unsqueezed(d, n, n, m) for n, m, d in zip(*(dictionary[c].to_pylist() for c in ("n_words", "n_ids", "data")), strict=True)]
+    none = np.zeros(0, np.int64)
+    code, n, flat = (np.concatenate([none, *x]) for x in ([np.cumsum(p[0], dtype=np.int64) for p in parts], [p[1] for p in parts], [p[2] for p in parts]))
     first, count = np.zeros((2, int(code.max(initial=-1)) + 1), np.int64)
     first[code], count[code] = np.cumsum(n) - n, n
     out = []
@@ -213,17 +253,19 @@ def encode(docs: DataFrame, rank_file: str | None = None, pattern: str | None =
     spark, ranks = docs.sparkSession, pieces_of(rank_file or default_ranks())
     path = new_path(spark, "bpe-codes")
     name = path.rpartition("/")[2].replace("-", "_")
-    coded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_coded(pattern or public_tokenizers.PATTERN), "part long, doc_id long, codes binary, base int, words array<string>")
+    coded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_coded(pattern or public_tokenizers.PATTERN), "part long, doc_id long, codes binary, base long, words array<string>")
     with shuffles_freed(spark):
-        coded.write.format("parquet").bucketBy(BUCKETS, "part").option("path", path).option("compression", "zstd").saveAsTable(name)
+        coded.write.format("parquet").bucketBy(partitions(spark), "part").option("path", path).option("compression", "zstd").saveAsTable(name)
     coded = spark.read.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay, the name is not needed any more
     known = coded.where("words IS NOT NULL").select("part", "base", F.posexplode("words").alias("at", "word"))
+    place = F.shiftleft("part", CODE_BITS) + F.col("base") + F.col("at")
+    same = Window.partitionBy("word", "grp").orderBy("place")
+    known = known.select("word", F.expr(f"part div {GROUP << PART_BITS}").cast("int").alias("grp"), place.alias("place")).withColumn("no", F.row_number().over(same))
     is_long = F.octet_length("word") > LONGEST
-    vocabulary = known.where(~is_long).select("word").distinct().select("word", word_ids(F.col("word"), literal(spark, ranks)).alias("ids"))
-    long = known.where(is_long).select("word").distinct().mapInArrow(_by_heap(ranks), "word string, ids array<int>")
-    vocabulary = written(vocabulary, "bpe-words").unionByName(written(long, "bpe-long-words"))
-    dictionary = known.join(vocabulary, "word").select(F.col("part").alias("of"), (F.col("base") + F.col("at")).alias("code"), "ids")
+    ids = F.when((F.col("no") == 1) & ~is_long, word_ids(F.col("word"), literal(spark, ranks)))
+    known = known.withColumn("ids", ids).withColumn("ids", F.first("ids").over(same)).select("place", "ids", F.when(is_long, F.col("word")).alias("word"))
+    dictionary = known.mapInArrow(_packed(ranks), "of long, n_words int, n_ids int, data binary")
     texts = coded.where("words IS NULL").select("part", "doc_id", "codes")
     return texts.groupBy("part").cogroup(dictionary.groupBy("of")).applyInArrow(_scattered, "doc_id long, ids array<int>")
 
