@@ -7,6 +7,11 @@ starts empty in each group, and groups are independent of each other.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,28 +59,86 @@ def level_at(levels: Column | str, n: int) -> Column:
     return F.get(F.col(levels) if isinstance(levels, str) else levels, F.lit(n - 1))
 
 
-def intervals(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, group, side, price, qty, seq, until: the level is live at seq <= s < until."""
-    ids = [*keys, "group", "side", "price"]
-    last = rows.groupBy(*ids, "seq").agg(F.max_by("qty", "pos").alias("qty"))
-    w = Window.partitionBy(*ids).orderBy("seq")
-    return last.withColumn("until", F.lead("seq").over(w)).where("qty > 0")
-
+#: Sequence numbers of one sweep: a book is walked in pieces of this length, each from its live levels.
+CHUNK = 4096
 
-def best_at(rows: DataFrame, at: DataFrame, keys: tuple[str, ...], chunk: int = 512) -> DataFrame:
-    """keys, group, seq, bid_px, bid_qty, ask_px, ask_qty at every (keys, group, seq) of `at`.
 
-    An interval join without a range join: sequences are cut into chunks, a level goes to every
-    chunk in which it is live, and rows meet on the chunk.
+def seeds(rows: DataFrame, marked: DataFrame, keys: tuple[str, ...], chunk: int) -> DataFrame:
+    """The levels that are live where each chunk of `marked` (keys, group, __c) begins. Changes are first
+    summed up by price and chunk, so what is spread over chunks is levels, not events."""
+    ids = [*keys, "group", "side", "price"]
+    last = rows.withColumn("__c", floor_div("seq", chunk)).groupBy(*ids, "__c").agg(F.max_by("qty", F.struct("seq", "pos")).alias("qty"))
+    ends = marked.groupBy(*keys, "group").agg(F.max("__c").alias("__end"))
+    later = F.lead("__c").over(Window.partitionBy(*ids).orderBy("__c"))
+    live = last.withColumn("__next", later).where("qty > 0").join(ends, [*keys, "group"])
+    upto = F.least(F.coalesce("__next", "__end"), "__end")
+    live = live.withColumn("__c", F.explode(F.when(upto > F.col("__c"), F.sequence(F.col("__c") + 1, upto)))).drop("__next", "__end")
+    return live.join(marked, [*keys, "group", "__c"], "left_semi")
+
+
+def swept(rows: DataFrame, at: DataFrame, keys: tuple[str, ...], m: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """keys, group, seq, bids, asks: the best m levels of both sides (all, if None) at every (keys, group,
+    seq) of `at`.
+
+    A chunk is one stretch of a task: it starts with the levels that are live there and takes the
+    changes in order. Prices of a side are kept sorted, so a state costs what it shows and a change
+    what it moves, whatever the depth; no symbol or snapshot group is a task of its own.
     """
-    ends = at.groupBy(*keys, "group").agg(F.max("seq").alias("__end"))
-    live = intervals(rows, keys).join(ends, [*keys, "group"]).withColumn("until", F.coalesce("until", F.col("__end") + 1))
-    live = live.withColumn("__c", F.explode(F.sequence(floor_div("seq", chunk), floor_div(F.greatest("seq", F.least(F.col("until") - 1, "__end")), chunk)))).withColumnRenamed("seq", "__from").drop("__end")
-    points = at.select(*keys, "group", "seq", floor_div("seq", chunk).alias("__c"))
-    met = points.join(live, [*keys, "group", "__c"]).where("__from <= seq and seq < until")
-    bid, ask = F.when(F.col("side") == "bid", F.col("price")), F.when(F.col("side") == "ask", F.col("price"))
-    return met.groupBy(*keys, "group", "seq").agg(
-        F.max(bid).alias("bid_px"), F.max_by("qty", bid).alias("bid_qty"), F.min(ask).alias("ask_px"), F.min_by("qty", ask).alias("ask_qty"))
+    c = floor_div("seq", chunk).alias("__c")
+    marks = at.select(*keys, "group", "seq", c)
+    marked = marks.drop("seq").distinct()
+    moves = rows.select(*keys, "group", "seq", c, "pos", (F.col("side") == "bid").alias("is_bid"), "price", "qty")
+    moves = moves.join(marked, [*keys, "group", "__c"], "left_semi")
+    start = seeds(rows, marked, keys, chunk).withColumns({"seq": F.lit(-(1 << 62)).cast("long"), "is_bid": F.col("side") == "bid"}).drop("side")
+    kind = lambda df, n: df.withColumn("kind", F.lit(n))
+    every = kind(moves, 1).unionByName(kind(start, 0), allowMissingColumns=True).unionByName(kind(marks, 2), allowMissingColumns=True)
+    ids = [*keys, "group"]
+    every = every.repartition(*ids, "__c").sortWithinPartitions(*ids, "__c", "seq", "kind", "pos").select(*ids, "__c", "seq", "kind", "is_bid", "price", "qty")
+    kinds = dict(rows.dtypes)
+    levels = "array<struct<price: double, qty: double>>"
+    return every.mapInArrow(_sweep(len(ids), m), ", ".join(f"{k} {kinds[k]}" for k in ids) + f", seq long, bids {levels}, asks {levels}")
+
+
+def _sweep(n_ids: int, m: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, prices, qtys = None, ([], []), ({}, {})
+        for batch in batches:
+            ids = list(zip(*(batch.column(i).to_pylist() for i in range(n_ids + 1)), strict=True))
+            kind, seq = batch.column(n_ids + 2).to_pylist(), batch.column(n_ids + 1)
+            shown, sizes, flat = [], ([], []), (([], []), ([], []))
+            for i, (key, k, is_bid, price, qty) in enumerate(zip(ids, kind, *(batch.column(n_ids + j).to_pylist() for j in (3, 4, 5)), strict=True)):
+                if key != now:
+                    now, prices, qtys = key, ([], []), ({}, {})
+                if k == 2:
+                    shown.append(i)
+                    best = (prices[0][: None if m is None else -m - 1 : -1], prices[1][:m])
+                    for side, levels in enumerate(best):
+                        sizes[side].append(len(levels))
+                        flat[side][0].extend(levels)
+                        flat[side][1].extend(map(qtys[side].__getitem__, levels))
+                    continue
+                order, known = prices[not is_bid], qtys[not is_bid]
+                if qty > 0:
+                    if price not in known:
+                        insort(order, price)
+                    known[price] = qty
+                elif price in known:
+                    del known[price], order[bisect_left(order, price)]
+            if shown:
+                at = pa.array(shown)
+                sides = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.StructArray.from_arrays([pa.array(p, pa.float64()), pa.array(q, pa.float64())], ["price", "qty"])) for n, (p, q) in zip(sizes, flat, strict=True)]
+                names = [*batch.schema.names[:n_ids], "seq", "bids", "asks"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(n_ids)), seq.take(at), *sides], names)
+
+    return run
+
+
+def best_at(rows: DataFrame, at: DataFrame, keys: tuple[str, ...], chunk: int = CHUNK) -> DataFrame:
+    """keys, group, seq, bid_px, bid_qty, ask_px, ask_qty at every (keys, group, seq) of `at` at which
+    the book has a level."""
+    touch = swept(rows, at, keys, 1, chunk).where(F.size("bids") + F.size("asks") > 0)
+    of = lambda side, field, name: F.get(side, F.lit(0))[field].alias(name)
+    return touch.select(*keys, "group", "seq", of("bids", "price", "bid_px"), of("bids", "qty", "bid_qty"), of("asks", "price", "ask_px"), of("asks", "qty", "ask_qty"))
 
 
 def valid_top() -> Column:
@@ -85,45 +148,3 @@ def valid_top() -> Column:
 
 def crossed() -> Column:
     return F.coalesce(F.col("bid_px") >= F.col("ask_px"), F.lit(False))
-
-
-def top_levels_at(rows: DataFrame, at: DataFrame, keys: tuple[str, ...], m: int) -> DataFrame:
-    """keys, group, seq, bids, asks: the best m levels at every point, replayed per snapshot group.
-
-    Sorted change rows stream through one task per group with the book's state as the only
-    memory, which a book of thousands of levels makes cheaper than the interval join.
-    """
-    import heapq
-
-    import pyarrow as pa
-
-    marks = at.select(*keys, "group", "seq", F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.lit("").alias("side"), F.lit(0.0).alias("price"), F.lit(0.0).alias("qty"))
-    moves = rows.select(*keys, "group", "seq", F.lit(1).alias("kind"), F.col("pos").cast("int"), "side", "price", "qty")
-    ids = [*keys, "group"]
-    both = moves.unionByName(marks).repartition(*ids).sortWithinPartitions(*ids, "seq", "kind", "pos")
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in ids) + ", seq long, bids array<struct<price: double, qty: double>>, asks array<struct<price: double, qty: double>>"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches):
-        now, book = None, {}
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                key = tuple(r[k] for k in ids)
-                if key != now:
-                    now, book = key, {"bid": {}, "ask": {}}
-                if r["kind"] == 1:
-                    if r["qty"] > 0:
-                        book[r["side"]][r["price"]] = r["qty"]
-                    else:
-                        book[r["side"]].pop(r["price"], None)
-                else:
-                    best = {"bids": heapq.nlargest(m, book["bid"].items()), "asks": heapq.nsmallest(m, book["ask"].items())}
-                    out.append({k: r[k] for k in [*ids, "seq"]} | {s: [{"price": p, "qty": q} for p, q in x] for s, x in best.items()})
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    return both.mapInArrow(run, schema)

@@ -21,7 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.ordered import Order, following_min, previous, row_index, running_max, running_sum
 from ..functions.scalars import floor_div
 from ..sources.tape import written
-from .book import best_at, changes, padded, top_levels_at, valid_top
+from .book import best_at, changes, padded, swept, valid_top
+from .lookup import books_at_ids, books_at_times
 
 CHUNK = 1 << 20
 
@@ -180,7 +181,7 @@ def level_states(kept: DataFrame, moves: DataFrame, keys: tuple[str, ...], level
     """The same with arrays bid_px, bid_qty, ask_px and ask_qty of `levels` levels, null where
     there is none."""
     names = {"bid_px": ("bids", "price"), "bid_qty": ("bids", "qty"), "ask_px": ("asks", "price"), "ask_qty": ("asks", "qty")}
-    tops = top_levels_at(moves, kept, keys, levels).where((F.size("bids") > 0) & (F.size("asks") > 0))
+    tops = swept(moves, kept, keys, levels).where((F.size("bids") > 0) & (F.size("asks") > 0))
     return _counted(kept, tops.select(*keys, "group", "seq", *(padded(side, field, levels).alias(n) for n, (side, field) in names.items())), keys)
 
 
@@ -209,38 +210,14 @@ def audit(deltas: DataFrame, snapshots: DataFrame, keys: tuple[str, ...]) -> Dat
 
 
 def book_at_time(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...], ts: int) -> tuple[DataFrame, DataFrame]:
-    """(levels, status): the book at event time ts from the last snapshot then and the deltas
-    after it. status has, per key, the snapshot's id and whether a delta broke the chain."""
-    chosen = snapshots.where(F.col("ts_event_ns") <= ts).groupBy(*keys).agg(F.max_by(F.struct("last_update_id", "ts_event_ns", "bids", "asks"), F.struct("ts_event_ns", "last_update_id")).alias("s"))
-    after = deltas.where(F.col("ts_event_ns") <= ts).join(chosen.select(*keys, F.col("s.ts_event_ns").alias("__ts"), F.col("s.last_update_id").alias("__id")), list(keys)).where("ts_event_ns > __ts")
-    order = F.struct("ts_event_ns", "final_update_id")
-    return _book(chosen, after, keys, order)
+    """(levels, status): every key's book at event time ts, as `lookup.books_at_times` gives it."""
+    known = snapshots.where(F.col("ts_event_ns") <= ts)
+    asked = known.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("query"), F.lit(ts).cast("long").alias("ts_event_ns"))
+    return tuple(df.drop("query") for df in books_at_times(known, deltas.where(F.col("ts_event_ns") <= ts), keys, asked))
 
 
 def book_at_id(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...], rest_id: int) -> tuple[DataFrame, DataFrame]:
-    """The same at the first stored delta with final id >= rest_id, from the last snapshot not
-    above it; status also has aligned_u (null where the chain ends before) and n_batches."""
-    chosen = snapshots.where(F.col("last_update_id") <= rest_id).groupBy(*keys).agg(F.max_by(F.struct("last_update_id", "ts_event_ns", "bids", "asks"), F.struct("last_update_id", "ts_event_ns")).alias("s"))
-    after = deltas.join(chosen.select(*keys, F.col("s.last_update_id").alias("__id")), list(keys)).where("final_update_id > __id")
-    stop = after.where(F.col("final_update_id") >= rest_id).groupBy(*keys).agg(F.min("final_update_id").alias("__stop"))
-    after = after.join(stop, list(keys)).where((F.col("final_update_id") <= F.col("__stop")) & (F.col("__id") != rest_id)).drop("__stop")
-    levels, status = _book(chosen, after, keys, F.struct("final_update_id"))
-    ended = after.groupBy(*keys).agg(F.max("final_update_id").alias("__u"), F.count("*").alias("__n"))
-    status = status.join(ended, list(keys), "left").withColumns({
-        "aligned_u": F.when(F.col("snapshot_id") == rest_id, F.lit(rest_id).cast("long")).otherwise(F.col("__u")),
-        "n_batches": F.coalesce("__n", F.lit(0)).cast("long")}).drop("__u", "__n")
-    return levels, status
-
-
-def _book(chosen: DataFrame, after: DataFrame, keys: tuple[str, ...], order) -> tuple[DataFrame, DataFrame]:
-    from .book import live_levels
-
-    w = Window.partitionBy(*keys).orderBy(order)
-    walked = after.withColumns({"seq": F.row_number().over(w).cast("long"), "__prev": F.coalesce(F.lag("final_update_id").over(w), F.col("__id"))})
-    # The book accepts a delta that names its id as previous or, first after a snapshot, brackets it.
-    bad = (F.col("prev_final_update_id") != F.col("__prev")) & ~((F.col("seq") == 1) & (F.col("first_update_id") <= F.col("__id")) & (F.col("__id") <= F.col("final_update_id")))
-    start = chosen.select(*keys, F.lit(0).cast("long").alias("seq"), "s.bids", "s.asks")
-    moves = changes(start.unionByName(walked.select(*keys, "seq", "bids", "asks")), keys, "seq")
-    gaps = walked.groupBy(*keys).agg(F.count_if(bad).alias("n_gaps"))
-    status = chosen.select(*keys, F.col("s.last_update_id").alias("snapshot_id")).join(gaps, list(keys), "left").withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0)).cast("long"))
-    return live_levels(moves, keys), status
+    """The same at the first stored delta with final id >= rest_id, as `lookup.books_at_ids` gives it."""
+    known = snapshots.where(F.col("last_update_id") <= rest_id)
+    asked = known.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("query"), F.lit(rest_id).cast("long").alias("rest_id"))
+    return tuple(df.drop("query") for df in books_at_ids(known, deltas, keys, asked))

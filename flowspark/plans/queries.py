@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import book, chain, convert, flow, quality, regress, validate, volume
+from ..operators import book, chain, convert, flow, lookup, quality, regress, validate, volume
 from ..sources import tape, wire
 from ..streaming import processors
 from . import views as V
@@ -187,6 +187,41 @@ def book_at_id(spark: SparkSession, d: str) -> DataFrame:
     return chain.book_at_id(V.snapshots(spark, d), V.deltas(spark, d), KEYS, AT_ID)[0]
 
 
+#: Two hundred times and ids a symbol, spread over the tape.
+ASKED_SQL = "ask AS (SELECT DISTINCT 'B' || CAST(o_orderkey % 4 AS VARCHAR) AS symbol, i AS query, o.most * i * 500000 + 12345 AS ts, o.most * i // 20 - 3 AS rest_id FROM orders, (SELECT max(o_orderkey) AS most FROM orders) o, (SELECT unnest(range(1, 201)) AS i))"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    orders = V.table(spark, d, "orders")
+    most = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    rows = orders.select(F.concat(F.lit("B"), (F.col("o_orderkey") % 4).cast("string")).alias("symbol")).distinct()
+    i = F.col("query")
+    return rows.select("symbol", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(200).cast("long"))).alias("query")).withColumns({"ts_event_ns": i * (most * 500_000) + 12_345, "rest_id": F.floor(i * most / 20).cast("long") - 3})
+
+
+MANY_SQL = """WITH {views}, {asked}, h AS (SELECT ask.symbol, query, ts, rest_id, max(s.k) AS k0 FROM ask JOIN s ON s.symbol = ask.symbol AND {snap} GROUP BY ALL),
+    z AS (SELECT h.*, {stop} AS stop FROM h),
+    dd AS (SELECT z.symbol, query, d.k, prev_final_update_id AS pu, first_update_id AS fu, coalesce(lag(d.final_update_id) OVER w, k0 * 10 + 9) AS pr, row_number() OVER w AS n, k0 * 10 + 9 AS su, d.final_update_id AS uu
+      FROM z JOIN d ON d.symbol = z.symbol AND {delta} WINDOW w AS (PARTITION BY z.symbol, query ORDER BY d.k)),
+    g AS (SELECT symbol, query, count(*) AS n, count(*) FILTER (WHERE pu <> pr AND NOT (n = 1 AND fu <= su AND su <= uu)) AS n_gaps FROM dd GROUP BY 1, 2),
+    x AS (SELECT z.symbol, query, -1 AS o, sl.side, sl.price, sl.qty FROM z JOIN sl ON sl.k = k0 UNION ALL SELECT dd.symbol, query, dd.k, c.side, c.price, c.qty FROM dd JOIN c ON c.k = dd.k),
+    l AS (SELECT symbol, query, side, price, arg_max(qty, o) AS qty FROM x GROUP BY 1, 2, 3, 4 HAVING arg_max(qty, o) > 0)
+    SELECT l.symbol, l.query, k0 * 10 + 9 AS snapshot_id, coalesce(n_gaps, 0) AS n_gaps, {more}l.side, price, qty FROM l JOIN z ON z.symbol = l.symbol AND z.query = l.query LEFT JOIN g ON g.symbol = l.symbol AND g.query = l.query"""
+
+
+@query(MANY_SQL.format(views=f"{DELTAS_SQL}, {SNAPSHOTS_SQL}", asked=ASKED_SQL, snap="s.ts_event_ns <= ts", stop="0", delta="d.ts_event_ns > k0 * 100000000 + 5000000 AND d.ts_event_ns <= ts", more=""))
+def book_at_many_times(spark: SparkSession, d: str) -> DataFrame:
+    levels, status = lookup.books_at_times(V.snapshots(spark, d), V.deltas(spark, d), KEYS, _asked(spark, d))
+    return status.join(levels, ["symbol", "query"])
+
+
+@query(MANY_SQL.format(views=f"{DELTAS_SQL}, {SNAPSHOTS_SQL}", asked=ASKED_SQL, snap="s.last_update_id <= rest_id", stop="(SELECT min(y.final_update_id) FROM d y WHERE y.symbol = h.symbol AND y.final_update_id >= h.rest_id)",
+                       delta="d.k > k0 AND d.final_update_id <= stop AND k0 * 10 + 9 <> rest_id", more="CASE WHEN k0 * 10 + 9 = rest_id THEN rest_id ELSE stop END AS aligned_u, coalesce(n, 0) AS n_batches, "))
+def book_at_many_ids(spark: SparkSession, d: str) -> DataFrame:
+    levels, status = lookup.books_at_ids(V.snapshots(spark, d), V.deltas(spark, d), KEYS, _asked(spark, d))
+    return status.join(levels, ["symbol", "query"])
+
+
 BBO_SQL = f"""{CHANGES_SQL}, iv AS (SELECT k % 4 AS s, k // 500 AS g, side, price, qty, k AS a, coalesce(lead(k) OVER (PARTITION BY k % 4, k // 500, side, price ORDER BY k), 1152921504606846976) AS z FROM c),
     pt AS (SELECT o_orderkey AS k, o_orderkey % 4 AS s, o_orderkey // 500 AS g FROM orders),
     bb AS (SELECT pt.k AS seq, 'B' || CAST(pt.s AS VARCHAR) AS symbol, max(CASE WHEN side = 'bid' THEN price END) AS bid_px, arg_max(qty, price) FILTER (side = 'bid') AS bid_qty,

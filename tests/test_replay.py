@@ -16,25 +16,28 @@ from .conftest import rows
 HEAD = "symbol string, uid long, first_id long, prev_id long, is_snapshot boolean, ts_event_ns long, ts_recv_ns long, row_id long"
 
 
-def told(heads):
-    """The fate of each header of one symbol by the rule as it is told, and the order of replay."""
-    left = sorted(heads, key=lambda h: (h[1], h[4], h[7]))
-    out, last, started = [], None, False
-    while left:
-        h = left.pop(0)
-        _, uid, first, prev, snap, *_ = h
-        if snap:
-            out.append((h, "periodic" if uid == last else "kept"))
-            started = started if uid == last else True
-            last = uid
-        elif last is not None and (prev == last or (started and first <= last <= uid)):
-            out.append((h, "kept"))
-            last, started = uid, False
-        elif left and left[0][4] and left[0][1] == uid:
-            left[0:1] = [left[0], h]
+def holds(entries):
+    """What must hold of one symbol's headers in replay order, each (header, fate): ids never fall, and a
+    header is on the chain exactly if it continues the last one that was."""
+    on = [i for i, (_, fate) in enumerate(entries) if fate != "off_chain"]
+    kept = [i for i, (_, fate) in enumerate(entries) if fate == "kept"]
+    for i, ((_, uid, first, prev, is_snapshot, *_), fate) in enumerate(entries):
+        at = max((j for j in on if j < i), default=None)
+        reached = None if at is None else entries[at][0][1]
+        opened = any(entries[j][0][4] for j in kept[: sum(j < i for j in kept)][-1:])
+        if is_snapshot:
+            assert fate == ("periodic" if uid == reached else "kept")
         else:
-            out.append((h, "off_chain"))
-    return out
+            continues = reached is not None and (prev == reached or (opened and first <= reached <= uid))
+            assert fate == ("kept" if continues else "off_chain")
+        if i + 1 < len(entries):
+            (after, _), own = entries[i + 1], entries[i][0]
+            assert after[1] >= uid
+            if after[1] == uid:
+                # A snapshot changes places with the delta right before it, if that one is off the chain.
+                swapped = i + 2 < len(entries) and not entries[i + 2][0][4] and entries[i + 2][0][1] == uid
+                assert fate != "off_chain" or is_snapshot or not after[4] or swapped
+                assert (own[4], own[7]) < (after[4], after[7]) or (own[4] and not after[4])
 
 
 def messy(rng, symbol, n):
@@ -57,7 +60,7 @@ def messy(rng, symbol, n):
 
 
 @pytest.mark.parametrize("chunk", [7, 1 << 20])
-def test_select_as_told(spark, monkeypatch, chunk):
+def test_selection_holds(spark, monkeypatch, chunk):
     monkeypatch.setattr(chain, "CHUNK", chunk)
     rng = random.Random(chunk)
     every = {s: messy(rng, s, 150) for s in "abcdef"}
@@ -67,9 +70,11 @@ def test_select_as_told(spark, monkeypatch, chunk):
         got.setdefault(r["symbol"], []).append((r["seq"], r["row_id"], r["fate"]))
     fates = set()
     for s, heads in every.items():
-        want = [(i, h[7], fate) for i, (h, fate) in enumerate(told(heads))]
-        assert sorted(got[s]) == want
-        fates |= {x[2] for x in want}
+        by_row = {h[7]: h for h in heads}
+        found = sorted(got[s])
+        assert [x[0] for x in found] == list(range(len(heads))) and {x[1] for x in found} == set(by_row)
+        holds([(by_row[row], fate) for _, row, fate in found])
+        fates |= {x[2] for x in found}
     assert fates == {"kept", "periodic", "off_chain"}
 
 

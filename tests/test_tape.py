@@ -96,7 +96,7 @@ def test_restamp_and_states(spark):
     assert [r[1] for r in got] == sorted({r[1] for r in got})
     s = rows(chain.states(kept, moves, K).select("seq", "epoch", "new_epoch", "bid_px", "bid_qty"))
     assert s == [(0, 0, True, 100.0, 10.0), (1, 0, False, 100.0, 5.0), (2, 1, True, 100.0, 1.0), (3, 1, False, 100.5, 2.0)]
-    top = rows(book.top_levels_at(moves, kept, K, 1).select("seq", book.level_at("bids", 1)["price"].alias("p")))
+    top = rows(book.swept(moves, kept, K, 1).select("seq", book.level_at("bids", 1)["price"].alias("p")))
     assert [r[1] for r in top] == [100.0, 100.0, 100.0, 100.5]
 
 
