@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.ordered import Order, previous, running_sum
 from ..functions.scalars import (
-    DEPTH_CLEAR_EVENT, DEPTH_EVENT, DEPTH_SNAPSHOT_EVENT, FLAG_LAST, FLAG_SNAPSHOT, TRADE_EVENT, event_kind, event_word, local_ts, order_id, ticks,
+    DEPTH_CLEAR_EVENT, DEPTH_EVENT, DEPTH_SNAPSHOT_EVENT, FLAG_LAST, FLAG_SNAPSHOT, TRADE_EVENT, event_kind, event_word, floor_div, local_ts, order_id, ticks,
 )
 
+#: Sequence numbers of one chunk of a quoting rule's targets.
+CHUNK = 1 << 16
+
 
 def _ops(levels: str, side: str, action: Column, tick: float, positive: bool) -> Column:
     got = F.filter(levels, lambda x: x["qty"] > 0) if positive else F.col(levels)
@@ -138,6 +142,37 @@ def crossing_quotes(best_bid: Column | str, best_ask: Column | str, tick: float)
     return F.struct(ticks(best_ask, tick).alias("bid_ticks"), ticks(best_bid, tick).alias("ask_ticks"))
 
 
+def order_life(targets: DataFrame, fills: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """What the quoting rule does to its orders: keys, seq, side, action (submit, cancel or fill), ticks and
+    order_id, the number of the order on its side from 1.
+
+    targets (keys, seq, bid_ticks, ask_ticks): at most one order a side is open. An order at the target
+    stays; another one is cancelled, and a new one submitted in its place; a null target cancels. fills
+    (keys, seq, side): the side's open order is filled before the target of that seq is seen, so an
+    unchanged target is submitted again. Fills without an open order are left out.
+    """
+    side = lambda name, c: targets.select(*keys, "seq", F.lit(name).alias("side"), F.lit(1).alias("rank"), F.col(c).cast("long").alias("ticks"))
+    rows = side("bid", "bid_ticks").unionByName(side("ask", "ask_ticks"))
+    rows = rows.unionByName(fills.select(*keys, "seq", "side", F.lit(0).alias("rank"), F.lit(None).cast("long").alias("ticks")).distinct())
+    order = Order((*keys, "side"), ("seq", "rank"), floor_div("seq", CHUNK))
+    # A fill leaves nothing open, as a null target does, so what is open is what the row before left.
+    rows = previous(rows, order, ["ticks"], "before").withColumn("open", F.col("before.ticks"))
+    changed = ~F.col("ticks").eqNullSafe(F.col("open"))
+    rows = rows.withColumns({"ends": F.col("open").isNotNull() & changed, "starts": F.col("ticks").isNotNull() & changed})
+    rows = running_sum(rows, order, n=F.col("starts").cast("long"))
+    act = lambda name, ticks, number: F.struct(F.lit(name).alias("action"), F.col(ticks).alias("ticks"), number.alias("order_id"))
+    ended = F.when(F.col("rank") == 0, act("fill", "open", F.col("n"))).otherwise(act("cancel", "open", F.col("n") - F.col("starts").cast("long")))
+    acts = F.array_compact(F.array(F.when(F.col("ends"), ended), F.when(F.col("starts"), act("submit", "ticks", F.col("n")))))
+    return rows.select(*keys, "seq", "side", F.explode(acts).alias("x")).select(*keys, "seq", "side", "x.*")
+
+
+def order_counts(life: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, n_submitted, n_canceled, n_filled and n_open, the orders that nothing has ended."""
+    n = lambda a: F.count_if(F.col("action") == a)
+    out = life.groupBy(*keys).agg(n("submit").alias("n_submitted"), n("cancel").alias("n_canceled"), n("fill").alias("n_filled"))
+    return out.withColumn("n_open", F.col("n_submitted") - F.col("n_canceled") - F.col("n_filled"))
+
+
 def checked_orders(orders: DataFrame) -> DataFrame:
     """Orders with `valid`: positive quantity, and a price where the type is limit."""
     return orders.withColumn("valid", F.coalesce((F.col("qty") > 0) & ((F.col("type") != "limit") | F.col("price").isNotNull()), F.lit(False)))

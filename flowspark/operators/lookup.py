@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import Order, previous, running_max, running_sum
+from ..functions.ordered import Order, following_min, previous, running_max, running_sum
 from ..functions.scalars import floor_div
+from ..sources.tape import written
 from .book import changes, live_levels, swept
 
 #: Nanoseconds, and ids, of one chunk.
@@ -21,8 +22,9 @@ _NO_LEVELS = "CAST(array() AS array<struct<price: double, qty: double>>)"
 
 
 def _grouped(rows: DataFrame, order: Order, own: Column) -> DataFrame:
-    """rows with `group`, the last snapshot's (place, id) up to the row; rows before any are left out."""
-    return running_max(rows, order, group=own).where("group is not null")
+    """rows with `group`, the last snapshot's (place, id) up to the row, written once; rows before any
+    are left out."""
+    return written(running_max(rows, order, group=own).where("group is not null"), "lookup-rows")
 
 
 def _order(keys: tuple[str, ...], at: str, chunk: int) -> Order:
@@ -73,7 +75,7 @@ def books_at_ids(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...],
     d = row(deltas, 2, F.col("final_update_id"), F.col("final_update_id").alias("id"), "first_update_id", "prev_final_update_id", F.lit(False).alias("is_snapshot"), "ts_event_ns", "bids", "asks")
     order = _order(keys, "at", CHUNK_IDS)
     rows = _grouped(s.unionByName(q).unionByName(d), order, F.when(F.col("rank") == 0, F.struct("at", "ts_event_ns")))
-    rows = rows.where("rank <> 2 or id > group.at")
+    stops, rows = _stops(rows, keys, order), rows.where("rank <> 2 or id > group.at")
     headers = rows.drop("bids", "asks", "ts_event_ns")
     # What each query finds in its group: deltas below its id, breaks among them, the last one.
     broken = _gaps(headers.where("rank <> 1"), keys, "at", CHUNK_IDS).select(*headers.columns, "gap")
@@ -83,7 +85,6 @@ def books_at_ids(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...],
     found = running_sum(found, inside, n_gaps=F.col("gap").cast("long"), n_before=is_delta.cast("long"))
     found = running_max(found, inside, last=F.when(F.col("rank") != 1, F.col("id"))).where("rank = 1")
     found = found.select(*keys, "group", F.col("id").alias("query"), F.col("at").alias("rest_id"), "n_gaps", "n_before", "last")
-    stops = _stops(deltas, queries, keys)
     found = found.join(stops, [*keys, "query"], "left").withColumn("exact", F.col("group.at") == F.col("rest_id"))
     through = F.col("stop.final_update_id").isNotNull() & ~F.col("exact")
     bad = (F.col("stop.prev_final_update_id") != F.col("last")) & ~((F.col("n_before") == 0) & (F.col("stop.first_update_id") <= F.col("last")) & (F.col("last") <= F.col("stop.final_update_id")))
@@ -99,13 +100,9 @@ def books_at_ids(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...],
     return live_levels(both, (*keys, "query")), status
 
 
-def _stops(deltas: DataFrame, queries: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _stops(rows: DataFrame, keys: tuple[str, ...], order: Order) -> DataFrame:
     """keys, query and `stop`: the first stored delta at or over the query's id, whole."""
-    from ..functions.ordered import following_min
-
-    none = F.lit(None).cast("long")
-    ids = queries.select(*keys, F.col("rest_id").alias("at"), F.lit(0).alias("rank"), F.col("query").cast("long").alias("id"), none.alias("u"))
-    ids = ids.unionByName(deltas.select(*keys, F.col("final_update_id").alias("at"), F.lit(1).alias("rank"), F.col("final_update_id").alias("id"), F.col("final_update_id").alias("u")))
-    met = following_min(ids, _order(keys, "at", CHUNK_IDS), stop_id=F.col("u")).where("rank = 0 and stop_id is not null").select(*keys, F.col("id").alias("query"), F.col("stop_id").alias("final_update_id"))
-    whole = F.struct("final_update_id", "first_update_id", "prev_final_update_id", "bids", "asks")
-    return met.join(deltas, [*keys, "final_update_id"]).groupBy(*keys, "query").agg(F.first(whole).alias("stop"))
+    ids = rows.where("rank > 0").select(*keys, "at", "rank", "id", F.when(F.col("rank") == 2, F.col("at")).alias("u"))
+    met = following_min(ids, order, stop_id=F.col("u")).where("rank = 1 and stop_id is not null").select(*keys, F.col("id").alias("query"), F.col("stop_id").alias("at"))
+    whole = F.struct(F.col("at").alias("final_update_id"), "first_update_id", "prev_final_update_id", "bids", "asks")
+    return met.join(rows.where("rank = 2"), [*keys, "at"]).groupBy(*keys, "query").agg(F.first(whole).alias("stop"))

@@ -94,6 +94,20 @@ def ofi_conclusions(rows: DataFrame, keys: tuple[str, ...], tau_s: float = 10.0)
     return out.withColumn("conclusion", ofi_conclusion("lead_r2", "contemporaneous_r2"))
 
 
+def spans(states: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, span_s, insufficient: seconds from a capture's first state to its last, and whether it is too
+    short for its figures to be more than a trial."""
+    out = states.groupBy(*keys).agg(((F.max("ts_event_ns") - F.min("ts_event_ns")) / 1e9).alias("span_s"))
+    return out.withColumn("insufficient", F.col("span_s") < LONG_S)
+
+
+def qualified(conclusions: DataFrame, states: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Conclusions with the span that they rest on and whether it is insufficient; a key without states
+    is."""
+    out = conclusions.join(spans(states, keys), list(keys), "left")
+    return out.withColumns({"span_s": F.coalesce("span_s", F.lit(0.0)), "insufficient": F.coalesce("insufficient", F.lit(True))})
+
+
 def mlofi_conclusions(rows: DataFrame, keys: tuple[str, ...], tau_s: float = 10.0) -> DataFrame:
     """keys, sufficient, uni_gain, lead_gain, multi_lift and what follows from them at one width:
     whether no depth predicts, depth adds nothing, sums add something, several coefficients lift

@@ -397,6 +397,24 @@ def maker_quotes(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("q", q).where("q is not null").select("symbol", "seq", "q.*")
 
 
+@query(f"""WITH {L1_SQL}, q AS (SELECT symbol, seq, CAST(round_even((bid_px + ask_px) / 2, 0) AS BIGINT) + CASE WHEN bid_qty - ask_qty > 3 THEN 1 WHEN bid_qty - ask_qty < -3 THEN -1 ELSE 0 END AS c, bid_px, ask_px FROM l),
+    r AS (SELECT symbol, seq, least(c - 1, CAST(ask_px AS BIGINT) - 1) AS b, greatest(c + 1, CAST(bid_px AS BIGINT) + 1) AS a FROM q),
+    u AS (SELECT symbol, seq, 'bid' AS side, 1 AS rank, CASE WHEN b < a AND seq % 31 <> 0 THEN b END AS ticks FROM r UNION ALL SELECT symbol, seq, 'ask', 1, CASE WHEN b < a AND seq % 31 <> 0 THEN a END FROM r
+      UNION ALL SELECT symbol, seq, 'bid', 0, NULL FROM r WHERE seq % 5 = 3 UNION ALL SELECT symbol, seq, 'ask', 0, NULL FROM r WHERE seq % 7 = 5),
+    w AS (SELECT *, lag(ticks) OVER (PARTITION BY symbol, side ORDER BY seq, rank) AS open FROM u),
+    x AS (SELECT *, ticks IS NOT NULL AND ticks IS DISTINCT FROM open AS starts, open IS NOT NULL AND ticks IS DISTINCT FROM open AS ends FROM w),
+    y AS (SELECT *, CAST(sum(CAST(starts AS INT)) OVER (PARTITION BY symbol, side ORDER BY seq, rank) AS BIGINT) AS n FROM x)
+    SELECT symbol, seq, side, 'submit' AS action, ticks, n AS order_id FROM y WHERE starts
+    UNION ALL SELECT symbol, seq, side, CASE WHEN rank = 0 THEN 'fill' ELSE 'cancel' END, open, n - CAST(starts AS INT) FROM y WHERE ends""")
+def maker_order_life(spark: SparkSession, d: str) -> DataFrame:
+    """Submits, cancels and fills of the quoting rule; every 31st target is void, some orders are filled."""
+    rows = V.l1(spark, d)
+    q = convert.maker_quotes(S.mid("bid_px", "ask_px"), F.col("bid_qty") - F.col("ask_qty"), "bid_px", "ask_px", TICK, 1, 3.0)
+    targets = rows.withColumn("q", F.when(F.col("seq") % 31 != 0, q)).select("symbol", "seq", "q.bid_ticks", "q.ask_ticks")
+    filled = F.array_compact(F.array(F.when(F.col("seq") % 5 == 3, F.lit("bid")), F.when(F.col("seq") % 7 == 5, F.lit("ask"))))
+    return convert.order_life(targets, rows.select("symbol", "seq", F.explode(filled).alias("side")), KEYS)
+
+
 @query(f"""WITH {P_SQL}, {BARS_SQL}, xy AS (SELECT symbol, bar_start_ns AS t, ofi AS x, delta_mid AS y FROM (SELECT *, lag(valid) OVER (PARTITION BY symbol ORDER BY bar_start_ns) AS before FROM bars) WHERE valid AND before AND ofi IS NOT NULL AND delta_mid IS NOT NULL),
     ff AS (SELECT symbol, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, avg(x) AS mx, regr_sxx(y, x) AS sxx FROM xy GROUP BY 1),
     gg AS (SELECT xy.symbol, t, (y - a - b * x) * (x - mx) AS g, row_number() OVER (PARTITION BY xy.symbol ORDER BY t) AS i FROM xy JOIN ff f ON xy.symbol = f.symbol),

@@ -226,6 +226,17 @@ def ofi_conclusions(spark: SparkSession, d: str) -> DataFrame:
     return validate.ofi_conclusions(_rounded(validate.ofi_validation(V.l1(spark, d), KEYS, WIDTHS)), KEYS, 3600.0)
 
 
+@query(f"""WITH {L1_SQL}, v AS ({_ofi_validation_sql()}), c AS (SELECT symbol, max(r2) FILTER (spec = 'lead1') AS a, max(r2) FILTER (spec = 'contemporaneous') AS b FROM v WHERE tau_s = 3600 GROUP BY 1),
+    k AS (SELECT symbol, (max(ts_event_ns) - min(ts_event_ns)) / 1e9 AS span_s FROM l WHERE symbol < 'S4' OR seq % 100000 < 6 GROUP BY 1)
+    SELECT c.symbol, CASE WHEN a >= 0.15 THEN 'predictive' WHEN a >= 0.05 THEN 'weak' WHEN b >= 0.15 THEN 'contemporaneous' ELSE 'neither' END AS conclusion, round(coalesce(span_s, 0), 3) AS span_s, coalesce(span_s < 1800, true) AS insufficient
+    FROM c LEFT JOIN k ON k.symbol = c.symbol""")
+def ofi_conclusions_qualified(spark: SparkSession, d: str) -> DataFrame:
+    """Conclusions with the span of the capture; half of the symbols have a few states or none in it."""
+    states = V.l1(spark, d)
+    drawn = validate.ofi_conclusions(_rounded(validate.ofi_validation(states, KEYS, WIDTHS)), KEYS, 3600.0).select("symbol", "conclusion")
+    return validate.qualified(drawn, states.where("symbol < 'S4' OR seq % 100000 < 6"), KEYS).withColumn("span_s", F.round("span_s", 3))
+
+
 MBARS_SQL = LM_SQL + """, p AS (SELECT *, lag(epoch) OVER w AS pe, lag(bid_px) OVER w AS pb, lag(bid_qty) OVER w AS pbq, lag(ask_px) OVER w AS pa, lag(ask_qty) OVER w AS paq FROM m WINDOW w AS (PARTITION BY symbol, i ORDER BY seq)),
     fe AS (SELECT *, CASE WHEN bid_px IS NULL OR pb IS NULL THEN NULL ELSE """ + E_SQL + """ END AS e FROM p),
     a AS (SELECT symbol, (ts_event_ns - ((ts_event_ns % WIDTH) + WIDTH) % WIDTH) AS bar_start_ns, coalesce(sum(CASE WHEN i = 0 AND pe = epoch THEN e END), 0) AS x1, coalesce(sum(CASE WHEN i = 1 AND pe = epoch THEN e END), 0) AS x2, coalesce(sum(CASE WHEN i = 2 AND pe = epoch THEN e END), 0) AS x3,
