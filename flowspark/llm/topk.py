@@ -45,7 +45,8 @@ def quantised(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     """id, vec (array<int>): floor(256 x) of every usable vector, one row per id."""
     x = F.col(vec_col)
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    ints = F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("long"))
+    huge = F.raise_error(F.lit("a component takes more than 63 bits when multiplied by 256")).cast("long")
+    ints = F.transform(x, lambda v: F.when(F.abs(v.cast("double") * 256) < 2.0**63, F.floor(v.cast("double") * 256).cast("long")).otherwise(huge))
     return (
         rows.where(x.isNotNull() & F.col(id_col).isNotNull() & ~bad)
         .select(F.col(id_col).cast("long").alias("id"), ints.alias("vec")).groupBy("id").agg(F.min("vec").alias("vec"))

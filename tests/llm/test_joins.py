@@ -179,3 +179,12 @@ def test_far_cells_are_not_asked(spark, monkeypatch):
     got = topk.search(q, q.where("id % 50 = 0"), 5).count()
     n = sent[0].agg(F.sum(F.size("cells")), F.count("*")).first()
     assert got == 240 and n[0] < 0.1 * n[1] * topk.CELLS
+
+
+def test_components_beyond_whole_numbers(spark):
+    """A component whose floor has no 63 bits is an error, not a saturated score; unusable ones are left out."""
+    rows = [(0, [1e17]), (1, [2.0]), (2, [float("inf")]), (3, [None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert topk.quantised(df.where("vec_id > 0")).collect() == [(1, [512])]
+    with pytest.raises(Exception, match="63 bits"):
+        topk.quantised(df).collect()
