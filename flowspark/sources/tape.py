@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,36 +82,68 @@ def scan(spark: SparkSession, root: str, kind: str, exchange: str | None = None,
     missing or empty tape gives an empty frame of the same schema. With `row_id`, a column of that
     name tells rows apart, in the order of parts and of rows in them."""
     wanted = [*SCHEMAS[kind].names, *["row_id"] * row_id]
-    where = {"exchange": exchange, "symbol": symbol, "date": date}
-    own = F.concat_ws(":", "_metadata.file_path", F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
-    rows = [p.withColumn("row_id", own).select(*wanted) if row_id else p.select(*wanted) for p in _parts(spark, root, kind, where)]
-    if not rows:
+    rows = _stored(spark, root, kind, {"exchange": exchange, "symbol": symbol, "date": date})
+    if rows is None:
         return spark.createDataFrame([], T.StructType([*SCHEMAS[kind].fields, *[T.StructField("row_id", T.StringType())] * row_id]))
-    out = rows[0]
-    for part in rows[1:]:
-        out = out.unionByName(part)
-    return out
+    own = F.concat_ws(":", "_metadata.file_path", F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+    return (rows.withColumn("row_id", own) if row_id else rows).select(*wanted)
+
+
+#: Folders of a stored kind, from the outer one on.
+PARTITIONS = ("exchange", "symbol", "date")
+_NULL = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _folder(name: str, value: str | None) -> str:
+    """Glob of a partition's folder, as Spark names it; of all, if no value is asked for."""
+    if value is None:
+        return "*"
+    escaped = "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in '"#%\'*/:=?\\\x7f{[]^' else c for c in value)
+    return f"{name}={escaped}"
+
+
+def _pattern(spark: SparkSession, root: str, kind: str, where: dict[str, str | None]) -> str | None:
+    """The folders of one kind that a scan reads, over all runs, as one pattern, which Spark resolves;
+    None if there are none."""
+    fs, at = _fs(spark, root)
+    base = root if any(exists(spark, f"{root}/{k}") for k in SCHEMAS) else f"{root}/*"
+    asked = [_folder(n, where.get(n)) for n in PARTITIONS]
+    while asked and asked[-1] == "*":
+        asked.pop()
+    pattern = "/".join([base, kind, *asked])
+    return pattern if len(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern)) or []) else None
+
+
+def _partition(name: str) -> Column:
+    """A partition's value, out of the path of the file. Names are escaped once by the writer, and once
+    more where Spark gives the path as a URI."""
+    raw = F.regexp_extract("_metadata.file_path", f"/{name}=([^/]*)/", 1)
+    value = F.url_decode(F.replace(F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), F.lit("+"), F.lit("%2B")))
+    return F.when(raw != _NULL, value)
+
+
+def _stored(spark: SparkSession, root: str, kind: str, where: dict[str, str | None]) -> DataFrame | None:
+    """The stored rows of all runs as one scan, with their partitions as columns. Spark lists the folders
+    of many runs in a job; spark.sql.sources.parallelPartitionDiscovery.parallelism says in how many
+    tasks, of which a few for each core do."""
+    if not (pattern := _pattern(spark, root, kind, where)):
+        return None
+    inside = T.StructType([f for f in SCHEMAS[kind].fields if f.name not in PARTITIONS])
+    rows = spark.read.schema(inside).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(pattern)
+    return rows.withColumns({n: _partition(n) for n in PARTITIONS})
 
 
-def _parts(spark: SparkSession, root: str, kind: str, where: dict[str, str | None]) -> list[DataFrame]:
-    """The stored rows of each run, each with its own partition root."""
-    stored = T.StructType([*SCHEMAS[kind].fields, T.StructField("date", T.StringType())])
-    out = []
-    for d in capture_dirs(spark, root):
-        if exists(spark, f"{d}/{kind}"):
-            part = spark.read.schema(stored).parquet(f"{d}/{kind}")
-            for name, value in where.items():
-                part = part if value is None else part.where(F.col(name) == value)
-            out.append(part)
-    return out
+def _files(spark: SparkSession, root: str, kind: str, where: dict[str, str | None]) -> DataFrame:
+    """path, exchange, symbol, size of the parts; files are listed, none is read."""
+    if not (pattern := _pattern(spark, root, kind, where)):
+        return spark.createDataFrame([], "path string, exchange string, symbol string, size long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(pattern)
+    return files.select(F.col("_metadata.file_path").alias("path"), _partition("exchange").alias("exchange"), _partition("symbol").alias("symbol"), F.col("length").alias("size"))
 
 
 def stored_bytes(spark: SparkSession, root: str, kind: str, **where: str | None) -> DataFrame:
-    """exchange, symbol, bytes of the parts that hold rows; only metadata is read."""
-    out = spark.createDataFrame([], "exchange string, symbol string, path string, size long")
-    for part in _parts(spark, root, kind, where):
-        out = out.union(part.select("exchange", "symbol", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")))
-    return out.distinct().groupBy("exchange", "symbol").agg(F.sum("size").alias("bytes"))
+    """exchange, symbol, bytes of the stored parts."""
+    return _files(spark, root, kind, where).groupBy("exchange", "symbol").agg(F.sum("size").alias("bytes"))
 
 
 def read(spark: SparkSession, root: str, kind: str, **where: str | None) -> DataFrame:
@@ -120,9 +152,8 @@ def read(spark: SparkSession, root: str, kind: str, **where: str | None) -> Data
 
 
 def part_files(spark: SparkSession, root: str, kind: str, exchange: str | None = None, symbol: str | None = None, date: str | None = None) -> list[str]:
-    """The parts that hold rows of these partitions, sorted; only metadata is read."""
-    where = {"exchange": exchange, "symbol": symbol, "date": date}
-    return sorted({r[0] for p in _parts(spark, root, kind, where) for r in p.select("_metadata.file_path").distinct().collect()})
+    """The parts of these partitions, sorted."""
+    return sorted(r["path"] for r in _files(spark, root, kind, {"exchange": exchange, "symbol": symbol, "date": date}).collect())
 
 
 class LowDisk(OSError):
