@@ -5,12 +5,13 @@ cumulative demand for words. Targets are the demands at the end, held to MAX_EPO
 source's size, the excess reshared by weight (a water level over the sources). Without a schedule
 of its own a source gets one by its place in the order of names: WEIGHTS are the integrals, SHAPES
 how they rise or fall over time. Within a source, documents stand in the order of a hash of their
-id, the same in every epoch; the place of a document in that supply, put through the inverse of
+id and text, the same in every epoch; the place of a document in that supply, put through the inverse of
 the source's cumulative demand, is its training position, and documents are range-sorted by it.
 
-Only whole documents are taken. Where the last epoch ends inside a document, that document's
-share goes instead to the remaining document whose size is nearest to the gap, so that sources
-miss their targets by less than documents are apart in size.
+Only whole documents are taken. The last epoch takes documents in their order until one doesn't
+fit in what is left of the target, then goes on behind it with those of at most that gap, ROUNDS
+times; what is left goes to the document not taken whose size is nearest to the gap. So one large
+document doesn't keep a source from its target.
 
 Decisions are made on ids, sizes and hashes alone. Sums within a source are made in 4096 buckets of
 the hash, and what is known of a source reaches its rows by (source, bucket), so that no task gets
@@ -18,8 +19,7 @@ a whole source; `arrange` then moves each text twice, to its decision and into t
 
 Nulls: a null source is a source of its own, last in order; a null text has size 0; a null id is
 an id like any other. Documents of size 0 take nothing, but come along in every full epoch.
-Rows that are repeated or share an id are mixed each on its own; equal hashes are ordered by id,
-size and text. Empty tables give empty results. `plan` returns doc_id, source and columns named
+Rows that are repeated or share an id are mixed each on its own. Empty tables give empty results. `plan` returns doc_id, source and columns named
 `mix_`; `arrange` returns the input's columns, whatever their names.
 """
 
@@ -38,6 +38,7 @@ WEIGHTS = (5, 2, 1)
 SHAPES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0))
 POINTS = 257
 MAX_EPOCHS = 3
+ROUNDS = 3
 SEED = "mix-1"
 
 Schedule = dict[str, list[tuple[float, float]]]
@@ -112,13 +113,15 @@ def targets(sizes: DataFrame, schedule: Schedule | None = None) -> DataFrame:
 
 BUCKET = ["mix_source", "mix_bucket"]
 #: A row's place in its source.
-PLACE = ["mix_source", "mix_hash", "mix_text"]
+PLACE = ["mix_source", "mix_hash"]
+STEP = "struct<lo: bigint, hi: bigint, gap: double, place: double, scale: double>"
 
 
 def keyed() -> list[Column]:
-    """Source, hash of the id and hash of the text, none of them null."""
-    number = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    return [source_key("source").alias("mix_source"), number.alias("mix_hash"), F.xxhash64("text").alias("mix_text")]
+    """Source and hash of id and text, neither of them null."""
+    parts = [F.coalesce(c, F.lit("null")) for c in (F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")))]
+    number = F.md5(F.concat(F.lit(f"{SEED}:"), parts[0], F.lit(":"), parts[1]).cast("binary"))
+    return [source_key("source").alias("mix_source"), number.alias("mix_hash")]
 
 
 def ranked(docs: DataFrame, tables: Tables, schedule: Schedule | None = None) -> DataFrame:
@@ -129,41 +132,77 @@ def ranked(docs: DataFrame, tables: Tables, schedule: Schedule | None = None) ->
     slim = tables.put("mix-slim", slim)
     per_bucket = slim.groupBy(*BUCKET).agg(F.sum("mix_size").alias("mix_sum"))
     earlier = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("mix_offset", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0))).drop("mix_sum")
+    # Sources have up to 4096 rows here; documents meet them by bucket only.
+    buckets = tables.put("mix-buckets", per_bucket.withColumn("mix_offset", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0))))
     full = F.when(F.col("mix_source_size") > 0, F.floor(F.col("mix_target") / F.col("mix_source_size"))).otherwise(F.lit(MAX_EPOCHS)).cast("long")
-    goal = targets(per_bucket.groupBy("mix_source").agg(F.sum("mix_sum").alias("mix_source_size")), schedule)
+    goal = targets(buckets.groupBy("mix_source").agg(F.sum("mix_sum").alias("mix_source_size")), schedule)
     goal = goal.withColumn("mix_full", full).withColumn("mix_rest", F.col("mix_target") - F.col("mix_full") * F.col("mix_source_size"))
+    goal = goal.withColumns({"mix_lo": F.lit(0).cast("long"), "mix_gap": F.col("mix_rest"), "mix_steps": F.array().cast(f"array<{STEP}>")})
     goal = tables.put("mix-goal", goal)
-    # Sources have up to 4096 rows here; documents meet them by bucket only.
-    known = tables.put("mix-known", offsets.join(goal.select("mix_source", "mix_rest"), "mix_source"))
-    inside = Window.partitionBy(*BUCKET).orderBy("mix_hash", "doc_id", "mix_size", "mix_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = slim.withColumn("mix_end", F.sum("mix_size").over(inside)).join(known, BUCKET)
+    inside = Window.partitionBy(*BUCKET).orderBy("mix_hash", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = slim.withColumn("mix_end", F.sum("mix_size").over(inside)).join(buckets.drop("mix_sum"), BUCKET)
     rows = tables.put("mix-ranked", rows.withColumn("mix_end", F.col("mix_end") + F.col("mix_offset")).drop("mix_offset"))
-    fits = F.col("mix_end") <= F.col("mix_rest")
-    cut = rows.groupBy("mix_source").agg((F.first("mix_rest") - F.coalesce(F.max(F.when(fits, F.col("mix_end"))), F.lit(0))).alias("mix_gap"))
-    cut = tables.put("mix-cut", known.select(*BUCKET).join(cut, "mix_source"))
-    # Sizes are positive here, so mix_end tells a source's remaining documents apart.
+    names = buckets.select(*BUCKET)
+    for _ in range(ROUNDS):
+        goal = tables.put("mix-goal", _round(rows, names, goal))
+    # Sizes are positive here, so mix_end tells a source's documents apart.
     off = F.abs(F.col("mix_size") - F.col("mix_gap"))
-    over = rows.where(~fits & (F.col("mix_size") > 0)).join(cut, BUCKET).where(off < F.col("mix_gap"))
+    over = rows.where("mix_size > 0").join(names.join(goal, "mix_source"), BUCKET).where(_step().isNull() & (off < F.col("mix_gap")))
     extra = over.groupBy("mix_source").agg(F.min(F.struct(off.alias("off"), F.col("mix_end").alias("mix_end"))).alias("x")).select("mix_source", F.col("x.mix_end").alias("mix_extra"))
-    facts = tables.put("mix-facts", cut.join(goal, "mix_source").join(extra, "mix_source", "left"))
-    return rows.drop("mix_rest").join(facts, BUCKET)
+    facts = goal.drop("mix_lo").join(extra, "mix_source", "left")
+    return rows.join(tables.put("mix-facts", names.join(facts, "mix_source")), BUCKET)
+
+
+def _round(rows: DataFrame, names: DataFrame, goal: DataFrame) -> DataFrame:
+    """goal after one more step of the last epoch: behind mix_lo, documents of at most mix_gap words
+    are taken up to the first that doesn't fit. Only the bucket that holds that one is walked."""
+    open_ = names.join(goal.select("mix_source", "mix_lo", "mix_gap"), "mix_source")
+    fitting = rows.select(*BUCKET, "mix_end", "mix_size").join(open_, BUCKET).where(
+        (F.col("mix_size") > 0) & (F.col("mix_end") - F.col("mix_size") >= F.col("mix_lo")) & (F.col("mix_size") <= F.col("mix_gap")))
+    per = fitting.groupBy(*BUCKET).agg(F.sum("mix_size").alias("sum"), F.first("mix_gap").alias("gap"))
+    earlier = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("before", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
+    held = per.where((F.col("before") <= F.col("gap")) & (F.col("before") + F.col("sum") > F.col("gap"))).select(*BUCKET, "before")
+    inside = Window.partitionBy(*BUCKET).orderBy("mix_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = fitting.join(held, BUCKET).withColumn("run", F.col("before") + F.sum("mix_size").over(inside)).where(F.col("run") > F.col("mix_gap"))
+    first = walked.groupBy("mix_source").agg(F.min(F.struct("mix_end", "mix_size", "run")).alias("x"))
+    out = goal.join(per.groupBy("mix_source").agg(F.sum("sum").alias("sum")), "mix_source", "left").join(first, "mix_source", "left")
+    got = F.coalesce(F.col("x.run") - F.col("x.mix_size"), F.col("sum"), F.lit(0))
+    # Where all fit, the step reaches to the end of the source.
+    hi, lo = F.coalesce(F.col("x.mix_end") - F.col("x.mix_size"), F.col("mix_source_size")), F.coalesce(F.col("x.mix_end"), F.col("mix_source_size"))
+    left = F.col("mix_gap") - got
+    scale = F.coalesce(F.try_divide(F.col("mix_gap") - left, hi - F.col("mix_lo")), F.lit(0.0))
+    step = F.struct(F.col("mix_lo").alias("lo"), hi.alias("hi"), F.col("mix_gap").alias("gap"), (F.col("mix_rest") - F.col("mix_gap")).alias("place"), scale.alias("scale")).cast(STEP)
+    return out.withColumns({"mix_steps": F.array_append("mix_steps", step), "mix_lo": lo, "mix_gap": left}).drop("sum", "x")
+
+
+def _step() -> Column:
+    """The step of the last epoch that takes the row, else null."""
+    start = F.col("mix_end") - F.col("mix_size")
+    return F.get(F.filter("mix_steps", lambda s: (s["lo"] <= start) & (F.col("mix_end") <= s["hi"]) & (F.col("mix_size") <= s["gap"])), F.lit(0))
 
 
 def decided(rows: DataFrame) -> DataFrame:
-    """Rows of `ranked` with mix_copies and mix_start."""
-    fits = F.col("mix_end") <= F.col("mix_rest")
+    """Rows of `ranked` with mix_copies and mix_start, the words that the last epoch takes before the
+    row: within a step, rows keep their distances in the supply, shrunk by what the step leaves out."""
+    rows = rows.withColumn("mix_step", _step())
     is_extra = F.coalesce((F.col("mix_extra") == F.col("mix_end")) & (F.col("mix_size") > 0), F.lit(False))
-    partial = (fits & (F.col("mix_rest") > 0)) | is_extra
-    start = F.when((F.col("mix_full") == 0) & is_extra, F.col("mix_rest") - F.col("mix_gap")).otherwise(F.col("mix_end") - F.col("mix_size"))
-    return rows.withColumns({"mix_copies": F.col("mix_full") + partial.cast("long"), "mix_start": start.cast("double")})
+    partial = (F.col("mix_step").isNotNull() & (F.col("mix_rest") > 0)) | is_extra
+    start = F.col("mix_step.place") + (F.col("mix_end") - F.col("mix_size") - F.col("mix_step.lo")) * F.col("mix_step.scale")
+    return rows.withColumns({"mix_copies": F.col("mix_full") + partial.cast("long"), "mix_start": F.when(is_extra, F.col("mix_rest") - F.col("mix_gap")).otherwise(start)})
+
+
+def place(copy: Column) -> Column:
+    """Words of its source before a copy, numbered from 0, of a row of `decided`."""
+    whole = copy * F.col("mix_source_size")
+    return F.when(copy == F.col("mix_full"), whole + F.col("mix_start")).otherwise((whole + F.col("mix_end") - F.col("mix_size")).cast("double"))
 
 
 def plan(docs: DataFrame, schedule: Schedule | None = None) -> DataFrame:
     """doc_id and source of every row of docs with mix_size, mix_source_size, mix_target, mix_copies
     (how often the mix takes the document) and mix_position (of its first copy)."""
     rows = decided(ranked(docs, Tables(docs.sparkSession), schedule))
-    rows = rows.withColumn("mix_position", F.when(F.col("mix_copies") > 0, position(F.col("mix_start"), curves_of(schedule))))
+    rows = rows.withColumn("mix_position", F.when(F.col("mix_copies") > 0, position(place(F.lit(0).cast("long")), curves_of(schedule))))
     return rows.select("doc_id", "source", "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_position")
 
 
@@ -183,9 +222,9 @@ def arrange(docs: DataFrame, schedule: Schedule | None = None) -> DataFrame:
     """The mix itself: docs' rows, repeated as often as taken, range-sorted by training position."""
     tables = Tables(docs.sparkSession)
     first = ranked(docs, tables, schedule).groupBy(*PLACE).agg(
-        F.min("mix_end").alias("mix_end"), *(F.first(c).alias(c) for c in ("mix_size", "mix_source_size", "mix_target", "mix_total", "mix_curve", "mix_full", "mix_rest", "mix_gap", "mix_extra")))
+        F.min("mix_end").alias("mix_end"), *(F.first(c).alias(c) for c in ("mix_size", "mix_source_size", "mix_target", "mix_total", "mix_curve", "mix_full", "mix_rest", "mix_gap", "mix_steps", "mix_extra")))
     first = tables.put("mix-first", first)
-    tables.drop("mix-slim", "mix-ranked", "mix-known", "mix-cut", "mix-facts", "mix-goal")
+    tables.drop("mix-slim", "mix-ranked", "mix-buckets", "mix-facts", "mix-goal")
     # The user's columns travel in one struct. Rows of one key stand one after the other in their
     # source, so the first one's end tells the others'.
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_whole"), *keyed())
@@ -193,10 +232,7 @@ def arrange(docs: DataFrame, schedule: Schedule | None = None) -> DataFrame:
     rows = whole.join(first, PLACE).withColumn("mix_no", F.row_number().over(same) - 1)
     rows = decided(rows.withColumn("mix_end", F.col("mix_end") + F.col("mix_no") * F.col("mix_size")))
     copy = rows.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)))
-    at = F.when((F.col("mix_copy") == F.col("mix_full")) & (F.col("mix_full") > 0) & (F.col("mix_start") + F.col("mix_size") > F.col("mix_rest")),
-                F.col("mix_full") * F.col("mix_source_size") + F.col("mix_rest") - F.col("mix_gap")
-                ).otherwise(F.col("mix_copy") * F.col("mix_source_size") + F.col("mix_start"))
-    placed = copy.select("mix_whole", "mix_source", "mix_copy", position(at.cast("double"), curves_of(schedule)).alias("mix_at"))
+    placed = copy.select("mix_whole", "mix_source", "mix_copy", position(place(F.col("mix_copy")), curves_of(schedule)).alias("mix_at"))
     return placed.orderBy("mix_at", "mix_source", "mix_copy", "mix_whole.doc_id").select("mix_whole.*")
 
 
@@ -209,10 +245,24 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy("position", "doc_id")
 
 
+def _rounds_sql() -> str:
+    """The steps g1, g2, ... of the last epoch over r (s, n, rest, size, e), as `_round` takes them."""
+    out = ["g0 AS (SELECT s, any_value(n) AS n, any_value(rest) AS rest, CAST(0 AS BIGINT) AS lo, any_value(rest) AS gap FROM r GROUP BY s)"]
+    for i in range(1, ROUNDS + 1):
+        out.append(f"""c{i} AS (SELECT r.s, e, size, gap, CAST(sum(size) OVER (PARTITION BY r.s ORDER BY e) AS BIGINT) AS run FROM r JOIN g{i - 1} g ON r.s = g.s
+      WHERE size > 0 AND e - size >= lo AND size <= gap),
+f{i} AS (SELECT s, min(e) FILTER (run > gap) AS fe, arg_min(size, e) FILTER (run > gap) AS fs, max(run) FILTER (run <= gap) AS got FROM c{i} GROUP BY s),
+g{i} AS (SELECT g.s, n, rest, g.lo AS lo_{i}, coalesce(fe - fs, n) AS hi, g.gap AS was, rest - g.gap AS place, coalesce(fe, n) AS lo, g.gap - coalesce(got, 0) AS gap,
+      coalesce((g.gap - (g.gap - coalesce(got, 0))) / nullif(coalesce(fe - fs, n) - g.lo, 0), 0) AS scale FROM g{i - 1} g LEFT JOIN f{i} f ON g.s = f.s)""")
+    every = ", ".join(f"{{'lo': g{i}.lo_{i}, 'hi': g{i}.hi, 'gap': g{i}.was, 'place': g{i}.place, 'scale': g{i}.scale}}" for i in range(1, ROUNDS + 1))
+    out.append(f"g AS (SELECT g1.s, g{ROUNDS}.gap, [{every}] AS steps FROM g1 " + " ".join(f"JOIN g{i} ON g{i}.s = g1.s" for i in range(2, ROUNDS + 1)) + ")")
+    return ",\n".join(out)
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
              CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-             md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+             md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')) AS h FROM documents),
 z AS (SELECT s, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY s),
 u AS (SELECT s, n, (row_number() OVER (ORDER BY s) - 1) % 3 AS k, CAST(sum(n) OVER () AS BIGINT) AS total FROM z),
 w AS (SELECT s, n, total, CASE k WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w,
@@ -225,12 +275,12 @@ t AS (SELECT o.s, n, total, curve, CASE WHEN l.capped IS NOT NULL AND o.capped >
 c AS (SELECT d.*, n, total, target, curve, CASE WHEN n > 0 THEN floor(target / n) ELSE 3 END AS f,
         CAST(sum(size) OVER (PARTITION BY d.s ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM d JOIN t ON d.s = t.s),
 r AS (SELECT *, target - f * n AS rest FROM c),
-g AS (SELECT s, any_value(rest) - coalesce(max(CASE WHEN e <= rest THEN e END), 0) AS gap FROM r GROUP BY s),
-x AS (SELECT r.s, arg_min(e, {'off': abs(size - gap), 'e': e}) AS xe FROM r JOIN g ON r.s = g.s
-      WHERE e > rest AND size > 0 AND abs(size - gap) < gap GROUP BY r.s),
-y AS (SELECT r.*, gap, coalesce(xe = e AND size > 0, false) AS extra FROM r JOIN g ON r.s = g.s LEFT JOIN x ON r.s = x.s),
-k AS (SELECT *, CAST(f AS BIGINT) + CASE WHEN (e <= rest AND rest > 0) OR extra THEN 1 ELSE 0 END AS copies,
-        CAST(CASE WHEN f = 0 AND extra THEN rest - gap ELSE e - size END AS DOUBLE) AS start FROM y),
+""" + _rounds_sql() + r""",
+v AS (SELECT r.*, gap, list_filter(steps, lambda x: x.lo <= e - size AND e <= x.hi AND size <= x.gap)[1] AS step FROM r JOIN g ON r.s = g.s),
+x AS (SELECT s, arg_min(e, {'off': abs(size - gap), 'e': e}) AS xe FROM v WHERE step IS NULL AND size > 0 AND abs(size - gap) < gap GROUP BY s),
+y AS (SELECT v.*, coalesce(xe = e AND size > 0, false) AS extra FROM v LEFT JOIN x ON v.s = x.s),
+k AS (SELECT *, CAST(f AS BIGINT) + CASE WHEN (step IS NOT NULL AND rest > 0) OR extra THEN 1 ELSE 0 END AS copies,
+        CAST(CASE WHEN f > 0 THEN e - size WHEN extra THEN rest - gap ELSE step.place + (e - size - step.lo) * step.scale END AS DOUBLE) AS start FROM y),
 q AS (SELECT *, least(1.0::DOUBLE, coalesce(start / nullif(target, 0), 0)) AS part FROM k),
 i AS (SELECT *, least(len(list_filter(curve, lambda x: x <= part)), 256) AS left_point FROM q)
 SELECT doc_id, size, n AS source_size, target, CAST(size * copies AS BIGINT) AS taken,

@@ -17,6 +17,17 @@ from ..conftest import SF
 from .cases import documents, empty, ordered, plain, wild
 
 
+def test_mix_large_document(spark):
+    """One document as large as the target does not keep its source from it; null ids are not one task."""
+    rows = [(i, "w " * 100, "z") for i in range(200)] + [(None, "w " * 20_000, "z"), (999, "w " * 60_000, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weight in (0.2, 0.1003):
+        out = mixing.plan(docs, {"y": [(0.0, 1.0 - weight)], "z": [(0.0, weight)]}).where("source = 'z'").collect()
+        assert abs(sum(r["mix_size"] * r["mix_copies"] for r in out) - out[0]["mix_target"]) <= 50
+    same = spark.createDataFrame([(None, f"text number {i}", "z") for i in range(500)], "doc_id long, text string, source string")
+    assert same.select(*mixing.keyed()).distinct().count() == 500
+
+
 def test_mix(spark):
     docs = wild(documents(spark), "mix_size", "size", "mix_source", "mix_hash", "mix_text", "mix_whole", "mix_end", "mix_foo")
     rows = mixing.plan(docs).collect()
