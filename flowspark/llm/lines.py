@@ -10,7 +10,7 @@ alone keeps its lines.
 
 A null or empty text is one empty line. Rows that share a doc_id are one document: a key counts
 once, and all of the document's rows keep or lose it together; a null id is smaller than any
-other. Repeated lines within the keeping document all stay. Empty tables give empty results.
+other. Each row is sent its own keys only, by id and a hash of its text. Repeated lines within the keeping document all stay. Empty tables give empty results.
 Columns besides doc_id and text pass through `dedup` unchanged, whatever their names: the row of a
 document is one struct on the way.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -45,18 +45,23 @@ def key_of(line: bytes, least: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """ld_key, ld_doc: the distinct keys of each row's text."""
+    """ld_key, ld_doc, ld_text: the distinct keys of each row's text."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        keys, ids = [], []
-        for i, text in zip(cols["ld_doc"], cols["text"], strict=True):
+        keys, ids, hashes = [], [], []
+        for i, h, text in zip(cols["ld_doc"], cols["ld_text"], cols["text"], strict=True):
             found = {k for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if (k := key_of(x, least))}
             keys += found
             ids += [i] * len(found)
-        return {"ld_key": keys, "ld_doc": ids}
+            hashes += [h] * len(found)
+        return {"ld_key": keys, "ld_doc": ids, "ld_text": hashes}
 
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ld_doc"), "text")
-    return map_rows(slim, run, "ld_key binary, ld_doc long")
+    return map_rows(docs.select(*row_of(), "text"), run, "ld_key binary, ld_doc long, ld_text long")
+
+
+def row_of() -> list[Column]:
+    """A row's document and the hash of its text; rows that have both in common lose the same lines."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ld_doc"), F.xxhash64("text").alias("ld_text")]
 
 
 class Runs:
@@ -102,7 +107,7 @@ class Runs:
 
 
 def drops(docs: DataFrame, batches: int = BATCHES, min_docs: int = MIN_DOCS, least: int = LEAST) -> DataFrame:
-    """ld_doc, ld_keys: the keys whose lines a document loses."""
+    """ld_doc, ld_text, ld_keys: the keys whose lines a row loses."""
     spark = docs.sparkSession
     keys = line_keys(docs, least)
     # Bounds between batches come from a sketch of the ids; batches are contiguous and descend.
@@ -113,14 +118,16 @@ def drops(docs: DataFrame, batches: int = BATCHES, min_docs: int = MIN_DOCS, lea
         batch = batch + (F.col("ld_doc").cast("double") < b).cast("int")
     path = new_path(spark, "line-keys")
     keys.withColumn("ld_batch", batch).write.partitionBy("ld_batch").parquet(path)
-    schema = "ld_key binary, ld_doc long, ld_batch int"
+    schema = "ld_key binary, ld_doc long, ld_text long, ld_batch int"
     keys = spark.read.schema(schema).parquet(path)
     runs = Runs(spark)
     for k in range(len(bounds) + 1):
         runs.add(keys.where(F.col("ld_batch") == k).select("ld_key", "ld_doc"), min_docs)
     heavy = runs.rows().where(F.col("ld_n") >= min_docs).select("ld_key", "ld_last")
     lost = keys.join(heavy, "ld_key").where("ld_doc <> ld_last")
-    return lost.groupBy("ld_doc").agg(F.collect_set("ld_key").alias("ld_keys"))
+    out = written(lost.groupBy("ld_doc", "ld_text").agg(F.collect_set("ld_key").alias("ld_keys")), "line-drops")
+    remove(spark, path, *(p for level in runs.levels for p in level))
+    return out
 
 
 def kept_lines(text: str | None, lost: list[bytes] | None, least: int) -> tuple[int, list[bytes]]:
@@ -136,8 +143,7 @@ def _with_drops(docs: DataFrame, **options) -> DataFrame:
     """ld_row, the whole row of docs, and ld_keys, the keys that it loses."""
     lost = drops(docs, **options)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("ld_row")
-    rows = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("ld_doc"))
-    return rows.join(lost, "ld_doc", "left").drop("ld_doc")
+    return docs.select(whole, *row_of()).join(lost, ["ld_doc", "ld_text"], "left").drop("ld_doc", "ld_text")
 
 
 def dedup(docs: DataFrame, least: int = LEAST, **options) -> DataFrame:

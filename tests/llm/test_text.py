@@ -159,7 +159,7 @@ def brute_lines(rows, least=20, least_docs=3):
 
 
 def test_line_dedup(spark):
-    docs = wild(documents(spark), "ld_key", "ld_doc", "ld_keys", "ld_row", "line")
+    docs = wild(documents(spark), "ld_key", "ld_doc", "ld_text", "ld_keys", "ld_row", "line")
     want = brute_lines(plain(docs))
     got = lines.dedup(docs)
     assert got.columns == docs.columns
@@ -167,6 +167,10 @@ def test_line_dedup(spark):
     assert any(n for _, _, n, _ in want)
     for batches in (1, 7):
         assert ordered((i, t or "") for i, t in plain(lines.dedup(docs, batches=batches))) == ordered((i, t) for i, _, _, t in want)
+    # Rows that share an id get their own keys only.
+    own = [f"row {i} has a long line of its own" for i in range(50)]
+    shared = spark.createDataFrame([(None, x) for x in own] + [(k, "\n".join(own)) for k in (1, 2)], "doc_id long, text string")
+    assert sorted(len(r["ld_keys"]) for r in lines.drops(shared).collect()) == [1] * 50 + [50]
     assert lines.dedup(empty(spark)).count() == 0
     n = {r["doc_id"]: r["n_chars"] for r in got.collect()}
     assert n[6] == 3
