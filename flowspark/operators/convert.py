@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -183,46 +184,75 @@ def harvest(fills: DataFrame) -> DataFrame:
     return fills.groupBy("order_id").agg(F.min_by(F.struct(*fills.columns), F.struct("ts", "fill_id")).alias("f")).select("f.*")
 
 
-def positions(fills: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def positions(fills: DataFrame, keys: tuple[str, ...], chunks: int | None = None) -> DataFrame:
     """keys, qty, avg_px, realized: the position after all fills (ts, fill_id, sign, qty, price,
     fee) in order. Adding averages the price; reducing realises profit; turning round opens the
     rest at the fill's price; fees are taken off what is realised.
 
-    The fold is sequential by nature. A key (one strategy's position in one instrument) streams
-    sorted through one task, which keeps three numbers of it.
+    Fills are cut by range of (keys, ts, fill_id) into `chunks` (shuffle partitions unless given), so
+    one hot key is many tasks. Sums of the chunks before give the quantity that a chunk starts with.
+    What it starts with of price and profit is open, but both stay linear in that price, so a chunk
+    ends as four coefficients; a key's chunks are then composed in order. Quantities that doubles
+    don't hold exactly may differ in their last bits from one long sum.
     """
-    kinds = {f.name: f for f in fills.schema.fields}
-    schema = T.StructType([*(kinds[k] for k in keys), *(T.StructField(c, T.DoubleType()) for c in ("qty", "avg_px", "realized"))])
+    slim = fills.select(*keys, "ts", "fill_id", (F.col("sign") * F.col("qty")).cast("double").alias("q"), F.col("price").cast("double").alias("p"), F.coalesce(F.col("fee").cast("double"), F.lit(0.0)).alias("fee"))
+    from ..sources.tape import written
+
+    n = chunks or int(fills.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = written(slim.repartitionByRange(n, *keys, "ts", "fill_id").withColumn("__chunk", F.spark_partition_id()), "position-fills")
+    ids = [*keys, "__chunk"]
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slim.groupBy(*ids).agg(F.sum("q").alias("__q")).select(*ids, F.coalesce(F.sum("__q").over(before), F.lit(0.0)).alias("held"))
+    order = [*ids, "ts", "fill_id"]
+    same = [F.col(c).eqNullSafe(F.col(f"__s.{c}")) for c in ids]
+    rows = slim.join(starts.select(F.struct(*ids).alias("__s"), "held"), reduce(Column.__and__, same))
+    placed = rows.repartition(*ids).sortWithinPartitions(*order).select(*ids, "held", "q", "p", "fee")
+    kinds = {f.name: f for f in placed.schema.fields}
+    schema = T.StructType([*(kinds[k] for k in ids), *(T.StructField(c, T.DoubleType()) for c in ("qty", *LINEAR))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, (0.0, 0.0, 0.0)
+        at, state = None, None
 
         def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([] if at is None else [dict(zip(schema.names, (*at, *held), strict=True))], schema=arrow)
+            return pa.RecordBatch.from_pylist([] if at is None else [dict(zip(schema.names, (*at, *state), strict=True))], schema=arrow)
 
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(len(keys) + 3)]
-            for key, q, price, fee in zip(zip(*cols[: len(keys)], strict=True), *cols[len(keys) :], strict=True):
+            cols = [b.column(i).to_pylist() for i in range(len(ids) + 4)]
+            for key, held, q, price, fee in zip(zip(*cols[: len(ids)], strict=True), *cols[len(ids) :], strict=True):
                 if key != at:
                     yield closed()
-                    at, held = key, (0.0, 0.0, 0.0)
-                held = filled(*held, q, price, fee)
+                    at, state = key, (held, 1.0, 0.0, 0.0, 0.0)
+                state = filled(state, q, price, fee)
         yield closed()
 
-    slim = fills.select(*keys, "ts", "fill_id", (F.col("sign") * F.col("qty")).cast("double").alias("q"), F.col("price").cast("double").alias("p"), F.coalesce(F.col("fee").cast("double"), F.lit(0.0)).alias("fee"))
-    placed = slim.repartition(*keys).sortWithinPartitions(*keys, "ts", "fill_id").select(*keys, "q", "p", "fee")
-    return placed.mapInArrow(run, schema)
+    ends = placed.mapInArrow(run, schema)
+    # At most `chunks` rows a key.
+    parts = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__chunk", "qty", *LINEAR))).alias("parts"))
+    step = lambda s, x: F.struct(
+        x["qty"].alias("qty"), (x["avg_a"] * s["avg_px"] + x["avg_b"]).alias("avg_px"), (s["realized"] + x["gain_a"] * s["avg_px"] + x["gain_b"]).alias("realized"))
+    start = F.struct(*(F.lit(0.0).alias(c) for c in ("qty", "avg_px", "realized")))
+    return parts.select(*keys, F.aggregate("parts", start, step).alias("x")).select(*keys, "x.*")
+
+
+#: After some fills the average price is avg_a * start + avg_b, and the profit since gain_a * start +
+#: gain_b, where start is the average price before them.
+LINEAR = ("avg_a", "avg_b", "gain_a", "gain_b")
 
 
-def filled(qty: float, avg: float, realized: float, q: float, price: float, fee: float) -> tuple[float, float, float]:
-    """A position after a fill of signed quantity q."""
+def filled(state: tuple[float, ...], q: float, price: float, fee: float) -> tuple[float, ...]:
+    """A position (quantity, then LINEAR) after a fill of signed quantity q."""
+    qty, a, b, gain_a, gain_b = state
     left = qty + q
     if qty == 0 or (qty > 0) == (q > 0):
-        return left, (abs(qty) * avg + abs(q) * price) / abs(left) if left else 0.0, realized - fee
-    gain = min(abs(qty), abs(q)) * (price - avg) * (1 if qty > 0 else -1)
-    kept = 0.0 if not left else avg if (left > 0) == (qty > 0) else price
-    return left, kept, realized + gain - fee
+        if not left:
+            return left, 0.0, 0.0, gain_a, gain_b - fee
+        return left, abs(qty) * a / abs(left), (abs(qty) * b + abs(q) * price) / abs(left), gain_a, gain_b - fee
+    closed = min(abs(qty), abs(q)) * (1 if qty > 0 else -1)
+    gain_a, gain_b = gain_a - closed * a, gain_b + closed * (price - b) - fee
+    if not left:
+        return left, 0.0, 0.0, gain_a, gain_b
+    return (left, a, b, gain_a, gain_b) if (left > 0) == (qty > 0) else (left, 0.0, price, gain_a, gain_b)
 
 
 def unrealized(mark: Column | str) -> Column:

@@ -187,3 +187,30 @@ def test_position_turns(spark):
     assert rows(convert.positions(df, ("k",))) == [("m", 0.0, 0.0, -1.0 + 4 * 15.0 + 5.0)]
     assert rows(convert.positions(df.where("ts < 4"), ("k",))) == [("m", -1.0, 30.0, 59.0)]
     assert convert.positions(df.limit(0), ("k",)).count() == 0
+
+
+def test_position_in_chunks(spark):
+    """However a key is cut, its position is that of one fold; null keys are a key."""
+    rng = random.Random(4)
+    fills, want = [], {}
+    for key, n in (("hot", 900), (None, 40), ("one", 1)):
+        qty = avg = gain = 0.0
+        for i in range(n):
+            sign, q, price, fee = rng.choice((1, -1)), float(rng.randint(1, 9)), 90.0 + rng.randint(0, 40) / 2, 0.25
+            fills.append((key, i // 3, i, sign, q, price, fee))
+            left = qty + sign * q
+            gain -= fee
+            if qty * sign >= 0:
+                avg = (abs(qty) * avg + q * price) / abs(left)
+            else:
+                gain += min(abs(qty), q) * (price - avg) * (1 if qty > 0 else -1)
+                avg = 0.0 if not left else avg if left * qty > 0 else price
+            qty = left
+        want[key] = (qty, avg, gain)
+    rng.shuffle(fills)
+    df = spark.createDataFrame(fills, "k string, ts long, fill_id long, sign int, qty double, price double, fee double")
+    for chunks in (1, 3, 16):
+        got = {r["k"]: (r["qty"], r["avg_px"], r["realized"]) for r in convert.positions(df, ("k",), chunks).collect()}
+        assert got.keys() == want.keys()
+        for k, w in want.items():
+            assert got[k] == pytest.approx(w, rel=1e-9, abs=1e-7)
