@@ -91,6 +91,16 @@ def test_chunked_extremes(spark):
             assert down == min((x for j, x in own if j >= i and x is not None), default=None)
 
 
+def test_no_frame_up_to_the_end(spark):
+    """Spark works such a frame out anew for each row, so a chunk would cost its square."""
+    from flowspark.operators import flow
+
+    heads = spark.range(10).select(F.lit("a").alias("symbol"), F.col("id").alias("seq"), F.col("id").alias("ts_event_ns"), F.col("id").alias("ts_recv_ns"))
+    states = heads.select("symbol", "seq", "ts_event_ns", F.lit(0).cast("long").alias("epoch"), *(F.lit(x).alias(c) for c, x in (("bid_px", 1.0), ("bid_qty", 1.0), ("ask_px", 2.0), ("ask_qty", 1.0))))
+    for out in (chain.restamp(heads, ("symbol",)), flow.time_bars(states, ("symbol",), 2)):
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+
+
 def test_a_hot_symbol_is_many_tasks(spark, monkeypatch):
     """One symbol holds nine tenths of all headers; no task gets more than a few chunks of it."""
     monkeypatch.setattr(chain, "CHUNK", 500)
