@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from flowspark.sources import tape
 
+from .conftest import SF
+
 DAY = 86_400_000_000_000
 NAMES = ["A", "A:B c+d%2", "é=x", None, "x[1]*?"]
 
@@ -47,3 +49,15 @@ def test_two_thousand_runs_are_planned_at_once(spark, tmp_path):
     assert rows.groupBy("symbol").count().orderBy("symbol").collect() == [(f"S{k}", n // 4) for k in range(4)]
     spark.conf.unset("spark.sql.sources.parallelPartitionDiscovery.parallelism")
     assert tape.scan(spark, str(root), "trades", symbol="S1").select(F.sum("trade_id")).first()[0] == 3 * n // 4
+
+
+def test_a_query_writes_the_kinds_that_it_reads(spark, monkeypatch):
+    from flowspark.plans import replays
+
+    monkeypatch.setattr(replays, "_TAPES", {})
+    replays.vpin_from_tape(spark, SF)
+    root = replays._root(spark, SF, "trades")
+    there = lambda: {k for k in tape.SCHEMAS if tape.exists(spark, f"{root}/{k}")}
+    assert there() == {"trades"}
+    assert replays._root(spark, SF) == root and there() == set(tape.SCHEMAS)
+    assert tape.scan(spark, root, "trades").count() == spark.read.parquet(f"{SF}/events.parquet").count()
