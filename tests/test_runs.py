@@ -61,3 +61,11 @@ def test_a_query_writes_the_kinds_that_it_reads(spark, monkeypatch):
     assert there() == {"trades"}
     assert replays._root(spark, SF) == root and there() == set(tape.SCHEMAS)
     assert tape.scan(spark, root, "trades").count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_lines_are_shuffled_once(spark):
+    """By order, which serves their levels, the arrays of these and the join with orders."""
+    from flowspark.plans import views
+
+    plan = views.deltas(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "side#" in line]
