@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tape import written
 from . import quality
 
 GAP_NS = 200_000_000
@@ -38,6 +39,7 @@ def probe_audit(depth: DataFrame, trades: DataFrame, samples: DataFrame, keys: t
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    rows = written(rows, "latency-rows")  # read by every step of the distribution
     wide = (*keys, "measure")
     over = rows.where(F.col("measure").startswith("depth_interarrival")).groupBy(*wide).agg(F.count_if(F.col("v") > gap_ns).alias("n_over"))
     return quality.distribution(rows, wide, "v").join(over, list(wide), "left")

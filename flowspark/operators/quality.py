@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import Order, previous
 from ..functions.scalars import NS_PER_MS, NS_PER_S, floor_div
+from ..sources.tape import written
 from .chain import audit
 
 GRID_TOLERANCE = 1e-6
@@ -112,20 +113,22 @@ def distribution(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFram
     """n, least, p50, p90, p99, p99_9, most, mean: exact percentiles with linear interpolation.
 
     A sketch of bounded size brackets each percentile; only values between the brackets, some
-    6 / SKETCH of all, are then counted one by one, and the rows below them in one number."""
+    6 / SKETCH of all, are then counted one by one, and the rows below them in one number. The brackets
+    (a row for each key) go to all tasks, so rows are counted where they lie: a key is no task of its own."""
     each = list(PERCENTS.values())
     around = [min(1.0, max(0.0, p + d / SKETCH)) for p in each for d in (-3, 3)]
     rows = rows.select(*keys, F.col(value).alias("__v")).where("__v is not null")
     base = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("most"), F.avg("__v").alias("mean"), F.percentile_approx("__v", around, SKETCH).alias("__q"))
+    base = written(base, "distribution")  # read by every step below
     met = lambda a, b, how="inner": a.join(b, list(keys), how) if keys else a.join(b, F.lit(True), how)  # noqa: E731  one row without keys
     # A key of few rows is counted whole: there, a neighbour in rank is farther than the brackets.
     few = F.col("n") <= SKETCH
-    wide = met(rows, base.select(*keys, few.alias("__few"), F.col("least").alias("__least"), F.col("most").alias("__most"), "__q"))
+    wide = met(rows, F.broadcast(base.select(*keys, few.alias("__few"), F.col("least").alias("__least"), F.col("most").alias("__most"), "__q")))
     at = lambda i: (F.when(F.col("__few"), F.col("__least")).otherwise(F.get("__q", i * 2)), F.when(F.col("__few"), F.col("__most")).otherwise(F.get("__q", i * 2 + 1)))
     below = wide.groupBy(*keys).agg(F.array(*(F.count_if(F.col("__v") < at(F.lit(i))[0]) for i in range(len(each)))).alias("__below"))
-    between = F.filter(F.sequence(F.lit(0), F.lit(len(each) - 1)), lambda i: (F.col("__v") >= at(i)[0]) & (F.col("__v") <= at(i)[1]))
-    counts = wide.select(*keys, "__v", F.explode(between).alias("__i")).groupBy(*keys, "__i", "__v").agg(F.count("*").alias("__c"))
+    between = F.array(*(F.when((F.col("__v") >= at(F.lit(i))[0]) & (F.col("__v") <= at(F.lit(i))[1]), F.lit(i)) for i in range(len(each))))
+    counts = wide.select(*keys, "__v", F.explode(between).alias("__i")).where("__i is not null").groupBy(*keys, "__i", "__v").agg(F.count("*").alias("__c"))
     upto = Window.partitionBy(*keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = met(met(counts, below), base.select(*keys, "n")).withColumn("__rank", F.sum("__c").over(upto) + F.get("__below", F.col("__i")))
     position = (F.col("n") - 1) * F.get(F.array(*map(F.lit, each)), F.col("__i"))

@@ -10,7 +10,7 @@ from flowspark.functions import scalars as S
 from flowspark.operators import convert, latency, quality
 from flowspark.sources import tape, wire
 
-from .conftest import rows
+from .conftest import SF, rows
 from .test_replay import stored
 
 
@@ -87,3 +87,26 @@ def test_percentiles_are_exact(spark):
         want = np.percentile(np.array(x, float), [50, 90, 99, 99.9])
         assert np.allclose([got[k][c] for c in quality.PERCENTS], want, rtol=1e-12), k
         assert (got[k]["n"], got[k]["least"], got[k]["most"]) == (len(x), min(x), max(x))
+
+
+def test_rows_of_a_distribution_stay_where_they_lie(spark):
+    """However small the tables that Spark would broadcast by itself, rows meet their brackets without a shuffle by key."""
+    df = spark.range(40_000).selectExpr("id % 2 AS k", "id % 977 AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = quality.distribution(df, ("k",), "v")
+        assert out._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 2
+        got = {r["k"]: (r["n"], r["least"], r["p50"], r["most"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for k in (0, 1):
+        own = sorted(i % 977 for i in range(40_000) if i % 2 == k)
+        assert got[k] == (20_000, own[0], (own[9999] + own[10_000]) / 2, own[-1])
+
+
+def test_headers_of_derived_deltas_are_from_orders_alone(spark):
+    from flowspark.plans import views
+
+    heads, whole = views.delta_headers(spark, SF), views.deltas(spark, SF)
+    assert not any("lineitem" in f for f in heads.inputFiles())
+    assert rows(heads) == rows(whole.select(*heads.columns))
