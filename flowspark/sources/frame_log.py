@@ -16,7 +16,9 @@ the batch was planned, its own included; its maximum is the high-water mark.
 
 Offsets are places in the segments, so a batch that is run again reads the same rows with the same
 numbers. Planning reads the times and sizes of the next `max_rows` frames of each log at most, never
-their text; the tasks read that, one for each segment. A source is not told where its query stands
+their text, several segments at a time, and keeps them until the batch is over; the counts of segments,
+which never change, are read once. The tasks read the text, each some TASK_ROWS frames of whole segments,
+so small segments are not tasks of their own. A source is not told where its query stands
 after a restart, so it looks it up in the query's offset log under `checkpoint`.
 
 Null texts and symbols pass through; an empty root gives no rows, and so do empty segments. Columns
@@ -26,7 +28,8 @@ of the segments other than these four are left out.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -44,6 +47,8 @@ SCHEMA = "arrival long, socket string, place long, ts_recv_ns long, symbol strin
 SEGMENT = pa.schema([("ts_recv_ns", pa.int64()), ("symbol", pa.string()), ("raw", pa.string()), ("size", pa.int32())])
 ENDS = ("_END", "_SUCCESS")
 MAX_ROWS, MAX_BYTES, PATIENCE_MS = 100_000, 64 << 20, 60_000
+#: Frames of one task, if its segments are smaller; segments that the driver reads at once.
+TASK_ROWS, AT_ONCE = 32_768, 8
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -102,33 +107,69 @@ class Span(NamedTuple):
     n: int
 
 
+class Part(NamedTuple):
+    """A span, the place of its first row in the log, and the numbers of its rows."""
+
+    span: Span
+    place: int
+    arrivals: np.ndarray
+
+
 class Taken(InputPartition):
-    def __init__(self, socket: str, span: Span, place: int, arrivals: np.ndarray, backlog: int):
-        self.socket, self.span, self.place, self.arrivals, self.backlog = socket, span, place, arrivals, backlog
+    def __init__(self, socket: str, parts: list[Part], backlog: int):
+        self.socket, self.parts, self.backlog = socket, parts, backlog
+
+
+class Seen:
+    """What the driver has read of segments: their numbers of rows, and times and sizes of those of the batch."""
+
+    def __init__(self, fs: pafs.FileSystem):
+        self.fs, self.counts, self.rows = fs, {}, {}
+
+    def _read(self, one: Callable[[str], Any], paths: Sequence[str], known: dict[str, Any]) -> list[Any]:
+        new = [p for p in paths if p not in known]
+        if new:
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                known.update(zip(new, pool.map(one, new), strict=True))
+        return [known[p] for p in paths]
+
+    def n_rows(self, paths: Sequence[str]) -> list[int]:
+        return self._read(lambda p: pq.read_metadata(p, filesystem=self.fs).num_rows, paths, self.counts)
+
+    def times(self, paths: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        def one(path: str) -> tuple[np.ndarray, np.ndarray]:
+            with self.fs.open_input_file(path) as file:
+                part = pq.ParquetFile(file).read(columns=["ts_recv_ns", "size"], use_threads=False)
+            return tuple(part[c].to_numpy().astype(np.int64) for c in ("ts_recv_ns", "size"))
+
+        return self._read(one, paths, self.rows)
+
+    def forget(self, kept: set[str]) -> None:
+        """Drops times and sizes of all other segments."""
+        self.rows = {p: x for p, x in self.rows.items() if p in kept}
 
 
 class Log:
     """One socket's log from a place on: {"segment": s, "row": r, "place": p, "seen": latest receipt}."""
 
-    def __init__(self, fs: pafs.FileSystem, at: str, start: dict[str, int]):
-        self.fs, self.start = fs, start
-        every, self.ended = segments(fs, at)
+    def __init__(self, seen: Seen, at: str, start: dict[str, int]):
+        self.seen, self.start = seen, start
+        every, self.ended = segments(seen.fs, at)
         self.paths = every[start["segment"] :]
-        self.unread = sum(pq.read_metadata(p, filesystem=fs).num_rows for p in self.paths) - start["row"]
+        self.counts = seen.n_rows(self.paths)
+        self.unread = sum(self.counts) - start["row"]
 
     def ahead(self, most: int) -> tuple[np.ndarray, np.ndarray, list[Span]]:
         """Times and sizes of the next rows, and where they lie: whole segments up to `most` rows."""
-        ts, sizes, spans, n, row = [], [], [], 0, self.start["row"]
-        for path in self.paths:
+        spans, n, row = [], 0, self.start["row"]
+        for path, count in zip(self.paths, self.counts, strict=True):
             if n >= most:
                 break
-            part = pq.read_table(path, columns=["ts_recv_ns", "size"], filesystem=self.fs).slice(row)
-            ts.append(part["ts_recv_ns"].to_numpy())
-            sizes.append(part["size"].to_numpy())
-            spans.append(Span(path, row, part.num_rows))
-            n, row = n + part.num_rows, 0
-        whole = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return whole(ts).astype(np.int64), whole(sizes).astype(np.int64), spans
+            spans.append(Span(path, row, max(0, count - row)))
+            n, row = n + spans[-1].n, 0
+        found = [tuple(x[s.first :] for x in rows) for s, rows in zip(spans, self.seen.times([s.path for s in spans]), strict=True)]
+        whole = lambda i: np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64)
+        return whole(0), whole(1), spans
 
     def after(self, n: int, spans: list[Span], ts: np.ndarray) -> dict[str, int]:
         """The place n rows on."""
@@ -152,8 +193,12 @@ class FrameLogReader(DataSourceStreamReader):
         self.patience = int(options.get("patience_ms", PATIENCE_MS)) * 1_000_000
         if min(self.max_rows, self.max_bytes) < 1:
             raise ValueError("max_rows and max_bytes must be >= 1")
+        self.seen: Seen | None = None
         self.planned = (_last_offset(options["checkpoint"], self.root) if "checkpoint" in options else None) or self.initialOffset()
 
+    def __getstate__(self) -> dict[str, Any]:
+        return self.__dict__ | {"seen": None}  # tasks need none of it
+
     def initialOffset(self) -> dict[str, Any]:
         return {"root": self.root, "arrivals": 0, "backlog": 0, "logs": {}}
 
@@ -162,7 +207,8 @@ class FrameLogReader(DataSourceStreamReader):
         if names is None:
             below = fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))
             names = [f.base_name for f in below if f.type == pafs.FileType.Directory]
-        return {n: Log(fs, f"{at.rstrip('/')}/{n}", start["logs"].get(n, FIRST)) for n in sorted(names)}
+        self.seen = self.seen or Seen(fs)
+        return {n: Log(self.seen, f"{at.rstrip('/')}/{n}", start["logs"].get(n, FIRST)) for n in sorted(names)}
 
     def latestOffset(self) -> dict[str, Any]:
         """The end of the next batch: the earliest frames over all logs, within the limits."""
@@ -199,17 +245,27 @@ class FrameLogReader(DataSourceStreamReader):
         numbers[order] = np.arange(start["arrivals"], start["arrivals"] + len(order))
         out, at = [], 0
         for name, (ts, _, spans) in taken.items():
-            done = 0
+            done, parts, size = 0, [], 0
             for span in spans:
                 k = min(span.n, len(ts) - done)
                 if k > 0:
-                    out.append(Taken(name, Span(span.path, span.first, k), logs[name].start["place"] + done, numbers[at : at + k], end["backlog"]))
-                    at, done = at + k, done + k
+                    if parts and size + k > TASK_ROWS:
+                        out.append(Taken(name, parts, end["backlog"]))
+                        parts, size = [], 0
+                    parts.append(Part(Span(span.path, span.first, k), logs[name].start["place"] + done, numbers[at : at + k]))
+                    at, done, size = at + k, done + k, size + k
+            if parts:
+                out.append(Taken(name, parts, end["backlog"]))
+        self.seen.forget({p for log in self._logs(end, list(end["logs"])).values() for p in log.paths[:1]})
         return out
 
     def read(self, partition: Taken) -> Iterator[pa.RecordBatch]:
         fs, _ = opened(self.root)
-        span, done = partition.span, 0
+        for part in partition.parts:
+            yield from self._rows(fs, partition, part)
+
+    def _rows(self, fs: pafs.FileSystem, partition: Taken, part: Part) -> Iterator[pa.RecordBatch]:
+        span, done = part.span, 0
         names = ["arrival", "socket", "place", "ts_recv_ns", "symbol", "raw", "backlog"]
         skipped = 0
         with fs.open_input_file(span.path) as file:
@@ -219,9 +275,9 @@ class FrameLogReader(DataSourceStreamReader):
                 rows = batch.slice(first, span.n - done) if first < batch.num_rows else batch.slice(0, 0)
                 if rows.num_rows:
                     n = rows.num_rows
-                    place = pa.array(np.arange(partition.place + done, partition.place + done + n))
+                    place = pa.array(np.arange(part.place + done, part.place + done + n))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(partition.arrivals[done : done + n]), pa.array([partition.socket] * n), place, pc.cast(rows.column("ts_recv_ns"), pa.int64()),
+                        pa.array(part.arrivals[done : done + n]), pa.array([partition.socket] * n), place, pc.cast(rows.column("ts_recv_ns"), pa.int64()),
                         rows.column("symbol").cast(pa.string()), rows.column("raw").cast(pa.string()), pa.array([partition.backlog] * n, pa.int64())], names)
                     done += n
                 if done == span.n:

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from . import processors
 from .processors import APPLY, BUFFER, RESYNC, decide
 
 NS_PER_MS = 1_000_000
@@ -22,8 +24,22 @@ LEVEL = "array<struct<price: double, qty: double>>"
 Levels = list[tuple[float, float]]
 
 
+def flat(events: DataFrame) -> DataFrame:
+    """Events with each side as one array of prices and quantities in turn: pandas gets numbers, where it
+    would get a dict for each level."""
+    pairs = lambda c: F.flatten(F.transform(c, lambda x: F.array(x["price"].cast("double"), x["qty"].cast("double"))))
+    return events.withColumns({c: pairs(c) for c in ("bids", "asks")})
+
+
 def plain(levels: Any) -> Levels:
-    return [] if levels is None else [(float(x["price"]), float(x["qty"])) for x in levels]
+    if levels is None:
+        return []
+    if isinstance(levels, np.ndarray):
+        levels = levels.tolist()
+    if len(levels) and isinstance(levels[0], float):  # flat
+        each = iter(levels)
+        return list(zip(each, each, strict=True))
+    return [(float(x["price"]), float(x["qty"])) for x in levels]
 
 
 def structs(levels: Any) -> list[dict[str, float]]:
@@ -88,6 +104,7 @@ class _Book(StatefulProcessor):
     chain is skipped unless `every_snapshot`. Each row may also be looked at before it is taken."""
 
     every_snapshot = False
+    taken = staticmethod(flat)
 
     def __init__(self, buffer: int = BUFFER):
         self.buffer = buffer
@@ -239,6 +256,7 @@ class ProbeAlign(StatefulProcessor):
     SCHEMA = f"symbol string, probe long, rest_id long, aligned_u long, stale boolean, batches long, bids {LEVEL}, asks {LEVEL}, rest_bids {LEVEL}, rest_asks {LEVEL}"
     NUMBERS = ("probe", "rest_id", "until_ms", "last", "n", "gaps", "batches")
     BOOKS = ("bids", "asks", "rest_bids", "rest_asks")
+    taken = staticmethod(flat)
 
     def __init__(self, levels: int, patience_ms: int):
         self.levels, self.patience = levels, patience_ms
@@ -337,5 +355,5 @@ class ProbeAlign(StatefulProcessor):
 def timed(stream: DataFrame, processor: StatefulProcessor, delay: str) -> DataFrame:
     """A processor with event-time timers over rows with ts_event_ns, which may come `delay` late. Spark
     leaves out later ones, and any at or before 1970."""
-    rows = stream.withColumn("event_time", F.timestamp_micros(F.expr("ts_event_ns div 1000"))).withWatermark("event_time", delay)
+    rows = processors.taken(stream, processor).withColumn("event_time", F.timestamp_micros(F.expr("ts_event_ns div 1000"))).withWatermark("event_time", delay)
     return rows.groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode="Append", timeMode="EventTime")

@@ -182,3 +182,35 @@ def test_probes_on_the_stream(spark, place):
         10: (10, False, 0, [(100.0, 1.0)]), 14: (15, False, 1, [(100.0, 3.0), (99.0, 4.0)]), 12: (12, False, 0, [(100.0, 1.0), (99.0, 4.0)]),
         17: (None, True, 1, []), 33: (35, False, 1, [(100.0, 1.0), (97.0, 2.0)]),
     }
+
+
+def test_small_segments_share_tasks_and_are_counted_once(spark, place, monkeypatch):
+    """Forty segments of 5 frames are one task, not forty; a batch that starts inside a segment goes on there."""
+    root, _, _ = place
+    log = frame_log.Appender(str(root), "a")
+    for k in range(40):
+        log.append([(k * 5 + i, "S", f"{k}-{i}") for i in range(5)])
+    log.end()
+    counted = []
+    count = frame_log.pq.read_metadata
+    monkeypatch.setattr(frame_log.pq, "read_metadata", lambda p, **more: counted.append(p) or count(p, **more))
+    reader, start, told = frame_log.FrameLogReader({"path": str(root), "max_rows": "83"}), None, []
+    for n_tasks in (1, 1, 1):
+        start = start or reader.initialOffset()
+        end = reader.latestOffset()
+        tasks = reader.partitions(start, end)
+        assert len(tasks) == n_tasks
+        told += [tuple(r) for t in tasks for b in reader.read(t) for r in zip(*(b.column(i).to_pylist() for i in (0, 2, 5)), strict=True)]
+        start = end
+    assert told == [(n, n, f"{n // 5}-{n % 5}") for n in range(200)]
+    assert len(counted) == 40
+    monkeypatch.setattr(frame_log, "TASK_ROWS", 12)
+    assert len(frame_log.FrameLogReader({"path": str(root)}).partitions(reader.initialOffset(), end)) == 20
+
+
+def test_levels_reach_books_as_numbers(spark):
+    """Not as a dict for each level, which took most of a row's time."""
+    rows = spark.createDataFrame([("S", [(1.0, 2.0), (3.0, 4.0)], []), ("S", None, [(5.0, 0.0)])], "symbol string, bids array<struct<price: double, qty: double>>, asks array<struct<price: double, qty: double>>")
+    got = processors.taken(rows, books.BookStates())
+    assert dict(got.dtypes)["bids"] == "array<double>"
+    assert [[books.plain(x) for x in r] for r in got.select("bids", "asks").toPandas().to_numpy()] == [[[(1.0, 2.0), (3.0, 4.0)], []], [[], [(5.0, 0.0)]]]
