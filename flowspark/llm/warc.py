@@ -82,11 +82,11 @@ _SAFE = "".join(chr(c) for c in range(33, 127))
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> str:
     """Writes one record per row of pages under `path`."""
     found = resolve(pages, least_bytes)
-    rows = _with_digest(pages).alias("p").join(
-        found.alias("f"), F.col("p.page_id").eqNullSafe(F.col("f.page_id")) & (F.col("p.digest") == F.col("f.digest")), "left"
-    ).select("p.page_id", "p.url", "p.payload", "p.digest", "first_id", "first_url")
-    # Rows are dealt out by id and digest already; only copies of one row stand together.
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1)
+    # A key without nulls, as a null-safe join is dealt out by other expressions than the window's: payloads
+    # are shuffled once, for both.
+    keyed = lambda df: df.withColumn("id_key", F.coalesce(F.col("page_id").cast("string"), F.lit("-")))
+    rows = keyed(_with_digest(pages)).join(keyed(found).drop("page_id"), ["id_key", "digest"], "left")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id_key", "digest").orderBy("url")) - 1).drop("id_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

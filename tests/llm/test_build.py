@@ -233,3 +233,21 @@ def test_pipeline_takes_any_table(spark, rows):
     if rows == "odd":
         assert 1 in kept and not {4, 5} & set(kept) and not {2, 3} & set(kept)  # empty; near and exact copies
         assert all(n <= mixing.MAX_EPOCHS for n in kept.values())
+
+
+def test_warc_payloads_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """The copies' numbers need no other distribution than the join with the decisions, null ids included."""
+    plans = []
+    classic = type(spark.range(1))
+    own = classic.mapInArrow
+    monkeypatch.setattr(classic, "mapInArrow", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, *a, **k))
+    df = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (None, "v", "a"), (None, "v", "a")], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        path = warc.write_archives(df, str(tmp_path / "once"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    head = plans[0][: plans[0].index("SortMergeJoin")]
+    assert "Window" in head and "Exchange" not in head
+    got = sorted((r["page_id"] is None, r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, path).collect())
+    assert got == [(False, 1, "response", None), (False, 2, "revisit", 1), (True, None, "revisit", 1), (True, None, "revisit", 1)]
