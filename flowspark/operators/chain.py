@@ -83,6 +83,7 @@ def select(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     Deltas that name the one right before them as previous share its fate: they are one run, found
     inside chunks of ids. Only runs (snapshots, breaks of the chain, chunks) are walked in order.
     """
+    rows = written(rows, "headers")  # read by every step below
     ids = [*keys, "__chunk"]
     order = Window.partitionBy(*ids).orderBy("uid", "is_snapshot", "row_id")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -129,32 +130,44 @@ def by_seq(keys: tuple[str, ...], order: str = "seq") -> Order:
     return Order(keys, (order,), floor_div(order, CHUNK))
 
 
-def restamp(rows: DataFrame, keys: tuple[str, ...], order: str = "seq") -> DataFrame:
-    """Kept headers with both clocks pulled back so that they strictly increase along the order."""
-    at = by_seq(keys, order)
-    rows = row_index(rows, at, "__n")
+def _pulled(rows: DataFrame, at: Order) -> DataFrame:
+    """Rows, numbered along the order by __n, with both clocks pulled back."""
     clocks = ("ts_event_ns", "ts_recv_ns")
     rows = following_min(rows, at, **{f"__least_{c}": F.col(c) - F.col("__n") for c in clocks})
     return rows.withColumns({c: F.col(f"__least_{c}") + F.col("__n") for c in clocks}).drop("__n", *(f"__least_{c}" for c in clocks))
 
 
-def grouped(kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Kept headers with group, the ordinal of the snapshot that they build on."""
-    return running_sum(kept, by_seq(keys), group=F.col("is_snapshot").cast("long"))
+def restamp(rows: DataFrame, keys: tuple[str, ...], order: str = "seq") -> DataFrame:
+    """Kept headers with both clocks pulled back so that they strictly increase along the order."""
+    at = by_seq(keys, order)
+    return _pulled(row_index(rows, at, "__n"), at)
+
+
+def selected(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """All headers with fate and seq, written once: what follows reads them several times, and each time
+    would order the whole tape anew."""
+    return written(select(headers(snapshots, deltas, keys), keys), "replay-selected")
+
+
+def kept_of(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The headers of `selected` that a replay applies, with strictly increasing clocks and group, the
+    ordinal of the snapshot that they build on."""
+    at = by_seq(keys)
+    return _pulled(running_sum(rows.where(F.col("fate") == KEPT), at, __n=F.lit(1).cast("long"), group=F.col("is_snapshot").cast("long")), at)
 
 
 def kept_headers(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """The headers that a replay applies, with seq, group and strictly increasing clocks."""
-    return grouped(restamp(select(headers(snapshots, deltas, keys), keys).where(F.col("fate") == KEPT), keys), keys)
+    return kept_of(selected(snapshots, deltas, keys), keys)
 
 
-def level_changes(snapshots: DataFrame, deltas: DataFrame, kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The level changes of kept headers. Levels are joined to these only, so skipped snapshots are
-    never shuffled."""
+def level_changes(snapshots: DataFrame, deltas: DataFrame, kept: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
+    """The level changes of kept headers, with `more` columns of these. Levels are joined to these only,
+    so skipped snapshots are never shuffled."""
     ids = [*keys, "row_id"]
-    s = snapshots.select(*ids, "bids", "asks").join(kept.where("is_snapshot").select(*ids, "seq", "group"), ids)
-    d = deltas.select(*ids, "bids", "asks").join(kept.where("not is_snapshot").select(*ids, "seq", "group"), ids)
-    return changes(s.unionByName(d), keys, "group", "seq")
+    s = snapshots.select(*ids, "bids", "asks").join(kept.where("is_snapshot").select(*ids, "seq", "group", *more), ids)
+    d = deltas.select(*ids, "bids", "asks").join(kept.where("not is_snapshot").select(*ids, "seq", "group", *more), ids)
+    return changes(s.unionByName(d), keys, "group", "seq", *more)
 
 
 def replay(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -165,10 +178,14 @@ def replay(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...]) -> tu
 
 
 def _counted(kept: DataFrame, tops: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """tops (keys, group, seq, ..), the valid ones, with epoch, new_epoch and ts_event_ns."""
-    first = tops.groupBy(*keys).agg(F.min("seq").alias("__first"))
-    counted = running_sum(kept.join(first, list(keys)), by_seq(keys), epoch=(F.col("is_snapshot") & (F.col("seq") > F.col("__first"))).cast("long"))
-    return counted.select(*keys, "seq", "epoch", F.col("is_snapshot").alias("new_epoch"), "ts_event_ns").join(tops.drop("group"), [*keys, "seq"])
+    """tops (keys, group, seq, ..), the valid ones, with epoch, new_epoch and ts_event_ns. They are written
+    once, as each reading would walk the books anew."""
+    tops = written(tops, "replay-tops")
+    first = tops.groupBy(*keys).agg(F.min_by("group", "seq").alias("__first"))  # group counts snapshots
+    own = kept.select(*keys, "seq", F.col("is_snapshot").alias("new_epoch"), "ts_event_ns")
+    met = own.join(tops, [*keys, "seq"]).join(F.broadcast(first), list(keys))
+    states = [c for c in tops.columns if c not in (*keys, "group", "seq")]
+    return met.select(*keys, "seq", (F.col("group") - F.col("__first")).alias("epoch"), "new_epoch", "ts_event_ns", *states)
 
 
 def states(kept: DataFrame, moves: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -56,12 +56,15 @@ def trade_rows(trades: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return _feed(rows, keys, event_word(TRADE_EVENT, F.col("aggressor_sign") > 0), "price", "qty", F.greatest(F.lit(0).cast("long"), "trade_id"), F.struct(F.lit(0).cast("long").alias("seq"), F.col("trade_id").alias("n")).alias("line"))
 
 
-def level_rows(kept: DataFrame, moves: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(initial, feed) rows of a replay's kept headers and level changes. The first snapshot gives
+#: What level changes carry of their headers, so that no row of a feed has to look it up.
+OF_HEADER = ("is_snapshot", "ts_event_ns", "ts_recv_ns")
+
+
+def level_rows(moves: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(initial, feed) rows of a replay's level changes with OF_HEADER. The first snapshot gives
     the initial rows; a later one clears each side that it has levels on, out to the farthest of
     its own and the deepest price seen since the snapshot before, and then states its levels."""
-    meta = kept.select(*keys, "seq", "is_snapshot", "ts_event_ns", "ts_recv_ns")
-    rows = moves.join(meta, [*keys, "seq"]).withColumn("is_bid", F.col("side") == "bid")
+    rows = moves.withColumn("is_bid", F.col("side") == "bid")
     line = F.struct("seq", (F.when(F.col("is_bid"), F.lit(0)).otherwise(F.lit(1 << 40)) + F.col("pos")).cast("long").alias("n")).alias("line")
     zero = F.lit(0)
     levels = rows.where("is_snapshot and qty > 0")
@@ -104,8 +107,6 @@ def conservation_gap(counters: DataFrame) -> DataFrame:
 
 def feed_counters(snapshots: DataFrame, deltas: DataFrame, trades: DataFrame, selected: DataFrame, kept: DataFrame, moves: DataFrame, initial: DataFrame, feed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """One row per key of what went in, what came out and what was left out."""
-    meta = kept.select(*keys, "seq", "is_snapshot")
-    levels = moves.join(meta, [*keys, "seq"])
     kinds = event_kind("ev")
     first = selected.groupBy(*keys).agg(
         F.count_if(F.col("is_snapshot") & (F.col("fate") == "periodic")).alias("n_skipped"), F.count_if(F.col("fate") == "off_chain").alias("n_off_chain"),
@@ -113,7 +114,7 @@ def feed_counters(snapshots: DataFrame, deltas: DataFrame, trades: DataFrame, se
     parts = [
         snapshots.groupBy(*keys).agg(F.count("*").alias("n_snapshots_in")), deltas.groupBy(*keys).agg(F.count("*").alias("n_deltas_in")),
         trades.groupBy(*keys).agg(F.count("*").alias("n_trades_in"), F.count_if(F.col("qty") <= 0).alias("n_zero_trades")), first,
-        levels.groupBy(*keys).agg(
+        moves.groupBy(*keys).agg(
             F.count_if(~F.col("is_snapshot")).alias("n_delta_levels"), F.count_if(F.col("is_snapshot") & (F.col("group") == 1) & (F.col("qty") > 0)).alias("n_initial_levels"),
             F.count_if(F.col("is_snapshot") & (F.col("group") > 1) & (F.col("qty") > 0)).alias("n_resync_levels"), F.count_distinct(F.when(~F.col("is_snapshot"), F.col("seq"))).alias("n_delta_batches")),
         kept.groupBy(*keys).agg(F.count_if(~F.col("is_snapshot")).alias("__deltas")), initial.groupBy(*keys).agg(F.count("*").alias("n_initial_rows")),
@@ -262,11 +263,11 @@ def unrealized(mark: Column | str) -> Column:
 def replay_feed(snapshots: DataFrame, deltas: DataFrame, trades: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(initial rows, feed, counters) of a tape."""
     from ..sources.tape import written
-    from .chain import KEPT, grouped, headers, level_changes, restamp, select
+    from .chain import kept_of, level_changes, selected
 
-    selected = written(select(headers(snapshots, deltas, keys), keys), "feed-selected")
-    kept = written(grouped(restamp(selected.where(F.col("fate") == KEPT), keys), keys), "feed-kept")
-    moves = written(level_changes(snapshots, deltas, kept, keys), "feed-moves")
-    initial, book_rows = level_rows(kept, moves, keys)
+    chosen = selected(snapshots, deltas, keys)
+    kept = written(kept_of(chosen, keys), "feed-kept")
+    moves = written(level_changes(snapshots, deltas, kept, keys, *OF_HEADER), "feed-moves")
+    initial, book_rows = level_rows(moves, keys)
     feed = ordered_feed(trade_rows(trades, keys), book_rows, keys=keys)
-    return initial, feed, feed_counters(snapshots, deltas, trades, selected, kept, moves, initial, feed, keys)
+    return initial, feed, feed_counters(snapshots, deltas, trades, chosen, kept, moves, initial, feed, keys)

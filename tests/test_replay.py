@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.functions import ordered
-from flowspark.operators import capture, chain, convert, quality, validate
+from flowspark.operators import capture, chain, convert, flow, quality, validate
+from flowspark.plans import views
 from flowspark.sources import tape
 
-from .conftest import rows
+from .conftest import SF, rows
 
 HEAD = "symbol string, uid long, first_id long, prev_id long, is_snapshot boolean, ts_event_ns long, ts_recv_ns long, row_id long"
 
@@ -224,3 +225,42 @@ def test_position_in_chunks(spark):
         assert got.keys() == want.keys()
         for k, w in want.items():
             assert got[k] == pytest.approx(w, rel=1e-9, abs=1e-7)
+
+
+def _told(spark, df):
+    """df, and an accumulator of how many of its rows were worked out."""
+    n = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), n
+
+
+@pytest.mark.parametrize("times, run", [
+    (1, lambda s, d: chain.select(chain.headers(s, d, ("symbol",)), ("symbol",))), (1, lambda s, d: chain.kept_headers(s, d, ("symbol",))),
+    (2, lambda s, d: convert.replay_feed(s, d, views.trades(s.sparkSession, SF), ("symbol",))[1])])
+def test_deltas_are_worked_out_once(spark, times, run):
+    """Once for ids, once for levels: every step of a replay that took them anew would
+    join and order the whole tape again."""
+    d, n = _told(spark, views.deltas(spark, SF))
+    run(views.snapshots(spark, SF), d).write.format("noop").mode("overwrite").save()
+    assert n.value == times * views.deltas(spark, SF).count()
+
+
+def test_books_are_walked_once(spark, monkeypatch):
+    """States are read twice for the imbalance, and once for where they begin."""
+    s, d = views.snapshots(spark, SF), views.deltas(spark, SF)
+    kept, moves = chain.replay(s, d, ("symbol",))
+    told = []
+
+    def swept(*a, f=chain.swept):
+        out, n = _told(spark, f(*a))
+        told.append(n)
+        return out
+
+    monkeypatch.setattr(chain, "swept", swept)
+    flow.events(chain.level_states(kept, moves, ("symbol",), 3), ("symbol",), 3).write.format("noop").mode("overwrite").save()
+    assert [n.value for n in told] == [kept.count()]
