@@ -20,3 +20,18 @@ def test_long_series_uses_all_its_lags(spark):
     got = regress.ols(rows, ("k",)).first()
     assert got["se_beta"] == pytest.approx(np.sqrt(total) / ((x - x.mean()) ** 2).sum(), rel=1e-9)
     assert regress.ols(rows.limit(0), ("k",)).count() == 0
+
+
+def test_several_regressors_of_few_rows(spark):
+    """Keys of 5 to 7 rows against numpy; with 2 rows there is nothing left for the second regressor, or what
+    rounding leaves; one row explains nothing."""
+    rng = np.random.default_rng(3)
+    data = [(f"n{n}", i, *(float(v) for v in rng.integers(-50, 50, 4))) for n in (1, 2, 5, 6, 7, 8) for i in range(n)]
+    df = spark.createDataFrame(data, "k string, t long, x1 double, x2 double, x3 double, y double")
+    got = {r["k"]: r["r2"] for r in regress.r2_of_few(df, ("k",), ["x1", "x2", "x3"], "y").collect()}
+    assert sorted(got) == ["n1", "n2", "n5", "n6", "n7"] and np.isnan(got["n1"]) and not got["n2"] < 1 - 1e-9
+    for n in (5, 6, 7):
+        own = np.array([r[2:] for r in data if r[0] == f"n{n}"])
+        a, y = np.column_stack([np.ones(n), own[:, :3]]), own[:, 3]
+        left = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
+        assert got[f"n{n}"] == pytest.approx(1 - left @ left / ((y - y.mean()) ** 2).sum(), rel=1e-9)
