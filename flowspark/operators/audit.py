@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import following_min, running_max
+from ..sources.tape import written
 from .book import changes, live_levels
 from .chain import by_id
 from .quality import compare_top
@@ -30,10 +31,12 @@ def probe_books(snapshots: DataFrame, deltas: DataFrame, probes: DataFrame, keys
     """(levels, status) of the tape's book for every probe. A delta belongs to the last snapshot
     below its id, so probes meet deltas on that snapshot, not by a range; only the delta at which
     a probe stops may belong to a later one."""
-    at = aligned(snapshots, deltas, probes, keys)
+    # Each of these is read by several steps, which would work it out anew.
+    deltas = written(deltas.select(*keys, "first_update_id", "final_update_id", "prev_final_update_id", "bids", "asks"), "probe-deltas")
+    at = written(aligned(snapshots, deltas, probes, keys), "probe-ids")
     marks = snapshots.select(*keys, F.col("last_update_id").alias("id"), F.lit(1).alias("late"), F.col("last_update_id").alias("s"))
     rows = marks.unionByName(deltas.withColumns({"id": F.col("final_update_id"), "late": F.lit(0), "s": F.lit(None).cast("long")}), allowMissingColumns=True)
-    owned = running_max(rows, by_id(keys, "id", "late"), segment=F.col("s")).where("late = 0").drop("id", "late", "s")
+    owned = written(running_max(rows, by_id(keys, "id", "late"), segment=F.col("s")).where("late = 0").drop("id", "late", "s"), "probe-owned")
     wanted = at.where("snap_id is not null and stop_id is not null and snap_id <> rest_id")
     own = owned.join(wanted.withColumnRenamed("snap_id", "segment"), [*keys, "segment"]).where("final_update_id <= stop_id").withColumn("snap_id", F.col("segment"))
     last = owned.join(wanted.withColumnRenamed("stop_id", "final_update_id"), [*keys, "final_update_id"]).where("segment <> snap_id").withColumn("stop_id", F.col("final_update_id"))
