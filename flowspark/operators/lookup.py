@@ -23,8 +23,8 @@ _NO_LEVELS = "CAST(array() AS array<struct<price: double, qty: double>>)"
 
 def _grouped(rows: DataFrame, order: Order, own: Column) -> DataFrame:
     """rows with `group`, the last snapshot's (place, id) up to the row, written once; rows before any
-    are left out."""
-    return written(running_max(rows, order, group=own).where("group is not null"), "lookup-rows")
+    are left out. The input is written, too, as the running maximum reads it twice."""
+    return written(running_max(written(rows, "lookup-events"), order, group=own).where("group is not null"), "lookup-rows")
 
 
 def _order(keys: tuple[str, ...], at: str, chunk: int) -> Order:
@@ -86,6 +86,7 @@ def books_at_ids(snapshots: DataFrame, deltas: DataFrame, keys: tuple[str, ...],
     found = running_max(found, inside, last=F.when(F.col("rank") != 1, F.col("id"))).where("rank = 1")
     found = found.select(*keys, "group", F.col("id").alias("query"), F.col("at").alias("rest_id"), "n_gaps", "n_before", "last")
     found = found.join(stops, [*keys, "query"], "left").withColumn("exact", F.col("group.at") == F.col("rest_id"))
+    found = written(found, "lookup-found")  # a row a query; three steps read it, and each would number all deltas anew
     through = F.col("stop.final_update_id").isNotNull() & ~F.col("exact")
     bad = (F.col("stop.prev_final_update_id") != F.col("last")) & ~((F.col("n_before") == 0) & (F.col("stop.first_update_id") <= F.col("last")) & (F.col("last") <= F.col("stop.final_update_id")))
     status = found.select(

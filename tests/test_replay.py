@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.functions import ordered
-from flowspark.operators import audit, capture, chain, convert, flow, quality, validate
+from flowspark.operators import audit, capture, chain, convert, flow, lookup, quality, validate
 from flowspark.plans import views
 from flowspark.sources import tape
 
@@ -239,6 +239,12 @@ def _told(spark, df):
     return df.mapInArrow(run, df.schema), n
 
 
+def _looked_up(s, d):
+    asked = s.select("symbol", F.col("row_id").alias("query"), (F.col("last_update_id") + 35).alias("rest_id"))
+    levels, status = lookup.books_at_ids(s, d, ("symbol",), asked)
+    return status.join(levels, ["symbol", "query"])
+
+
 def _probed(s, d):
     probes = s.select("symbol", F.col("row_id").alias("probe"), (F.col("last_update_id") - 3).alias("rest_id"), "bids", "asks")
     return audit.audit_probes(s, d, probes, ("symbol",), 20)
@@ -246,9 +252,9 @@ def _probed(s, d):
 
 @pytest.mark.parametrize("times, run", [
     (1, lambda s, d: chain.select(chain.headers(s, d, ("symbol",)), ("symbol",))), (1, lambda s, d: chain.kept_headers(s, d, ("symbol",))),
-    (2, lambda s, d: convert.replay_feed(s, d, views.trades(s.sparkSession, SF), ("symbol",))[1]), (1, _probed)])
+    (2, lambda s, d: convert.replay_feed(s, d, views.trades(s.sparkSession, SF), ("symbol",))[1]), (1, _probed), (1, _looked_up)])
 def test_deltas_are_worked_out_once(spark, times, run):
-    """Once for ids, once for levels: every step of a replay or an audit that took them anew would
+    """Once for ids, once for levels: every step of a replay, an audit or a lookup that took them anew would
     join and order the whole tape again."""
     d, n = _told(spark, views.deltas(spark, SF))
     run(views.snapshots(spark, SF), d).write.format("noop").mode("overwrite").save()
