@@ -41,6 +41,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +60,12 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -128,7 +132,7 @@ class Bands:
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The distinct signatures of a sorted set of n-gram hashes."""
+    """The signatures of a sorted set of n-gram hashes."""
     out = []
     for band in bands.of(len(s)):
         k, n1, n2, k2, slack = bands.shapes[band]
@@ -143,17 +147,18 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         sums[filled] = np.add.reduceat(mix(v[order]), (np.cumsum(counts) - counts)[filled])
         sums, counts = sums.reshape(n1, n2), counts.reshape(n1, n2)
         part = np.arange(n1, dtype=np.uint64)
+        cells = [mix(sums[:, t] + np.uint64(t + 1)) for t in range(n2)]
         made, full = [], []
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
             key = part * np.uint64(1024) + np.uint64(c + 1) + np.uint64(band) * np.uint64(1 << 40)
             for t in chosen:
-                key = key * np.uint64(0x9E3779B97F4A7C15) + mix(sums[:, t] + np.uint64(t + 1))
+                key = key * np.uint64(0x9E3779B97F4A7C15) + cells[t]
             made.append(mix(key))
             full.append(counts[:, list(chosen)].sum(1) > 0)
         made, full = np.stack(made), np.stack(full)
         hollow = int((~full).any(0).sum())
         out.append(made.ravel() if hollow > slack else made[full])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def sketch(s: np.ndarray, bands: Bands) -> bytes:
@@ -219,8 +224,9 @@ def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def sized(docs: DataFrame, met: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, nj_n (set size), nj_node (null for empty sets) of every row, and nj_sketch for the
-    nodes of `met` (a Bloom filter may add a few) where the task has not emitted it before."""
+    """doc_id, nj_n (set size), nj_node (null for empty sets) of every row, and nj_sketch and nj_text
+    (a hash of its text) for the nodes of `met` (a Bloom filter may add a few) where the task has not
+    emitted it before."""
     level = docs.sparkSession.sparkContext.broadcast(bloom.of_longs(met, "nj_node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +244,12 @@ def sized(docs: DataFrame, met: DataFrame, n: int, num: int, den: int) -> DataFr
                     if fresh:
                         seen.add(x)
                 size = pa.array(list(map(len, sets)), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(node, pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "nj_n", "nj_node", "nj_sketch"])
+                cells = pa.array(cells, pa.binary())
+                text = pc.if_else(cells.is_valid(), b.column(2), None)
+                yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(node, pa.int64()), cells, text], ["doc_id", "nj_n", "nj_node", "nj_sketch", "nj_text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, nj_n long, nj_node long, nj_sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("nj_text"))
+    return rows.mapInArrow(run, "doc_id long, nj_n long, nj_node long, nj_sketch binary, nj_text long")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -311,26 +320,26 @@ def buckets(sigs: DataFrame) -> DataFrame:
 
 
 def needed_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """nj_node, nj_set of the given distinct nodes. A Bloom filter of bounded size keeps other
-    documents' sets from being shuffled; where it is too small for the nodes, more are."""
-    level = docs.sparkSession.sparkContext.broadcast(bloom.of_longs(nodes, "nj_node"))
+    """nj_node, nj_set of the given distinct nodes, made from the texts of their nj_text. A Bloom
+    filter of bounded size keeps other documents from being split and shuffled; where it is too small
+    for the nodes, more are."""
+    level = docs.sparkSession.sparkContext.broadcast(bloom.of_longs(nodes, "nj_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
+            held = np.flatnonzero(bloom.holds_longs(level.value, whole.column(1).to_numpy()))
+            for at in range(0, len(held), 256):
                 sets, ids = [], []
-                for text in whole.slice(at, 256).column(0):
-                    s = shingles(text.as_py(), n)
+                for i in held[at : at + 256].tolist():
+                    s = shingles(whole.column(0)[i].as_py(), n)
                     if len(s) and (x := node_of(s)) not in seen:
-                        sets.append(s)
+                        sets.append(s.view(np.int64))
                         ids.append(x)
                         seen.add(x)
-                held = bloom.holds_longs(level.value, np.array(ids, np.int64))
-                kept = [s.view(np.int64) for s, h in zip(sets, held, strict=True) if h]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[held]), _lists(kept)], ["nj_node", "nj_set"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets)], ["nj_node", "nj_set"])
 
-    found = docs.select("text").mapInArrow(run, "nj_node long, nj_set array<long>")
+    found = docs.select("text", F.xxhash64("text").alias("nj_text")).mapInArrow(run, "nj_node long, nj_set array<long>")
     return found.groupBy("nj_node").agg(F.first("nj_set").alias("nj_set")).join(nodes, "nj_node", "left_semi")
 
 
@@ -470,7 +479,7 @@ def components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN)
     found = tables.put("nj-buckets", buckets(signed(docs, n, num, den)))
     met = found.select("nj_node").distinct()
     base = tables.put("nj-base", sized(docs, met, n, num, den))
-    once = base.where("nj_sketch is not null").select("nj_node", "nj_n", "nj_sketch").dropDuplicates(["nj_node"])
+    once = base.where("nj_sketch is not null").select("nj_node", "nj_n", "nj_sketch", "nj_text").dropDuplicates(["nj_node"])
     nodes = tables.put("nj-nodes", once.join(met, "nj_node", "left_semi"))
 
     fits = F.least("nj_na", "nj_nb") * den >= F.greatest("nj_na", "nj_nb") * num
@@ -479,7 +488,7 @@ def components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN)
     pivot = with_size.groupBy("nj_bucket").agg(F.min(F.struct("nj_node", "nj_n")).alias("p"))
     pairs = with_size.join(pivot, "nj_bucket").select(F.col("p.nj_node").alias("nj_a"), F.col("nj_node").alias("nj_b"), F.col("p.nj_n").alias("nj_na"), F.col("nj_n").alias("nj_nb"))
     tried = tables.put("nj-pairs-1", pairs.where("nj_a <> nj_b").where(fits).select("nj_a", "nj_b").distinct())
-    links = _verified(tables, docs, [passing(tried, nodes, num, den)], n, num, den, "nj-links-1")
+    links = _verified(tables, docs, nodes, [passing(tried, nodes, num, den)], n, num, den, "nj-links-1")
     comp = contracted(links, tables)
     for turn in (2, 3):
         open_ = tables.put("nj-open", _open(found, comp, nodes))
@@ -499,24 +508,25 @@ def components(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN)
             # Round 3: what is left across components, a part of the buckets at a time.
             part = F.pmod(F.xxhash64("nj_bucket"), F.lit(PASSES))
             fresh = [crossing(open_.where(part == k), nodes, num, den).join(tried, ["nj_a", "nj_b"], "left_anti") for k in range(PASSES)]
-        links = links.union(_verified(tables, docs, fresh, n, num, den, f"nj-links-{turn}"))
+        links = links.union(_verified(tables, docs, nodes, fresh, n, num, den, f"nj-links-{turn}"))
         comp = contracted(links, tables)
     tables.drop("nj-buckets", "nj-nodes", "nj-open", "nj-pairs-1", "nj-pairs-2", "nj-links-1", "nj-links-2", "nj-links-3")
     return base.join(comp, "nj_node", "left").select("doc_id", "nj_n", "nj_node", "nj_comp")
 
 
-def _verified(tables: Tables, docs: DataFrame, parts: list[DataFrame], n: int, num: int, den: int, name: str) -> DataFrame:
+def _verified(tables: Tables, docs: DataFrame, nodes: DataFrame, parts: list[DataFrame], n: int, num: int, den: int, name: str) -> DataFrame:
     """The similar ones of pairs that passed their sketches, by their whole sets."""
     pairs = None
     for k, part in enumerate(parts):
         part = tables.put(f"nj-passed-{k}", part)
         pairs = part if pairs is None else pairs.union(part)
     pairs = pairs.distinct() if len(parts) > 1 else pairs
-    nodes = tables.put("nj-needed", pairs.select(F.col("nj_a").alias("nj_node")).union(pairs.select("nj_b")).distinct())
-    if nodes.isEmpty():
+    ends = pairs.select(F.col("nj_a").alias("nj_node")).union(pairs.select("nj_b")).distinct()
+    needed = tables.put("nj-needed", nodes.select("nj_node", "nj_text").join(ends, "nj_node", "left_semi"))
+    if needed.isEmpty():
         links = tables.put(name, pairs)
     else:
-        links = tables.put(name, verified(pairs, tables.put("nj-sets", needed_sets(docs, nodes, n)), num, den))
+        links = tables.put(name, verified(pairs, tables.put("nj-sets", needed_sets(docs, needed, n)), num, den))
     tables.drop("nj-needed", "nj-sets", *(f"nj-passed-{k}" for k in range(len(parts))))
     return links
 

@@ -71,6 +71,18 @@ def test_components(spark, n, num, den):
     assert ordered(tuple(r) for r in got.collect()) == ordered(brute_components(rows, n, num, den))
 
 
+def test_sets_come_from_their_own_texts(spark):
+    """Only the texts that stand for the nodes are split again, not all that have the same set."""
+    rows = [(1, "a b c d e f"), (2, "A b  c d e f"), (3, "x y z u v w"), (4, "other words that nobody needs")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    node = {t: jaccard.node_of(jaccard.shingles(t, 4)) for _, t in rows}
+    of = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    wanted = [(node[rows[0][1]], of[rows[1][1]]), (node[rows[2][1]], of[rows[3][1]])]
+    nodes = spark.createDataFrame(wanted, "nj_node long, nj_text long")
+    got = jaccard.needed_sets(df, nodes, 4).collect()
+    assert [(r.nj_node, len(r.nj_set)) for r in got] == [(node[rows[0][1]], 3)]
+
+
 def test_odd_documents(spark):
     docs = wild(documents(spark), "nj_node", "nj_id", "nj_row", "nj_key", "nj_kept", "nj_whole", "nj_rest", "nj_empty", "component")
     got = jaccard.with_component_ids(jaccard.components(docs)).select("doc_id", "nj_n", "component_id")
