@@ -27,11 +27,11 @@ def _pairs(levels: str) -> Column:
     return F.transform(levels, lambda x: F.array(x["price"].cast("string"), x["qty"].cast("string")))
 
 
-def _delta_frames(deltas: DataFrame) -> DataFrame:
+def _delta_frames(deltas: DataFrame, *more: Column) -> DataFrame:
     body = F.struct(
         F.lit("depthUpdate").alias("e"), F.expr(f"(ts_event_ns + {LATER}) div 1000000").alias("E"), F.lower("symbol").alias("s"), F.col("first_update_id").alias("U"),
         F.col("final_update_id").alias("u"), F.col("prev_final_update_id").alias("pu"), _pairs("bids").alias("b"), _pairs("asks").alias("a"))
-    return deltas.select("ts_recv_ns", F.lit(None).cast("string").alias("symbol"), F.to_json(body).alias("raw"))
+    return deltas.select("ts_recv_ns", F.lit(None).cast("string").alias("symbol"), F.to_json(body).alias("raw"), *more)
 
 
 def _snapshot_frames(snapshots: DataFrame) -> DataFrame:
@@ -39,19 +39,33 @@ def _snapshot_frames(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("ts_recv_ns", "symbol", F.to_json(body).alias("raw"))
 
 
+def _segment_rows(n: int) -> int:
+    """Rows of a segment of a log of n frames: small logs have several segments, large ones not so many
+    that listing them for every batch counts."""
+    return min(16_384, max(2_000, n // 256))
+
+
 def _merged(spark: SparkSession, logs: dict[str, DataFrame], checkpoint: str) -> DataFrame:
-    """Frames of each socket as a log of several segments, and their merged stream."""
+    """Frames of each socket as a log of several segments, and their merged stream. A log is sorted by
+    range, which reads its frames twice, so they are written before; those of `_depth_sockets` are."""
     root, n = tape.work_path(spark, "logs"), 0
     for socket, frames in logs.items():
-        frame_log.land(frames, root, socket, 2_000)
-        n += spark.read.parquet(f"{root}/{socket}").count()
+        rows = frames.count()
+        frame_log.land(frames, root, socket, _segment_rows(rows))
+        n += rows
     return frame_log.stream(spark, root, checkpoint, max_rows=n // BATCHES + 1)
 
 
+def _depth_sockets(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Frames of the deltas on two sockets, derived once and written."""
+    deltas = V.deltas(spark, d)
+    frames = tape.written(_delta_frames(deltas, F.when(F.col("symbol") == "B3", "depth-2").otherwise("depth-1").alias("socket")), "frames")
+    return {s: frames.where(F.col("socket") == s).drop("socket") for s in ("depth-1", "depth-2")}
+
+
 def _book_logs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Two depth sockets, the second with one symbol of four, and one of snapshots."""
-    deltas = V.deltas(spark, d)
-    return {"depth-1": _delta_frames(deltas.where("symbol <> 'B3'")), "depth-2": _delta_frames(deltas.where("symbol = 'B3'")), "rest": _snapshot_frames(V.snapshots(spark, d))}
+    return _depth_sockets(spark, d) | {"rest": _snapshot_frames(V.snapshots(spark, d))}
 
 
 def _drained(spark: SparkSession, rows: DataFrame, checkpoint: str) -> DataFrame:
@@ -63,9 +77,8 @@ def _drained(spark: SparkSession, rows: DataFrame, checkpoint: str) -> DataFrame
 def stream_frame_log(spark: SparkSession, d: str) -> DataFrame:
     """Two sockets, one three times as fast as the other, as one stream by time of receipt, in batches
     under the limit: a batch's frames waited together, so they have one backlog."""
-    deltas, checkpoint = V.deltas(spark, d), tape.work_path(spark, "stream-state")
-    logs = {"depth-1": _delta_frames(deltas.where("symbol <> 'B3'")), "depth-2": _delta_frames(deltas.where("symbol = 'B3'"))}
-    rows = _drained(spark, _merged(spark, logs, checkpoint), checkpoint)
+    checkpoint = tape.work_path(spark, "stream-state")
+    rows = _drained(spark, _merged(spark, _depth_sockets(spark, d), checkpoint), checkpoint)
     sizes = rows.groupBy("backlog").agg(F.count("*").alias("n"))
     most = rows.count() // BATCHES + 1
     return rows.join(sizes, "backlog").select("arrival", "socket", "place", "ts_recv_ns", (F.col("n") <= most).alias("in_limit"))
@@ -103,7 +116,7 @@ def stream_probe_align(spark: SparkSession, d: str) -> DataFrame:
     s, checkpoint = V.snapshots(spark, d), tape.work_path(spark, "stream-state")
     probes = s.withColumns({"last_update_id": F.col("last_update_id") - 3, "ts_recv_ns": F.col("last_update_id") * 10 - 29})
     logs = {
-        "depth": _delta_frames(V.deltas(spark, d).withColumn("ts_recv_ns", F.col("final_update_id") * 10 + 2)), "probes": _snapshot_frames(probes),
+        "depth": tape.written(_delta_frames(V.deltas(spark, d).withColumn("ts_recv_ns", F.col("final_update_id") * 10 + 2)), "frames"), "probes": _snapshot_frames(probes),
         "rest": _snapshot_frames(s.withColumn("ts_recv_ns", F.col("last_update_id") * 10)),
     }
     events = wire.book_events(_merged(spark, logs, checkpoint), "arrival", "socket")

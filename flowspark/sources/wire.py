@@ -39,7 +39,9 @@ def _common(exchange: str, symbol: Column, ts: Column) -> list[Column]:
 
 
 def _parsed(frames: DataFrame) -> DataFrame:
-    rows = frames.withColumn("m", F.try_parse_json("raw"))
+    """Frames with their payload as `m`. Filters on it stay above the explode, where they would
+    else be pushed below and parse the frame again for each field that they look at."""
+    rows = frames.select("*", F.explode(F.array(F.try_parse_json("raw"))).alias("m"))
     inside = F.when(F.try_variant_get("m", "$.stream", "string").isNotNull(), F.try_variant_get("m", "$.data", "variant")).otherwise(F.col("m"))
     return rows.withColumn("m", inside)
 

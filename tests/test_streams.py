@@ -214,3 +214,17 @@ def test_levels_reach_books_as_numbers(spark):
     got = processors.taken(rows, books.BookStates())
     assert dict(got.dtypes)["bids"] == "array<double>"
     assert [[books.plain(x) for x in r] for r in got.select("bids", "asks").toPandas().to_numpy()] == [[[(1.0, 2.0), (3.0, 4.0)], []], [[], [(5.0, 0.0)]]]
+
+
+def test_a_frame_is_parsed_once(spark):
+    """Filters on the payload don't parse it again."""
+    frames = spark.createDataFrame([(1, "s", "{}", 1)], "ts_recv_ns long, symbol string, raw string, arrival long")
+    for rows in (wire.book_events(frames, "arrival"), wire.depth_updates(frames, "x"), wire.rest_snapshots(frames, "x"), wire.prints(frames, "x"), wire.probe_events(frames)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_segments_grow_with_a_log():
+    """Logs of a few thousand frames have several segments, a large one a bounded number of its size."""
+    from flowspark.plans import streams
+
+    assert [streams._segment_rows(n) for n in (0, 15_000, 1_000_000, 54_000_000)] == [2_000, 2_000, 3_906, 16_384]
