@@ -46,6 +46,13 @@ def structs(levels: Any) -> list[dict[str, float]]:
     return [{"price": p, "qty": q} for p, q in levels]
 
 
+def in_order(rows: Iterator[pd.DataFrame], *names: str) -> Iterator[tuple]:
+    """The named columns of all rows by arrival, numbers as Python's own and levels as pairs. Columns
+    are turned into lists as a whole, as a dict for each row would cost more than its book."""
+    df = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+    return zip(*(map(plain, df[c].to_numpy()) if c in ("bids", "asks") else df[c].tolist() for c in names), strict=True)
+
+
 class Sides:
     """Bids and asks of one book, and which prices have changed since they were read."""
 
@@ -130,8 +137,8 @@ class _Book(StatefulProcessor):
         elif self.waited:
             self.held.clear()
 
-    def take(self, rows: Iterator[pd.DataFrame], before: Callable[[dict], None], after: Callable[[int, int, int, bool], None]) -> None:
-        """Runs the rows through the book; `after` hears arrival, event time, id and whether it was a
+    def take(self, rows: Iterator[pd.DataFrame], before: Callable[[int], None], after: Callable[[int, int, int, bool], None]) -> None:
+        """Runs the rows through the book; `before` hears each row's event time, `after` arrival, event time, id and whether it was a
         snapshot, of all that was applied."""
         def update(arrival, ts, first, final, prev, bids, asks) -> None:
             if not self.ready:
@@ -147,11 +154,10 @@ class _Book(StatefulProcessor):
                 self.ready = self.synced = False
                 self.book.clear()
 
-        for r in pd.concat(list(rows)).sort_values("arrival", kind="stable").to_dict("records"):
-            before(r)
-            arrival, ts, final, bids, asks = int(r["arrival"]), int(r["ts_event_ns"]), int(r["final_update_id"]), plain(r["bids"]), plain(r["asks"])
-            if not r["is_snapshot"]:
-                update(arrival, ts, int(r["first_update_id"]), final, int(r["prev_final_update_id"]), bids, asks)
+        for arrival, ts, is_snapshot, first, final, prev, bids, asks in in_order(rows, "arrival", "ts_event_ns", "is_snapshot", "first_update_id", "final_update_id", "prev_final_update_id", "bids", "asks"):
+            before(ts)
+            if not is_snapshot:
+                update(arrival, ts, first, final, prev, bids, asks)
             elif self.every_snapshot or not (self.ready and self.synced):
                 self.book.reset(bids, asks)
                 self.last, self.ready, self.synced = final, True, False
@@ -181,7 +187,7 @@ class BookStates(_Book):
                 self.valid = True
                 out.append((key[0], 2 * final + (not is_snapshot), self.epoch, ts, final, *top))
 
-        self.take(rows, lambda r: None, after)
+        self.take(rows, lambda _: None, after)
         self.save()
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in self.SCHEMA.split(", ")])
@@ -226,8 +232,7 @@ class BookSnapshots(_Book):
         out: list[tuple] = []
         self.tick = self.next.get()[0] if self.next.exists() else None
 
-        def before(r: dict) -> None:
-            ts = int(r["ts_event_ns"])
+        def before(ts: int) -> None:
             if self.tick is None:
                 self.tick = -(-ts // (self.every * NS_PER_MS)) * self.every
             self._told(key, (ts - 1) // NS_PER_MS, out)
@@ -306,13 +311,13 @@ class ProbeAlign(StatefulProcessor):
         def gap(at: dict, first: int, final: int, prev: int) -> bool:
             return prev != at["last"] and not (at["n"] == 0 and first <= at["last"] <= final)
 
-        for r in pd.concat(list(rows)).sort_values("arrival", kind="stable").to_dict("records"):
-            ts_ms, final, bids, asks = int(r["ts_event_ns"]) // NS_PER_MS, int(r["final_update_id"]), plain(r["bids"]), plain(r["asks"])
+        for ts, probe, is_snapshot, first, final, prev, bids, asks in in_order(rows, "ts_event_ns", "probe", "is_snapshot", "first_update_id", "final_update_id", "prev_final_update_id", "bids", "asks"):
+            ts_ms = ts // NS_PER_MS
             late = [x for x in open_ if x["until_ms"] < ts_ms]
             out += [self._row(key, x, None, True) for x in late]
             open_ = [x for x in open_ if x["until_ms"] >= ts_ms]
-            if not pd.isna(r["probe"]):
-                x = {"probe": int(r["probe"]), "rest_id": final, "until_ms": ts_ms + self.patience, "last": last, "n": n, "gaps": gaps, "batches": 0, "rest_bids": structs(bids), "rest_asks": structs(asks)}
+            if not pd.isna(probe):
+                x = {"probe": int(probe), "rest_id": final, "until_ms": ts_ms + self.patience, "last": last, "n": n, "gaps": gaps, "batches": 0, "rest_bids": structs(bids), "rest_asks": structs(asks)}
                 if last is None or last > final or (last == final and gaps):
                     out.append(self._row(key, x, None, True))
                 else:
@@ -321,11 +326,10 @@ class ProbeAlign(StatefulProcessor):
                         out.append(self._row(key, x, final, False))
                     else:
                         open_.append(x)
-            elif r["is_snapshot"]:
+            elif is_snapshot:
                 book.reset(bids, asks)
                 last, n, gaps = final, 0, 0
             else:
-                first, prev = int(r["first_update_id"]), int(r["prev_final_update_id"])
                 if last is not None:
                     gaps += gap({"last": last, "n": n}, first, final, prev)
                     book.apply(bids, asks)

@@ -228,3 +228,11 @@ def test_segments_grow_with_a_log():
     from flowspark.plans import streams
 
     assert [streams._segment_rows(n) for n in (0, 15_000, 1_000_000, 54_000_000)] == [2_000, 2_000, 3_906, 16_384]
+
+
+def test_rows_come_by_arrival_from_whole_columns():
+    import pandas as pd
+
+    batch = lambda *rows: pd.DataFrame(rows, columns=["arrival", "is_snapshot", "bids"])
+    got = list(books.in_order(iter([batch((3, False, [1.0, 2.0])), batch((1, True, None), (2, False, []))]), "arrival", "is_snapshot", "bids"))
+    assert got == [(1, True, []), (2, False, []), (3, False, [(1.0, 2.0)])]
