@@ -47,7 +47,7 @@ def _segment_rows(n: int) -> int:
 
 def _merged(spark: SparkSession, logs: dict[str, DataFrame], checkpoint: str) -> DataFrame:
     """Frames of each socket as a log of several segments, and their merged stream. A log is sorted by
-    range, which reads its frames twice, so they are written before; those of `_depth_sockets` are."""
+    range, which reads its frames twice, so frames that are costly to derive are written before."""
     root, n = tape.work_path(spark, "logs"), 0
     for socket, frames in logs.items():
         rows = frames.count()
