@@ -6,12 +6,14 @@ shard is bounded even where a third of all rows are one vector. Every shard hold
 First each query searches one shard of its own cell; its k-th score there is a bound that it
 carries on. A cell is a ball around its pivot, the root above its shards' trees: cells whose upper
 bound q.c + |q| r of the inner product is below the query's k-th score are cut before anything is
-sent, and the query goes to the shards of the others, in blocks. In a shard, nodes are cut and
-ordered by the same bound, the best leaf is searched first, and the k-th score rises as leaves are
-searched. The sample only shapes the cells; results do not depend on it.
+sent, and the query goes to the shards of the others, in blocks; a shard is sent to the blocks that
+ask it. In a shard, nodes are cut by the same bound, each query's best leaf is searched first, then
+leaf by leaf all queries that it may still help, and the k-th score rises meanwhile. The sample
+only shapes the cells; results do not depend on it, and no more than about twice its rows reach the driver.
 
-Scores are whole numbers: products are made in doubles where norms prove that these are exact,
-else in Python's integers; a score of more than 63 bits is an error.
+Scores are whole numbers: products are made in floats or doubles where norms prove that these are
+exact, else in Python's integers; a score of more than 63 bits is an error. Vectors travel as bytes,
+each in the narrowest integers that hold it.
 
 A vector that is null, empty of an id, or holds null, NaN or infinite components takes no part.
 Rows that share an id count as one vector, the smallest of them. Only vectors of equal length
@@ -27,18 +29,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table, written
+from ._common import new_path, read_table, remove, written
 
 SAMPLE = 4096
-SHARD_ROWS = 32_768
+SHARD_ROWS = 131_072
 LEAF = 128
 #: Queries that one task holds at most, and those it searches at a time.
-QUERY_ROWS = 32_768
-BLOCK = 256
+QUERY_ROWS = 131_072
+BLOCK = 1024
 CELLS = 64
+#: Components that a shard or a block of queries holds at most: fewer rows, if vectors are long.
+VALUES = 1 << 23
+
+
+def fitting(rows: int, dim: int) -> int:
+    """So many vectors of a length are one shard or block."""
+    return max(1, min(rows, VALUES // max(1, dim)))
 
 
 def quantised(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -56,7 +66,8 @@ def quantised(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 class BallTree:
     """A balanced tree over the rows of `vecs`, stored breadth-first; leaves hold up to LEAF rows."""
 
-    def __init__(self, ids: np.ndarray, vecs: np.ndarray):
+    def __init__(self, ids: np.ndarray, ints: np.ndarray):
+        vecs = ints.astype(np.float64)
         order = np.arange(len(ids))
         depth = max(0, int(np.ceil(np.log2(max(1, len(ids) / LEAF)))))
         bounds = [np.array([0, len(ids)])]
@@ -72,8 +83,8 @@ class BallTree:
                     order[lo:hi] = part[np.argsort(along, kind="stable")]
                 cuts += [mid, hi]
             bounds.append(np.array(cuts))
-        self.ids, self.ints, self.bounds = ids[order], vecs[order], bounds
-        self.vecs = self.ints.astype(np.float64)
+        self.ids, self.ints, self.bounds = ids[order], ints[order], bounds
+        self.vecs = vecs[order]
         self.norm = float(np.sqrt((self.vecs**2).sum(1)).max(initial=0.0))
         self.centers, self.radii = [], []
         for b in bounds:
@@ -96,39 +107,50 @@ class BallTree:
             return scores, ids
         q = ints.astype(np.float64)
         norm = np.sqrt((q**2).sum(1))
-        in_doubles = float(norm.max()) * self.norm < 2.0**52
-        qi, node = np.arange(n), np.zeros(n, np.int64)
-        bound = np.zeros(0)
-        for level in range(len(self.bounds)):
+        live = np.ones((n, 1), bool)
+        for level, (c, r) in enumerate(zip(self.centers, self.radii, strict=True)):
             if level:
-                qi, node = np.repeat(qi, 2), np.stack([2 * node, 2 * node + 1], 1).ravel()
-            c = self.centers[level]
-            full = q @ c.T if n * len(c) <= 4 * len(qi) else None
-            dot = full[qi, node] if full is not None else np.einsum("ij,ij->i", q[qi], c[node])
-            bound = dot + norm[qi] * self.radii[level][node]
-            bound += 1e-9 * norm[qi] * self.norm + 1e-6
-            live = (bound >= known[qi]) & (np.diff(self.bounds[level])[node] > 0)
-            qi, node, bound = qi[live], node[live], bound[live]
-        order = np.lexsort((-bound, qi))
-        qi, node, bound = qi[order], node[order], bound[order]
-        turn = np.arange(len(qi)) - np.searchsorted(qi, qi)
-        leaf = self.bounds[-1]
-        kth = known.copy()
-        for t in range(int(turn.max(initial=-1)) + 1):
-            now = np.flatnonzero(turn == t)
-            now = now[bound[now] >= kth[qi[now]]]
-            if not len(now):
-                break  # bounds fall from turn to turn
-            for at in np.unique(node[now]):
-                who = qi[now[node[now] == at]]
-                lo, hi = leaf[at], leaf[at + 1]
-                got = (q[who] @ self.vecs[lo:hi].T).astype(np.int64) if in_doubles else long_products(ints[who], self.ints[lo:hi])
-                own = q_ids[who][:, None] == self.ids[lo:hi][None]
-                got[own] = NONE
-                s = np.hstack([scores[who], got])
-                i = np.hstack([ids[who], np.where(own, -1, self.ids[lo:hi][None])])
-                scores[who], ids[who] = best(s, i, k)
-            kth = np.maximum(kth, scores[:, -1])
+                live = np.repeat(live, 2, axis=1)
+            bound = q @ c.T + norm[:, None] * (r + 1e-9 * self.norm) + 1e-6
+            live &= (bound >= known[:, None]) & (np.diff(self.bounds[level]) > 0)
+        bound = np.where(live, bound, -np.inf).T.copy()
+        # Products and their sums are below this, in whole numbers, so they are exact in the narrower type.
+        most = float(norm.max()) * self.norm
+        kind, top = (np.float32, 2**23) if most < 2**23 else (np.float64, 2**52) if most < 2**52 else (None, 0)
+        narrow, leaves = (q.astype(kind), self.vecs.astype(kind)) if kind else (ints, self.ints)
+        # Rows at or below the k-th (score, id) so far are of no use.
+        bar, bar_id = known.copy(), np.full(n, np.iinfo(np.int64).max)
+
+        def scan(who: np.ndarray, leaf: int) -> None:
+            lo, hi = self.bounds[-1][leaf], self.bounds[-1][leaf + 1]
+            if kind:
+                got, least = narrow[who] @ leaves[lo:hi].T, np.clip(bar[who], -top, top).astype(kind)
+            else:
+                got, least = long_products(narrow[who], leaves[lo:hi]), bar[who]
+            row, col = np.nonzero(got >= least[:, None])
+            w, s, i = who[row], got[row, col].astype(np.int64), self.ids[lo:hi][col]
+            use = ((s > bar[w]) | (i < bar_id[w])) & (i != q_ids[w])
+            if not use.any():
+                return
+            hit = np.unique(w[use])
+            w, s, i = np.concatenate([w[use], np.repeat(hit, k)]), np.concatenate([s[use], scores[hit].ravel()]), np.concatenate([i[use], ids[hit].ravel()])
+            order = np.lexsort((i, ~s, w))
+            w, s, i = w[order], s[order], i[order]
+            turn = np.arange(len(w)) - np.searchsorted(w, w)
+            best = turn < k
+            scores[w[best], turn[best]], ids[w[best], turn[best]] = s[best], i[best]
+            full = hit[ids[hit, -1] >= 0]
+            bar[full], bar_id[full] = scores[full, -1], ids[full, -1]
+
+        first = np.where(live.any(1), bound.argmax(0), -1)
+        for leaf in np.unique(first[first >= 0]):
+            who = np.flatnonzero(first == leaf)
+            scan(who, leaf)
+            bound[leaf, who] = -np.inf
+        for leaf in np.flatnonzero(live.any(0)):
+            who = np.flatnonzero(bound[leaf] >= bar)
+            if len(who):
+                scan(who, leaf)
         return scores, ids
 
 
@@ -144,18 +166,33 @@ def long_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return got.astype(np.int64)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the k highest scores, ties to the smaller id."""
-    order = np.lexsort((ids, ~scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-
-
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(lists.flatten(), np.int64).reshape(len(lists), dim)
 
 
-#: One cell: its pivot's number or -1, the distance of a vector from the pivot.
-_PLACE = "cell int, away double"
+def packed(ints: np.ndarray) -> list[bytes]:
+    """Each row in the narrowest integers that hold it; its length tells which."""
+    low, high = ints.min(1, initial=0), ints.max(1, initial=0)
+    out: list[bytes] = [b""] * len(ints)
+    wide = np.full(len(ints), 8)
+    for w in (4, 2, 1):
+        wide[(low >= -(1 << (8 * w - 1))) & (high < 1 << (8 * w - 1))] = w
+    for w in np.unique(wide):
+        at = np.flatnonzero(wide == w)
+        raw, n = ints[at].astype(f"<i{w}").tobytes(), int(w) * ints.shape[1]
+        for j, i in enumerate(at):
+            out[i] = raw[j * n : j * n + n]
+    return out
+
+
+def unpacked(data: list[bytes], dim: int) -> np.ndarray:
+    """The rows of `packed`, all of one length."""
+    out = np.zeros((len(data), dim), np.int64)
+    sizes = np.array([len(x) for x in data])
+    for n in np.unique(sizes) if dim else ():
+        at = np.flatnonzero(sizes == n)
+        out[at] = np.frombuffer(b"".join(data[i] for i in at), f"<i{n // dim}").reshape(len(at), dim)
+    return out
 
 
 def spread(v: np.ndarray, n: int) -> np.ndarray:
@@ -170,113 +207,132 @@ def spread(v: np.ndarray, n: int) -> np.ndarray:
 
 
 def placed(rows: DataFrame, pivots) -> DataFrame:
-    """rows with their dim, their cell (that of the nearest pivot) and their distance from its
-    pivot, the zero vector where a length has no pivots."""
-
-    @F.pandas_udf(_PLACE)
-    def place(vecs: pd.Series) -> pd.DataFrame:
-        out, away = np.zeros(len(vecs), np.int32), np.zeros(len(vecs))
-        dims = vecs.map(len).to_numpy()
-        for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            v = np.array(vecs.iloc[at].tolist(), np.float64).reshape(len(at), int(d))
-            p = pivots.value.get(int(d), np.zeros((1, int(d))))
-            out[at] = np.argmin((p**2).sum(1)[None] - 2 * v @ p.T, axis=1)
-            away[at] = np.sqrt(((v - p[out[at]]) ** 2).sum(1))
-        return pd.DataFrame({"cell": out, "away": away})
-
-    return rows.withColumn("place", place("vec")).select(*rows.columns, F.size("vec").alias("dim"), "place.*")
+    """id, dim, data (the packed vector), cell (that of the nearest pivot) and away (the distance from
+    its pivot, the zero vector where a length has no pivots)."""
+    names = ["id", "dim", "data", "cell", "away"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                part = whole.slice(start, BLOCK)
+                vecs = part.column("vec")
+                dims = pc.list_value_length(vecs).to_numpy().astype(np.int32)
+                cell, away, data = np.zeros(len(dims), np.int32), np.zeros(len(dims)), [b""] * len(dims)
+                for d in np.unique(dims).tolist():
+                    at = np.flatnonzero(dims == d)
+                    ints = _matrix(vecs.take(pa.array(at)), d)
+                    v, p = ints.astype(np.float64), pivots.value.get(d, np.zeros((1, d)))
+                    cell[at] = np.argmin((p**2).sum(1)[None] - 2 * v @ p.T, axis=1)
+                    away[at] = np.sqrt(((v - p[cell[at]]) ** 2).sum(1))
+                    for i, x in zip(at, packed(ints), strict=True):
+                        data[i] = x
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(dims), pa.array(data, pa.binary()), pa.array(cell), pa.array(away)], names)
+
+    return rows.select("id", "vec").mapInArrow(run, "id long, dim int, data binary, cell int, away double")
 
 
 def reached(home: DataFrame, pivots, radii) -> DataFrame:
     """home's rows with `cells`, those whose ball may hold a vector of a score of `kth` or more."""
 
     @F.pandas_udf("array<int>")
-    def cells(vecs: pd.Series, kth: pd.Series) -> pd.Series:
-        out = []
-        for v, known in zip(vecs, kth, strict=True):
-            d = len(v)
+    def cells(data: pd.Series, dim: pd.Series, kth: pd.Series) -> pd.Series:
+        out = np.empty(len(data), object)
+        dims, known = dim.to_numpy(), kth.to_numpy(np.float64, na_value=np.nan)
+        for d in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == d)
             number, far = radii.value.get(d, (np.zeros(0, np.int32), np.zeros(0)))
             p = pivots.value.get(d, np.zeros((1, d)))[number]
-            q = np.asarray(v, np.float64)
-            norm = float(np.sqrt((q**2).sum()))
-            scale = norm * (np.sqrt((p**2).sum(1)) + far)
-            out.append(number[p @ q + norm * far + 1e-9 * scale + 1e-6 >= known] if known is not None and known == known else number)
+            q = unpacked([data.iloc[i] for i in at], d).astype(np.float64)
+            norm = np.sqrt((q**2).sum(1))[:, None]
+            may = q @ p.T + norm * far + 1e-9 * norm * (np.sqrt((p**2).sum(1)) + far) + 1e-6 >= known[at][:, None]
+            may |= np.isnan(known[at])[:, None]
+            for i, row in zip(at, may, strict=True):
+                out[i] = number[row]
         return pd.Series(out)
 
-    return home.withColumn("cells", cells("vec", F.col("kth").cast("double")))
+    return home.withColumn("cells", cells("data", "dim", F.col("kth").cast("double")))
+
+
+def sampled(rows: DataFrame, n: int) -> list:
+    """SAMPLE of n rows, those of the least hashes of their ids, so that reruns agree. Rows far above
+    these are left out first, as every task would send SAMPLE rows of its own to the driver."""
+    least = -(1 << 63)
+    share = 1.0 if n <= 2 * SAMPLE else 2 * SAMPLE / n
+    near = rows.where(F.xxhash64("id") <= F.lit(least + min(int(share * 2.0**64), (1 << 64) - 1)))
+    return near.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, id, score: the k best candidates of each query; both sides are quantised
     frames of (id, vec)."""
     spark = candidates.sparkSession
-    rows = written(candidates, "topk-rows")
-    asked = written(queries, "topk-queries")
-    # Pivots: a sample of bounded size, taken by a hash of the id so that reruns agree.
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    by_dim: dict[int, np.ndarray] = {}
-    for d in {len(r["vec"]) for r in picked}:
-        by_dim[d] = spread(np.array([r["vec"] for r in picked if len(r["vec"]) == d], np.float64), CELLS) if d else np.zeros((1, 0))
-    pivots = spark.sparkContext.broadcast(by_dim)
+    at = [new_path(spark, n) for n in ("topk-rows", "topk-queries")]
+    rows, asked = written(candidates, "", at[0]), written(queries, "", at[1])
+    by_dim: dict[int, list] = {}
+    for r in sampled(rows, rows.count()):
+        by_dim.setdefault(len(r["vec"]), []).append(r["vec"])
+    pivots = spark.sparkContext.broadcast({d: spread(np.array(v, np.float64), CELLS) if d else np.zeros((1, 0)) for d, v in by_dim.items()})
     in_cells = written(placed(rows, pivots), "topk-cells")
-    counts = in_cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("salts"), F.max("away").alias("far"))
-    found = sorted(counts.collect())  # at most CELLS rows for each length
+    home = written(placed(asked, pivots).drop("away"), "topk-asked")
+    remove(spark, *at)
+    # At most CELLS rows for each length.
+    found = sorted(in_cells.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect())
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    first = np.cumsum([0, *(r["salts"] for r in found)]).tolist()
-    tree_at = {s: r["dim"] for r, a in zip(found, first, strict=False) for s in range(a, a + r["salts"])}
-    where = spark.createDataFrame([(r["dim"], r["cell"], a, r["salts"]) for r, a in zip(found, first, strict=False)], "dim int, cell int, first int, salts int")
-    radii = spark.sparkContext.broadcast({d: (np.array([r["cell"] for r in found if r["dim"] == d], np.int32), np.array([r["far"] for r in found if r["dim"] == d])) for d in {r["dim"] for r in found}})
-    shards = in_cells.join(where, ["dim", "cell"]).select(
-        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("shard"), "dim", "id", "vec")
-    home = placed(asked, pivots).join(where, ["dim", "cell"], "left")
-    home = written(home.select("id", "vec", "dim", F.col("first").alias("home"), F.xxhash64("id").alias("h")), "topk-home")
+    asks = {(r["dim"], r["cell"]): r["count"] for r in home.groupBy("dim", "cell").count().collect()}
+    cells, first = [], 0
+    for r in found:
+        d, n = r["dim"], asks.get((r["dim"], r["cell"]), 0)
+        salts = -(-r["n"] // fitting(SHARD_ROWS, d))
+        cells.append((d, r["cell"], first, salts, -(-n // (salts * fitting(QUERY_ROWS, d)))))
+        first += salts
+    tree_at = {s: d for d, _, a, salts, _ in cells for s in range(a, a + salts)}
+    where = F.broadcast(spark.createDataFrame(cells, "dim int, cell int, first int, salts int, blocks int"))
+    radii = spark.sparkContext.broadcast({d: (np.array([r["cell"] for r in found if r["dim"] == d], np.int32), np.array([r["far"] for r in found if r["dim"] == d])) for d in tree_at.values()})
+    shard = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("shard")
+    shards = in_cells.join(where, ["dim", "cell"]).select(shard, "blocks", "id", "data")
+    home = home.join(where, ["dim", "cell"], "left").select("id", "data", "dim", shard.alias("home"), "blocks")
     # A task gets one shard and one block of queries, so that neither side outgrows it.
-    n_blocks = max(1, -(-home.count() // QUERY_ROWS))
-    block = F.pmod("h", F.lit(n_blocks)).cast("int").alias("block")
-    shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    number = F.xxhash64(F.col("id"), F.lit(1))
 
     def local(known: bool):
         names = ["query_id", "id", "score"]
+        schema = pa.schema([(n, pa.int64()) for n in names])
 
-        def run(key: tuple, tree_rows: Iterator[pa.RecordBatch], query_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t, q = pa.Table.from_batches(list(tree_rows)), query_rows
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
             dim = tree_at[key[0].as_py()]
-            tree = BallTree(t["id"].to_numpy(), _matrix(t["vec"].combine_chunks(), dim)) if t.num_rows else None
-            for b in q:
-                for at in range(0, b.num_rows, BLOCK):
-                    part = b.slice(at, BLOCK)
-                    if tree is None:
-                        continue
-                    q_ids = part.column("id").to_numpy()
-                    kth = part.column("kth").to_numpy(zero_copy_only=False) if known else np.full(len(q_ids), NONE)
-                    s, i = tree.search(q_ids, _matrix(part.column("vec"), dim), k, kth)
-                    row, col = np.nonzero(i >= 0) if (i >= 0).any() else (np.zeros(0, int), np.zeros(0, int))
-                    keep = (s[row, col] >= kth[row]) & (s[row, col] > NONE)
-                    row, col = row[keep], col[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(i[row, col]), pa.array(s[row, col])], names)
-
-        def whole(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            made = list(run(key, left.to_batches(), right.to_batches()))
-            schema = pa.schema([(n, pa.int64()) for n in names])
-            return pa.Table.from_batches([m.cast(schema) for m in made], schema)
-
-        return whole
+            if not left.num_rows or not right.num_rows:
+                return
+            tree = BallTree(left["id"].to_numpy(), unpacked(left["data"].to_pylist(), dim))
+            for b in right.to_batches(BLOCK):
+                q_ids = b.column("id").to_numpy()
+                kth = b.column("kth").to_numpy() if known else np.full(len(q_ids), NONE)
+                s, i = tree.search(q_ids, unpacked(b.column("data").to_pylist(), dim), k, kth)
+                row, col = np.nonzero(i >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(i[row, col]), pa.array(s[row, col])], schema=schema)
+
+        return lambda key, left, right: pa.Table.from_batches(list(run(key, left, right.combine_chunks())), schema)
 
     out = "query_id long, id long, score long"
-    near = home.where("home is not null").select(F.col("home").alias("shard"), block, "id", "vec")
-    first = shards.groupBy("shard", "block").cogroup(near.groupBy("shard", "block")).applyInArrow(local(False), out)
+    near = home.where("home is not null").select(F.col("home").alias("shard"), F.pmod(number, "blocks").cast("int").alias("block"), "id", "data")
+    own = shards.where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first = own.select("shard", "block", "id", "data").groupBy("shard", "block").cogroup(near.groupBy("shard", "block")).applyInArrow(local(False), out)
     first = written(first, "topk-first")
     # The k-th score of a query that has k rows already; of others, none.
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth")).withColumnRenamed("query_id", "id")
-    asking = reached(home.join(kth, "id", "left"), pivots, radii)
+    asking = written(reached(home.drop("blocks").join(kth, "id", "left"), pivots, radii), "topk-asking")
+    n_asking: dict[int, int] = {}
+    for (d, _), n in asks.items():
+        n_asking[d] = n_asking.get(d, 0) + n
+    n_blocks = max([1, *(-(-n // fitting(QUERY_ROWS, d)) for d, n in n_asking.items())])
     sent = (
         asking.withColumn("cell", F.explode("cells")).join(where, ["dim", "cell"])
         .withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1))).where(~F.col("shard").eqNullSafe(F.col("home")))
-        .select("shard", block, "id", "vec", F.coalesce("kth", F.lit(NONE)).alias("kth"))
+        .select("shard", F.pmod(number, F.lit(n_blocks)).cast("int").alias("block"), "id", "data", F.coalesce("kth", F.lit(NONE)).alias("kth"))
     )
-    rest = shards.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(local(True), out)
+    pairs = F.broadcast(sent.select("shard", "block").distinct())  # one for each shard and block that asks it
+    asked_of = shards.join(pairs, "shard").select("shard", F.col("block").alias("block"), "id", "data")
+    rest = asked_of.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(local(True), out)
     return ranked(first.unionByName(rest), k)
 
 

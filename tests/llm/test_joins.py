@@ -200,3 +200,39 @@ def test_components_beyond_whole_numbers(spark):
     assert topk.quantised(df.where("vec_id > 0")).collect() == [(1, [512])]
     with pytest.raises(Exception, match="63 bits"):
         topk.quantised(df).collect()
+
+
+def test_sample_of_pivots_reaches_the_driver_once(spark, monkeypatch):
+    """Not once for each task: rows are thinned out before they are ordered, and the least hashes stay."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(3)
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(rng.integers(-200, 200, (3000, 4)).tolist())], "id long, vec array<bigint>").repartition(12)
+    least = [r["id"] for r in q.orderBy(F.xxhash64("id")).limit(60).collect()]
+    monkeypatch.setattr(topk, "SAMPLE", 60)
+    taken, ordered_by = [], DataFrame.orderBy
+
+    def counted(rows, *by):
+        taken.append(rows.count())
+        return ordered_by(rows, *by)
+
+    monkeypatch.setattr(DataFrame, "orderBy", counted)
+    topk.search(q, q.where("id % 50 = 0"), 5)
+    monkeypatch.setattr(DataFrame, "orderBy", ordered_by)
+    assert taken and max(taken) < 4 * 60
+    assert [r["id"] for r in topk.sampled(q, 3000)] == least
+
+
+@pytest.mark.parametrize("top", [100, 100_000, 100_000_000, 1_000_000_000])
+def test_tree_in_every_type(top):
+    """Scores in floats, doubles and whole numbers, with many ties: those of all pairs, ties to the smaller id;
+    packing gives the vectors back."""
+    rng = np.random.default_rng(top)
+    v = np.repeat(rng.integers(-top, top, (60, 4)), 10, axis=0)
+    ids, q_ids = rng.permutation(600), np.arange(0, 600, 7)
+    q = v[np.argsort(ids)][q_ids]
+    s, i = topk.BallTree(ids, v).search(q_ids, q, 5, np.full(len(q), topk.NONE))
+    for n, (x, own) in enumerate(zip(q.tolist(), q_ids, strict=True)):
+        want = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for y, j in zip(v.tolist(), ids.tolist(), strict=True) if j != own)[:5]
+        assert list(zip((-s[n]).tolist(), i[n].tolist(), strict=True)) == want
+    assert np.array_equal(topk.unpacked(topk.packed(v), 4), v)
