@@ -15,9 +15,10 @@ what lies beyond waits in the log, never in memory. `backlog` says how many fram
 the batch was planned, its own included; its maximum is the high-water mark.
 
 Offsets are places in the segments, so a batch that is run again reads the same rows with the same
-numbers. Planning reads the times and sizes of the next `max_rows` frames of each log at most, never
-their text, several segments at a time, and keeps them until the batch is over; the counts of segments,
-which never change, are read once. The tasks read the text, each some TASK_ROWS frames of whole segments,
+numbers. Planning reads the times and sizes of the next frames of each log up to either limit, never
+their text, several segments at a time, and keeps them until they are taken, so none is read again for
+the next batch; the counts of segments, which never change, and the names of those of an ended log are
+read once. The tasks read the text, each some TASK_ROWS frames of whole segments,
 so small segments are not tasks of their own. A source is not told where its query stands
 after a restart, so it looks it up in the query's offset log under `checkpoint`.
 
@@ -121,10 +122,11 @@ class Taken(InputPartition):
 
 
 class Seen:
-    """What the driver has read of segments: their numbers of rows, and times and sizes of those of the batch."""
+    """What the driver has read of segments: their numbers of rows, times and sizes of those that are
+    looked at, and the names of all in ended logs."""
 
     def __init__(self, fs: pafs.FileSystem):
-        self.fs, self.counts, self.rows = fs, {}, {}
+        self.fs, self.counts, self.rows, self.whole = fs, {}, {}, {}
 
     def _read(self, one: Callable[[str], Any], paths: Sequence[str], known: dict[str, Any]) -> list[Any]:
         new = [p for p in paths if p not in known]
@@ -133,6 +135,14 @@ class Seen:
                 known.update(zip(new, pool.map(one, new), strict=True))
         return [known[p] for p in paths]
 
+    def listed(self, at: str) -> tuple[list[str], bool]:
+        if at not in self.whole:
+            paths, ended = segments(self.fs, at)
+            if not ended:
+                return paths, False
+            self.whole[at] = paths
+        return self.whole[at], True
+
     def n_rows(self, paths: Sequence[str]) -> list[int]:
         return self._read(lambda p: pq.read_metadata(p, filesystem=self.fs).num_rows, paths, self.counts)
 
@@ -154,20 +164,25 @@ class Log:
 
     def __init__(self, seen: Seen, at: str, start: dict[str, int]):
         self.seen, self.start = seen, start
-        every, self.ended = segments(seen.fs, at)
+        every, self.ended = seen.listed(at)
         self.paths = every[start["segment"] :]
         self.counts = seen.n_rows(self.paths)
         self.unread = sum(self.counts) - start["row"]
 
-    def ahead(self, most: int) -> tuple[np.ndarray, np.ndarray, list[Span]]:
-        """Times and sizes of the next rows, and where they lie: whole segments up to `most` rows."""
-        spans, n, row = [], 0, self.start["row"]
-        for path, count in zip(self.paths, self.counts, strict=True):
-            if n >= most:
+    def ahead(self, most: int, most_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray, list[Span]]:
+        """Times and sizes of the next rows, and where they lie: whole segments up to `most` rows or
+        `most_bytes` of text, and some more, as several are read at a time."""
+        spans, found, n, size, row = [], [], 0, 0, self.start["row"]
+        left = iter(zip(self.paths, self.counts, strict=True))
+        while n < most and (most_bytes is None or size < most_bytes):
+            some, more = [], 0
+            while n + more < most and (len(some) < AT_ONCE or more < TASK_ROWS) and (at := next(left, None)):
+                some.append(Span(at[0], row, max(0, at[1] - row)))
+                more, row = more + some[-1].n, 0
+            if not some:
                 break
-            spans.append(Span(path, row, max(0, count - row)))
-            n, row = n + spans[-1].n, 0
-        found = [tuple(x[s.first :] for x in rows) for s, rows in zip(spans, self.seen.times([s.path for s in spans]), strict=True)]
+            parts = [tuple(x[s.first :] for x in rows) for s, rows in zip(some, self.seen.times([s.path for s in some]), strict=True)]
+            spans, found, n, size = spans + some, found + parts, n + more, size + sum(int(x[1].sum()) for x in parts)
         whole = lambda i: np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64)
         return whole(0), whole(1), spans
 
@@ -213,7 +228,7 @@ class FrameLogReader(DataSourceStreamReader):
     def latestOffset(self) -> dict[str, Any]:
         """The end of the next batch: the earliest frames over all logs, within the limits."""
         logs = self._logs(self.planned)
-        ahead = {n: log.ahead(self.max_rows) for n, log in logs.items()}
+        ahead = {n: log.ahead(self.max_rows, self.max_bytes) for n, log in logs.items()}
         newest = max((int(ts[-1]) if len(ts) else logs[n].start["seen"] for n, (ts, _, _) in ahead.items()), default=0)
         safe = newest
         for n, (ts, _, _) in ahead.items():
@@ -256,7 +271,7 @@ class FrameLogReader(DataSourceStreamReader):
                     at, done, size = at + k, done + k, size + k
             if parts:
                 out.append(Taken(name, parts, end["backlog"]))
-        self.seen.forget({p for log in self._logs(end, list(end["logs"])).values() for p in log.paths[:1]})
+        self.seen.forget({p for log in self._logs(end, list(end["logs"])).values() for p in log.paths})
         return out
 
     def read(self, partition: Taken) -> Iterator[pa.RecordBatch]:

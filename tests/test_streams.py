@@ -236,3 +236,32 @@ def test_rows_come_by_arrival_from_whole_columns():
     batch = lambda *rows: pd.DataFrame(rows, columns=["arrival", "is_snapshot", "bids"])
     got = list(books.in_order(iter([batch((3, False, [1.0, 2.0])), batch((1, True, None), (2, False, []))]), "arrival", "is_snapshot", "bids"))
     assert got == [(1, True, []), (2, False, []), (3, False, [(1.0, 2.0)])]
+
+
+def test_planning_looks_ahead_by_bytes_too(spark, place, monkeypatch):
+    """A batch of few bytes looks at the times of few frames, whatever its limit of rows, and at none twice."""
+    root, _, _ = place
+    log = frame_log.Appender(str(root), "a")
+    for k in range(60):
+        log.append([(k * 10 + i, "S", "x" * 100) for i in range(10)])
+    log.end()
+    monkeypatch.setattr(frame_log, "TASK_ROWS", 20)
+    read, opened = [], frame_log.pq.ParquetFile
+    monkeypatch.setattr(frame_log.pq, "ParquetFile", lambda f, **more: read.append(1) or opened(f, **more))
+    reader, sizes = frame_log.FrameLogReader({"path": str(root), "max_rows": "1000", "max_bytes": "4000"}), []
+    start = reader.initialOffset()
+    while (end := reader.latestOffset()) != start:
+        reader.partitions(start, end)
+        if not sizes:
+            assert len(read) <= 2 * frame_log.AT_ONCE
+        sizes.append(end["arrivals"] - start["arrivals"])
+        start = end
+    assert sizes == [40] * 15 and len(read) == 60
+
+
+def test_few_keys_have_tasks_of_their_own(spark):
+    keys = ["B0", "B1", "B2", "B3"]
+    n = processors.apart(spark, keys)
+    at = spark.createDataFrame([(k,) for k in keys], "symbol string").repartition(n, "symbol").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert at == 4 and n <= 16
+    assert processors.apart(spark, [str(i) for i in range(1000)]) == processors.apart(spark, []) == int(spark.conf.get("spark.sql.shuffle.partitions"))
